@@ -1,0 +1,7 @@
+"""Named queries over the driver tables, each with its SQL twin."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = ""

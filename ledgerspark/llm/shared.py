@@ -22,6 +22,12 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerspark-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Where written tables go: the folder in spark.checkpoint.dir."""
+    with_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there: lineage ends, lost executors cost a reread."""
     with_checkpoint_dir(df.sparkSession)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, mixing, quality, secret_scan, simhash, spiece, url_rules
+from . import knn, langid, mixing, quality, secret_scan, simhash, spiece, toxicity, url_rules
 from .shared import table
 
 
@@ -33,16 +33,24 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.label(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op7_secret_scans, op9_mixing_sources)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op6_toxicity, op7_secret_scans, op8_language_id, op9_mixing_sources)
 }
 
 SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, langid, mixing, quality, secret_scan, simhash, spiece, toxicity, url_rules
+from . import knn, langid, lm, mixing, quality, secret_scan, simhash, spiece, toxicity, url_rules
 from .shared import table
 
 
@@ -49,8 +49,12 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op6_toxicity, op7_secret_scans, op8_language_id, op9_mixing_sources)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op6_toxicity, op7_secret_scans, op8_language_id, op9_mixing_sources, op10_lm_scoring)
 }
 
 SQL: dict[str, str] = {}

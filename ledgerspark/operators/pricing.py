@@ -1,0 +1,78 @@
+"""Prices: which table holds on a date, which row holds for a model, what a request costs.
+
+Price rows: as_of (date), provider, model, input, output, cache_read, cache_write, cache_write_1h (dollars a
+million tokens), long_over (tokens of prompt above which the long_ rates hold), long_input ... They are a few
+dozen rows, so they are broadcast; PRICE_ROWS is the bound that is checked first.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+RATES = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
+DATE_SUFFIX = r"-(\d{8}|\d{4}-\d{2}-\d{2})$"
+PRICE_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = PRICE_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most ``most`` rows, else as it is (a shuffle join then)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def prices_on(prices: DataFrame, day: Column) -> DataFrame:
+    """Price rows that hold on a date: the provider's latest table not after it, else its oldest; models it lacks come from the newest."""
+    tables = prices.groupBy("provider").agg(F.max(F.when(F.col("as_of") <= day, F.col("as_of"))).alias("held"), F.min("as_of").alias("oldest"), F.max("as_of").alias("newest"))
+    chosen = tables.select("provider", F.coalesce("held", "oldest").alias("as_of"), "newest")
+    held = prices.join(chosen.drop("newest"), ["provider", "as_of"])
+    newest = prices.join(chosen.select("provider", F.col("newest").alias("as_of")), ["provider", "as_of"])
+    return held.unionByName(newest.join(held.select("provider", "model"), ["provider", "model"], "left_anti").select(*held.columns))
+
+
+def price_model(models: DataFrame, prices: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """models (column model) with the price row of each: by name, else by alias, else by the name without a date at its end."""
+    p = small(prices.drop("as_of", "provider"))
+    names = models.select("model").distinct().withColumn("plain", F.regexp_replace("model", DATE_SUFFIX, ""))
+    if aliases is not None:
+        names = names.join(small(aliases.select(F.col("alias").alias("model"), F.col("model").alias("named"))), "model", "left")
+    else:
+        names = names.withColumn("named", F.lit(None).cast("string"))
+    keys = [c for c in p.columns if c != "model"]
+    exact = p.select(F.col("model").alias("m1"), F.struct(*keys).alias("r1"))
+    named = p.select(F.col("model").alias("m2"), F.struct(*keys).alias("r2"))
+    dated = p.select(F.col("model").alias("m3"), F.struct(*keys).alias("r3"))
+    got = names.join(exact, names["model"] == exact["m1"], "left").join(named, F.col("named") == F.col("m2"), "left").join(dated, F.col("plain") == F.col("m3"), "left")
+    return got.select("model", F.coalesce("r1", "r2", "r3").alias("price"))
+
+
+def cost(price: Column) -> Column:
+    """Dollars of a request with columns input, output, cache_read, cache_write, cache_write_1h; null without a price.
+
+    Above the long-prompt threshold (strictly) every rate is the long one. One-hour writes are part of the
+    writes, at twice the input rate unless the table has a rate of its own.
+    """
+    long = F.coalesce(F.col("input") + F.col("cache_read") + F.col("cache_write") > price["long_over"], F.lit(False))
+    rate = {r: F.when(long, F.coalesce(price[f"long_{r}"], price[r])).otherwise(price[r]) for r in RATES}
+    hour = F.greatest(F.lit(0), F.least(F.col("cache_write_1h"), F.col("cache_write")))
+    hour_rate = F.coalesce(rate["cache_write_1h"], rate["input"] * 2)
+    spent = F.col("input") * rate["input"] + F.col("output") * rate["output"] + F.col("cache_read") * rate["cache_read"]
+    return (spent + (F.col("cache_write") - hour) * rate["cache_write"] + hour * hour_rate) / 1_000_000
+
+
+def priced(requests: DataFrame, prices: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """requests with price and usd (0 without a price) and priced (whether there is one)."""
+    rows = small(price_model(requests.filter("model is not null"), prices, aliases))
+    out = requests.join(rows, "model", "left")
+    return out.withColumn("usd", F.coalesce(cost(F.col("price")), F.lit(0.0))).withColumn("priced", F.col("price").isNotNull())
+
+
+def total_tokens() -> Column:
+    return F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
+
+
+def unpriced(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Usage without a price: tokens, requests, sorted models; requests: output of priced()."""
+    some = requests.filter((total_tokens() > 0) & ~F.col("priced"))
+    return some.groupBy(*(by or [])).agg(
+        F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("requests"), F.array_sort(F.collect_set(F.coalesce("model", F.lit("(unknown model)")))).alias("models")
+    )

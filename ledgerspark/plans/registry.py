@@ -2,6 +2,374 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analyzers, limits, pricing, regress, reports, requests
+from . import trace_views as v
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "dearest_sessions"
+
+
+def query(sql: str | None = None, *views: str):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = v.sql(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def r(c: str, digits: int = 4):
+    return F.round(c, digits).alias(c)
+
+
+DAY = F.to_date(F.lit("1997-03-10"))
+NOW = F.to_timestamp(F.lit("1997-03-10 12:00:00"))
+
+# -- requests: merge, price, own ---------------------------------------------------------------------------
+
+MERGED = """merged AS (SELECT file_id, min(line_no) AS first_line, any_value(request_key) AS request_key, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read,
+ max(cache_write) AS cache_write, max(cache_write_1h) AS cache_write_1h, arg_min(model, line_no) AS model, arg_min(ts, line_no) AS ts, arg_min(version, line_no) AS version,
+ bool_and(missing_usage) AS missing_usage, count(*) AS n_lines FROM lines GROUP BY file_id, coalesce('k' || request_key, 'n' || line_no)),
+requests AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY first_line) - 1 AS turn_idx FROM merged)"""
+HELD = """held AS (SELECT p.* FROM prices p JOIN (SELECT provider, coalesce(max(CASE WHEN as_of <= '1997-03-10' THEN as_of END), min(as_of)) AS a FROM prices GROUP BY 1) t ON p.provider = t.provider AND p.as_of = t.a),
+price AS (SELECT * FROM held UNION ALL SELECT p.* FROM prices p WHERE as_of = (SELECT max(as_of) FROM prices q WHERE q.provider = p.provider) AND p.model NOT IN (SELECT model FROM held)),
+priced AS (SELECT r.*, p.model IS NOT NULL AS priced, coalesce((input * ri + output * ro + cache_read * rr + (cache_write - hour) * rw + hour * coalesce(rh, 2 * ri)) / 1000000, 0) AS usd FROM
+ (SELECT *, regexp_replace(model, '-([0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$', '') AS plain, greatest(0, least(cache_write_1h, cache_write)) AS hour FROM requests) r
+ LEFT JOIN LATERAL (SELECT model, CASE WHEN r.input + r.cache_read + r.cache_write > long_over THEN coalesce(l_input, p_input) ELSE p_input END AS ri,
+  CASE WHEN r.input + r.cache_read + r.cache_write > long_over THEN coalesce(l_output, p_output) ELSE p_output END AS ro,
+  CASE WHEN r.input + r.cache_read + r.cache_write > long_over THEN coalesce(l_cache_read, p_cache_read) ELSE p_cache_read END AS rr,
+  CASE WHEN r.input + r.cache_read + r.cache_write > long_over THEN coalesce(l_cache_write, p_cache_write) ELSE p_cache_write END AS rw,
+  CASE WHEN r.input + r.cache_read + r.cache_write > long_over THEN coalesce(l_cache_write_1h, p_cache_write_1h) ELSE p_cache_write_1h END AS rh
+  FROM price WHERE price.model = r.plain) p ON true)"""
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return requests.merge_lines(v.lines(spark, d))
+
+
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    return pricing.priced(_requests(spark, d), pricing.prices_on(v.prices(spark), DAY))
+
+
+@query(f"{MERGED} SELECT file_id, turn_idx, request_key, model, input, output, cache_read, cache_write, cache_write_1h, missing_usage FROM requests", "lines")
+def merge_streamed_lines(spark, d):
+    return _requests(spark, d).select("file_id", "turn_idx", "request_key", "model", "input", "output", "cache_read", "cache_write", "cache_write_1h", "missing_usage")
+
+
+OWNED = """sess AS (SELECT file_id, min(ts) AS s, max(ts) AS e, count(*) AS n FROM requests GROUP BY 1),
+ranked AS (SELECT r.*, row_number() OVER (PARTITION BY request_key ORDER BY s IS NULL, s, e IS NULL, e, n, r.file_id, turn_idx) AS k, max(input) OVER w AS ti, max(output) OVER w AS tou, max(cache_read) OVER w AS tr,
+ max(cache_write) OVER w AS tw FROM requests r JOIN sess USING (file_id) WINDOW w AS (PARTITION BY request_key)),
+owned AS (SELECT file_id, turn_idx, ti AS input, tou AS output, tr AS cache_read, tw AS cache_write, model FROM ranked WHERE request_key IS NOT NULL AND k = 1
+ UNION ALL SELECT file_id, turn_idx, input, output, cache_read, cache_write, model FROM requests WHERE request_key IS NULL)"""
+
+
+@query(f"{MERGED},\n{OWNED} SELECT file_id, count(*) AS n, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write FROM owned GROUP BY 1", "lines")
+def cross_session_dedupe(spark, d):
+    req = _requests(spark, d)
+    return requests.own_requests(req, requests.sessions_of(req)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")])
+
+
+@query(f"{MERGED},\n{OWNED} SELECT r.file_id, count(*) AS n_all, count(o.file_id) AS n_kept, count(*) - count(o.file_id) AS n_copied FROM requests r LEFT JOIN owned o ON r.file_id = o.file_id AND r.turn_idx = o.turn_idx GROUP BY 1", "lines")
+def copied_requests(spark, d):
+    req = _requests(spark, d)
+    return requests.dropped_requests(req, requests.own_requests(req, requests.sessions_of(req)))
+
+
+TOTALS = """totals AS (SELECT file_id, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write,
+ sum(usd) AS usd, count(*) AS n_requests, bool_and(missing_usage) AS missing_all, CAST(sum(CASE WHEN priced THEN 0 ELSE input + output + cache_read + cache_write END) AS BIGINT) AS unpriced_tokens FROM priced GROUP BY 1)"""
+
+
+@query(f"{MERGED},\n{HELD},\n{TOTALS} SELECT file_id, input, output, cache_read, cache_write, round(usd, 8) AS usd, n_requests, unpriced_tokens, round(output / (input + output + cache_write), 6) AS output_ratio FROM totals WHERE NOT missing_all AND input + output + cache_read + cache_write > 0", "lines", "prices")
+def session_totals(spark, d):
+    return analyzers.not_empty(analyzers.totals(_priced(spark, d))).select("file_id", "input", "output", "cache_read", "cache_write", r("usd", 8), "n_requests", "unpriced_tokens", r("output_ratio", 6))
+
+
+@query(f"{MERGED},\n{HELD},\n{TOTALS} SELECT file_id, input + output + cache_read + cache_write AS total_tokens, round(usd, 8) AS usd, n_requests FROM totals WHERE NOT missing_all ORDER BY 2 DESC, totals.usd DESC, 1 LIMIT 20", "lines", "prices")
+def dearest_sessions(spark, d):
+    t = analyzers.not_empty(analyzers.totals(_priced(spark, d))).withColumn("total_tokens", pricing.total_tokens()).withColumn("started_at", F.lit(0))
+    return reports.dearest_sessions(t, 20).select("file_id", "total_tokens", r("usd", 8), "n_requests")
+
+
+@query(f"{MERGED},\n{HELD} SELECT file_id, model, round(sum(usd), 8) AS usd, CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens FROM priced GROUP BY 1, 2", "lines", "prices")
+def cost_by_model(spark, d):
+    return analyzers.cost_by_model(_priced(spark, d)).select("file_id", "model", r("usd", 8), "tokens")
+
+
+@query(f"{MERGED},\n{HELD} SELECT CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS tokens, count(*) AS requests, array_to_string(list_sort(list_distinct(list(model))), ',') AS models FROM priced WHERE NOT priced AND input + output + cache_read + cache_write > 0", "lines", "prices")
+def unpriced_usage(spark, d):
+    return pricing.unpriced(_priced(spark, d)).select("tokens", "requests", F.array_join("models", ",").alias("models"))
+
+
+@query(f"{MERGED} SELECT file_id, arg_max(model, n * 100000 - f) AS primary_model, array_to_string(list_sort(list(model)), ',') AS models FROM (SELECT file_id, model, count(*) AS n, min(turn_idx) AS f FROM requests GROUP BY 1, 2) GROUP BY 1", "lines")
+def primary_models(spark, d):
+    return requests.primary_model(_requests(spark, d)).select("file_id", "primary_model", F.array_join("models", ",").alias("models"))
+
+
+@query("""SELECT file_id, c AS context, round(c / 200000.0, 6) AS share, CASE WHEN c >= 180000 THEN 'critical' WHEN c >= 140000 THEN 'high' WHEN c >= 100000 THEN 'moderate' ELSE 'low' END AS band
+ FROM (SELECT file_id, arg_max(input + cache_read + cache_write, line_no) AS c FROM lines GROUP BY 1)""", "lines")
+def context_pressure(spark, d):
+    return reports.pressure(v.lines(spark, d)).select("file_id", "context", r("share", 6), "band")
+
+
+@query("""SELECT provider, model, as_of, p_input AS input FROM prices p WHERE as_of = (SELECT max(as_of) FROM prices q WHERE q.provider = p.provider AND q.as_of <= '1997-03-10')
+ UNION ALL SELECT provider, model, as_of, p_input FROM prices WHERE as_of = '1996-06-01' AND model NOT IN (SELECT model FROM prices WHERE as_of = '1996-06-01')""", "prices")
+def prices_as_of(spark, d):
+    return pricing.prices_on(v.prices(spark), DAY).select("provider", "model", F.col("as_of").cast("string").alias("as_of"), "input")
+
+
+# -- calls -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT file_id, path, count(*) AS reads, CAST(coalesce(sum(CASE WHEN n > 1 THEN result_tokens END), 0) AS BIGINT) AS wasted_tokens
+ FROM (SELECT *, row_number() OVER (PARTITION BY file_id, path ORDER BY call_idx) AS n FROM calls WHERE name = 'Read') GROUP BY 1, 2""", "calls")
+def duplicate_reads(spark, d):
+    return analyzers.duplicate_reads(v.calls(spark, d))
+
+
+@query("""SELECT file_id, path, last_turn - ref AS idle_turns, cost AS idle_tokens FROM (SELECT file_id, path, arg_max(turn_idx, call_idx) AS ref, arg_min(CASE WHEN name = 'Read' THEN result_tokens END, CASE WHEN name = 'Read' THEN call_idx END) AS cost
+ FROM calls WHERE name IN ('Read', 'Edit') GROUP BY 1, 2) JOIN (SELECT file_id, max(turn_idx) AS last_turn FROM turns GROUP BY 1) USING (file_id) WHERE last_turn - ref >= 5 AND cost > 0""", "calls", "turns")
+def idle_context(spark, d):
+    return analyzers.idle_context(v.calls(spark, d), v.call_requests(spark, d))
+
+
+@query("""dup AS (SELECT file_id, CAST(sum(result_tokens) AS BIGINT) AS dup FROM (SELECT *, row_number() OVER (PARTITION BY file_id, path ORDER BY call_idx) AS n FROM calls WHERE name = 'Read') WHERE n > 1 GROUP BY 1),
+ed AS (SELECT file_id, CAST(sum(output) AS BIGINT) AS ed FROM calls JOIN turns USING (file_id, turn_idx) WHERE name = 'Edit' GROUP BY 1),
+s AS (SELECT file_id, CAST(sum(input) AS BIGINT) AS i, CAST(sum(output) AS BIGINT) AS o, CAST(sum(cache_write) AS BIGINT) AS w FROM turns GROUP BY 1),
+x AS (SELECT file_id, CAST(floor(w * 0.22::DOUBLE + 0.5) AS BIGINT) AS manifest, coalesce(dup, 0) AS read_once, CAST(floor(coalesce(ed, 0) * 0.85::DOUBLE + 0.5) AS BIGINT) AS diff_output, i + w + o AS most FROM s LEFT JOIN dup USING (file_id) LEFT JOIN ed USING (file_id))
+SELECT file_id, manifest, read_once, diff_output, least(manifest + read_once + diff_output, most) AS total FROM x""", "calls", "turns")
+def recoverable_tokens(spark, d):
+    c, t = v.calls(spark, d), v.call_requests(spark, d)
+    sums = t.groupBy("file_id").agg(*[F.sum(x).alias(x) for x in ("input", "output", "cache_write")])
+    return analyzers.recoverable(sums, analyzers.duplicate_reads(c), c, t)
+
+
+@query("""SELECT file_id, rank, call_idx, name, reason, tokens FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tokens DESC, call_idx) AS rank FROM
+ (SELECT file_id, call_idx, name, CAST(floor((input + output + cache_read + cache_write) / (count(*) OVER (PARTITION BY file_id, turn_idx)) + 0.5) AS BIGINT) AS tokens,
+ CASE WHEN cache_write > input THEN 'cache-creation' WHEN output > 1500 THEN 'long-output' WHEN input > 10000 THEN 'large-input'
+ WHEN name = 'Read' AND count(CASE WHEN name = 'Read' THEN 1 END) OVER (PARTITION BY file_id, path) > 1 THEN 'duplicate-read' ELSE 'ordinary' END AS reason FROM calls JOIN turns USING (file_id, turn_idx))) WHERE rank <= 5""", "calls", "turns")
+def dearest_calls(spark, d):
+    return analyzers.dearest_calls(v.calls(spark, d), v.call_requests(spark, d))
+
+
+@query("""SELECT file_id, title, tokens, rank FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY tokens DESC, place) AS rank FROM
+ (SELECT file_id, 0 AS place, 'duplicate file reads' AS title, dup_tokens AS tokens FROM sessions UNION ALL SELECT file_id, 1, 'idle context', idle_tokens FROM sessions
+ UNION ALL SELECT file_id, 2, 'cache-creation overhead', cache_write FROM sessions UNION ALL SELECT file_id, 3, 'input tokens (system + prompts)', input FROM sessions) WHERE tokens > 0) WHERE rank <= 3""", "sessions")
+def top_leaks(spark, d):
+    return analyzers.leaks(v.orders_sessions(spark, d)).select("file_id", "title", "tokens", "rank")
+
+
+@query("""SELECT file_id, call_idx, CASE WHEN name <> 'Read' THEN 0 WHEN nth > 1 THEN 2000 WHEN seen THEN 3000 ELSE 0 END AS saved FROM (SELECT file_id, call_idx, name,
+ row_number() OVER (PARTITION BY file_id, name, path ORDER BY call_idx) AS nth, bool_or(name = 'Grep') OVER (PARTITION BY file_id ORDER BY call_idx) AS seen FROM calls)""", "calls")
+def replay_savings(spark, d):
+    return analyzers.replay(v.calls(spark, d)).select("file_id", "call_idx", "saved")
+
+
+# -- period reports ----------------------------------------------------------------------------------------
+
+WINDOW = "FROM sessions WHERE started_at >= DATE '1996-03-01' AND started_at < DATE '1997-03-11'"
+
+
+def _window(spark, d):
+    since, until = reports.parse_since("375d", DAY, F.to_date(F.lit("1995-01-01")))
+    return reports.in_window(v.orders_sessions(spark, d), since, until)
+
+
+@query(f"""SELECT count(*) AS sessions, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write,
+ CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(usd), 2) AS usd, floor(sum(output) / sum(total_tokens) * 100 * 10 + 0.5) / 10 AS output_ratio_pct {WINDOW}""", "sessions")
+def stats_totals(spark, d):
+    return reports.window_totals(_window(spark, d)).withColumn("usd", F.round("usd", 2))
+
+
+@query(f"SELECT primary_model, count(*) AS sessions {WINDOW} GROUP BY 1 ORDER BY 2 DESC, max((started_at, file_id)) DESC LIMIT 1", "sessions")
+def stats_dominant_model(spark, d):
+    return reports.dominant_model(_window(spark, d))
+
+
+@query(f"SELECT project, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(usd), 2) AS usd, floor(sum(usd) / sum(sum(usd)) OVER () * 100 * 10 + 0.5) / 10 AS pct {WINDOW} GROUP BY 1", "sessions")
+def stats_projects(spark, d):
+    return reports.by_project(_window(spark, d)).withColumn("usd", F.round("usd", 2))
+
+
+@query("SELECT project, primary_model, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, grouping_id(project, primary_model) AS level FROM sessions GROUP BY ROLLUP (project, primary_model)", "sessions")
+def stats_rollup(spark, d):
+    return reports.rollup_costs(v.orders_sessions(spark, d), "project", "primary_model")
+
+
+@query(f"""days AS (SELECT CAST(started_at AS DATE) AS day, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sum(usd) AS usd {WINDOW} AND file_id % 50 = 0 GROUP BY 1)
+SELECT CAST(d.day AS VARCHAR) AS day, coalesce(sessions, 0) AS sessions, coalesce(total_tokens, 0) AS total_tokens, round(coalesce(usd, 0), 2) AS usd
+FROM (SELECT CAST(unnest(generate_series(greatest(min(day), max(day) - 365), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM days) d LEFT JOIN days b ON b.day = d.day""", "sessions")
+def stats_daily(spark, d):
+    """Sessions of one project line in fifty, so that the calendar has empty days."""
+    return reports.daily(_window(spark, d).filter("file_id % 50 = 0")).select(F.col("day").cast("string").alias("day"), "sessions", "total_tokens", r("usd", 2))
+
+
+@query(f"""SELECT *, dup_usd + idle_usd + write_usd AS total_usd FROM (SELECT *, round(dup_tokens * 0.3 / 1000000, 6) AS dup_usd, round(idle_tokens * 0.3 / 1000000, 6) AS idle_usd, round(floor(cache_write * 0.3 + 0.5) * 3.75 / 1000000, 6) AS write_usd
+ FROM (SELECT CAST(sum(dup_tokens) AS BIGINT) AS dup_tokens, CAST(sum(idle_tokens) AS BIGINT) AS idle_tokens, CAST(sum(cache_write) AS BIGINT) AS cache_write {WINDOW}))""".replace("dup_usd + idle_usd + write_usd AS total_usd", "round(dup_usd + idle_usd + write_usd, 5) AS total_usd"), "sessions")
+def stats_savings(spark, d):
+    price = F.struct(F.lit(0.3).alias("cache_read"), F.lit(3.75).alias("cache_write"))
+    return reports.savings(_window(spark, d), price).select("dup_tokens", "idle_tokens", "cache_write", r("dup_usd", 6), r("idle_usd", 6), r("write_usd", 6), r("total_usd", 5))
+
+
+@query("""d AS (SELECT day, CASE WHEN den > 0 THEN num / den ELSE 0 END AS value, row_number() OVER (ORDER BY day) - 1 AS x FROM (SELECT CAST(started_at AS DATE) AS day, sum(output) * 1.0::DOUBLE AS num, sum(n_requests) AS den FROM sessions GROUP BY 1))
+SELECT count(*) AS points, round(median(value), 6) AS median, round(regr_slope(value, x), 6) AS slope, CASE WHEN count(*) < 5 THEN 'insufficient-data' WHEN abs(regr_slope(value, x)) < 0.001 THEN 'stable' WHEN regr_slope(value, x) > 0 THEN 'improving' ELSE 'worsening' END AS verdict FROM d""", "sessions")
+def trend_report(spark, d):
+    return reports.trend(v.orders_sessions(spark, d), F.col("output"), F.col("n_requests")).select("points", r("median", 6), r("slope", 6), "verdict")
+
+
+@query("SELECT count(*) AS sessions, round(sum(usd), 2) AS usd, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(output) AS BIGINT) AS output, round(sum(output) / sum(total_tokens) * 100, 6) AS output_ratio_pct FROM sessions WHERE CAST(started_at AS DATE) = DATE '1997-03-10'", "sessions")
+def today_block(spark, d):
+    return reports.today_block(v.orders_sessions(spark, d), DAY).select("sessions", r("usd", 2), "total_tokens", "output", r("output_ratio_pct", 6))
+
+
+@query("""SELECT count(*) AS days, round(median(usd), 4) AS median_usd, round(median(tokens), 4) AS median_tokens, round(median(ratio), 4) AS median_output_ratio_pct FROM
+ (SELECT CAST(started_at AS DATE) AS day, sum(usd) AS usd, sum(total_tokens) AS tokens, avg(output / total_tokens) * 100 AS ratio FROM sessions WHERE started_at >= DATE '1997-02-09' GROUP BY 1)""", "sessions")
+def today_baseline(spark, d):
+    return reports.today_baseline(v.orders_sessions(spark, d), F.to_date(F.lit("1997-02-09"))).select("days", r("median_usd"), r("median_tokens"), r("median_output_ratio_pct"))
+
+
+@query("""s AS (SELECT *, (epoch_us(started_at) - epoch_us(TIMESTAMP '1997-03-10 12:00:00')) / 86400000000.0 + 14 AS pos FROM sessions WHERE started_at <= TIMESTAMP '1997-03-10 12:00:00'),
+b AS (SELECT least(CAST(floor(pos) AS INT), 13) AS slot, sum(usd) AS usd, count(*) AS n FROM s WHERE pos >= 0 GROUP BY 1),
+p AS (SELECT avg(coalesce(usd, 0)) AS a, median(coalesce(usd, 0)) AS m, stddev_samp(coalesce(usd, 0)) AS sd, sum(coalesce(n, 0)) AS sampled FROM range(14) t(k) LEFT JOIN b ON b.slot = t.k),
+m AS (SELECT sum(CASE WHEN started_at >= DATE '1997-03-01' THEN usd END) AS so_far, sum(CASE WHEN started_at >= DATE '1997-02-01' AND started_at < DATE '1997-03-01' THEN usd END) AS last_month FROM s),
+x AS (SELECT *, so_far + a * 21 AS pr FROM p, m)
+SELECT 'ok' AS status, 21 AS "left", CAST(sampled AS BIGINT) AS sampled, round(a, 2) AS avg_usd, round(m, 2) AS median_usd, round(so_far, 2) AS so_far, round(pr, 2) AS projected, round(greatest(0, pr - greatest(0, least(sd * 21, greatest(0, 0.2 * pr)))), 2) AS low,
+round(pr + greatest(0, least(sd * 21, greatest(0, 0.2 * pr))), 2) AS high, round(last_month, 2) AS last_month, round((pr - last_month) / last_month * 100, 4) AS vs_last_month_pct FROM x""", "sessions")
+def forecast(spark, d):
+    s = v.orders_sessions(spark, d).filter(F.col("started_at") <= NOW)
+    out = reports.forecast(s.withColumn("started_at", F.col("started_at").cast("timestamp")), NOW)
+    return out.select("status", "left", "sampled", *[r(c, 2) for c in ("avg_usd", "median_usd", "so_far", "projected", "low", "high", "last_month")], r("vs_last_month_pct"))
+
+
+IMPACT = """g AS (SELECT started_at >= DATE '1997-03-10' AS a, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS t, floor(sum(usd) * 100 + 0.5) / 100 AS u, floor(sum(usd) / count(*) * 100 + 0.5) / 100 AS au, floor(sum(output) / sum(total_tokens) * 1000 + 0.5) / 10 AS ra,
+ CAST(sum(dup_tokens + idle_tokens + cache_write) AS BIGINT) AS rec FROM sessions GROUP BY 1), x AS (SELECT * FROM g b, g c WHERE NOT b.a AND c.a)"""
+
+
+@query(f"""{IMPACT} SELECT 'measured' AS status, b.n AS before_sessions, c.n AS after_sessions, b.t AS before_tokens, c.t AS after_tokens, b.u AS before_usd, c.u AS after_usd, b.au AS before_avg_usd, c.au AS after_avg_usd, b.ra AS before_ratio, c.ra AS after_ratio,
+ b.rec AS before_recoverable, c.rec AS after_recoverable, c.t - b.t AS token_delta, floor((c.t - b.t) / b.t * 1000 + 0.5) / 10 AS token_delta_pct, round(c.u - b.u, 2) AS usd_delta, round(c.au - b.au, 2) AS avg_usd_delta, round(c.ra - b.ra, 1) AS ratio_delta_pp FROM g b, g c WHERE NOT b.a AND c.a""", "sessions")
+def impact(spark, d):
+    out = reports.impact(v.orders_sessions(spark, d).withColumn("started_at", F.col("started_at").cast("timestamp")), F.to_timestamp(F.lit("1997-03-10")), F.to_timestamp(F.lit("2001-08-02")))
+    cols = [f"{n}_{c}" for c in ("sessions", "tokens", "usd", "avg_usd", "ratio", "recoverable") for n in ("before", "after")]
+    return out.select("status", *cols, "token_delta", "token_delta_pct", r("usd_delta", 2), r("avg_usd_delta", 2), r("ratio_delta_pp", 1))
+
+
+@query("""m AS (SELECT file_id, project, ended_at, total_tokens / n_requests AS tpt, cache_read / (cache_read + input + cache_write) AS chr, dup_tokens AS dup, row_number() OVER (PARTITION BY project ORDER BY ended_at DESC, file_id DESC) AS n FROM sessions),
+b AS (SELECT project, count(*) AS k, median(tpt) AS bt, median(chr) AS bc, median(dup) AS bd FROM m WHERE n BETWEEN 2 AND 7 GROUP BY 1)
+SELECT project, file_id, round(tpt, 4) AS tokens_per_turn, round(chr, 4) AS cache_hit_rate, dup AS dup_tokens, k AS base_count, round(bt, 4) AS base_tokens_per_turn, tpt > bt * 1.3 AS context_up, bc >= 0.2 AND chr < bc - 0.15 AS cache_down, dup > 2 * bd AND dup > 5000 AS rereads_up FROM m JOIN b USING (project) WHERE n = 1""", "sessions")
+def drift(spark, d):
+    out = reports.drift(reports.drift_metrics(v.orders_sessions(spark, d)))
+    return out.select("project", "file_id", r("tokens_per_turn"), r("cache_hit_rate"), "dup_tokens", "base_count", r("base_tokens_per_turn"), "context_up", "cache_down", "rereads_up")
+
+
+@query("""a AS (SELECT project, sum(total_tokens) AS t FROM sessions WHERE started_at < DATE '1995-02-01' GROUP BY 1), b AS (SELECT project, sum(total_tokens) AS t FROM sessions WHERE started_at >= DATE '2001-07-01' GROUP BY 1)
+SELECT project, CAST(coalesce(a.t, 0) AS BIGINT) AS before, CAST(coalesce(b.t, 0) AS BIGINT) AS after, CAST(coalesce(b.t, 0) - coalesce(a.t, 0) AS BIGINT) AS delta, round(CASE WHEN coalesce(a.t, 0) = 0 THEN 0 ELSE (coalesce(b.t, 0) - a.t) / a.t * 100 END, 4) AS pct FROM a FULL JOIN b USING (project)""", "sessions")
+def benchmark_compare(spark, d):
+    s = v.orders_sessions(spark, d)
+    by = lambda x: x.groupBy("project").agg(F.sum("total_tokens").alias("t"))
+    return reports.change_table(by(s.filter("started_at < '1995-02-01'")), by(s.filter("started_at >= '2001-07-01'")), "project", "t").withColumn("pct", F.round("pct", 4))
+
+
+# -- limits ------------------------------------------------------------------------------------------------
+
+POINTS = """pts AS (SELECT limit_id, window_minutes, at_ms, resets_at, dense_rank() OVER (PARTITION BY limit_id ORDER BY resets_at) - 1 AS period, max(used_percent) OVER (PARTITION BY limit_id, resets_at ORDER BY at_ms, used_percent ROWS UNBOUNDED PRECEDING) AS used_percent FROM readings),
+per0 AS (SELECT limit_id, window_minutes, period, min(at_ms) AS first_at, max(at_ms) AS newest_at, max(used_percent) AS used_percent, max(resets_at) AS resets_at FROM pts GROUP BY 1, 2, 3),
+per AS (SELECT *, greatest(least(resets_at - window_minutes * 60000, first_at), lag(newest_at) OVER (PARTITION BY limit_id ORDER BY period)) AS started_at FROM per0),
+steps AS (SELECT limit_id, period, at_ms, used_percent - lag(used_percent, 1, 0) OVER (PARTITION BY limit_id, period ORDER BY at_ms) AS rise FROM (SELECT limit_id, period, at_ms, max(used_percent) AS used_percent FROM pts GROUP BY 1, 2, 3)),
+rises AS (SELECT * FROM steps WHERE rise > 0),
+inside AS (SELECT p.limit_id, p.period, r.* FROM limit_requests r JOIN per p ON r.tokens > 0 AND r.at_ms > p.started_at AND r.at_ms <= p.newest_at),
+seg AS (SELECT i.*, (SELECT min(x.at_ms) FROM rises x WHERE x.limit_id = i.limit_id AND x.period = i.period AND x.at_ms >= i.at_ms) AS to_at FROM inside i),
+shares AS (SELECT s.*, coalesce(x.rise * s.tokens / sum(s.tokens) OVER (PARTITION BY s.limit_id, s.period, s.to_at), 0) AS percent FROM seg s LEFT JOIN rises x ON x.limit_id = s.limit_id AND x.period = s.period AND x.at_ms = s.to_at)"""
+
+
+@query(f"{POINTS} SELECT limit_id, window_minutes, period, started_at, resets_at, newest_at, used_percent FROM per", "readings", "limit_requests")
+def limit_periods(spark, d):
+    return limits.periods(limits.points(v.readings(spark, d))).select("limit_id", "window_minutes", F.col("period").cast("long").alias("period"), "started_at", "resets_at", "newest_at", "used_percent")
+
+
+@query(f"{POINTS} SELECT limit_id, period, session_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests, round(sum(percent), 6) AS percent FROM shares GROUP BY 1, 2, 3", "readings", "limit_requests")
+def limit_attribution(spark, d):
+    s = limits.attribute(v.limit_requests(spark, d), limits.points(v.readings(spark, d)))
+    return s.groupBy("limit_id", F.col("period").cast("long").alias("period"), "session_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests"), F.round(F.sum("percent"), 6).alias("percent"))
+
+
+@query(f"{POINTS} SELECT limit_id, period, round(t - coalesce(g, 0), 5) AS unattributed_percent FROM (SELECT limit_id, period, sum(rise) AS t FROM rises GROUP BY 1, 2) LEFT JOIN (SELECT limit_id, period, sum(percent) AS g FROM shares GROUP BY 1, 2) USING (limit_id, period)", "readings", "limit_requests")
+def limit_unattributed(spark, d):
+    out = limits.unattributed(v.limit_requests(spark, d), limits.points(v.readings(spark, d)))
+    return out.select("limit_id", F.col("period").cast("long").alias("period"), r("unattributed_percent", 5))
+
+
+@query(f"{POINTS} SELECT limit_id, period, CASE WHEN model = 'codex-auto-review' THEN '(automatic reviews)' ELSE session_id END AS line, min(split_part(cwd, '/', 3)) AS project, round(sum(percent), 6) AS percent, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests FROM shares GROUP BY 1, 2, 3", "readings", "limit_requests")
+def limit_usage(spark, d):
+    out = limits.usage_by_session(limits.attribute(v.limit_requests(spark, d), limits.points(v.readings(spark, d))))
+    return out.select("limit_id", F.col("period").cast("long").alias("period"), "line", "project", r("percent", 6), "tokens", "requests")
+
+
+@query(f"""{POINTS}, l AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY limit_id ORDER BY period DESC) = 1), y AS (SELECT *, newest_at + (100 - used_percent) * (newest_at - started_at) / used_percent AS x FROM l)
+SELECT limit_id, period, CASE WHEN resets_at <= newest_at THEN 'reset-since' WHEN used_percent >= 100 THEN 'reached' WHEN newest_at - started_at < 3600000 THEN 'too-early' WHEN used_percent <= 0 OR x > resets_at THEN 'lasts' ELSE 'runs-out' END AS kind FROM y""", "readings", "limit_requests")
+def limit_pace(spark, d):
+    out = limits.pace(limits.periods(limits.points(v.readings(spark, d))), F.lit(0).cast("long"))
+    return out.select("limit_id", F.col("period").cast("long").alias("period"), "kind")
+
+
+@query(f"""{POINTS}, done AS (SELECT *, max(period) OVER (PARTITION BY limit_id) AS last FROM per), ok AS (SELECT * FROM done WHERE period < last AND used_percent >= 20),
+m AS (SELECT i.limit_id, i.period, i.model, sum(i.tokens) AS t, min(i.at_ms) AS f FROM inside i GROUP BY 1, 2, 3), tot AS (SELECT limit_id, period, sum(t) AS total, max(CASE WHEN model IS NOT NULL THEN t END) AS top FROM m GROUP BY 1, 2)
+SELECT limit_id, period, round(total / used_percent, 6) AS tokens_per_percent FROM ok JOIN tot USING (limit_id, period) WHERE top / total >= 0.9""", "readings", "limit_requests")
+def limit_tokens_per_percent(spark, d):
+    p = limits.periods(limits.points(v.readings(spark, d)))
+    out = limits.tokens_per_percent(p, v.limit_requests(spark, d), F.lit(0), F.lit(0))
+    return out.select("limit_id", F.col("period").cast("long").alias("period"), r("tokens_per_percent", 6))
+
+
+# -- version regressions -----------------------------------------------------------------------------------
+
+SEQ = """main AS (SELECT *, lag(ts) OVER w AS p_ts, lag(ctx) OVER w AS p_ctx, lead(ts) OVER w AS a_ts, lead(ctx) OVER w AS a_ctx, lead(cr) OVER w AS a_cr, lead(ts, 2) OVER w AS b_ts, lead(ctx, 2) OVER w AS b_ctx, lead(cr, 2) OVER w AS b_cr
+ FROM sample_rows WHERE NOT side AND entry NOT LIKE 'sdk%' WINDOW w AS (PARTITION BY file_id ORDER BY ts, turn_idx))"""
+RATES = "g AS (SELECT version, count(*) AS n, count(*) FILTER (value) AS h FROM s GROUP BY 1), t AS (SELECT version, n, round(h / n, 6) AS rate, round(coalesce((sum(h) OVER () - h) / nullif(sum(n) OVER () - n, 0), 0), 6) AS baseline, CAST(sum(n) OVER () - n AS BIGINT) AS baseline_n FROM g)"
+
+
+@query(f"{SEQ}, s AS (SELECT version, cr < 0.3 * ctx AS value FROM main WHERE ts - p_ts BETWEEN 0 AND 300000 AND ctx >= 30000 AND ctx >= 0.6 * p_ctx), {RATES} SELECT * FROM t WHERE n >= 20", "sample_rows")
+def regress_warm_cache_miss(spark, d):
+    return regress.warm_cache_miss(v.sample_rows(spark, d)).select("version", "n", r("rate", 6), r("baseline", 6), "baseline_n")
+
+
+@query(f"{SEQ}, s AS (SELECT version, a_cr < 0.3 * a_ctx AND b_cr < 0.3 * b_ctx AS value FROM main WHERE ts - p_ts >= 3600000 AND a_ts - ts <= 300000 AND b_ts - a_ts <= 300000 AND a_ctx >= 30000 AND b_ctx >= 30000), {RATES} SELECT * FROM t WHERE n >= 5", "sample_rows")
+def regress_post_idle_cold(spark, d):
+    return regress.post_idle_cold(v.sample_rows(spark, d)).select("version", "n", r("rate", 6), r("baseline", 6), "baseline_n")
+
+
+@query(f"{SEQ}, g AS (SELECT version, count(*) AS n, sum(c5) / sum(c5 + c1) AS share_5m FROM main WHERE c5 + c1 > 0 GROUP BY 1 HAVING count(*) >= 20) SELECT version, n, round(share_5m, 6) AS share_5m, round((sum(share_5m * n) OVER () - share_5m * n) / (sum(n) OVER () - n), 6) AS baseline FROM g", "sample_rows")
+def regress_short_ttl(spark, d):
+    return regress.short_ttl(v.sample_rows(spark, d)).select("version", "n", r("share_5m", 6), r("baseline", 6))
+
+
+@query(f"""{SEQ}, g AS (SELECT model, version, count(*) AS n, list_sort(list(inp))[count(*) // 2 + 1] AS median FROM main WHERE after_tool AND ctx >= 20000 GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT model, version, n, median, (SELECT list_sort(list(o.median))[count(*) // 2 + 1] FROM g o WHERE o.model = g.model AND o.version <> g.version) AS baseline FROM g""", "sample_rows")
+def regress_uncached_input(spark, d):
+    return regress.uncached_input(v.sample_rows(spark, d)).select("model", "version", "n", "median", "baseline")
+
+
+@query(f"""{SEQ}, e AS (SELECT version, (ts - lag(ts) OVER (PARTITION BY file_id ORDER BY ts, turn_idx)) / 60000 AS gap FROM main WHERE ts - p_ts <= 300000 AND p_ctx >= 50000 AND ctx >= 0.6 * p_ctx AND cr < 0.2 * p_ctx)
+SELECT version, count(gap) AS n, count(*) FILTER (gap BETWEEN 50 AND 70) AS hourly FROM e GROUP BY 1""", "sample_rows")
+def regress_hourly_rebuild(spark, d):
+    return regress.hourly_rebuild(v.sample_rows(spark, d)).select("version", "n", "hourly")
+
+
+@query("""x AS (SELECT version, file_id, side OR entry LIKE 'sdk%' AS auto FROM sample_rows) SELECT count(*) FILTER (NOT auto) AS requests, count(*) FILTER (auto) AS excluded, count(DISTINCT CASE WHEN NOT auto THEN file_id END) AS sessions,
+ count(DISTINCT CASE WHEN NOT auto THEN version END) AS versions, arg_min(version, CAST(split_part(version, '.', 3) AS INT)) AS first_version, arg_max(version, CAST(split_part(version, '.', 3) AS INT)) AS last_version FROM x""", "sample_rows")
+def regress_coverage(spark, d):
+    return regress.coverage(v.sample_rows(spark, d)).select("requests", "excluded", "sessions", "versions", "first_version", "last_version")
+
+
+@query("""t AS (SELECT DISTINCT version, CAST(split_part(version, '.', 3) AS INT) AS m FROM sample_rows), i AS (SELECT *, row_number() OVER (ORDER BY m) AS i FROM t), f AS (SELECT *, i - row_number() OVER (ORDER BY i) AS g FROM i WHERE m % 5 <> 0),
+rg AS (SELECT arg_min(version, m) AS "from", arg_max(version, m) AS "to", min(m) AS a, max(m) AS b, count(*) AS versions FROM f GROUP BY g)
+SELECT "from", "to", versions, CASE WHEN a <= 89 AND b >= 69 THEN CASE WHEN a <= 100 AND b >= 85 THEN 'R2,R3' ELSE 'R2' END WHEN a <= 100 AND b >= 85 THEN 'R3' ELSE '' END AS known FROM rg""", "sample_rows")
+def regress_ranges(spark, d):
+    t = v.sample_rows(spark, d).select("version", (F.split("version", r"\.")[2].cast("int") % 5 != 0).alias("flagged")).distinct()
+    return regress.match_known(regress.merge_ranges(t), regress.known(spark), "warm-cache-miss").select("from", "to", "versions", F.array_join("known", ",").alias("known"))

@@ -1,0 +1,147 @@
+"""The driver tables seen as session logs, so that every operator runs on them too.
+
+lineitem and orders are request lines (an order is a session), events are tool calls and limit readings.
+Each view has SQL of the same name in SQL_VIEWS for the oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Price rows of the views: as_of, provider, model, input, output, cache_read, cache_write, cache_write_1h, long_over, and the long-prompt rates.
+PRICES = (
+    ("1994-01-01", "a", "model-af", 3.0, 15.0, 0.3, 3.75, None, None, None, None, None, None, None),
+    ("1994-01-01", "a", "model-no", 5.0, 25.0, 0.5, 6.25, 10.0, None, None, None, None, None, None),
+    ("1996-06-01", "a", "model-af", 2.0, 10.0, 0.2, 2.5, 4.0, 60000, 4.0, 20.0, 0.4, 5.0, 8.0),
+    ("1996-06-01", "a", "model-rf", 1.0, 5.0, 0.1, 1.25, 2.0, None, None, None, None, None, None),
+)
+RATE_COLS = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
+PRICE_SCHEMA = "as_of string, provider string, model string, " + ", ".join(f"{c} double" for c in RATE_COLS) + ", long_over long, " + ", ".join(f"long_{c} double" for c in RATE_COLS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def prices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in PRICES], PRICE_SCHEMA).withColumn("as_of", F.to_date("as_of"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request lines: file, line number, key (null for one line in seven), usage and the rest."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    order = W.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
+    )
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    model = F.concat(F.lit("model-"), F.lower(F.concat("l_returnflag", "l_linestatus")), F.when(F.col("l_partkey") % 2 == 0, F.lit("-20250101")).otherwise(F.lit("")))
+    return x.select(
+        F.col("l_orderkey").alias("file_id"), F.row_number().over(order).cast("long").alias("line_no"), F.col("o_custkey").alias("project"),
+        F.when(F.col("l_linenumber") < 7, F.concat(F.lit("m"), (F.col("l_partkey") % 500).cast("string"), F.lit("|"), F.col("l_linenumber").cast("string"))).alias("request_key"),
+        model.alias("model"), F.col("l_shipdate").alias("ts"), F.floor("l_extendedprice").cast("long").alias("input"), (F.floor("l_quantity") * 100).cast("long").alias("output"),
+        F.col("l_partkey").cast("long").alias("cache_read"), (F.col("l_suppkey") * 10).cast("long").alias("cache_write"), F.col("l_suppkey").cast("long").alias("cache_write_1h"),
+        (F.col("l_discount") == 0).alias("missing_usage"), F.concat(F.lit("2.1."), (F.col("l_partkey") % 12).cast("string")).alias("version"),
+        F.when(F.col("l_tax") > 0.07, F.lit("sdk-cli")).otherwise(F.lit("cli")).alias("entrypoint"), (F.col("l_tax") == 0).alias("sidechain"),
+        (F.col("l_linestatus") == "F").alias("after_tool_result"), (F.col("l_suppkey") % 2 == 0).alias("cache_split"),
+    )
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls: a user's events in time order, five to a turn."""
+    e = table(spark, sf_dir, "events")
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    x = e.withColumn("call_idx", (F.row_number().over(order) - 1).cast("long"))
+    name = F.when(F.col("event_type").isin("view", "click"), "Read").when(F.col("event_type") == "purchase", "Edit").when(F.col("event_type") == "signup", "Grep").otherwise("Bash")
+    path = F.concat(F.lit("/f/"), F.get_json_object("props", "$.k"))
+    return x.select(F.col("user_id").alias("file_id"), F.floor(F.col("call_idx") / 5).cast("long").alias("turn_idx"), "call_idx", name.alias("name"), path.alias("path"), path.alias("raw_path"), F.ceil("value").cast("long").alias("result_tokens"))
+
+
+def call_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns that the calls belong to, with usage."""
+    c = calls(spark, sf_dir)
+    return c.groupBy("file_id", "turn_idx").agg((F.sum("result_tokens") * 7).alias("input"), (F.max("result_tokens") * 11).alias("output"), F.sum("result_tokens").alias("cache_read"), (F.min("result_tokens") * 13).alias("cache_write"))
+
+
+def orders_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as finished session summaries; tokens come from their total."""
+    o = table(spark, sf_dir, "orders")
+    total = F.floor(F.col("o_totalprice")).cast("long")
+    return o.select(
+        F.col("o_orderkey").alias("file_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 40).cast("string")).alias("project"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("ended_at"),
+        F.col("o_totalprice").alias("usd"), total.alias("total_tokens"), F.floor(total / 10).cast("long").alias("output"), F.floor(total / 5).cast("long").alias("input"),
+        F.floor(total / 2).cast("long").alias("cache_read"), (total - F.floor(total / 10) - F.floor(total / 5) - F.floor(total / 2)).cast("long").alias("cache_write"),
+        (F.col("o_orderkey") % 997).cast("long").alias("dup_tokens"), (F.col("o_orderkey") % 499).cast("long").alias("idle_tokens"), (F.col("o_orderkey") % 9 + 1).cast("long").alias("n_requests"),
+        F.concat(F.lit("model-"), F.lower("o_orderstatus")).alias("primary_model"),
+    )
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limit readings: three limits with five-hour windows."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    five = 5 * 3_600_000
+    return e.select(
+        at.alias("at"), F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("l"), (F.col("user_id") % 3).cast("string")).alias("limit_id"), F.lit(300).cast("long").alias("window_minutes"),
+        F.least(F.lit(100.0), F.floor("value")).alias("used_percent"), ((F.floor(at / five) + 1) * five).cast("long").alias("resets_at"), F.lit("plan").alias("plan_type"),
+    )
+
+
+def limit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    return e.select(
+        (at + 1000).alias("at"), F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("/w/"), (F.col("user_id") % 7).cast("string")).alias("cwd"),
+        F.when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 0), "codex-auto-review").when((F.col("event_type") == "click") & (F.col("user_id") % 5 == 1), F.lit(None)).otherwise("model-x").alias("model"), F.floor(F.col("value") * 10).cast("long").alias("tokens"),
+    )
+
+
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for the version detectors: events by user as a request sequence."""
+    e = table(spark, sf_dir, "events")
+    v = F.floor("value").cast("long")
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(
+        F.col("user_id").alias("file_id"), (F.row_number().over(order) - 1).cast("long").alias("turn_idx"), F.col("user_id").cast("string").alias("session"),
+        F.concat(F.lit("2.1."), (F.col("user_id") % 14 + 80).cast("string")).alias("version"), F.when(F.col("event_type") == "view", "m-a").otherwise("m-b").alias("model"),
+        F.when(F.col("event_type") == "signup", "sdk-ts").otherwise("cli").alias("entry"), (F.col("event_id") % 17 == 0).alias("side"), F.floor((F.unix_millis(F.col("ts").cast("timestamp")) / 3600)).cast("long").alias("ts"),
+        (v * 17 % 900).alias("inp"), (v * 701 % 60000).alias("cr"), (v * 31 % 9000).alias("cw"), (v * 13 % 5000).alias("c5"), (v * 11 % 3000).alias("c1"), v.alias("out"),
+        (F.lit(30000) + v * 977 % 70000).alias("ctx"), (F.col("event_id") % 2 == 0).alias("after_tool"),
+    )
+
+
+SQL_VIEWS = {
+    "prices": "prices AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x) for x in r) + ")" for r in PRICES)
+    + ") t(as_of, provider, model, p_input, p_output, p_cache_read, p_cache_write, p_cache_write_1h, long_over, l_input, l_output, l_cache_read, l_cache_write, l_cache_write_1h))",
+    "lines": """lines AS (SELECT l_orderkey AS file_id,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS line_no,
+ o_custkey AS project, CASE WHEN l_linenumber < 7 THEN 'm' || (l_partkey % 500) || '|' || l_linenumber END AS request_key,
+ 'model-' || lower(l_returnflag || l_linestatus) || CASE WHEN l_partkey % 2 = 0 THEN '-20250101' ELSE '' END AS model, l_shipdate AS ts,
+ CAST(floor(l_extendedprice) AS BIGINT) AS input, CAST(floor(l_quantity) * 100 AS BIGINT) AS output, l_partkey AS cache_read, l_suppkey * 10 AS cache_write, l_suppkey AS cache_write_1h,
+ l_discount = 0 AS missing_usage, '2.1.' || (l_partkey % 12) AS version, CASE WHEN l_tax > 0.07 THEN 'sdk-cli' ELSE 'cli' END AS entrypoint, l_tax = 0 AS sidechain,
+ l_linestatus = 'F' AS after_tool_result, l_suppkey % 2 = 0 AS cache_split
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "calls": """calls AS (SELECT user_id AS file_id, n // 5 AS turn_idx, n AS call_idx,
+ CASE WHEN event_type IN ('view', 'click') THEN 'Read' WHEN event_type = 'purchase' THEN 'Edit' WHEN event_type = 'signup' THEN 'Grep' ELSE 'Bash' END AS name,
+ '/f/' || json_extract_string(props, '$.k') AS path, CAST(ceil(value) AS BIGINT) AS result_tokens
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events))""",
+    "turns": """turns AS (SELECT file_id, turn_idx, CAST(sum(result_tokens) * 7 AS BIGINT) AS input, max(result_tokens) * 11 AS output, CAST(sum(result_tokens) AS BIGINT) AS cache_read, min(result_tokens) * 13 AS cache_write
+ FROM calls GROUP BY 1, 2)""",
+    "sessions": """sessions AS (SELECT file_id, project, started_at, started_at AS ended_at, usd, t AS total_tokens, t // 10 AS output, t // 5 AS input, t // 2 AS cache_read, t - t // 10 - t // 5 - t // 2 AS cache_write,
+ file_id % 997 AS dup_tokens, file_id % 499 AS idle_tokens, file_id % 9 + 1 AS n_requests, primary_model
+ FROM (SELECT o_orderkey AS file_id, 'p' || (o_custkey % 40) AS project, o_orderdate AS started_at, o_totalprice AS usd, CAST(floor(o_totalprice) AS BIGINT) AS t, 'model-' || lower(o_orderstatus) AS primary_model FROM orders))""",
+    "readings": """readings AS (SELECT at_ms, session_id, limit_id, 300 AS window_minutes, used_percent, (at_ms // 18000000 + 1) * 18000000 AS resets_at FROM
+ (SELECT (epoch_us(ts) // 1000) AS at_ms, CAST(user_id AS VARCHAR) AS session_id, 'l' || (user_id % 3) AS limit_id, least(100.0, floor(value)) AS used_percent FROM events))""",
+    "limit_requests": """limit_requests AS (SELECT (epoch_us(ts) // 1000) + 1000 AS at_ms, CAST(user_id AS VARCHAR) AS session_id, '/w/' || (user_id % 7) AS cwd,
+ CASE WHEN event_type = 'error' AND user_id % 5 = 0 THEN 'codex-auto-review' WHEN event_type = 'click' AND user_id % 5 = 1 THEN NULL ELSE 'model-x' END AS model, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events)""",
+    "sample_rows": """sample_rows AS (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn_idx, '2.1.' || (user_id % 14 + 80) AS version,
+ CASE WHEN event_type = 'view' THEN 'm-a' ELSE 'm-b' END AS model, CASE WHEN event_type = 'signup' THEN 'sdk-ts' ELSE 'cli' END AS entry, event_id % 17 = 0 AS side, (epoch_us(ts) // 1000) // 3600 AS ts,
+ v * 17 % 900 AS inp, v * 701 % 60000 AS cr, v * 31 % 9000 AS cw, v * 13 % 5000 AS c5, v * 11 % 3000 AS c1, v AS out, 30000 + v * 977 % 70000 AS ctx, event_id % 2 = 0 AS after_tool
+ FROM (SELECT *, CAST(floor(value) AS BIGINT) AS v FROM events))""",
+}
+
+
+def sql(body: str, *views: str) -> str:
+    """body with the named views before it; body may start with more common tables, each ending in a comma, before SELECT."""
+    return "WITH RECURSIVE " + ",\n".join(SQL_VIEWS[v] for v in views) + (",\n" if not body.lstrip().upper().startswith("SELECT") else "\n") + body

@@ -37,8 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, text (decoded) of each document in the mix."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return spiece.decode(spiece.encode(docs, model), model)
+    return spiece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
 
 
 STAGES = [

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 HIDDEN, WINDOW, LANES = 8, 64, 4096
 SAMPLE, LANGUAGES, STEPS, BATCH, RATE = 1200, 40, 260, 256, 0.02
 LETTER = re.compile(r"[^\W\d_]")
@@ -223,5 +225,5 @@ def label(docs: DataFrame, folds: int = 3, held: int = 1, most: int = SAMPLE, st
                     best[ok] = np.clip(p.max(1), 0, 1)[ok]
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang_pred": pred, "score": best})
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, lang_pred string, score double")
+    out = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

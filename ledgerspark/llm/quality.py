@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -82,7 +82,7 @@ def counts_of(text: str | None, min_line_words: int) -> tuple:
             lines[h] = lines.get(h, 0) + len(own)
     chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return len(words), chars, symbols, dup, repeated_words(words), signed(xxhash.xxh64_intdigest(raw)), [{"line": h, "words": n} for h, n in lines.items()]
+    return len(words), chars, symbols, dup, repeated_words(words), signed(xxhash.xxh64_intdigest(raw, 42)), [{"line": h, "words": n} for h, n in lines.items()]
 
 
 def counted(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
@@ -94,7 +94,7 @@ def counted(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
             got = pd.DataFrame([counts_of(t, min_line_words) for t in f["text"]], columns=names, index=f.index)
             yield pd.concat([f[["doc_id", "source"]], got], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long"), "source", "text").mapInPandas(count, COUNTS)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "source", "text").mapInPandas(count, COUNTS)
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
@@ -141,11 +141,7 @@ def filtered(docs: DataFrame, **how) -> DataFrame:
     # equal (doc_id, source, text) get equal verdicts, so one of each is enough to join
     kept = judge(docs, **how).filter("kept").groupBy("doc_id", "source", "text_hash").agg(F.first("removed_lines").alias("removed_lines"))
 
-    @F.pandas_udf("long")
-    def hash_of(text: pd.Series) -> pd.Series:
-        return pd.Series([signed(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"))) for t in text], dtype="int64")
-
-    own = docs.withColumn("_hash", hash_of("text")).alias("d")
+    own = small_batches(docs).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")  # XXH64 with seed 42, as in counts
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d._hash") == F.col("k.text_hash"))
     out = own.join(kept.alias("k"), on).select(*[F.col(f"d.{c}") for c in cols], F.col("k.removed_lines").alias("_gone"))
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without("text", "_gone")))

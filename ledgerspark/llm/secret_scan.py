@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -102,7 +104,7 @@ def scan(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
             yield pd.concat([f[["doc_id"]], pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"], index=f.index)], axis=1)
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(each, schema)
 
 
 def redacted(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
@@ -113,7 +115,7 @@ def redacted(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:
         enc = vocabulary(vocab, pattern)
         return pd.Series([t if t is None else masked(t, spans_of(t, enc)[1]) for t in text], dtype="object")
 
-    out = docs.withColumn("text", mask("text"))
+    out = small_batches(docs).withColumn("text", mask("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

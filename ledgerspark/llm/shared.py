@@ -28,6 +28,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose texts may be long: Arrow batches hold at most ``rows`` rows from here on, so Python workers stay small."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there: lineage ends, lost executors cost a reread."""
     with_checkpoint_dir(df.sparkSession)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, partitions
+from .shared import cut, partitions, small_batches
 
 SEED, SHINGLE, MAX_BITS = 42, 4, 4
 #: First bit and width of each of the seven blocks.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint_of(t) for t in f["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, fp long")
 
 
 def block_key(fp: Column, chosen: tuple[int, ...]) -> Column:

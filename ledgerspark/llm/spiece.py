@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 TABLE, LONG = 200_000, 64
@@ -75,35 +77,46 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers), n_tokens."""
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers), n_tokens; with ``decoded`` also text, what the decoder makes of the ids.
+
+    Decoding in the same pass saves a second set of Python workers and a second trip of all ids.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 ids = [enc.ids(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+                out = [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decoded:
+                    out.append(pa.array([text_of(enc.sp, x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "n_tokens", "text"][: len(out)])
+
+    schema = "doc_id long, ids binary, n_tokens long" + ", text string" * decoded
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(each, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, ids binary, n_tokens long")
+def text_of(sp, ids: bytes) -> str:
+    return sp.decode(np.frombuffer(ids, "<u4").tolist())
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded with ``text``: what the model's decoder makes of each row's ids."""
+    """encoded (doc_id, ids, n_tokens) with ``text``: what the model's decoder makes of each row's ids; null ids give null."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = [None if x is None else sp.decode(np.frombuffer(x, "<u4").tolist()) for x in part.column(1).to_pylist()]
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [None if x is None else text_of(sp, x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "text"])
 
-    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(each, "doc_id long, ids binary, n_tokens long, text string")
+    return small_batches(encoded).select("doc_id", "ids", "n_tokens").mapInArrow(each, "doc_id long, ids binary, n_tokens long, text string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, model), model)
+    both = encode(docs, model, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

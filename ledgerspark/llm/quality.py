@@ -2,8 +2,8 @@
 
 Lines of at least ``min_line_words`` words are normalised (lower case, single spaces) and hashed. For each
 host (``source``) and line, distinct texts are counted, so exact copies of one document count once. A line
-in more than ``max_docs`` texts of its host is removed from all of them but one (the text with the smallest
-hash keeps it). A document is rejected if the base rules fail, or if the lines removed leave it less than
+in more than ``max_docs`` texts of its host is removed from all of them but one (the text of the smallest
+doc_id among them keeps it). A document is rejected if the base rules fail, or if the lines removed leave it less than
 ``min_left`` per cent of its words.
 
 Spark does the counting: one pass turns each text into its counts and its distinct line hashes (a small
@@ -98,13 +98,15 @@ def counted(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """(source, line, holder) of lines in over max_docs distinct texts; lines: distinct (source, line, text_hash)."""
-    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("holder")).filter(F.col("n") > max_docs).drop("n")
+    """(source, line, holder) of lines in over max_docs distinct texts; lines: distinct (source, line, text_hash), with first_id."""
+    first = F.min(F.struct("first_id", "text_hash"))["text_hash"]
+    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"), first.alias("holder")).filter(F.col("n") > max_docs).drop("n")
 
 
 def removals(counts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(source, text_hash, line, words): the lines that each text loses."""
-    lines = counts.select("source", "text_hash", F.explode("lines").alias("l")).groupBy("source", F.col("l.line").alias("line"), "text_hash").agg(F.max("l.words").alias("words"))
+    exploded = counts.select("doc_id", "source", "text_hash", F.explode("lines").alias("l"))
+    lines = exploded.groupBy("source", F.col("l.line").alias("line"), "text_hash").agg(F.max("l.words").alias("words"), F.min("doc_id").alias("first_id"))
     salted = frequent_lines(lines, max_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     own = lines.withColumn("salt", F.pmod("text_hash", F.lit(SALT)).cast("int")).alias("l")
     on = F.col("l.source").eqNullSafe(F.col("f.source")) & (F.col("l.line") == F.col("f.line")) & (F.col("l.salt") == F.col("f.salt"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import knn, langid, lm, mixing, quality, secret_scan, simhash, spiece, toxicity, url_rules
 from .shared import table
+from .twins import SQL
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op6_toxicity, op7_secret_scans, op8_language_id, op9_mixing_sources, op10_lm_scoring)
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

@@ -129,7 +129,9 @@ def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) links between distinct fingerprints: enough of them to connect all that are within MAX_BITS."""
-    keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), block_key(F.col("fp"), c).alias("key")) for i, c in enumerate(KEYS)])).alias("k"))
+    # each row becomes one for every choice, so the few bytes of a fingerprint are dealt to many tasks first
+    distinct = fps.select("fp").distinct().repartition(2 * partitions(fps.sparkSession), "fp")
+    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), block_key(F.col("fp"), c).alias("key")) for i, c in enumerate(KEYS)])).alias("k"))
     keyed = keyed.select("fp", "k.choice", "k.key")
     sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = keyed.join(sizes, ["choice", "key"])

@@ -52,6 +52,7 @@ class Encoder:
     def __init__(self, model: str):
         self.sp, self.by_chunk = processor(model), splits_at_markers(model)
         self.table: dict[str, bytes] = {}
+        self.lone = [self.sp.piece_to_id(MARK)]  # a marker alone, at the end of a text
         self.begin, self.end = (np.array([x], "<u4").tobytes() for x in (self.sp.bos_id(), self.sp.eos_id()))
 
     def ids(self, text: str) -> bytes:
@@ -69,7 +70,7 @@ class Encoder:
                 new = list(dict.fromkeys(chunks))
             # the model puts one marker before each chunk itself
             for c, ids in zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1), strict=True):
-                table[c] = np.array(ids, "<u4").tobytes()
+                table[c] = np.array(ids or self.lone, "<u4").tobytes()
         out = b"".join([self.begin, *map(table.__getitem__, chunks), self.end])
         for c in new:
             if len(c) > LONG:

@@ -126,7 +126,8 @@ def baseline_tier(days_available: Column) -> Column:
 
 def today_block(sessions: DataFrame, day: Column) -> DataFrame:
     some = sessions.filter(F.to_date("started_at") == day)
-    out = some.agg(F.count(F.lit(1)).alias("sessions"), F.sum("usd").alias("usd"), F.sum("total_tokens").alias("total_tokens"), F.sum("output").alias("output"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("usd", "total_tokens", "output")]
+    out = some.agg(F.count(F.lit(1)).alias("sessions"), *sums)
     return out.withColumn("output_ratio_pct", F.when(F.col("total_tokens") > 0, F.col("output") / F.col("total_tokens") * 100).otherwise(F.lit(0.0)))
 
 

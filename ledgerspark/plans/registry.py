@@ -30,8 +30,13 @@ def r(c: str, digits: int = 4):
     return F.round(c, digits).alias(c)
 
 
-DAY = F.to_date(F.lit("1997-03-10"))
-NOW = F.to_timestamp(F.lit("1997-03-10 12:00:00"))
+def day():
+    return F.to_date(F.lit("1997-03-10"))
+
+
+def now():
+    return F.to_timestamp(F.lit("1997-03-10 12:00:00"))
+
 
 # -- requests: merge, price, own ---------------------------------------------------------------------------
 
@@ -56,7 +61,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.priced(_requests(spark, d), pricing.prices_on(v.prices(spark), DAY))
+    return pricing.priced(_requests(spark, d), pricing.prices_on(v.prices(spark), day()))
 
 
 @query(f"{MERGED} SELECT file_id, turn_idx, request_key, model, input, output, cache_read, cache_write, cache_write_1h, missing_usage FROM requests", "lines")
@@ -122,7 +127,7 @@ def context_pressure(spark, d):
 @query("""SELECT provider, model, as_of, p_input AS input FROM prices p WHERE as_of = (SELECT max(as_of) FROM prices q WHERE q.provider = p.provider AND q.as_of <= '1997-03-10')
  UNION ALL SELECT provider, model, as_of, p_input FROM prices WHERE as_of = '1996-06-01' AND model NOT IN (SELECT model FROM prices WHERE as_of = '1996-06-01')""", "prices")
 def prices_as_of(spark, d):
-    return pricing.prices_on(v.prices(spark), DAY).select("provider", "model", F.col("as_of").cast("string").alias("as_of"), "input")
+    return pricing.prices_on(v.prices(spark), day()).select("provider", "model", F.col("as_of").cast("string").alias("as_of"), "input")
 
 
 # -- calls -------------------------------------------------------------------------------------------------
@@ -178,7 +183,7 @@ WINDOW = "FROM sessions WHERE started_at >= DATE '1996-03-01' AND started_at < D
 
 
 def _window(spark, d):
-    since, until = reports.parse_since("375d", DAY, F.to_date(F.lit("1995-01-01")))
+    since, until = reports.parse_since("375d", day(), F.to_date(F.lit("1995-01-01")))
     return reports.in_window(v.orders_sessions(spark, d), since, until)
 
 
@@ -224,9 +229,9 @@ def trend_report(spark, d):
     return reports.trend(v.orders_sessions(spark, d), F.col("output"), F.col("n_requests")).select("points", r("median", 6), r("slope", 6), "verdict")
 
 
-@query("SELECT count(*) AS sessions, round(sum(usd), 2) AS usd, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(output) AS BIGINT) AS output, round(sum(output) / sum(total_tokens) * 100, 6) AS output_ratio_pct FROM sessions WHERE CAST(started_at AS DATE) = DATE '1997-03-10'", "sessions")
+@query("SELECT count(*) AS sessions, round(coalesce(sum(usd), 0), 2) AS usd, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, CAST(coalesce(sum(output), 0) AS BIGINT) AS output, round(CASE WHEN sum(total_tokens) > 0 THEN sum(output) / sum(total_tokens) * 100 ELSE 0 END, 6) AS output_ratio_pct FROM sessions WHERE CAST(started_at AS DATE) = DATE '1997-03-10'", "sessions")
 def today_block(spark, d):
-    return reports.today_block(v.orders_sessions(spark, d), DAY).select("sessions", r("usd", 2), "total_tokens", "output", r("output_ratio_pct", 6))
+    return reports.today_block(v.orders_sessions(spark, d), day()).select("sessions", r("usd", 2), "total_tokens", "output", r("output_ratio_pct", 6))
 
 
 @query("""SELECT count(*) AS days, round(median(usd), 4) AS median_usd, round(median(tokens), 4) AS median_tokens, round(median(ratio), 4) AS median_output_ratio_pct FROM
@@ -243,8 +248,8 @@ x AS (SELECT *, so_far + a * 21 AS pr FROM p, m)
 SELECT 'ok' AS status, 21 AS "left", CAST(sampled AS BIGINT) AS sampled, round(a, 2) AS avg_usd, round(m, 2) AS median_usd, round(so_far, 2) AS so_far, round(pr, 2) AS projected, round(greatest(0, pr - greatest(0, least(sd * 21, greatest(0, 0.2 * pr)))), 2) AS low,
 round(pr + greatest(0, least(sd * 21, greatest(0, 0.2 * pr))), 2) AS high, round(last_month, 2) AS last_month, round((pr - last_month) / last_month * 100, 4) AS vs_last_month_pct FROM x""", "sessions")
 def forecast(spark, d):
-    s = v.orders_sessions(spark, d).filter(F.col("started_at") <= NOW)
-    out = reports.forecast(s.withColumn("started_at", F.col("started_at").cast("timestamp")), NOW)
+    s = v.orders_sessions(spark, d).filter(F.col("started_at") <= now())
+    out = reports.forecast(s.withColumn("started_at", F.col("started_at").cast("timestamp")), now())
     return out.select("status", "left", "sampled", *[r(c, 2) for c in ("avg_usd", "median_usd", "so_far", "projected", "low", "high", "last_month")], r("vs_last_month_pct"))
 
 
@@ -299,10 +304,10 @@ def limit_attribution(spark, d):
     return s.groupBy("limit_id", F.col("period").cast("long").alias("period"), "session_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests"), F.round(F.sum("percent"), 6).alias("percent"))
 
 
-@query(f"{POINTS} SELECT limit_id, period, round(t - coalesce(g, 0), 5) AS unattributed_percent FROM (SELECT limit_id, period, sum(rise) AS t FROM rises GROUP BY 1, 2) LEFT JOIN (SELECT limit_id, period, sum(percent) AS g FROM shares GROUP BY 1, 2) USING (limit_id, period)", "readings", "limit_requests")
+@query(f"{POINTS} SELECT limit_id, period, round(t - coalesce(g, 0), 5) + 0.0 AS unattributed_percent FROM (SELECT limit_id, period, sum(rise) AS t FROM rises GROUP BY 1, 2) LEFT JOIN (SELECT limit_id, period, sum(percent) AS g FROM shares GROUP BY 1, 2) USING (limit_id, period)", "readings", "limit_requests")
 def limit_unattributed(spark, d):
     out = limits.unattributed(v.limit_requests(spark, d), limits.points(v.readings(spark, d)))
-    return out.select("limit_id", F.col("period").cast("long").alias("period"), r("unattributed_percent", 5))
+    return out.select("limit_id", F.col("period").cast("long").alias("period"), (F.round("unattributed_percent", 5) + 0.0).alias("unattributed_percent"))
 
 
 @query(f"{POINTS} SELECT limit_id, period, CASE WHEN model = 'codex-auto-review' THEN '(automatic reviews)' ELSE session_id END AS line, min(split_part(cwd, '/', 3)) AS project, round(sum(percent), 6) AS percent, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests FROM shares GROUP BY 1, 2, 3", "readings", "limit_requests")

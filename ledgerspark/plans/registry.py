@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analyzers, limits, pricing, regress, reports, requests
+from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, reports, requests, stores
 from . import trace_views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,3 +378,77 @@ SELECT "from", "to", versions, CASE WHEN a <= 89 AND b >= 69 THEN CASE WHEN a <=
 def regress_ranges(spark, d):
     t = v.sample_rows(spark, d).select("version", (F.split("version", r"\.")[2].cast("int") % 5 != 0).alias("flagged")).distinct()
     return regress.match_known(regress.merge_ranges(t), regress.known(spark), "warm-cache-miss").select("from", "to", "versions", F.array_join("known", ",").alias("known"))
+
+
+# -- estimates, benchmarks, files, stores ------------------------------------------------------------------
+
+SHAPES = """shapes AS (SELECT file_id, count(*) AS tool_calls, count(DISTINCT CASE WHEN name = 'Read' AND path <> '' THEN lower(path) END) AS distinct_reads FROM calls GROUP BY 1),
+toks AS (SELECT file_id, CAST(round(sum(input + output * 5.0 + cache_read * 0.1 + cache_write * 1.25)) AS BIGINT) AS tokens FROM turns GROUP BY 1),
+tiered AS (SELECT *, CASE WHEN tool_calls >= 30 AND distinct_reads >= 20 THEN 'high' WHEN tool_calls BETWEEN 10 AND 29 AND distinct_reads BETWEEN 5 AND 19 THEN 'medium' WHEN tool_calls < 10 AND distinct_reads < 5 THEN 'low' END AS tier FROM toks JOIN shapes USING (file_id))"""
+
+
+@query(f"{SHAPES} SELECT tier, count(*) AS matched, CAST(floor(median(tokens) + 0.5) AS BIGINT) AS median_tokens, CASE WHEN count(*) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM tiered WHERE tier IS NOT NULL AND tokens BETWEEN 1 AND 5000000 GROUP BY 1", "calls", "turns")
+def estimate_anchors(spark, d):
+    turns = v.call_requests(spark, d).withColumn("cache_write_1h", F.lit(0).cast("long"))
+    return estimate.anchors(estimate.shapes(turns, v.calls(spark, d)))
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    s = v.orders_sessions(spark, d)
+    side = lambda p, when: s.filter(when).groupBy(F.col("project").alias("task")).agg(*[F.sum(x).alias(f"{p}_{y}") for x, y in (("total_tokens", "total"), ("cache_write", "cache_write"), ("output", "output"), ("dup_tokens", "dup_reads"), ("usd", "usd"))])
+    return side("base", "file_id % 2 = 0").join(side("opt", "file_id % 3 = 1"), "task")
+
+
+TASKS = """b AS (SELECT project AS task, sum(total_tokens) AS t, sum(cache_write) AS w, sum(output) AS o, sum(dup_tokens) AS r, sum(usd) AS u FROM sessions WHERE file_id % 2 = 0 GROUP BY 1),
+p AS (SELECT project AS task, sum(total_tokens) AS t, sum(cache_write) AS w, sum(output) AS o, sum(dup_tokens) AS r, sum(usd) AS u FROM sessions WHERE file_id % 3 = 1 GROUP BY 1),
+raw AS (SELECT task, b.t AS bt, p.t AS pt, b.u - p.u AS usd, greatest(0, b.t - p.t) AS saved, floor((b.t - p.t) / b.t * 1000 + 0.5) / 10 AS pct, greatest(0, b.w - p.w) AS x, greatest(0, b.o - p.o) AS y, greatest(0, b.r - p.r) AS z FROM b JOIN p USING (task)),
+scaled AS (SELECT *, CASE WHEN x + y + z = 0 THEN 0 ELSE floor(x * k + 0.5) END AS a1, CASE WHEN x + y + z = 0 THEN 0 ELSE floor(y * k + 0.5) END AS a2, CASE WHEN x + y + z = 0 THEN 0 ELSE floor(z * k + 0.5) END AS a3
+ FROM (SELECT *, CASE WHEN saved > 0 THEN saved / (x + y + z) ELSE 1.0 END AS k FROM raw)),
+done AS (SELECT *, CASE WHEN x + y + z > 0 AND saved > 0 THEN saved - a1 - a2 - a3 ELSE 0 END AS drift, CASE WHEN a1 >= a2 AND a1 >= a3 THEN 1 WHEN a2 >= a3 THEN 2 ELSE 3 END AS into_part FROM scaled),
+parts AS (SELECT *, CAST(a1 + CASE WHEN into_part = 1 THEN drift ELSE 0 END AS BIGINT) AS manifest, CAST(a2 + CASE WHEN into_part = 2 THEN drift ELSE 0 END AS BIGINT) AS output, CAST(a3 + CASE WHEN into_part = 3 THEN drift ELSE 0 END AS BIGINT) AS reads FROM done)"""
+
+
+@query(f"{TASKS} SELECT task, pct AS saved_pct, CAST(saved AS BIGINT) AS saved_tokens, manifest, output, reads FROM parts", "sessions")
+def benchmark_tasks(spark, d):
+    return benchmarks.saved(_tasks(spark, d)).select("task", "saved_pct", "saved_tokens", "manifest", "output", "reads")
+
+
+@query(f"{TASKS} SELECT count(*) AS tasks, floor(median(pct) * 10 + 0.5) / 10 AS median_saved_pct, min(pct) AS min_saved_pct, max(pct) AS max_saved_pct, CAST(sum(bt) AS BIGINT) AS base_total, CAST(sum(pt) AS BIGINT) AS opt_total, CAST(sum(manifest) AS BIGINT) AS manifest, CAST(sum(output) AS BIGINT) AS output, CAST(sum(reads) AS BIGINT) AS reads FROM parts", "sessions")
+def benchmark_suite(spark, d):
+    return benchmarks.suite(benchmarks.saved(_tasks(spark, d))).select("tasks", "median_saved_pct", "min_saved_pct", "max_saved_pct", "base_total", "opt_total", "manifest", "output", "reads")
+
+
+@query("SELECT task, count(*) FILTER (c = 'off') AS off_runs, count(*) FILTER (c = 'on') AS on_runs, median(total_tokens) FILTER (c = 'off') AS off_tokens, median(total_tokens) FILTER (c = 'on') AS on_tokens, CAST(coalesce(floor((median(total_tokens) FILTER (c = 'off') - median(total_tokens) FILTER (c = 'on')) / median(total_tokens) FILTER (c = 'off') * 100 + 0.5), 0) AS BIGINT) AS on_saved_pct FROM (SELECT project AS task, total_tokens, ['off', 'on', 'rtk'][1 + file_id % 3] AS c FROM sessions WHERE total_tokens > 0) GROUP BY 1", "sessions")
+def benchmark_live(spark, d):
+    rows = v.orders_sessions(spark, d).select(F.col("project").alias("task"), F.element_at(F.array(*map(F.lit, ("off", "on", "rtk"))), (F.col("file_id") % 3 + 1).cast("int")).alias("condition"), "total_tokens", "usd")
+    return benchmarks.live(rows).select("task", "off_runs", "on_runs", "off_tokens", "on_tokens", "on_saved_pct")
+
+
+@query("SELECT path, count(*) AS changes FROM calls WHERE path IN (SELECT path FROM calls WHERE name = 'Edit') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "calls")
+def hot_files(spark, d):
+    c = v.calls(spark, d)
+    return files.hot_files(c.select("path"), c.filter("name = 'Edit'"))
+
+
+@query("e AS (SELECT DISTINCT file_id AS importer, path AS imported FROM calls), u AS (SELECT imported, count(*) AS used_by FROM e GROUP BY 1) SELECT importer, CAST(place AS INTEGER) AS place, imported, used_by FROM (SELECT *, row_number() OVER (PARTITION BY importer ORDER BY used_by DESC, imported) AS place FROM e JOIN u USING (imported)) WHERE place <= 5", "calls")
+def dearest_imports(spark, d):
+    return files.dearest_imports(v.calls(spark, d).select(F.col("file_id").alias("importer"), F.col("path").alias("imported")).filter("imported is not null"))
+
+
+def _rewrites(spark: SparkSession, d: str) -> DataFrame:
+    return v.calls(spark, d).select(F.col("name").alias("rewriter_name"), F.col("result_tokens").alias("saved_tokens"), F.when(F.col("call_idx") % 3 > 0, F.col("call_idx") % 10 / 10).alias("integrity"))
+
+
+@query("SELECT name AS rewriter_name, count(*) AS events, CAST(sum(result_tokens) AS BIGINT) AS saved_tokens, round(avg(CASE WHEN call_idx % 3 > 0 THEN call_idx % 10 / 10 END), 6) AS avg_integrity, count(CASE WHEN call_idx % 3 > 0 THEN 1 END) AS with_integrity FROM calls GROUP BY 1", "calls")
+def rewrite_report(spark, d):
+    return stores.rewrite_report(_rewrites(spark, d)).withColumn("avg_integrity", F.round("avg_integrity", 6))
+
+
+@query("SELECT file_id, call_idx, name FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY call_idx DESC) AS k FROM calls) WHERE k <= 7", "calls")
+def newest_signals(spark, d):
+    return stores.newest(v.calls(spark, d).select("file_id", "call_idx", "name"), "call_idx", 7, by="file_id")
+
+
+@query("SELECT path, max(call_idx * 100000 + file_id) AS seen FROM calls GROUP BY 1", "calls")
+def read_cache_last_wins(spark, d):
+    return stores.last_wins(v.calls(spark, d).select("path", (F.col("call_idx") * 100000 + F.col("file_id")).alias("seen")), "path", "seen")

@@ -49,7 +49,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     for p in ("$.timestamp", "$.sessionId"):
         good = good & (~F.coalesce(has(p), F.lit(False)) | text_at(F.col("v"), p).isNotNull())
     v = v.withColumn("ok", F.coalesce(good, F.lit(False)))
-    return v.withColumn("type", F.when("ok", text_at(F.col("v"), "$.type"))).withColumn("ts_raw", filled(F.col("v"), "$.timestamp")).withColumn("content", F.try_variant_get("v", "$.message.content", "array<variant>"))
+    return v.withColumn("type", F.when(F.col("ok"), text_at(F.col("v"), "$.type"))).withColumn("ts_raw", filled(F.col("v"), "$.timestamp")).withColumn("content", F.try_variant_get("v", "$.message.content", "array<variant>"))
 
 
 def request_lines(p: DataFrame) -> DataFrame:

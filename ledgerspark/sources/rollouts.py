@@ -36,7 +36,7 @@ def best_copies(lines: DataFrame) -> DataFrame:
 def parsed(lines: DataFrame) -> DataFrame:
     v = lines.withColumn("v", F.try_parse_json("raw"))
     v = v.withColumn("ok", present(F.col("v"), "$.payload", "OBJECT"))
-    return v.withColumn("type", F.when("ok", text_at(F.col("v"), "$.type"))).withColumn("kind", F.when("ok", text_at(F.col("v"), "$.payload.type"))).withColumn("ts_raw", F.when("ok", filled(F.col("v"), "$.timestamp")))
+    return v.withColumn("type", F.when(F.col("ok"), text_at(F.col("v"), "$.type"))).withColumn("kind", F.when(F.col("ok"), text_at(F.col("v"), "$.payload.type"))).withColumn("ts_raw", F.when(F.col("ok"), filled(F.col("v"), "$.timestamp")))
 
 
 def metas(p: DataFrame) -> DataFrame:

@@ -136,3 +136,27 @@ def test_lm_learns_order(spark):
 def test_tree_is_a_proper_code():
     t = context_mixing.Tree([5, 1, 1, 9, 3])
     assert abs(sum(2.0**-n for n in t.length) - 1) < 1e-12
+
+
+def test_tree_paths_lead_to_their_symbols():
+    t = context_mixing.Tree([5, 1, 1, 9, 3], base=7)
+    paths = [tuple(zip(t.node[a : a + n].tolist(), t.bit[a : a + n].tolist(), strict=True)) for a, n in zip(t.first, t.length, strict=True)]
+    assert len({tuple(b for _, b in p) for p in paths}) == 5 and {p[0][0] for p in paths} == {7 + 3}  # all from the root
+    assert {n for p in paths for n, _ in p} == {7, 8, 9, 10}
+
+
+def test_lm_model_grows_with_the_tokens():
+    assert (lm.dictionary_size(1000), lm.table_bits(1000)) == (65_536, 22)
+    for n in (1 << 26, 1 << 30, 3_000_000_000):
+        assert lm.dictionary_size(4 * n) >= 1.99 * lm.dictionary_size(n) > 131_000
+        assert lm.table_bits(4 * n) == lm.table_bits(n) + 2 and n / 8 <= 1 << lm.table_bits(n) < n / 4
+    code = context_mixing.Code([(b"a", 9), (b"b", 5)], 1, 1, np.ones(256), 24)
+    assert all(len(t) == 2 << 24 for t in context_mixing.Counts(code).own)
+
+
+def test_lm_larger_tables_score_alike(spark, monkeypatch):
+    df, held = docs(spark).select("doc_id", "text"), F.lit(False)
+    small = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(df, held).collect()}
+    monkeypatch.setattr(lm, "table_bits", lambda tokens: 24)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(df, held).collect()}
+    assert got.keys() == small.keys() and all(abs(got[k] - small[k]) < 0.05 * abs(small[k]) + 1 for k in got)

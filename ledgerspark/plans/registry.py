@@ -216,6 +216,12 @@ def stats_daily(spark, d):
     return reports.daily(_window(spark, d).filter("file_id % 50 = 0")).select(F.col("day").cast("string").alias("day"), "sessions", "total_tokens", r("usd", 2))
 
 
+@query(SQL["stats_daily"].replace(" AND file_id % 50 = 0", ""))
+def stats_daily_all(spark, d):
+    """All sessions of the window."""
+    return reports.daily(_window(spark, d)).select(F.col("day").cast("string").alias("day"), "sessions", "total_tokens", r("usd", 2))
+
+
 @query(f"""SELECT *, dup_usd + idle_usd + write_usd AS total_usd FROM (SELECT *, round(dup_tokens * 0.3 / 1000000, 6) AS dup_usd, round(idle_tokens * 0.3 / 1000000, 6) AS idle_usd, round(floor(cache_write * 0.3 + 0.5) * 3.75 / 1000000, 6) AS write_usd
  FROM (SELECT CAST(sum(dup_tokens) AS BIGINT) AS dup_tokens, CAST(sum(idle_tokens) AS BIGINT) AS idle_tokens, CAST(sum(cache_write) AS BIGINT) AS cache_write {WINDOW}))""".replace("dup_usd + idle_usd + write_usd AS total_usd", "round(dup_usd + idle_usd + write_usd, 5) AS total_usd"), "sessions")
 def stats_savings(spark, d):
@@ -281,6 +287,14 @@ def benchmark_compare(spark, d):
     return reports.change_table(by(s.filter("started_at < '1995-02-01'")), by(s.filter("started_at >= '2001-07-01'")), "project", "t").withColumn("pct", F.round("pct", 4))
 
 
+@query(SQL["benchmark_compare"].replace("started_at < DATE '1995-02-01'", "started_at < DATE '1997-03-10'").replace("started_at >= DATE '2001-07-01'", "started_at >= DATE '1997-03-10'"))
+def benchmark_compare_pivot(spark, d):
+    """All sessions: those before the pivot date against the others."""
+    s = v.orders_sessions(spark, d)
+    by = lambda x: x.groupBy("project").agg(F.sum("total_tokens").alias("t"))
+    return reports.change_table(by(s.filter("started_at < '1997-03-10'")), by(s.filter("started_at >= '1997-03-10'")), "project", "t").withColumn("pct", F.round("pct", 4))
+
+
 # -- limits ------------------------------------------------------------------------------------------------
 
 POINTS = """pts AS (SELECT limit_id, window_minutes, at_ms, resets_at, dense_rank() OVER (PARTITION BY limit_id ORDER BY resets_at) - 1 AS period, max(used_percent) OVER (PARTITION BY limit_id, resets_at ORDER BY at_ms, used_percent ROWS UNBOUNDED PRECEDING) AS used_percent FROM readings),
@@ -393,10 +407,10 @@ def estimate_anchors(spark, d):
     return estimate.anchors(estimate.shapes(turns, v.calls(spark, d)))
 
 
-def _tasks(spark: SparkSession, d: str) -> DataFrame:
+def _tasks(spark: SparkSession, d: str, base: str = "file_id % 2 = 0", opt: str = "file_id % 3 = 1") -> DataFrame:
     s = v.orders_sessions(spark, d)
     side = lambda p, when: s.filter(when).groupBy(F.col("project").alias("task")).agg(*[F.sum(x).alias(f"{p}_{y}") for x, y in (("total_tokens", "total"), ("cache_write", "cache_write"), ("output", "output"), ("dup_tokens", "dup_reads"), ("usd", "usd"))])
-    return side("base", "file_id % 2 = 0").join(side("opt", "file_id % 3 = 1"), "task")
+    return side("base", base).join(side("opt", opt), "task")
 
 
 TASKS = """b AS (SELECT project AS task, sum(total_tokens) AS t, sum(cache_write) AS w, sum(output) AS o, sum(dup_tokens) AS r, sum(usd) AS u FROM sessions WHERE file_id % 2 = 0 GROUP BY 1),
@@ -418,6 +432,23 @@ def benchmark_suite(spark, d):
     return benchmarks.suite(benchmarks.saved(_tasks(spark, d))).select("tasks", "median_saved_pct", "min_saved_pct", "max_saved_pct", "base_total", "opt_total", "manifest", "output", "reads")
 
 
+PIVOT = "started_at < '1997-03-10'", "started_at >= '1997-03-10'"  # every session is in exactly one arm
+
+
+def _by_pivot(sql: str) -> str:
+    return sql.replace("file_id % 2 = 0", "started_at < DATE '1997-03-10'").replace("file_id % 3 = 1", "started_at >= DATE '1997-03-10'")
+
+
+@query(_by_pivot(SQL["benchmark_tasks"]))
+def benchmark_tasks_pivot(spark, d):
+    return benchmarks.saved(_tasks(spark, d, *PIVOT)).select("task", "saved_pct", "saved_tokens", "manifest", "output", "reads")
+
+
+@query(_by_pivot(SQL["benchmark_suite"]))
+def benchmark_suite_pivot(spark, d):
+    return benchmarks.suite(benchmarks.saved(_tasks(spark, d, *PIVOT))).select("tasks", "median_saved_pct", "min_saved_pct", "max_saved_pct", "base_total", "opt_total", "manifest", "output", "reads")
+
+
 @query("SELECT task, count(*) FILTER (c = 'off') AS off_runs, count(*) FILTER (c = 'on') AS on_runs, median(total_tokens) FILTER (c = 'off') AS off_tokens, median(total_tokens) FILTER (c = 'on') AS on_tokens, CAST(coalesce(floor((median(total_tokens) FILTER (c = 'off') - median(total_tokens) FILTER (c = 'on')) / median(total_tokens) FILTER (c = 'off') * 100 + 0.5), 0) AS BIGINT) AS on_saved_pct FROM (SELECT project AS task, total_tokens, ['off', 'on', 'rtk'][1 + file_id % 3] AS c FROM sessions WHERE total_tokens > 0) GROUP BY 1", "sessions")
 def benchmark_live(spark, d):
     rows = v.orders_sessions(spark, d).select(F.col("project").alias("task"), F.element_at(F.array(*map(F.lit, ("off", "on", "rtk"))), (F.col("file_id") % 3 + 1).cast("int")).alias("condition"), "total_tokens", "usd")

@@ -160,3 +160,45 @@ def test_lm_larger_tables_score_alike(spark, monkeypatch):
     monkeypatch.setattr(lm, "table_bits", lambda tokens: 24)
     got = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(df, held).collect()}
     assert got.keys() == small.keys() and all(abs(got[k] - small[k]) < 0.05 * abs(small[k]) + 1 for k in got)
+
+
+def small_model():
+    r = np.random.default_rng(3)
+    code = context_mixing.Code([(w.encode(), 9 - k) for k, w in enumerate("abcdefgh")], 3, 2, np.ones(256), 12)
+    model = context_mixing.Model(code, context_mixing.packed([r.integers(0, 9, 2 << 12).astype(np.uint32) for _ in range(context_mixing.CONTEXTS)]))
+    model.refine = r.normal(0, 0.3, model.refine.shape).astype(np.float32)
+    docs = [[r.choice(list("abcdefgz")).encode() for _ in range(n)] for n in (0, 60, 3, 300, 127, 1, 60)]
+    return model, docs
+
+
+def one_by_one(model, doc):
+    """A text's score, symbol after symbol, by loops."""
+    b, own, seen, table, total = context_mixing.Batch([doc], model.code), np.zeros(context_mixing.CONTEXTS), context_mixing.WARM, {}, 0.0
+    for k in range(len(b.symbols)):
+        n, gate, x, kind, bit = model.inputs([s[k : k + 1] for s in b.seeds], b.symbols[k : k + 1], False)
+        steps, moved = [], np.zeros(context_mixing.CONTEXTS)
+        for j in range(int(n[0])):
+            z = float(model.weights[gate[j], -1] + (model.weights[gate[j], :-1] + own) @ x[:, j])
+            cell = kind[j], int(model.bucket(np.array([z], np.float32))[0])
+            fine = z + model.refine[cell] + table.get(cell, 0.0)
+            total += math.log(1 / (1 + math.exp(-fine if bit[j] else fine)))
+            moved += (bit[j] - 1 / (1 + math.exp(-z))) * x[:, j]
+            steps.append((cell, context_mixing.REFINE * (bit[j] - 1 / (1 + math.exp(-fine)))))
+        own += context_mixing.RATE / math.sqrt(context_mixing.WARM * seen) * moved
+        seen += int(n[0])
+        for cell, up in steps:
+            table[cell] = table.get(cell, 0.0) + up
+    return total / math.log(10)
+
+
+def test_corrections_are_refined_after_every_symbol(monkeypatch):
+    model, docs = small_model()
+    got, _ = model.score(docs)
+    assert all(abs(a - one_by_one(model, d)) < 2e-3 * max(1, abs(a)) for a, d in zip(got, docs, strict=True))
+    assert np.allclose(got, [model.score([d])[0][0] for d in docs], rtol=1e-5)  # texts do not see one another
+    monkeypatch.setattr(context_mixing, "RATE", 0.0)
+    weights_only = model.score(docs)[0]
+    monkeypatch.setattr(context_mixing, "REFINE", 0.0)
+    frozen = model.score(docs)[0]
+    short = [1, 4, 6]  # 60 and 127 words
+    assert all(abs(got[k] - frozen[k]) > 0.01 and abs(weights_only[k] - frozen[k]) > 1e-3 for k in short)

@@ -3,8 +3,9 @@
 Two gated recurrent units of ``HIDDEN`` cells read each window of ``WINDOW`` bytes forwards and backwards;
 at every position a softmax over both states labels the byte. A document's probabilities are the mean over
 all positions of its whole text. Training is backpropagation through time in numpy, on the driver, from at
-most ``SAMPLE`` texts (smallest hashes of their ids first, as many of each language as there are up to an
-equal share). Labelling is one Arrow pass with the weights (some kilobytes) sent along.
+most ``SAMPLE`` texts or ``LEAST`` a language, if that is more (smallest hashes of their ids first, as many of
+each language as there are up to an equal share). Every language that a text is labelled with is learned.
+Labelling is one Arrow pass with the weights (some kilobytes) sent along.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated rows each get a
 row; without any labelled text all are ``und``; no rows give no rows; a null language is not learned from;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 HIDDEN, WINDOW, LANES = 8, 64, 4096
-SAMPLE, LANGUAGES, STEPS, BATCH, RATE = 1200, 40, 260, 256, 0.02
+SAMPLE, LEAST, STEPS, BATCH, RATE = 1200, 10, 260, 256, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -190,17 +191,14 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def sample(docs: DataFrame, most: int) -> list[tuple[str, str]]:
-    """At most ``most`` (text, lang) pairs, shared out evenly among languages. Ids are ranked first; only chosen texts are read."""
+    """At most ``most`` (text, lang) pairs, or ``LEAST`` a language, shared out evenly among all languages. Ids are ranked first; only chosen texts are read."""
     some = docs.filter("lang is not null and text is not null and doc_id is not null")
-    langs = [r[0] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
+    n = some.select("lang").distinct().count()
+    if not n:
         return []
-    h = F.xxhash64("doc_id")
-    # the smallest hashes hold each language's share with ease; the window then ranks a bounded number of rows
-    ids = [some.filter(F.col("lang") == x).select("doc_id", "lang").orderBy(h, "doc_id").limit(most // len(langs)) for x in langs]
-    chosen = ids[0]
-    for x in ids[1:]:
-        chosen = chosen.unionByName(x)
+    # each task keeps its own smallest hashes of a language before the window ranks what is left
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = some.select("doc_id", "lang", rank.alias("k")).filter(F.col("k") <= max(LEAST, most // n)).drop("k")
     got = some.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("text", "lang", "doc_id")
     got = got.withColumn("k", F.row_number().over(W.partitionBy("lang", "doc_id").orderBy("text"))).filter("k = 1")
     return [(r.text, r.lang) for r in got.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()]

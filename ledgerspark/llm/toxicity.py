@@ -6,7 +6,8 @@ sentences, 1 - prod(1 - p). Weights are learned from document labels alone, by f
 documents' log-likelihood. The model is fitted on the driver from at most ``SAMPLE`` labelled documents with
 different texts (smallest hashes of their ids first); Spark cuts their texts into sentences of hashed features
 (``SLOTS`` of them). Scoring is one Arrow pass over whole texts with the weights broadcast.
-The worst sentence is located by its offsets.
+Every offending sentence, one that scores ``OFFENDS`` or more (alone it would make its text toxic), is located
+by its offsets, and so is the worst sentence of each text.
 
 Defined results: null and empty texts have no sentence and score 0; repeated rows each get a row; without
 any positive or negative label the model is its prior and finds nothing; empty tables give no rows; labels
@@ -30,7 +31,7 @@ from .shared import small_batches
 SAMPLE, SLOTS, MIN_DOCS, KEPT = 3000, 1 << 19, 6, 100_000
 STEMS = (4, 5, 6, 7)
 STEPS, RATE, DECAY, PRIOR = 150, 0.1, 1e-4, -6.0
-THRESHOLD = 0.3
+OFFENDS = THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -130,40 +131,42 @@ class Weights(dict):
         return out
 
 
-def score_text(text: str | None, words: Weights) -> tuple[float, int, int, float]:
-    """Document score, then start, end and score of its worst sentence. Beginnings that words share count for each."""
+def score_text(text: str | None, words: Weights) -> tuple[float, int, int, float, list[dict]]:
+    """Document score, then start, end and score of its worst sentence, then those of every offending one. Beginnings that words share count for each."""
     bias, get = words.bias, words.__getitem__
-    none, worst, at = 0.0, 0.0, (0, 0)
+    none, worst, k_worst, at, found = 0.0, 0.0, 0, (0, 0), []
     text = text or ""
     low = text.lower()
-    for s in SENTENCE.finditer(low):
+    for k, s in enumerate(SENTENCE.finditer(low)):
         z = bias + sum(map(get, set(LETTERS.findall(s[0]))))
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         none += math.log1p(-min(p, 1 - 1e-12))
         if p > worst:
-            worst, at = p, s.span()
+            worst, k_worst, at = p, k, s.span()
+        if p >= OFFENDS:
+            found.append((k, *s.span(), p))
     if len(low) != len(text):  # lower-casing moved the offsets: find them in the text as it is
         spans = [m.span() for m in SENTENCE.finditer(text)]
-        k = sum(1 for m in SENTENCE.finditer(low) if m.start() < at[0])
-        at = spans[k] if k < len(spans) else (0, len(text))
-    return -math.expm1(none), *at, worst
+        where = lambda k: spans[k] if k < len(spans) else (0, len(text))
+        at, found = where(k_worst), [(k, *where(k), p) for k, _, _, p in found]
+    return -math.expm1(none), *at, worst, [{"start": a, "end": b, "score": p} for _, a, b, p in found]
 
 
 def score(docs: DataFrame, theta: np.ndarray) -> DataFrame:
-    """doc_id, score, worst_start, worst_end, worst_score for every row."""
+    """doc_id, score, worst_start, worst_end, worst_score, offending for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(theta)  # SLOTS numbers
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Weights(shared.value)
         for f in frames:
-            got = pd.DataFrame([score_text(t, words) for t in f["text"]], columns=["score", "worst_start", "worst_end", "worst_score"], index=f.index)
+            got = pd.DataFrame([score_text(t, words) for t in f["text"]], columns=["score", "worst_start", "worst_end", "worst_score", "offending"], index=f.index)
             yield pd.concat([f[["doc_id"]], got], axis=1)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, score double, worst_start long, worst_end long, worst_score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, score double, worst_start long, worst_end long, worst_score double, offending array<struct<start: long, end: long, score: double>>")
 
 
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted, worst_start, worst_end; labels of fold ``held`` are never learned from."""
+    """doc_id, held_out, score, predicted, worst_start, worst_end, offending (start, end, score of each offending sentence); labels of fold ``held`` are never learned from."""
     theta = fit(sample(docs.select("doc_id", "text"), labels.filter(fold(F.col("doc_id"), folds) != held), most))
     out = score(docs, theta)
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_start", "worst_end")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_start", "worst_end", "offending")

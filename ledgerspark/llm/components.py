@@ -1,8 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star rounds.
 
 Every round is two aggregations by node; edges are written to the checkpoint folder after each round, and
-only two totals reach the driver. A hub's neighbours are never gathered in one task: each side of a round is
-a map-side min and a join of the edges back to it.
+only two totals reach the driver. A hub's neighbours are dealt by their own hash to ``SALT`` tasks: the least of
+each part, then of the parts (``SALT`` rows a node at most), goes back to the parts that there are.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+SALT = 64
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v): from each node's neighbours, those on one side of it are linked to the least of neighbours and node."""
@@ -19,12 +21,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    met = both.join(least, both["u"] == least["k"])
+    both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+    parts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_list("salt").alias("salts"))
+    spread = least.select(F.col("u").alias("k"), "m", F.explode("salts").alias("part"))
+    met = both.join(spread, (both["u"] == spread["k"]) & (both["salt"] == spread["part"]))
     if large:
         out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 

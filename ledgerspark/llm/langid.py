@@ -9,12 +9,13 @@ Labelling is one Arrow pass with the weights (some kilobytes) sent along.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; repeated rows each get a
 row; without any labelled text all are ``und``; no rows give no rows; a null language is not learned from;
-extra columns are ignored; texts of any length are read whole, window by window.
+extra columns are ignored; texts of any length are read whole, window by window (fitting, which ``label`` does
+on the driver before it returns, reads ``FIT_CHARS`` characters of each sampled text). A letter is what
+``str.isalpha`` takes for one: signs of number such as a superscript two are none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import cut, small_batches
 
 HIDDEN, WINDOW, LANES = 8, 64, 4096
 SAMPLE, LEAST, STEPS, BATCH, RATE = 1200, 10, 260, 256, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+#: Characters of a text that fitting reads at most; labelling always reads whole texts.
+FIT_CHARS = 1 << 18
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -191,15 +197,19 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def sample(docs: DataFrame, most: int) -> list[tuple[str, str]]:
-    """At most ``most`` (text, lang) pairs, or ``LEAST`` a language, shared out evenly among all languages. Ids are ranked first; only chosen texts are read."""
+    """At most ``most`` (text, lang) pairs, or ``LEAST`` a language, shared out evenly among all languages.
+
+    Ids are ranked first, in one pass that reads no text; then the chosen texts are read, ``FIT_CHARS`` of each.
+    """
     some = docs.filter("lang is not null and text is not null and doc_id is not null")
-    n = some.select("lang").distinct().count()
-    if not n:
-        return []
     # each task keeps its own smallest hashes of a language before the window ranks what is left
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = some.select("doc_id", "lang", rank.alias("k")).filter(F.col("k") <= max(LEAST, most // n)).drop("k")
-    got = some.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("text", "lang", "doc_id")
+    ranked = cut(some.select("doc_id", "lang", rank.alias("k")).filter(F.col("k") <= max(LEAST, most)))
+    n = ranked.filter("k = 1").count()
+    if not n:
+        return []
+    chosen = ranked.filter(F.col("k") <= max(LEAST, most // n)).drop("k")
+    got = some.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", "doc_id")
     got = got.withColumn("k", F.row_number().over(W.partitionBy("lang", "doc_id").orderBy("text"))).filter("k = 1")
     return [(r.text, r.lang) for r in got.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()]
 
@@ -207,13 +217,13 @@ def sample(docs: DataFrame, most: int) -> list[tuple[str, str]]:
 def label(docs: DataFrame, folds: int = 3, held: int = 1, most: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     pairs = sample(docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id"), folds) != held), most)
-    pairs = [(t, x) for t, x in pairs if LETTER.search(t)]
+    pairs = [(t, x) for t, x in pairs if has_letter(t)]
     langs = sorted({x for _, x in pairs})
     net = train([t for t, _ in pairs], [langs.index(x) for _, x in pairs], len(langs), steps) if langs else None
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = [t if t and net and LETTER.search(t) else "" for t in f["text"]]
+            texts = [t if net and has_letter(t) else "" for t in f["text"]]
             pred, best = np.full(len(f), "und", object), np.zeros(len(f))
             if net:
                 p = pooled(texts, net)

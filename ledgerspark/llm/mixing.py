@@ -1,32 +1,40 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 Every source's documents are laid out one after another in a shuffled order (by MD5 of the id), which
-makes a stream of words that starts again when it ends. A schedule of slots, each worth ``block`` words,
-is filled by a Weyl sequence: slot k falls at the point ``k * step mod 2**31`` (step / 2**31 is the golden
-ratio), and the source whose share of [0, 2**31) holds the point gets the slot. Slots are ranked within
-their source; rank r takes words [r * block, (r + 1) * block) of the source's stream, the last one only up
-to the target. A source that the points serve too rarely (its share is under a slot or two) gets its
-missing ranks after the last slot, so that every source takes exactly floor(target) words.
+makes a stream of words that starts again when it ends. The mix is a row of slots, each worth ``block`` words,
+as many as make up the sum of all targets. A Weyl sequence fills them: slot k falls at the point
+``k * step mod 2**31`` (step / 2**31 is the golden ratio), and the source whose share of [0, 2**31) holds the
+point is drawn. Slots are ranked within their source, and the slot of rank r takes the words
+[r * block, (r + 1) * block) of the source's stream, up to ``cap`` times its size. Nothing else takes words:
+what a source gives is what the slots drew, which a low-discrepancy sequence keeps within a few blocks of
+its target (exactly at the cap where the target is the cap and the slots overshoot it).
+
+``block`` is, unless given, a share of all words: so that there are ``SLOTS`` slots and ``EACH`` a source at
+least, but no more than ``BLOCK`` words.
 
 No step gathers a source in one task: prefix sums run within (source, MD5 prefix) and (source, slot chunk)
 groups, with a small table of group totals on top.
 
 Defined results: null text has size 0; a null source is a source of its own, the last; repeated rows are
-rows of their own; no rows give no rows; sources without words get target 0; extra columns are ignored.
+rows of their own; no rows give no rows; sources without words get target 0; extra columns are kept as they
+are, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, word_count
+from .shared import cut, partitions, word_count
 
 RANGE = 2**31
 STEP = 1327217885  # odd, nearest to 2**31 times the golden ratio's fraction
 CHUNK = 2**16
 BIN_BITS = 19
+BLOCK, SLOTS, EACH = 1024, 2**16, 256
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -61,32 +69,31 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float
     return per.select("source", "source_size", "weight", F.coalesce(F.least(limit, level * F.col("weight")), limit).alias("target"))
 
 
-def schedule(shares: DataFrame, block: int = 1024) -> DataFrame:
-    """(source, rank, slot): which source each slot draws from, and its rank there. slot is null for ranks past the last slot."""
+def block_of(shares: DataFrame) -> int:
+    """Words of a slot: ``BLOCK``, or less where that would leave too few slots in all or for each source."""
+    total, sources = shares.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)), F.count(F.lit(1))).first()
+    return int(max(1, min(BLOCK, total // max(SLOTS, EACH * sources))))
+
+
+def schedule(shares: DataFrame, block: int, step: int = STEP) -> DataFrame:
+    """(source, rank, slot): the source that each slot draws, and the slot's rank there."""
     total = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     upto = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    bounds = (
-        shares.withColumn("need", F.ceil(F.floor("target") / F.lit(block)).cast("long"))
-        .withColumn("hi", F.round(F.sum("target").over(upto) / F.sum("target").over(total) * RANGE).cast("long"))
-        .withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0)))
-        .filter("need > 0")
-        .select("source", "need", "lo", "hi")
-    )
-    chunks = bounds.agg(F.sum("need").alias("slots")).select("slots", F.explode(F.sequence(F.lit(0), ((F.col("slots") - 1) / CHUNK).cast("long"))).alias("chunk"))
+    bounds = shares.select("source", F.floor("target").alias("need")).filter("need > 0")
+    bounds = bounds.withColumn("all", F.sum("need").over(total)).withColumn("hi", F.floor(F.sum("need").over(upto) / F.col("all") * RANGE))
+    bounds = bounds.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0)))
+    chunks = bounds.agg(F.ceil(F.sum("need") / F.lit(block)).alias("slots")).filter("slots > 0")
+    chunks = chunks.select("slots", F.explode(F.sequence(F.lit(0), ((F.col("slots") - 1) / CHUNK).cast("long"))).alias("chunk"))
     slots = chunks.repartition("chunk").select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("slot"))
-    slots = slots.withColumn("point", (F.col("slot") % RANGE) * STEP % RANGE).withColumn("bin", F.shiftright("point", BIN_BITS))
+    slots = slots.withColumn("point", (F.col("slot") % RANGE) * step % RANGE).withColumn("bin", F.shiftright("point", BIN_BITS))
     # shares cut at bin borders turn the range join into one on bins
     shared = bounds.filter("hi > lo").withColumn("bin", F.explode(F.sequence(F.shiftright("lo", BIN_BITS), F.shiftright(F.col("hi") - 1, BIN_BITS))))
-    drawn = slots.join(shared, (slots["bin"] == shared["bin"]) & F.col("point").between(F.col("lo"), F.col("hi") - 1)).select("source", "need", "chunk", "slot")
+    drawn = slots.join(shared, (slots["bin"] == shared["bin"]) & F.col("point").between(F.col("lo"), F.col("hi") - 1)).select("source", "chunk", "slot")
     counts = drawn.groupBy("source", "chunk").count()
     counts = counts.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1
     ranked = drawn.withColumn("inside", inside).alias("d").join(counts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.chunk") == F.col("c.chunk")))
-    ranked = ranked.select("d.source", "need", (F.col("inside") + F.col("before")).alias("rank"), "slot").filter("rank < need").drop("need")
-    got = counts.groupBy("source").agg(F.sum("count").alias("got")).alias("g")
-    late = bounds.alias("b").join(got, F.col("b.source").eqNullSafe(F.col("g.source")), "left").select("b.source", "need", F.coalesce("got", F.lit(0)).alias("got")).filter("got < need")
-    late = late.select("source", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"), F.lit(None).cast("long").alias("slot"))
-    return ranked.unionByName(late)
+    return ranked.select("d.source", (F.col("inside") + F.col("before")).alias("rank"), "slot")
 
 
 def laid_out(sizes: DataFrame) -> DataFrame:
@@ -99,45 +106,69 @@ def laid_out(sizes: DataFrame) -> DataFrame:
     return inside.alias("i").join(heads.alias("h"), on).select("i.doc_id", "i.source", "i.bucket", "nth", "size", (F.col("head") + F.col("upto") - F.col("size")).alias("start"))
 
 
-def passes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 1024) -> DataFrame:
-    """For each row and each pass over its source's stream, the words taken: doc_id, source, bucket, nth, size, source_size, target, pass, words."""
+def passes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int | None = None, step: int = STEP) -> tuple[DataFrame, DataFrame]:
+    """What the slots take, a row for each row of docs, pass over its source's stream and block: doc_id, source, bucket, nth, size, pass, slot, words.
+
+    The second table has all rows: doc_id, source, bucket, nth, size, source_size, target.
+    """
     sizes = cut(sized(docs))
     shares = cut(targets(sizes, weights, share, cap))
-    slots = schedule(shares, block).select("source", F.col("rank").alias("slot_rank"))
-    rows = laid_out(sizes).alias("r").join(shares.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    rows = rows.select("doc_id", "r.source", "bucket", "nth", "size", "source_size", "target", "start", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-int(cap * 1000) // 1000) - 1)))).alias("pass"))
+    block = block or block_of(shares)
+    slots = cut(schedule(shares, block, step))
+    drawn = slots.groupBy("source").agg((F.max("rank") + 1).alias("drawn")).alias("g")
+    shares = shares.alias("t").join(drawn, F.col("t.source").eqNullSafe(F.col("g.source")), "left").select("t.*", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    rows = laid_out(sizes).alias("r").join(shares.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "r.source", "bucket", "nth", "size", "source_size", "target", "start", "drawn")
+    # which blocks of the stream hold the row's words, pass by pass; the slots that drew them come by a join
     at = F.col("start") + F.col("pass") * F.col("source_size")
-    rows = rows.withColumn("at", at).withColumn("end", F.least(F.col("at") + F.col("size"), F.floor("target")))
-    rows = rows.withColumn("piece", F.explode_outer(F.when(F.col("end") > F.col("at"), F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block)))))
-    met = rows.alias("r").join(slots.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("piece") == F.col("slot_rank")), "left")
-    words = F.when(F.col("slot_rank").isNotNull(), F.least(F.col("end"), (F.col("piece") + 1) * block) - F.greatest(F.col("at"), F.col("piece") * block)).otherwise(0)
-    return met.groupBy("doc_id", "r.source", "bucket", "nth", "size", "source_size", "target", "pass").agg(F.sum(words).cast("long").alias("words"))
+    upto = F.least(F.floor(F.lit(float(cap)) * F.col("source_size")), F.col("drawn") * block)
+    held = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(cap) - 1))))).withColumn("at", at).withColumn("end", F.least(F.col("at") + F.col("size"), upto)).filter("end > at")
+    held = held.withColumn("piece", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block)))).alias("p")
+    met = held.join(slots.hint("shuffle_hash").alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("piece") == F.col("rank")))
+    words = F.least(F.col("end"), (F.col("piece") + 1) * block) - F.greatest(F.col("at"), F.col("piece") * block)
+    return met.select("doc_id", "p.source", "bucket", "nth", "size", "pass", "slot", words.alias("words")), rows.drop("start", "drawn")
+
+
+KEYS = ("doc_id", "source", "bucket", "nth", "size")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words taken, repeats counted)."""
-    keys = ["doc_id", "source", "bucket", "nth", "size", "source_size", "target"]
-    return passes(docs, **how).groupBy(*keys).agg(F.sum("words").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """One row per document: doc_id, source, size, source_size, target, taken (words taken, repeats counted), n_slots, first_slot.
+
+    n_slots: how many blocks of the mix hold words of it; first_slot: where the first of them stands in the mix
+    (null if none does).
+    """
+    taken, rows = passes(docs, **how)
+    took = taken.groupBy(*KEYS).agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_slots"), F.min("slot").alias("first_slot"))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEYS]
+    out = rows.alias("r").join(took.alias("t"), on, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("r.doc_id", "r.source", "r.size", "source_size", "target", zero("taken"), zero("n_slots"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document once for every pass that takes it, in the columns of documents.
+    """The mix itself, in slot order: each document once for every pass that takes it, in the columns of documents.
 
-    The one document of a source at which its target ends keeps only the words taken, joined by spaces.
+    A document stands where the slot of its first word does. One that the slots take only in part (where a
+    source's stream ends) keeps the words taken, joined by spaces. Partitions follow each other in slot order.
     """
-    cols = docs.columns
-    taken = passes(docs, **how).filter("words > 0").groupBy("doc_id", "source", "bucket", "nth", "size").agg(F.collect_list("words").alias("words"))
+    spark, cols = docs.sparkSession, docs.columns
+    taken, _ = passes(docs, **how)
+    taken = cut(taken.groupBy(*KEYS, "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")))
+    last = (taken.agg(F.max("slot")).first()[0] or 0) + 1
+    taken = taken.groupBy(*KEYS).agg(F.collect_list(F.struct("words", "slot")).alias("parts"))  # one for each pass
     # rows with one id, source and size get their parts by a number of their own
-    same = ["doc_id", "source", "size"]
-    taken = taken.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("bucket", "nth"))).select(*same, "k", "words")
-    own = docs.withColumn("size", word_count(F.col("text")))
-    own = own.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("text")))
+    same = ("doc_id", "source", "size")
+    taken = taken.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("bucket", "nth"))).select(*same, "k", "parts")
+    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), "text", F.struct(*cols).alias("row"))
+    own = own.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("text"))).drop("text")
     on = [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*same, "k")]
-    out = own.alias("o").join(taken.alias("t"), on).select(*[F.col(f"o.{c}") for c in cols], F.col("o.size").alias("_size"), F.explode("t.words").alias("_words"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    whole = F.col("_words") >= F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " "))
-    out = out.withColumn("text", text)
+    out = own.alias("o").join(taken.alias("t"), on).select("o.row", "o.size", F.explode("t.parts").alias("part"))
+    n = partitions(spark)
+    out = out.repartitionById(n, F.floor(F.col("part.slot") * n / last).cast("int")).sortWithinPartitions("part.slot")
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    whole = F.col("part.words") >= F.col("size")
+    text = F.when(whole, F.col("row.text")).otherwise(F.array_join(F.slice(words, 1, F.col("part.words").cast("int")), " "))
+    changed = {"text": text}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*cols)
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols])

@@ -1,18 +1,20 @@
 """Quality rules: word, symbol and repetition counts of each text, then cross-document line frequency.
 
 Lines of at least ``min_line_words`` words are normalised (lower case, single spaces) and hashed. For each
-host (``source``) and line, distinct texts are counted, so exact copies of one document count once. A line
-in more than ``max_docs`` texts of its host is removed from all of them but one (the text of the smallest
-doc_id among them keeps it). A document is rejected if the base rules fail, or if the lines removed leave it less than
-``min_left`` per cent of its words.
+host (``source``) and line, documents are counted: by ``distinct`` = "texts", exact copies of one document are
+one; by "rows", each is one of its own, so that a page with over ``max_docs`` copies loses all its lines (which
+takes its last copy from a corpus as well: the README has figures). A line in more than ``max_docs`` documents
+of its host is removed from all of them, or with ``spare_first`` from all but the text of the smallest doc_id.
+A document is rejected if the base rules fail, or if the lines removed leave it less than ``min_left`` per cent
+of its words.
 
 Spark does the counting: one pass turns each text into its counts and its distinct line hashes (a small
 table, written once), two aggregations with map-side parts count texts per line, and the frequent lines come
 back through a join salted by text, so that a line in a third of all texts spreads over ``SALT`` tasks.
 
 Defined results: null text counts as empty, has no words and fails; a null source is a host of its own;
-repeated rows get equal verdicts; no rows give no rows; extra columns are ignored; a text of any length is
-read whole.
+repeated rows get equal verdicts; no rows give no rows; extra columns are ignored, and kept as they are by
+``filtered``, whatever their names; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -97,25 +99,29 @@ def counted(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long"), "source", "text").mapInPandas(count, COUNTS)
 
 
-def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """(source, line, holder) of lines in over max_docs distinct texts; lines: distinct (source, line, text_hash), with first_id."""
+def frequent_lines(lines: DataFrame, max_docs: int, distinct: str) -> DataFrame:
+    """(source, line, holder) of lines in over max_docs documents; lines: distinct (source, line, text_hash), with first_id and rows."""
     first = F.min(F.struct("first_id", "text_hash"))["text_hash"]
-    return lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"), first.alias("holder")).filter(F.col("n") > max_docs).drop("n")
+    n = F.count(F.lit(1)) if distinct == "texts" else F.sum("rows")
+    return lines.groupBy("source", "line").agg(n.alias("n"), first.alias("holder")).filter(F.col("n") > max_docs).drop("n")
 
 
-def removals(counts: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def removals(counts: DataFrame, max_docs: int = MAX_DOCS, distinct: str = "texts", spare_first: bool = False) -> DataFrame:
     """(source, text_hash, line, words): the lines that each text loses."""
+    if distinct not in ("texts", "rows"):
+        raise ValueError(f"distinct is texts or rows, not {distinct}")
     exploded = counts.select("doc_id", "source", "text_hash", F.explode("lines").alias("l"))
-    lines = exploded.groupBy("source", F.col("l.line").alias("line"), "text_hash").agg(F.max("l.words").alias("words"), F.min("doc_id").alias("first_id"))
-    salted = frequent_lines(lines, max_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    lines = exploded.groupBy("source", F.col("l.line").alias("line"), "text_hash").agg(F.max("l.words").alias("words"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    salted = frequent_lines(lines, max_docs, distinct).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     own = lines.withColumn("salt", F.pmod("text_hash", F.lit(SALT)).cast("int")).alias("l")
     on = F.col("l.source").eqNullSafe(F.col("f.source")) & (F.col("l.line") == F.col("f.line")) & (F.col("l.salt") == F.col("f.salt"))
-    return own.join(salted.alias("f"), on).filter("l.text_hash <> f.holder").select("l.source", "l.text_hash", "l.line", "l.words")
+    met = own.join(salted.alias("f"), on)
+    return (met.filter("l.text_hash <> f.holder") if spare_first else met).select("l.source", "l.text_hash", "l.line", "l.words")
 
 
-def verdicts(counts: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
+def verdicts(counts: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, **how) -> DataFrame:
     """counts with base_failed, removed_words, removed_lines and kept."""
-    lost = removals(counts, max_docs).groupBy("source", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+    lost = removals(counts, max_docs, **how).groupBy("source", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     on = F.col("c.source").eqNullSafe(F.col("r.source")) & (F.col("c.text_hash") == F.col("r.text_hash"))
     out = counts.drop("lines").alias("c").join(lost.alias("r"), on, "left").select("c.*", F.coalesce("removed_words", F.lit(0)).alias("removed_words"), "removed_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -123,9 +129,9 @@ def verdicts(counts: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LE
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """One row per document with its counts and verdict."""
-    return verdicts(cut(counted(docs, min_line_words)), max_docs, min_left)
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, min_line_words: int = MIN_LINE_WORDS, **how) -> DataFrame:
+    """One row per document with its counts and verdict; how: distinct, spare_first."""
+    return verdicts(cut(counted(docs, min_line_words)), max_docs, min_left, **how)
 
 
 def filtered(docs: DataFrame, **how) -> DataFrame:
@@ -143,10 +149,11 @@ def filtered(docs: DataFrame, **how) -> DataFrame:
     # equal (doc_id, source, text) get equal verdicts, so one of each is enough to join
     kept = judge(docs, **how).filter("kept").groupBy("doc_id", "source", "text_hash").agg(F.first("removed_lines").alias("removed_lines"))
 
-    own = small_batches(docs).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")  # XXH64 with seed 42, as in counts
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d._hash") == F.col("k.text_hash"))
-    out = own.join(kept.alias("k"), on).select(*[F.col(f"d.{c}") for c in cols], F.col("k.removed_lines").alias("_gone"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without("text", "_gone")))
+    own = small_batches(docs).select(F.struct(*cols).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("d")  # XXH64 with seed 42, as in counts
+    on = F.col("d.row.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & F.col("d.row.source").eqNullSafe(F.col("k.source")) & (F.col("d.hash") == F.col("k.text_hash"))
+    out = own.join(kept.alias("k"), on).select("d.row", F.col("k.removed_lines").alias("gone"), F.col("d.row.text").alias("text"))
+    out = out.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(without("text", "gone")).alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*cols)
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols])

@@ -18,8 +18,10 @@ def word_count(text: Column) -> Column:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it names none (tests) is a local one set."""
+    """The cluster names a shared folder in spark.checkpoint.dir; only a local master that names none (tests) gets one of its own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerspark-"))
 
 

@@ -22,7 +22,9 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .components import components
 from .shared import cut, partitions, small_batches
@@ -31,7 +33,7 @@ SEED, SHINGLE, MAX_BITS = 42, 4, 4
 #: First bit and width of each of the seven blocks.
 BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
 KEYS = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS))
-CHUNK = 1024
+CHUNK, SALT = 1024, 64
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -54,14 +56,17 @@ def fingerprint_of(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, fp (the 64 bits as a signed long) and whatever columns docs has besides doc_id and text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fp = np.array([fingerprint_of(t) for t in f["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp} | {c: f[c] for c in rest})
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, fp long")
+    kept = docs.select(F.col("doc_id").cast("long"), "text", *rest)
+    schema = ", ".join(["doc_id long", "fp long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest]])
+    return small_batches(kept).mapInPandas(each, schema)
 
 
 def block_key(fp: Column, chosen: tuple[int, ...]) -> Column:
@@ -132,33 +137,56 @@ def links(fps: DataFrame) -> DataFrame:
     # each row becomes one for every choice, so the few bytes of a fingerprint are dealt to many tasks first
     distinct = fps.select("fp").distinct().repartition(2 * partitions(fps.sparkSession), "fp")
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), block_key(F.col("fp"), c).alias("key")) for i, c in enumerate(KEYS)])).alias("k"))
-    keyed = keyed.select("fp", "k.choice", "k.key")
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = keyed.join(sizes, ["choice", "key"])
-    n = 2 * partitions(keyed.sparkSession)
+    # a window counts a key's rows where they are sorted anyway; it spills, and rows with a key of their own go no further
+    n = F.count(F.lit(1)).over(W.partitionBy("choice", "key"))
+    shared = keyed.select("fp", "k.choice", "k.key").withColumn("n", n).filter("n > 1")
     # a member's chunk comes from its own bits, so dealing needs no numbering; parts are sized for CHUNK on average
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     member = shared.withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = member.withColumn("other", F.explode(other)).select("choice", "key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "fp")
-    return pairs.repartition(n, "choice", "key", "lo", "hi").sortWithinPartitions("choice", "key", "lo", "hi").mapInPandas(linked, "u long, v long").distinct()
+    tasks = 2 * partitions(fps.sparkSession)
+    return pairs.repartition(tasks, "choice", "key", "lo", "hi").sortWithinPartitions("choice", "key", "lo", "hi").mapInPandas(linked, "u long, v long").distinct()
+
+
+def named(fps: DataFrame, name: Column) -> DataFrame:
+    """(of, name): each distinct fingerprint and the least ``name`` (an expression over fps) of its whole component.
+
+    Only fingerprints with links take part in the join by component. It is salted: a component's row goes out
+    ``SALT`` times, so that one with a third of all fingerprints is dealt to as many tasks.
+    """
+    own = cut(fps.groupBy("fp").agg(F.min(name).alias("name")))
+    roots = cut(components(links(fps)).withColumnsRenamed({"node": "fp"}))
+    inside = roots.join(own, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int"))
+    least = inside.groupBy("root", "salt").agg(F.min("name").alias("name")).groupBy("root").agg(F.min("name").alias("least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    some = inside.join(least, ["root", "salt"]).select(F.col("fp").alias("of"), F.col("least").alias("name"))
+    return own.join(roots, "fp", "left_anti").select(F.col("fp").alias("of"), "name").unionByName(some)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row."""
-    fps = cut(fingerprints(docs))
-    roots = components(links(fps))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = joined.join(named, "root").select(F.col("fp").alias("of"), "component_id")
+    fps = cut(fingerprints(docs.select("doc_id", "text")))
+    by_fp = named(fps, F.col("doc_id"))
     out = fps.join(by_fp, fps["fp"] == by_fp["of"])
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("name").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one whose id names it. Repeated rows of that id give one row."""
+    """One row of each class, in the columns of docs.
+
+    It is the row with the smallest id (null ids last); of rows that share that id, the one whose text and
+    then whose other columns have the smallest XXH64. So a shared or null id loses no text that is not a
+    near copy of one that stays, and reruns agree. Columns of maps, which have no hash, decide nothing.
+    """
     cols = docs.columns
-    keep = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    return docs.alias("d").join(keep.alias("k"), on, "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    hashed = [f"row.`{c}`" for c in cols if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    rows = docs.select(F.struct(*cols).alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row.text").alias("of_text"), F.xxhash64(*hashed).alias("of_row"))
+    fps = cut(fingerprints(rows.drop("row")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "of_text", "of_row")
+    keep = named(fps, place).select("name.id", "name.no_id", "name.of_text", "name.of_row").distinct()
+    key = ["id", "no_id", "of_text", "of_row"]
+    rows = rows.select("row", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "of_text", "of_row")
+    kept = rows.join(keep, key, "left_semi")
+    first = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))  # rows alike in every column: any of them
+    return kept.withColumn("n", first).filter("n = 1").select("row.*")

@@ -5,7 +5,7 @@ inflected forms not seen in training); a document's score is the noisy-or of its
 sentences, 1 - prod(1 - p). Weights are learned from document labels alone, by full-batch Adam on the
 documents' log-likelihood. The model is fitted on the driver from at most ``SAMPLE`` labelled documents with
 different texts (smallest hashes of their ids first); Spark cuts their texts into sentences of hashed features
-(``SLOTS`` of them). Scoring is one Arrow pass over whole texts with the weights broadcast.
+(``SLOTS`` of them), from the first ``FIT_CHARS`` characters of each. ``judge`` fits before it returns. Scoring is one Arrow pass over whole texts with the weights broadcast.
 Every offending sentence, one that scores ``OFFENDS`` or more (alone it would make its text toxic), is located
 by its offsets, and so is the worst sentence of each text.
 
@@ -32,6 +32,8 @@ SAMPLE, SLOTS, MIN_DOCS, KEPT = 3000, 1 << 19, 6, 100_000
 STEMS = (4, 5, 6, 7)
 STEPS, RATE, DECAY, PRIOR = 150, 0.1, 1e-4, -6.0
 OFFENDS = THRESHOLD = 0.3
+#: Characters of a text that fitting reads at most; scoring always reads whole texts.
+FIT_CHARS = 1 << 18
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -69,7 +71,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[bytes, b
     """At most ``most`` labelled documents as feature slots. Only ids are ranked; texts of the chosen ones are read, where they are."""
     ids = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = small_batches(docs).filter("text is not null").join(F.broadcast(ids), "doc_id")  # at most ``most`` rows
-    chosen = chosen.select("toxic", "text").dropDuplicates(["text"])
+    chosen = chosen.select("toxic", F.substring("text", 1, FIT_CHARS).alias("text")).dropDuplicates(["text"])
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = Slots()

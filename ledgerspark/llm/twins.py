@@ -8,8 +8,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c
-  WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0) q, v c
+  WHERE c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
@@ -26,13 +26,11 @@ windows AS (
   SELECT * FROM (SELECT row, i, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY row ORDER BY i)) WHERE c IS NOT NULL),
 twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, a, b, c) > 1),
 repeats AS (SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) t(k) GROUP BY row),
-line AS (SELECT doc_id, source, digest, {WORDS.format("l")} AS lw FROM (SELECT doc_id, source, digest, unnest(lines) AS l FROM d)),
-norm AS (SELECT doc_id, source, digest, {ASCII_LOWER.format("array_to_string(lw, ' ')")} AS line, len(lw) AS n FROM line WHERE len(lw) >= 3),
-own AS (
-  SELECT source, digest, line, max(n) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, digest, line, sum(n) AS n FROM norm GROUP BY ALL) GROUP BY source, digest, line),
-frequent AS (SELECT source, line, arg_min(digest, first_id) AS holder FROM own GROUP BY source, line HAVING count(*) > 25),
-lost AS (
-  SELECT o.source, o.digest, sum(o.n) AS removed FROM own o JOIN frequent f ON o.source IS NOT DISTINCT FROM f.source AND o.line = f.line AND o.digest <> f.holder GROUP BY 1, 2),
+line AS (SELECT row, source, digest, {WORDS.format("l")} AS lw FROM (SELECT row, source, digest, unnest(lines) AS l FROM d)),
+norm AS (SELECT row, source, digest, {ASCII_LOWER.format("array_to_string(lw, ' ')")} AS line, len(lw) AS n FROM line WHERE len(lw) >= 3),
+own AS (SELECT source, digest, line, max(n) AS n FROM (SELECT row, source, digest, line, sum(n) AS n FROM norm GROUP BY ALL) GROUP BY source, digest, line),
+frequent AS (SELECT source, line FROM own GROUP BY source, line HAVING count(*) > 25),
+lost AS (SELECT o.source, o.digest, sum(o.n) AS removed FROM own o JOIN frequent f ON o.source IS NOT DISTINCT FROM f.source AND o.line = f.line GROUP BY 1, 2),
 judged AS (
   SELECT doc_id, c.n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed_words,
     c.n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * c.n_words AS base_failed
@@ -61,11 +59,20 @@ steps AS (
     row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k
   FROM per WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 held AS (SELECT source, source_size, coalesce(least(2.0 * source_size, (SELECT arg_min(level, k) FROM steps WHERE level * weight <= 2.0 * source_size) * weight), 2.0 * source_size) AS target FROM steps),
+bounds AS (
+  SELECT source, need, floor(sum(need) OVER (ORDER BY source NULLS LAST) / sum(need) OVER () * 2147483648) AS hi FROM (SELECT source, floor(target) AS need FROM held) WHERE need > 0),
+shares AS (SELECT source, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo, hi FROM bounds),
+b AS (SELECT CAST(greatest(1, least(1024, CAST(sum(floor(target)) AS BIGINT) // greatest(65536, 256 * count(*)))) AS BIGINT) AS block, CAST(sum(floor(target)) AS BIGINT) AS every FROM held),
+slots AS (SELECT k AS slot, k % 2147483648 * 1327217885 % 2147483648 AS point FROM (SELECT unnest(range(CAST(ceil(every / block) AS BIGINT))) AS k FROM b)),
+drawn AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM slots JOIN shares ON point >= lo AND point < hi),
 laid AS (
-  SELECT d.*, source_size, target, floor(target) AS most, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size, row) - size AS start
-  FROM d JOIN held h ON d.source IS NOT DISTINCT FROM h.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
-  CAST(greatest(0, least(start + size, most) - start) + greatest(0, least(start + source_size + size, most) - start - source_size) AS BIGINT) AS taken FROM laid
+  SELECT d.*, source_size, target, least(2 * source_size, coalesce(n, 0) * block) AS most, block, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size, row) - size AS start
+  FROM d JOIN held h ON d.source IS NOT DISTINCT FROM h.source LEFT JOIN (SELECT source, count(*) AS n FROM drawn GROUP BY source) c ON d.source IS NOT DISTINCT FROM c.source, b),
+ends AS (SELECT *, least(start + size, most) AS e1, start + source_size AS start2, least(start + source_size + size, most) AS e2 FROM laid),
+pieces AS (
+  SELECT *, greatest(0, e1 - start) + greatest(0, e2 - start2) AS taken, CASE WHEN e1 > start THEN (e1 - 1) // block - start // block + 1 ELSE 0 END + CASE WHEN e2 > start2 THEN (e2 - 1) // block - start2 // block + 1 ELSE 0 END AS n_slots FROM ends)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(taken AS BIGINT) AS taken, CAST(n_slots AS BIGINT) AS n_slots, slot AS first_slot
+FROM pieces p LEFT JOIN drawn x ON p.source IS NOT DISTINCT FROM x.source AND x.rank = p.start // block AND p.e1 > p.start
 """
 
 SQL: dict[str, str] = {"op2_exact_top_k": TOP_K, "op3_quality_rules": QUALITY, "op4_url_filters": URLS, "op9_mixing_sources": MIX}

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerspark.llm import secret_scan
@@ -19,7 +20,7 @@ def test_stages_against_plain_python(spark, small):
     alone = [r for r in kept if r[0] in heads]
     enc = secret_scan.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     masked = [(i, secret_scan.masked(t, secret_scan.spans_of(t, enc)[1]), s) for i, t, s in alone]
-    mix = {i: (n, taken) for i, n, _, _, taken in brute_mix(masked)}
+    mix = {i: (n, taken) for i, n, _, _, taken, *_ in brute_mix(masked)}
     text = {i: t for i, t, _ in masked}
     got = corpus_pipeline.run(spark, small).collect()
     rows_of = Counter(r.doc_id for r in got)
@@ -34,3 +35,27 @@ def test_stages_against_plain_python(spark, small):
         if mix[r.doc_id][1] % mix[r.doc_id][0] == 0:  # only whole passes
             assert ids == sp.encode(text[r.doc_id], add_bos=True, add_eos=True)
     assert all(words[i] == taken for i, (_, taken) in mix.items())
+
+
+def test_hostile_rows(spark, tmp_path):
+    """Null and shared ids, clashing columns, empty and long texts, repeats: every stage keeps its columns and their values."""
+    from .fixture_rows import DOCS, docs, none, prose
+
+    apart = [prose(70) for _ in range(5)]
+    more = [(None, apart[0], None, "web", 1, *["clash"] * 8), (None, apart[1], None, "web", 1, *["clash"] * 8), (77, apart[2], None, None, 1, *["clash"] * 8), (77, apart[3], None, None, 1, *["clash"] * 8), (78, apart[4], "en", "books", None, *["clash"] * 8)]
+    df = docs(spark).unionByName(spark.createDataFrame(more, DOCS))
+    for c in ("size", "k", "_words", "_hash", "salt", "rank", "slot", "pass", "id", "of_text", "no_id", "part", "parts", "hash", "gone", "d", "name"):
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert after.dtypes == now.dtypes
+        assert all(r[c] == f"own {c}" for r in after.collect() for c in ("size", "k", "_words", "_hash", "salt", "rank", "slot", "hash", "name"))
+        now = after
+    left = {r.text for r in spark.read.parquet(f"{tmp_path}/1").collect()}
+    assert set(apart) <= left
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count() > 5
+    none(spark).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

@@ -116,7 +116,8 @@ def passes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float =
     block = block or block_of(shares)
     slots = cut(schedule(shares, block, step))
     drawn = slots.groupBy("source").agg((F.max("rank") + 1).alias("drawn")).alias("g")
-    shares = shares.alias("t").join(drawn, F.col("t.source").eqNullSafe(F.col("g.source")), "left").select("t.*", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    # written, so that its size is known and a small one is sent to the rows; a large one leaves hot sources to AQE
+    shares = cut(shares.alias("t").join(drawn, F.col("t.source").eqNullSafe(F.col("g.source")), "left").select("t.*", F.coalesce("drawn", F.lit(0)).alias("drawn")))
     rows = laid_out(sizes).alias("r").join(shares.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "r.source", "bucket", "nth", "size", "source_size", "target", "start", "drawn")
     # which blocks of the stream hold the row's words, pass by pass; the slots that drew them come by a join
     at = F.col("start") + F.col("pass") * F.col("source_size")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import context_mixing, langid, lm, toxicity
@@ -147,13 +148,34 @@ def test_tree_paths_lead_to_their_symbols():
 
 def test_lm_model_grows_with_the_tokens():
     assert (lm.dictionary_size(1000), lm.table_bits(1000)) == (65_536, 22)
-    for n in (1 << 26, 1 << 30, 3_000_000_000):
-        assert lm.dictionary_size(4 * n) >= 1.99 * lm.dictionary_size(n) > 131_000
-        assert lm.table_bits(4 * n) == lm.table_bits(n) + 2 and n / 8 <= 1 << lm.table_bits(n) < n / 4
+    for n in (1 << 28, 1 << 30, 3_000_000_000):
+        assert lm.dictionary_size(4 * n) >= 1.99 * lm.dictionary_size(n) > 2 * 65_536
+        assert lm.table_bits(4 * n) == lm.table_bits(n) + 1 and 64 * lm.dictionary_size(n) <= 1 << lm.table_bits(n) < 128 * lm.dictionary_size(n)
     code = context_mixing.Code([(b"a", 9), (b"b", 5)], 1, 1, np.ones(256), 24)
     assert all(len(t) == 2 << 24 for t in context_mixing.Counts(code).own)
 
 
+def test_words_are_split_at_ascii_white_space_only():
+    texts = [None, "", " A b\x0b\x0cC  d\x1ce\x85f\xa0g h\t\n\ri\x1fj ", "É x", " \n"]
+    words, sizes = context_mixing.split_texts(texts)
+    want = [WORD.findall(lower(t or "")) for t in texts]
+    assert words.to_pylist() == [w.encode() for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
+
+
+def test_a_path_has_its_slots_side_by_side():
+    r = np.random.default_rng(2)
+    code = context_mixing.Code([(f"w{k}".encode(), int(n)) for k, n in enumerate(r.integers(1, 500, 300))], 3, 2, np.ones(256), 16)
+    every = np.arange(len(code.length))
+    paths = code.paths(every)
+    slots = paths.slots(np.full(len(every), 9, np.uint32))
+    of = {}
+    for node, s in zip(code.node[paths.at].tolist(), slots.tolist(), strict=True):
+        assert of.setdefault(node, s) == s  # one slot for a node, whichever symbol's path it is met on
+    assert len(set(of.values())) > 0.98 * len(of)
+    lo = np.cumsum(paths.n) - paths.n
+    assert all(len({s >> 4 for s in slots[a + k : a + min(k + 4, n)]}) == 1 for a, n in zip(lo, paths.n, strict=True) for k in range(0, n, 4))
+
+
 def test_lm_larger_tables_score_alike(spark, monkeypatch):
     df, held = docs(spark).select("doc_id", "text"), F.lit(False)
     small = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(df, held).collect()}
@@ -171,13 +193,19 @@ def small_model():
     return model, docs
 
 
+def given(docs):
+    return pa.array([w for d in docs for w in d], pa.large_binary()), np.array([len(d) for d in docs], np.int64)
+
+
 def one_by_one(model, doc):
-    """A text's score, symbol after symbol, by loops."""
-    b, own, seen, table, total = context_mixing.Batch([doc], model.code), np.zeros(context_mixing.CONTEXTS), context_mixing.WARM, {}, 0.0
-    for k in range(len(b.symbols)):
-        n, gate, x, kind, bit = model.inputs([s[k : k + 1] for s in b.seeds], b.symbols[k : k + 1], False)
+    """A text's score, decision after decision, by loops."""
+    b, own, seen, table, total = context_mixing.Batch(given([doc]), model.code), np.zeros(context_mixing.CONTEXTS), context_mixing.WARM, {}, 0.0
+    k = 0
+    while k < len(b.symbols):
+        upto = k + min(64, 1 + k // 64)
+        n, gate, x, kind, bit = model.inputs([s[k:upto] for s in b.seeds], b.symbols[k:upto], False)
         steps, moved = [], np.zeros(context_mixing.CONTEXTS)
-        for j in range(int(n[0])):
+        for j in range(int(n.sum())):
             z = float(model.weights[gate[j], -1] + (model.weights[gate[j], :-1] + own) @ x[:, j])
             cell = kind[j], int(model.bucket(np.array([z], np.float32))[0])
             fine = z + model.refine[cell] + table.get(cell, 0.0)
@@ -185,7 +213,8 @@ def one_by_one(model, doc):
             moved += (bit[j] - 1 / (1 + math.exp(-z))) * x[:, j]
             steps.append((cell, context_mixing.REFINE * (bit[j] - 1 / (1 + math.exp(-fine)))))
         own += context_mixing.RATE / math.sqrt(context_mixing.WARM * seen) * moved
-        seen += int(n[0])
+        seen += int(n.sum())
+        k = upto
         for cell, up in steps:
             table[cell] = table.get(cell, 0.0) + up
     return total / math.log(10)
@@ -193,12 +222,74 @@ def one_by_one(model, doc):
 
 def test_corrections_are_refined_after_every_symbol(monkeypatch):
     model, docs = small_model()
-    got, _ = model.score(docs)
+    got, _ = model.score(given(docs))
     assert all(abs(a - one_by_one(model, d)) < 2e-3 * max(1, abs(a)) for a, d in zip(got, docs, strict=True))
-    assert np.allclose(got, [model.score([d])[0][0] for d in docs], rtol=1e-5)  # texts do not see one another
+    assert np.allclose(got, [model.score(given([d]))[0][0] for d in docs], rtol=1e-5)  # texts do not see one another
     monkeypatch.setattr(context_mixing, "RATE", 0.0)
-    weights_only = model.score(docs)[0]
+    weights_only = model.score(given(docs))[0]
     monkeypatch.setattr(context_mixing, "REFINE", 0.0)
-    frozen = model.score(docs)[0]
+    frozen = model.score(given(docs))[0]
     short = [1, 4, 6]  # 60 and 127 words
     assert all(abs(got[k] - frozen[k]) > 0.01 and abs(weights_only[k] - frozen[k]) > 1e-3 for k in short)
+
+
+def test_scores_of_all_texts_of_a_length_add_up_to_one():
+    """A proper distribution: over every text of up to n known words and an end, and those that go on."""
+    model, _ = small_model()
+    symbols = [w.encode() for w in "abcdefgh"]
+    one, two = [[]], [[a] for a in symbols]
+    three = [[a, b] for a in symbols for b in symbols]
+    ended = [sum(10.0 ** model.score(given(x))[0]) for x in (one, two, three)]
+    # what does not end after two words goes on with a third one: with the escape, the open rest
+    b = context_mixing.Batch(given([[*t, w] for t in three for w in (*symbols, b"zz")]), model.code)
+    assert b.size.max() == 4
+    prefix = []
+    for t in [[*t, w] for t in three for w in (*symbols, b"zz")]:
+        whole = 10.0 ** model.score(given([t]))[0][0]
+        last = 10.0 ** (one_by_one(model, t) - one_by_one_upto(model, t, len(t)))
+        prefix.append(whole / last)
+    escaped = [10.0 ** one_by_one_upto(model, [*t, b"zz"], len(t) + 1) for t in [*one, *two]]
+    assert abs(sum(ended) + sum(prefix) + sum(escaped) - 1) < 2e-3
+
+
+def one_by_one_upto(model, doc, symbols):
+    """log10 probability of a text's first symbols."""
+    b = context_mixing.Batch(given([doc]), model.code)
+    keep, context_mixing.Batch = context_mixing.Batch, lambda *_: type("", (), {"symbols": b.symbols[:symbols], "seeds": [s[:symbols] for s in b.seeds]})
+    try:
+        return one_by_one(model, doc)
+    finally:
+        context_mixing.Batch = keep
+
+
+def test_noisy_or_by_hand():
+    r = np.random.default_rng(1)
+    theta = r.normal(0, 1, toxicity.SLOTS + 1).astype(np.float32)
+    text = "One word here. Ünd zwei! Three four five?\n\nsix 7 eight_nine"
+    got = toxicity.score_text(text, toxicity.Weights(theta))
+    ps = []
+    for s in re.split(r"[.!?\n]", text.lower()):
+        if s:
+            words = set(re.findall(r"[^\W\d_]+", s))
+            feats = [f for w in words for f in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]]
+            ps.append(1 / (1 + math.exp(-(float(theta[-1]) + sum(float(theta[zlib.crc32(f.encode()) & (toxicity.SLOTS - 1)]) for f in feats)))))
+    assert abs(got[0] - (1 - math.prod(1 - p for p in ps))) < 1e-6 and abs(got[3] - max(ps)) < 1e-6
+    assert len(got[4]) == sum(p >= toxicity.OFFENDS for p in ps)
+
+
+def test_pooled_probabilities_are_means_over_positions():
+    net = langid.Network(5, seed=2)
+    texts = ["short", "x" * 300 + " end", "", "Ünï côdé " * 40]
+    got = langid.pooled(texts, net)
+    for t, row in zip(texts, got, strict=True):
+        raw = t.encode().lower()
+        total = np.zeros(5)
+        for at in range(0, len(raw), langid.WINDOW):
+            piece = raw[at : at + langid.WINDOW]
+            p = net.probabilities(np.frombuffer(piece.ljust(langid.WINDOW, b"\0"), np.uint8)[:, None].copy())
+            total += p[: len(piece), :, 0].sum(0)
+        assert np.allclose(row, total / max(len(raw), 1), atol=1e-5)
+
+
+def test_letters_are_those_of_isalpha(spark):
+    assert not any(map(langid.has_letter, (None, "", "½ ² Ⅷ 12 _", "\U0001f600"))) and langid.has_letter("½é")

@@ -158,10 +158,17 @@ def tool_subject(v: Column) -> Column:
     return first_field(v, ("file_path", "path", "command", "pattern", "url", "query"))
 
 
+#: Tools that name a file, and the field of their input that holds it.
+PATH_FIELDS = {"Read": "file_path", "Edit": "file_path", "Write": "file_path", "read_file": "path", "edit_file": "path", "write_file": "path"}
+
+
 def read_path(name: Column, v: Column) -> Column:
-    """Path that a reading or editing call names; notebooks have a field of their own."""
-    plain = F.coalesce(F.try_variant_get(v, "$.file_path", "string"), F.try_variant_get(v, "$.path", "string"))
-    return F.when(name.isin("NotebookRead", "NotebookEdit"), F.coalesce(F.try_variant_get(v, "$.notebook_path", "string"), plain)).otherwise(plain)
+    """The path that a call of a reading or editing tool names, in that tool's own field; null for other tools and for empty paths."""
+    fields = {}
+    for tool, field in PATH_FIELDS.items():
+        fields.setdefault(field, []).append(tool)
+    path = F.coalesce(*[F.when(name.isin(*tools), F.try_variant_get(v, f"$.{field}", "string")) for field, tools in fields.items()])
+    return F.when(F.length(path) > 0, path)
 
 
 def file_tokens(size_bytes: Column) -> Column:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.core import round_half_up
 from .pricing import total_tokens
 
-READS = ("Read", "read_file", "NotebookRead")
+# Tools that read, that touch and that rewrite files; a call of the last kind could have sent a diff.
+READS = ("Read", "read_file")
 TOUCHES = ("Read", "Edit", "Write", "read_file", "edit_file")
-EDITS = ("Edit", "Write", "MultiEdit", "NotebookEdit", "edit_file", "write_file")
+EDITS = ("Edit", "Write", "edit_file", "write_file")
 IDLE_TURNS = 5
 
 
@@ -64,7 +65,7 @@ def idle_context(calls: DataFrame, requests: DataFrame) -> DataFrame:
         F.max_by("turn_idx", "call_idx").alias("last_ref"), F.min_by(F.when(F.col("name").isin(*READS), F.col("result_tokens")), F.when(F.col("name").isin(*READS), F.col("call_idx"))).alias("cost")
     )
     out = by.join(last, "file_id").withColumn("idle_turns", F.col("last_turn") - F.col("last_ref"))
-    return out.filter((F.col("idle_turns") >= IDLE_TURNS) & (F.coalesce("cost", F.lit(0)) > 0)).select("file_id", "path", "idle_turns", F.col("cost").alias("idle_tokens"))
+    return out.filter((F.col("idle_turns") >= IDLE_TURNS) & F.col("cost").isNotNull()).select("file_id", "path", "idle_turns", F.col("cost").alias("idle_tokens"))
 
 
 def recoverable(sums: DataFrame, duplicates: DataFrame, calls: DataFrame, requests: DataFrame) -> DataFrame:
@@ -107,9 +108,24 @@ def leaks(summary: DataFrame, most: int = 3) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("place")
 
 
+#: Files of which a symbol can be cut out, commands that search, and tokens saved by a refused and by a trimmed read.
+TRIMMED, SEARCHES, REFUSED_SAVES, TRIM_SAVES = r"(?i)\.(?:[cm]?[jt]s|[jt]sx|pyi?)$", r"^\s*(?:grep|rg|ag)\b", 2000, 3000
+
+
 def replay(calls: DataFrame) -> DataFrame:
-    """Per call what a cache and a trimmer would have saved: a repeated read 2,000 tokens, a first read after any search 3,000."""
-    seen = F.max(F.col("name").isin("Grep", "Glob").cast("int")).over(W.partitionBy("file_id").orderBy("call_idx").rowsBetween(W.unboundedPreceding, 0))
+    """Per call what a cache and a trimmer would have saved: a read of a path read before, else the first read of a source file after any search.
+
+    calls also has pattern (of searches) and command (of shell calls). What rewriters of commands save is not counted.
+    """
+    search = ((F.col("name") == "Grep") & (F.length("pattern") > 0)) | ((F.col("name") == "Bash") & F.col("command").rlike(SEARCHES))
+    seen = F.max(F.coalesce(search, F.lit(False)).cast("int")).over(W.partitionBy("file_id").orderBy("call_idx").rowsBetween(W.unboundedPreceding, 0))
     nth = F.row_number().over(W.partitionBy("file_id", "name", "path").orderBy("call_idx"))
-    saved = F.when((F.col("name") == "Read") & F.col("path").isNotNull(), F.when(F.col("nth") > 1, 2000).when(F.col("searched") == 1, 3000).otherwise(0)).otherwise(0)
+    first = F.when((F.col("searched") == 1) & F.col("raw_path").rlike(TRIMMED), TRIM_SAVES).otherwise(0)
+    saved = F.when((F.col("name") == "Read") & (F.length("path") > 0), F.when(F.col("nth") > 1, REFUSED_SAVES).otherwise(first)).otherwise(0)
     return calls.withColumn("searched", seen).withColumn("nth", nth).withColumn("saved", saved)
+
+
+def top_files(files: DataFrame, cost: str, most: int = 10) -> DataFrame:
+    """Per file_id the ``most`` paths of greatest cost that cost anything, with their rank; ties by path. files: output of duplicate_reads or idle_context."""
+    order = W.partitionBy("file_id").orderBy(F.desc(cost), "path")
+    return files.filter(F.col(cost) > 0).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

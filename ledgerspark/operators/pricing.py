@@ -7,42 +7,55 @@ dozen rows, so they are broadcast; PRICE_ROWS is the bound that is checked first
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RATES = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
 DATE_SUFFIX = r"-(\d{8}|\d{4}-\d{2}-\d{2})$"
 PRICE_ROWS = 100_000
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
 
 
-def small(df: DataFrame, most: int = PRICE_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``most`` rows, else as it is (a shuffle join then)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(prices: DataFrame, most: int = PRICE_ROWS) -> DataFrame:
+    """Price rows with a broadcast hint if there are at most ``most`` of them, else as they are (a shuffle join then). Only they are counted."""
+    return F.broadcast(prices) if prices.limit(most + 1).count() <= most else prices
 
 
-def prices_on(prices: DataFrame, day: Column) -> DataFrame:
+def calendar(prices: DataFrame, undated: tuple[str, ...] = ()) -> DataFrame:
+    """Price rows with the days on which each holds, from valid_from up to, but not on, valid_to.
+
+    A provider's table holds from its date to the next one's, the oldest before that too; a model that it lacks is
+    priced by the newest table. Of providers in ``undated`` the newest table holds on all days, for models
+    that no other has.
+    """
+    first, last = F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit(LAST_DAY))
+    own = prices.filter(~F.col("provider").isin(*undated)) if undated else prices
+    tables = own.select("provider", "as_of").distinct()
+    order = W.partitionBy("provider").orderBy("as_of")  # one row per table
+    spans = tables.withColumn("valid_from", F.when(F.row_number().over(order) == 1, first).otherwise(F.col("as_of"))).withColumn("valid_to", F.coalesce(F.lead("as_of").over(order), last))
+    held = own.join(spans, ["provider", "as_of"])
+    newest = own.join(tables.groupBy("provider").agg(F.max("as_of").alias("as_of")), ["provider", "as_of"])
+    lacking = newest.join(spans.select("provider", "valid_from", "valid_to"), "provider").join(held.select("provider", "model", "valid_from"), ["provider", "model", "valid_from"], "left_anti")
+    out = held.unionByName(lacking)
+    if undated:
+        other = prices.filter(F.col("provider").isin(*undated))
+        other = other.join(other.groupBy("provider").agg(F.max("as_of").alias("as_of")), ["provider", "as_of"]).join(out.select("model"), "model", "left_anti")
+        out = out.unionByName(other.withColumn("valid_from", first).withColumn("valid_to", last))
+    return out
+
+
+def prices_on(prices: DataFrame, day: Column, undated: tuple[str, ...] = ()) -> DataFrame:
     """Price rows that hold on a date: the provider's latest table not after it, else its oldest; models it lacks come from the newest."""
-    tables = prices.groupBy("provider").agg(F.max(F.when(F.col("as_of") <= day, F.col("as_of"))).alias("held"), F.min("as_of").alias("oldest"), F.max("as_of").alias("newest"))
-    chosen = tables.select("provider", F.coalesce("held", "oldest").alias("as_of"), "newest")
-    held = prices.join(chosen.drop("newest"), ["provider", "as_of"])
-    newest = prices.join(chosen.select("provider", F.col("newest").alias("as_of")), ["provider", "as_of"])
-    return held.unionByName(newest.join(held.select("provider", "model"), ["provider", "model"], "left_anti").select(*held.columns))
+    return calendar(prices, undated).filter((F.col("valid_from") <= day) & (day < F.col("valid_to"))).select(*prices.columns)
 
 
-def price_model(models: DataFrame, prices: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """models (column model) with the price row of each: by name, else by alias, else by the name without a date at its end."""
-    p = small(prices.drop("as_of", "provider"))
-    names = models.select("model").distinct().withColumn("plain", F.regexp_replace("model", DATE_SUFFIX, ""))
-    if aliases is not None:
-        names = names.join(small(aliases.select(F.col("alias").alias("model"), F.col("model").alias("named"))), "model", "left")
-    else:
-        names = names.withColumn("named", F.lit(None).cast("string"))
-    keys = [c for c in p.columns if c != "model"]
-    exact = p.select(F.col("model").alias("m1"), F.struct(*keys).alias("r1"))
-    named = p.select(F.col("model").alias("m2"), F.struct(*keys).alias("r2"))
-    dated = p.select(F.col("model").alias("m3"), F.struct(*keys).alias("r3"))
-    got = names.join(exact, names["model"] == exact["m1"], "left").join(named, F.col("named") == F.col("m2"), "left").join(dated, F.col("plain") == F.col("m3"), "left")
-    return got.select("model", F.coalesce("r1", "r2", "r3").alias("price"))
+def price_file(spark: SparkSession, path: str, provider: str) -> DataFrame:
+    """Price rows from dated JSON files: {"as_of": "...", "models": {name: {rate: dollars a million tokens, ...}}}."""
+    rates = ", ".join(f"{r} double" for r in (*RATES, "long_over", *(f"long_{r}" for r in RATES)))
+    t = spark.read.schema(f"as_of string, models map<string, struct<{rates.replace(' double', ': double')}>>").option("multiLine", True).json(path)
+    t = t.select(F.to_date("as_of").alias("as_of"), F.lit(provider).alias("provider"), F.explode("models").alias("model", "r"))
+    return t.select("as_of", "provider", "model", "r.*").withColumn("long_over", F.col("long_over").cast("long"))
 
 
 def cost(price: Column) -> Column:
@@ -59,10 +72,28 @@ def cost(price: Column) -> Column:
     return (spent + (F.col("cache_write") - hour) * rate["cache_write"] + hour * hour_rate) / 1_000_000
 
 
-def priced(requests: DataFrame, prices: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """requests with price and usd (0 without a price) and priced (whether there is one)."""
-    rows = small(price_model(requests.filter("model is not null"), prices, aliases))
-    out = requests.join(rows, "model", "left")
+def priced(requests: DataFrame, prices: DataFrame, aliases: DataFrame | None = None, day: Column | None = None) -> DataFrame:
+    """requests with price and usd (0 without a price) and priced (whether there is one).
+
+    A model's row is the one of its name, else of what its alias names, else of its name without a date at the
+    end. With ``day`` (of the session), prices is a calendar() and each request meets the table of its day. Price rows are
+    the small side of each join; requests are neither counted nor shuffled.
+    """
+    dated = day is not None
+    rates = [c for c in prices.columns if c not in ("as_of", "provider", "model", "valid_from", "valid_to")]
+    span = ["valid_from", "valid_to"] if dated else []
+    rows = small(prices.groupBy("model", *span).agg(F.min_by(F.struct(*rates), "provider").alias("r")))
+    out = requests.withColumns({"_plain": F.regexp_replace("model", DATE_SUFFIX, ""), "_day": day if dated else F.lit(None)})
+    names = [("model", rows), ("_plain", rows)]
+    if aliases is not None:
+        names.insert(1, ("model", small(aliases.join(rows, "model").select(F.col("alias").alias("model"), *span, "r"))))
+    for k, (name, found) in enumerate(names):
+        p = found.select(F.col("model").alias(f"_m{k}"), F.col("r").alias(f"_r{k}"), *[F.col(c).alias(f"_{c}{k}") for c in span])
+        on = F.col(name) == F.col(f"_m{k}")
+        if dated:
+            on = on & (F.col("_day") >= F.col(f"_valid_from{k}")) & (F.col("_day") < F.col(f"_valid_to{k}"))
+        out = out.join(p, on, "left")
+    out = out.withColumn("price", F.coalesce(*[f"_r{k}" for k in range(len(names))])).select(*requests.columns, "price")
     return out.withColumn("usd", F.coalesce(cost(F.col("price")), F.lit(0.0))).withColumn("priced", F.col("price").isNotNull())
 
 

@@ -32,7 +32,7 @@ def sample_rows(requests: DataFrame) -> DataFrame:
     r = requests.filter(~F.col("missing_usage") & F.col("version").isNotNull() & (F.coalesce("model", F.lit("")) != "<synthetic>"))
     five = F.when(F.col("cache_split"), F.greatest(F.lit(0), F.col("cache_write") - F.col("cache_write_1h"))).otherwise(0)
     return r.select(
-        "file_id", "turn_idx", F.col("file_id").cast("string").alias("session"), "version", "model", F.col("entrypoint").alias("entry"), F.col("sidechain").alias("side"),
+        "file_id", "turn_idx", F.col("file_id").cast("string").alias("session"), "version", F.coalesce("model", F.lit("?")).alias("model"), F.col("entrypoint").alias("entry"), F.col("sidechain").alias("side"),
         F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ts"), F.col("input").alias("inp"), F.col("cache_read").alias("cr"), F.col("cache_write").alias("cw"), five.alias("c5"),
         F.col("cache_write_1h").alias("c1"), F.col("output").alias("out"), (F.col("input") + F.col("cache_read") + F.col("cache_write")).alias("ctx"), F.col("after_tool_result").alias("after_tool"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.core import days_between, days_left_in_month, percent_change, ratio_pct, round_half_up
+from ..functions.core import days_between, days_left_in_month, median_of, percent_change, ratio_pct, round_half_up
 
 DAY = "INTERVAL 1 DAY"
 MOST_DAYS = 366
@@ -110,10 +110,10 @@ def trend(sessions: DataFrame, numerator: Column, denominator: Column, better: s
 
 
 def downsample(points: DataFrame, width: int) -> DataFrame:
-    """points (i, value) averaged into at most ``width`` buckets."""
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    bucket = F.when(n <= width, F.col("i")).otherwise(F.floor(F.col("i") / (n / F.lit(float(width))))).cast("long")
-    return points.withColumn("bucket", bucket).groupBy("bucket").agg(F.avg("value").alias("value"))
+    """points (i from 0, value) summed into ``width`` buckets; fewer points stay as they are."""
+    n = F.count(F.lit(1)).over(W.partitionBy())  # one row per day
+    bucket = F.when(n <= width, F.col("i")).otherwise(F.least(F.floor(F.col("i") / (n / F.lit(float(width)))), F.lit(width - 1))).cast("long")
+    return points.withColumn("bucket", bucket).groupBy("bucket").agg(F.sum("value").alias("value"))
 
 
 # -- today -----------------------------------------------------------------------------------------------
@@ -228,41 +228,48 @@ def drift_metrics(sessions: DataFrame) -> DataFrame:
     )
 
 
+def earlier_anywhere(metrics: DataFrame, names: tuple[str, ...], keep: int) -> DataFrame:
+    """metrics with ``before``: the newest ``keep`` sessions of any project before each one, as an array, oldest first.
+
+    Within a day a window gives them; the days before give at most ``keep`` each, and ``keep`` days that have
+    sessions are enough, so what is ordered over all days is one small row a day.
+    """
+    m = metrics.withColumn("day", F.to_date("ended_at")).withColumn("own", F.struct(*names))
+    inside = W.partitionBy("day").orderBy("ended_at", "file_id")
+    m = m.withColumn("same_day", F.collect_list("own").over(inside.rowsBetween(-keep, -1)))
+    last = m.withColumn("n", F.row_number().over(W.partitionBy("day").orderBy(F.desc("ended_at"), F.desc("file_id")))).filter(F.col("n") <= keep)
+    last = last.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), F.col("own").alias("own")))), lambda x: x["own"]).alias("own"))
+    days = last.select("day", F.flatten(F.collect_list("own").over(W.orderBy("day").rowsBetween(-keep, -1))).alias("days_before"))
+    both = m.join(days, "day", "left").withColumn("every", F.concat(F.coalesce("days_before", F.array().cast(m.schema["same_day"].dataType)), "same_day"))
+    return both.withColumn("before", F.slice("every", F.greatest(F.size("every") - keep + 1, F.lit(1)), keep)).drop("day", "own", "same_day", "days_before", "every")
+
+
 def drift(metrics: DataFrame, keep: int = 6, least: int = 3) -> DataFrame:
-    """Each project's newest session against the medians of its ``keep`` sessions before, or of the newest anywhere if those are under ``least``."""
+    """Each project's newest session against the medians of its ``keep`` sessions before, or of the ``keep`` before it anywhere if those are under ``least``."""
     newest = W.partitionBy("project").orderBy(F.desc("ended_at"), F.desc("file_id"))
-    m = metrics.withColumn("n", F.row_number().over(newest))
     names = ("tokens_per_turn", "cache_hit_rate", "dup_tokens")
+    m = earlier_anywhere(metrics, names, keep).withColumn("n", F.row_number().over(newest))
     own = m.filter((F.col("n") > 1) & (F.col("n") <= keep + 1)).groupBy("project").agg(F.count(F.lit(1)).alias("own_count"), *[F.median(c).alias(f"own_{c}") for c in names])
-    latest = m.filter("n = 1")
-    wide = metrics.orderBy(F.desc("ended_at"), F.desc("file_id")).limit(keep + 1).withColumn("k", F.row_number().over(W.orderBy(F.desc("ended_at"), F.desc("file_id"))))
-    wide = wide.filter(F.col("k") > 1).agg(F.count(F.lit(1)).alias("all_count"), *[F.median(c).alias(f"all_{c}") for c in names])
-    j = latest.join(own, "project", "left").crossJoin(F.broadcast(wide))  # one row
+    j = m.filter("n = 1").join(own, "project", "left")
     mine = F.coalesce("own_count", F.lit(0)) >= least
     for c in names:
-        j = j.withColumn(f"base_{c}", F.when(mine, F.col(f"own_{c}")).otherwise(F.col(f"all_{c}")))
-    j = j.withColumn("base_count", F.when(mine, F.col("own_count")).otherwise(F.col("all_count")))
+        j = j.withColumn(f"base_{c}", F.when(mine, F.col(f"own_{c}")).otherwise(median_of(F.transform("before", lambda x: x[c].cast("double")))))  # noqa: B023
+    j = j.withColumn("base_count", F.when(mine, F.col("own_count")).otherwise(F.size("before").cast("long"))).withColumn("scope", F.when(mine, "project").otherwise("all"))
     enough = F.col("base_count") >= least
     return j.select(
-        "project", "file_id", *names, "base_count", *[f"base_{c}" for c in names],
+        "project", "file_id", *names, "scope", "base_count", *[f"base_{c}" for c in names],
         (enough & (F.col("tokens_per_turn") > F.col("base_tokens_per_turn") * 1.3)).alias("context_up"),
         (enough & (F.col("base_cache_hit_rate") >= 0.2) & (F.col("cache_hit_rate") < F.col("base_cache_hit_rate") - 0.15)).alias("cache_down"),
         (enough & (F.col("dup_tokens") > F.col("base_dup_tokens") * 2) & (F.col("dup_tokens") > 5000)).alias("rereads_up"),
     )
 
 
-def config_changes(snapshots: DataFrame, since: Column) -> DataFrame:
-    """Servers added and removed between the newest snapshot not after ``since`` (else the oldest) and the newest of all."""
-    s = snapshots.agg(F.max_by("servers", F.when(F.col("captured_at") <= since, F.col("captured_at"))).alias("then"), F.min_by("servers", "captured_at").alias("oldest"), F.max_by("servers", "captured_at").alias("now"))
-    then = F.coalesce("then", "oldest")
-    return s.select(F.array_sort(F.array_except("now", then)).alias("added"), F.array_sort(F.array_except(then, "now")).alias("removed"))
-
-
 def pressure(lines: DataFrame, window: int = 200_000) -> DataFrame:
-    """Context in use after the last usage line of each file, and its band."""
-    last = lines.groupBy("file_id").agg(F.max_by(F.col("input") + F.col("cache_read") + F.col("cache_write"), "line_no").alias("context"))
+    """Tokens in use after the last usage line of each file, its output included, and their band."""
+    used = F.col("input") + F.col("cache_read") + F.col("cache_write") + F.col("output")
+    last = lines.groupBy("file_id").agg(F.max_by(used, "line_no").alias("context"))
     share = F.col("context") / window
-    return last.withColumn("share", share).withColumn("band", F.when(share >= 0.9, "critical").when(share >= 0.7, "high").when(share >= 0.5, "moderate").otherwise("low"))
+    return last.withColumn("share", share).withColumn("band", F.when(share >= 0.9, "p90").when(share >= 0.7, "p70").when(share >= 0.5, "p50").otherwise("none"))
 
 
 def combined(sections: DataFrame) -> DataFrame:

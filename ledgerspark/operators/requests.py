@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 USAGE = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
 FIRST = ("model", "ts", "version", "entrypoint", "sidechain", "after_tool_result", "cache_split")
 
@@ -22,14 +24,13 @@ def request_key(message_id: Column, request_id: Column) -> Column:
 def merge_lines(lines: DataFrame) -> DataFrame:
     """One row per request of a file: the greatest of each usage field, all else from its first line.
 
-    Lines without a key are requests of their own. The aggregation is one shuffle by file; turns are then
-    numbered in the same partitioning, so no second shuffle is needed.
+    Lines without a key are requests of their own. Lines are combined before they are shuffled by request, so a giant
+    file spreads over many tasks; requests, which are fewer, are then numbered by file.
     """
     unit = F.coalesce(F.concat(F.lit("k"), F.col("request_key")), F.concat(F.lit("n"), F.col("line_no").cast("string")))
     firsts = [c for c in FIRST if c in lines.columns]
     merged = (
         lines.withColumn("unit", unit)
-        .repartition("file_id")
         .groupBy("file_id", "unit")
         .agg(
             F.min("line_no").alias("first_line"),
@@ -48,26 +49,32 @@ def sessions_of(requests: DataFrame) -> DataFrame:
     return requests.groupBy("file_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count(F.lit(1)).alias("n_turns"))
 
 
-def own_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+def own_requests(requests: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Cross-session deduplication: of the copies of a request, the earliest session's first one stays.
 
-    Sessions go by start, end (unknown ones last), number of requests and file. The request kept has the
+    Sessions go by start, end (unknown ones last), number of requests and file; without ``sessions`` these follow from the
+    requests, in windows over the partitioning in which turns were numbered. The request kept has the
     greatest of each usage field over all copies. A key that a third of all rows share is no problem for the
     first step (map-side aggregation by key); the owner then comes back by a join that AQE can split.
-    Rows without a key all stay. Turns are numbered anew.
+    Rows without a key all stay: each has a key of its own. Turns are numbered anew.
     """
-    placed = requests.join(sessions.select("file_id", "started_at", "ended_at", "n_turns"), "file_id")
+    if sessions is None:
+        file = W.partitionBy("file_id")
+        placed = requests.withColumns({"started_at": F.min("ts").over(file), "ended_at": F.max("ts").over(file), "n_turns": F.count(F.lit(1)).over(file)})
+    else:
+        placed = requests.join(sessions.select("file_id", "started_at", "ended_at", "n_turns"), "file_id")
     rank = F.struct(
         F.col("started_at").isNull().alias("a"), "started_at", F.col("ended_at").isNull().alias("b"), "ended_at", "n_turns", "file_id", "turn_idx"
     )
-    keyed = placed.filter("request_key is not null")
-    best = keyed.groupBy("request_key").agg(F.min(rank).alias("r"), *[F.max(c).alias(f"top_{c}") for c in USAGE])
-    best = best.select("request_key", F.col("r.file_id").alias("file_id"), F.col("r.turn_idx").alias("turn_idx"), *[f"top_{c}" for c in USAGE])
-    kept = keyed.drop(*USAGE).join(best, ["request_key", "file_id", "turn_idx"]).withColumnsRenamed({f"top_{c}": c for c in USAGE})
+    alone = F.struct(F.col("file_id").cast("string").alias("f"), F.col("turn_idx").cast("long").alias("t"))
+    placed = placed.withColumn("_key", F.struct(F.col("request_key").alias("k"), F.when(F.col("request_key").isNull(), alone).alias("alone")))
+    best = placed.groupBy("_key").agg(F.min(rank).alias("r"), *[F.max(c).alias(f"top_{c}") for c in USAGE])
+    best = best.select("_key", F.col("r.file_id").alias("_file"), F.col("r.turn_idx").alias("_turn"), *[f"top_{c}" for c in USAGE])
+    same = placed["_key"].eqNullSafe(best["_key"]) & (F.col("file_id") == F.col("_file")) & (F.col("turn_idx") == F.col("_turn"))
+    kept = placed.join(best, same).select(*[F.col(f"top_{c}").alias(c) if c in USAGE else c for c in requests.columns])
     some = sum((F.col(c) for c in USAGE[:4]), F.lit(0)) > 0
     kept = kept.withColumn("missing_usage", F.col("missing_usage") & ~some)
-    every = kept.unionByName(placed.filter("request_key is null").select(*kept.columns)).drop("started_at", "ended_at", "n_turns")
-    return every.withColumn("turn_idx", F.row_number().over(W.partitionBy("file_id").orderBy("turn_idx")) - 1)
+    return kept.withColumn("turn_idx", F.row_number().over(W.partitionBy("file_id").orderBy("turn_idx")) - 1)
 
 
 def dropped_requests(requests: DataFrame, kept: DataFrame) -> DataFrame:
@@ -88,19 +95,33 @@ def primary_model(requests: DataFrame) -> DataFrame:
     return by.groupBy("file_id").agg(F.max_by("model", F.struct("n", -F.col("first"))).alias("primary_model"), F.array_sort(F.collect_set("model")).alias("models"))
 
 
-def families(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _linked(edges: DataFrame, large: bool) -> DataFrame:
+    """One half round: each node's neighbours above it (large), or the lower ones (small), are tied to the least of them and it."""
+    both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low"))) if large else edges
+    least = both.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("m")).select("node", F.least("node", "m").alias("m"))
+    met = both.join(least, both["high"] == least["node"])
+    if large:
+        out = met.filter("low > node").select(F.col("low").alias("high"), F.col("m").alias("low"))
+    else:
+        out = met.select(F.col("low").alias("high"), F.col("m").alias("low")).unionByName(least.select(F.col("node").alias("high"), F.col("m").alias("low")))
+    return out.filter("high <> low").distinct()
+
+
+def families(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, family): connected components of lineage links (id, other); family is the least id.
 
-    Least labels spread along the links until none changes; each round is a join and an aggregation, and is
-    written to the checkpoint folder.
+    A half round ties each node to the least of its neighbours, first among larger, then among smaller ones, until every
+    node hangs on its family's least: a number of rounds that grows as the logarithm of the longest chain. Each is written to
+    the checkpoint folder; links that have not settled after ``rounds`` raise an error.
     """
-    both = edges.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(edges.select(F.col("other").alias("a"), F.col("id").alias("b"))).distinct()
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), F.col("l").alias("family"))
+    edges = edges.filter("id <> other").select(F.greatest("id", "other").alias("high"), F.least("id", "other").alias("low")).distinct()
+    before = None
     for _ in range(rounds):
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("family").alias("m"))
-        new = label.join(near, label["id"] == near["a"]).select("id", F.least("family", "m").alias("family"), (F.col("m") < F.col("family")).alias("moved"))
-        new = new.checkpoint(eager=True)
-        label = new.select("id", "family")
-        if not new.filter("moved").take(1):
+        edges = written(_linked(_linked(edges, True), False))
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-    return label
+        before = now
+    else:
+        raise RuntimeError(f"families did not settle in {rounds} rounds")
+    return edges.select(F.col("high").alias("id"), F.col("low").alias("family")).unionByName(edges.select(F.col("low").alias("id"), F.col("low").alias("family")).distinct())

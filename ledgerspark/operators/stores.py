@@ -35,10 +35,9 @@ def report_json(rows: DataFrame, name: str = "json") -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
-def badge(score: Column) -> Column:
-    """A badge of a score from 0 to 100 as JSON."""
-    color = F.when(score >= 80, "brightgreen").when(score >= 60, "yellow").otherwise("red")
-    return F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.concat(score.cast("int").cast("string"), F.lit("/100")).alias("message"), color.alias("color")))
+def badge(score: Column, tier: Column, color: Column, label: str) -> Column:
+    """A badge as JSON: the score and its tier."""
+    return F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(label).alias("label"), F.concat(score.cast("string"), F.lit(" \u00b7 "), tier).alias("message"), color.alias("color")))
 
 
 def rewrite_report(stats: DataFrame) -> DataFrame:

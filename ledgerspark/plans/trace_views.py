@@ -6,10 +6,14 @@ Each view has SQL of the same name in SQL_VIEWS for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 #: Price rows of the views: as_of, provider, model, input, output, cache_read, cache_write, cache_write_1h, long_over, and the long-prompt rates.
 PRICES = (
     ("1994-01-01", "a", "model-af", 3.0, 15.0, 0.3, 3.75, None, None, None, None, None, None, None),
@@ -54,8 +58,10 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     x = e.withColumn("call_idx", (F.row_number().over(order) - 1).cast("long"))
     name = F.when(F.col("event_type").isin("view", "click"), "Read").when(F.col("event_type") == "purchase", "Edit").when(F.col("event_type") == "signup", "Grep").otherwise("Bash")
-    path = F.concat(F.lit("/f/"), F.get_json_object("props", "$.k"))
-    return x.select(F.col("user_id").alias("file_id"), F.floor(F.col("call_idx") / 5).cast("long").alias("turn_idx"), "call_idx", name.alias("name"), path.alias("path"), path.alias("raw_path"), F.ceil("value").cast("long").alias("result_tokens"))
+    path = F.concat(F.lit("/f/"), F.get_json_object("props", "$.k"), F.element_at(F.array(*map(F.lit, (".py", ".md", ".tsx"))), (F.col("user_id") % 3 + 1).cast("int")))
+    pattern = F.when(name == "Grep", F.when(F.col("event_id") % 3 > 0, "x").otherwise(""))
+    command = F.when(name == "Bash", F.when(F.col("event_id") % 7 == 0, " rg x").otherwise("ls"))
+    return x.select(F.col("user_id").alias("file_id"), F.floor(F.col("call_idx") / 5).cast("long").alias("turn_idx"), "call_idx", name.alias("name"), path.alias("path"), path.alias("raw_path"), F.ceil("value").cast("long").alias("result_tokens"), pattern.alias("pattern"), command.alias("command"))
 
 
 def call_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +117,25 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_folder(spark: SparkSession, sf_dir: str, session: Column | None = None) -> str:
+    """lines() written as assistant logs, a file for each of 200 groups of customers, into the checkpoint folder; the folder's path."""
+    x = lines(spark, sf_dir).withColumn("session", session if session is not None else F.concat(F.lit("c"), (F.col("project") % 200).cast("string")))
+    key = F.split("request_key", r"\|")
+    tokens = F.struct(
+        F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), F.col("cache_write").alias("cache_creation_input_tokens"),
+        F.when(F.col("cache_split"), F.struct((F.col("cache_write") - F.col("cache_write_1h")).alias("ephemeral_5m_input_tokens"), F.col("cache_write_1h").alias("ephemeral_1h_input_tokens"))).alias("cache_creation"),
+    )
+    message = F.struct(key[0].alias("id"), "model", F.when(~F.col("missing_usage"), tokens).alias("usage"))
+    line = F.struct(
+        F.lit("assistant").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'00:00:00.000'Z'").alias("timestamp"), F.col("session").alias("sessionId"), F.concat(F.lit("/w/"), "session").alias("cwd"),
+        key[1].alias("requestId"), "version", "entrypoint", F.col("sidechain").alias("isSidechain"), message.alias("message"),
+    )
+    out = x.select("session", "file_id", "line_no", F.to_json(line).alias("value")).repartition("session").sortWithinPartitions("session", "file_id", "line_no")
+    path = f"{checkpoint_folder(spark)}/logs-{uuid.uuid4().hex}"
+    out.select("session", "value").write.partitionBy("session").text(path)
+    return path
+
+
 SQL_VIEWS = {
     "prices": "prices AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x) for x in r) + ")" for r in PRICES)
     + ") t(as_of, provider, model, p_input, p_output, p_cache_read, p_cache_write, p_cache_write_1h, long_over, l_input, l_output, l_cache_read, l_cache_write, l_cache_write_1h))",
@@ -122,9 +147,12 @@ SQL_VIEWS = {
  l_discount = 0 AS missing_usage, '2.1.' || (l_partkey % 12) AS version, CASE WHEN l_tax > 0.07 THEN 'sdk-cli' ELSE 'cli' END AS entrypoint, l_tax = 0 AS sidechain,
  l_linestatus = 'F' AS after_tool_result, l_suppkey % 2 = 0 AS cache_split
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "log_lines": """log_lines AS (SELECT 'c' || (project % 200) AS file_id, row_number() OVER (PARTITION BY project % 200 ORDER BY file_id, line_no) AS line_no, request_key, model, ts, version,
+ CASE WHEN missing_usage THEN 0 ELSE input END AS input, CASE WHEN missing_usage THEN 0 ELSE output END AS output, CASE WHEN missing_usage THEN 0 ELSE cache_read END AS cache_read,
+ CASE WHEN missing_usage THEN 0 ELSE cache_write END AS cache_write, CASE WHEN missing_usage OR NOT cache_split THEN 0 ELSE cache_write_1h END AS cache_write_1h, missing_usage FROM lines)""",
     "calls": """calls AS (SELECT user_id AS file_id, n // 5 AS turn_idx, n AS call_idx,
  CASE WHEN event_type IN ('view', 'click') THEN 'Read' WHEN event_type = 'purchase' THEN 'Edit' WHEN event_type = 'signup' THEN 'Grep' ELSE 'Bash' END AS name,
- '/f/' || json_extract_string(props, '$.k') AS path, CAST(ceil(value) AS BIGINT) AS result_tokens
+ '/f/' || json_extract_string(props, '$.k') || ['.py', '.md', '.tsx'][1 + user_id % 3] AS path, CAST(ceil(value) AS BIGINT) AS result_tokens, event_id
  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events))""",
     "turns": """turns AS (SELECT file_id, turn_idx, CAST(sum(result_tokens) * 7 AS BIGINT) AS input, max(result_tokens) * 11 AS output, CAST(sum(result_tokens) AS BIGINT) AS cache_read, min(result_tokens) * 13 AS cache_write
  FROM calls GROUP BY 1, 2)""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +19,20 @@ SETTINGS = {
 def build(master: str | None = None, **settings: str) -> SparkSession:
     b = SparkSession.builder.appName("ledgerspark").config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; only a local master that names none gets one of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerspark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there, where several steps use what is dear to compute."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -33,11 +33,11 @@ def projects_dir(env: dict[str, str], home: str) -> str:
     return f"{env.get('CLAUDE_CONFIG_DIR') or f'{home}/.claude'}/projects"
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, ending: str = "jsonl") -> DataFrame:
     """<root>/<project>/*.jsonl, one level deep, without observer folders."""
-    t = numbered_lines(spark, f"{root}/*/")
+    t = numbered_lines(spark, f"{root}/*/", glob=f"*.{ending}")
     parts = F.split("path", "/")
-    t = t.withColumn("project_hash", F.element_at(parts, -2)).withColumn("file_id", F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", ""))
+    t = t.withColumn("project_hash", F.element_at(parts, -2)).withColumn("file_id", F.regexp_replace(F.element_at(parts, -1), rf"\.{ending}$", ""))
     return t.filter(~F.col("project_hash").rlike(OBSERVERS))
 
 
@@ -106,8 +106,8 @@ def session_rows(p: DataFrame, requests: DataFrame) -> DataFrame:
     return s.join(primary_model(requests), "file_id", "left").join(n, "file_id", "left").withColumn("agent", F.lit(AGENT))
 
 
-def read(spark: SparkSession, root: str) -> Logs:
-    return from_lines(scan(spark, root))
+def read(spark: SparkSession, root: str, ending: str = "jsonl") -> Logs:
+    return from_lines(scan(spark, root, ending))
 
 
 def from_lines(lines: DataFrame) -> Logs:

@@ -14,7 +14,7 @@ from ..functions.shell import absolute, failed, patched_files, shell_read, unwra
 from ..functions.core import utf16_length
 from ..operators.requests import primary_model
 from .assistant_logs import Logs
-from .text_lines import count_at, filled, numbered_lines, present, text_at
+from .text_lines import count_at, file_listing, filled, numbered_lines, present, text_at, unreadable
 
 AGENT = "codex"
 TOTALS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
@@ -22,11 +22,17 @@ NAME = r"(rollout-.*\.jsonl)(\.zst)?$"
 
 
 def scan(spark: SparkSession, home: str) -> DataFrame:
-    """Both folders, all levels. Of one log's copies a plain file goes before a compressed one, a live one before an archived one."""
-    t = numbered_lines(spark, [f"{home}/sessions", f"{home}/archived_sessions"], glob="rollout-*.jsonl*", recursive=True, ignore_corrupt=True)
+    """Both folders (either may be missing), all levels. Of one log's copies a plain file goes before a compressed one, a live one before an archived one."""
+    t = numbered_lines(spark, f"{home}/{{,archived_}}sessions", glob="rollout-*.jsonl*", recursive=True, ignore_corrupt=True)
     return best_copies(t.withColumn("file_id", F.regexp_extract("path", NAME, 1)).filter("file_id <> ''"))
 
 
+def unreadable_files(spark: SparkSession, home: str) -> DataFrame:
+    """path, mtime, size of logs with bytes but without a line, such as truncated archives."""
+    folders = f"{home}/{{,archived_}}sessions"
+    return unreadable(file_listing(spark, folders, glob="rollout-*.jsonl*"), numbered_lines(spark, folders, glob="rollout-*.jsonl*", recursive=True, ignore_corrupt=True))
+
+
 def best_copies(lines: DataFrame) -> DataFrame:
     order = F.struct(F.col("path").endswith(".zst").alias("z"), F.col("path").contains("/archived_sessions/").alias("a"), "path")
     chosen = lines.groupBy("file_id").agg(F.min(order)["path"].alias("path"))
@@ -105,30 +111,28 @@ def requests_of(p: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def _shell(command: Column, workdir: Column, cwd: Column) -> Column:
-    """Array of calls that a shell command stands for: edits by patch, a read, or the command itself."""
-    base = F.when(workdir.isNotNull(), absolute(workdir, cwd)).otherwise(cwd)
-    files = F.when(command.rlike(r"^\s*(?:apply_patch|applypatch)\b") & command.contains("*** Begin Patch"), patched_files(command))
-    return F.when(F.size(files) > 0, _edits(files, base)).otherwise(_command(command, base))
-
-
-def _call(name, path=None, command=None, read=None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), F.coalesce(path, none).alias("raw_path") if path is not None else none.alias("raw_path"), (command if command is not None else none).alias("command"), (read if read is not None else none).alias("read_path"))
-
-
-def _edits(files: Column, base: Column) -> Column:
-    return F.transform(files, lambda f: _call("Edit", path=absolute(f, base)))
-
-
-def _command(command: Column, base: Column) -> Column:
-    read = shell_read(command)
-    place = absolute(read["path"], base)
-    return F.array(_call("Bash", command=command, read=F.when(read["range"].isNotNull(), F.concat(place, F.lit("#"), read["range"])).otherwise(place)))
+def _units(v: Column, args: Column) -> Column:
+    """What a call asks for, an array of (files patched, command, folder, name): a script may hold several commands."""
+    none = F.lit(None)
+    unit = lambda files=None, command=None, workdir=None, name=None: F.struct(*[(x if x is not None else none).cast(k).alias(n) for x, n, k in ((files, "files", "array<string>"), (command, "command", "string"), (workdir, "workdir", "string"), (name, "name", "string"))])
+    name, kind, argv, folder = F.col("name"), F.col("kind"), F.col("argv"), F.col("workdir")
+    is_call = kind == "function_call"
+    direct = F.when(F.try_element_at(argv, F.lit(1)).isin("apply_patch", "applypatch"), patched_files(F.try_element_at(argv, F.lit(2))))
+    command = F.coalesce(F.when(is_call & (name == "exec_command"), text_at(args, "$.cmd")), F.when(is_call & (name == "shell_command"), text_at(args, "$.command")), F.when(argv.isNotNull(), F.col("unwrapped")))
+    scripts = F.when((kind == "custom_tool_call") & (name == "exec"), F.filter(wrapped_commands(text_at(v, "$.payload.input")), lambda x: text_at(x, "$.cmd").isNotNull()))
+    patch = F.when(name == "apply_patch", patched_files(F.coalesce(text_at(v, "$.payload.input"), text_at(args, "$.input"), F.lit(""))))
+    return (
+        F.when(F.size(direct) > 0, F.array(unit(files=direct, workdir=folder))).when(command.isNotNull(), F.array(unit(command=command, workdir=folder)))
+        .when(F.size(scripts) > 0, F.transform(scripts, lambda x: unit(command=text_at(x, "$.cmd"), workdir=filled(x, "$.workdir")))).when(F.size(patch) > 0, F.array(unit(files=patch))).otherwise(F.array(unit(name=name)))
+    )
 
 
 def calls_of(p: DataFrame, meta: DataFrame, requests: DataFrame) -> DataFrame:
-    """Tool calls with the request that they belong to: the next one in the file, the last one for those at its end."""
+    """Tool calls with the request that they belong to: the next one in the file, the last one for those at its end.
+
+    Each step (arguments, units, files of a patch, paths) is a projection or an explode of its own, so that no
+    expression holds another one many times over.
+    """
     v = F.col("v")
     before = W.partitionBy("file_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     t = p.filter((F.col("type") == "turn_context") | ((F.col("type") == "response_item") & F.col("kind").isin("function_call", "custom_tool_call", "local_shell_call")))
@@ -136,23 +140,22 @@ def calls_of(p: DataFrame, meta: DataFrame, requests: DataFrame) -> DataFrame:
     t = t.join(meta.select("file_id", F.col("cwd").alias("own_cwd")), "file_id", "left").withColumn("cwd", F.coalesce("turn_cwd", "own_cwd"))
     t = t.withColumn("call_id", filled(v, "$.payload.call_id")).withColumn("n", F.row_number().over(W.partitionBy("file_id", "call_id").orderBy("line_no"))).filter(F.col("call_id").isNull() | (F.col("n") == 1))
     t = t.withColumn("name", F.coalesce(text_at(v, "$.payload.name"), F.col("kind"))).withColumn("args", F.when(F.col("kind") == "function_call", F.try_parse_json(text_at(v, "$.payload.arguments"))))
-    a, cwd = F.col("args"), F.col("cwd")
+    a = F.col("args")
     argv = F.coalesce(F.when(F.col("kind") == "local_shell_call", F.try_variant_get(v, "$.payload.action.command", "array<string>")), F.when((F.col("kind") == "function_call") & F.col("name").isin("shell", "container.exec"), F.try_variant_get(a, "$.command", "array<string>")))
-    t = t.withColumn("argv", argv)
-    workdir = F.coalesce(filled(v, "$.payload.action.working_directory"), filled(a, "$.workdir"))
-    is_call = F.col("kind") == "function_call"
-    command = F.coalesce(F.when(is_call & (F.col("name") == "exec_command"), text_at(a, "$.cmd")), F.when(is_call & (F.col("name") == "shell_command"), text_at(a, "$.command")), F.when(F.col("argv").isNotNull(), unwrapped(F.col("argv"))))
-    t = t.withColumn("command", command).withColumn("workdir", workdir)
-    direct = F.when(F.try_element_at("argv", F.lit(1)).isin("apply_patch", "applypatch"), patched_files(F.try_element_at("argv", F.lit(2))))
-    patch = F.when(F.col("name") == "apply_patch", patched_files(F.coalesce(text_at(v, "$.payload.input"), text_at(a, "$.input"), F.lit(""))))
-    scripts = F.when((F.col("kind") == "custom_tool_call") & (F.col("name") == "exec"), F.filter(wrapped_commands(text_at(v, "$.payload.input")), lambda x: text_at(x, "$.cmd").isNotNull()))
-    made = (
-        F.when(F.size(direct) > 0, _edits(direct, F.coalesce(absolute(F.col("workdir"), cwd), cwd))).when(F.col("command").isNotNull(), _shell(F.col("command"), F.col("workdir"), cwd))
-        .when(F.size(scripts) > 0, F.flatten(F.transform(scripts, lambda x: _shell(text_at(x, "$.cmd"), filled(x, "$.workdir"), cwd)))).when(F.size(patch) > 0, _edits(patch, cwd)).otherwise(F.array(_call(F.col("name"))))
-    )
-    c = t.select("file_id", "line_no", "call_id", F.posexplode(made).alias("pos", "c")).select("file_id", "line_no", "pos", "call_id", "c.*")
+    t = t.withColumn("argv", argv).withColumn("workdir", F.coalesce(filled(v, "$.payload.action.working_directory"), filled(a, "$.workdir")))
+    t = t.withColumn("unwrapped", unwrapped("argv"))
+    t = t.select("file_id", "line_no", "call_id", "cwd", F.posexplode(_units(v, a)).alias("nth", "unit"))
+    own = F.when(F.col("unit.command").rlike(r"^\s*(?:apply_patch|applypatch)\b") & F.col("unit.command").contains("*** Begin Patch"), patched_files(F.col("unit.command")))
+    t = t.select("file_id", "line_no", "call_id", "cwd", "nth", "unit", F.filter(F.coalesce("unit.files", own), lambda x: x.isNotNull()).alias("files"))
+    entry = lambda name, path, command: F.struct(name.alias("name"), path.cast("string").alias("path"), command.cast("string").alias("command"))
+    none = F.lit(None)
+    entries = F.when(F.size("files") > 0, F.transform("files", lambda f: entry(F.lit("Edit"), f, none))).otherwise(F.array(entry(F.coalesce("unit.name", F.lit("Bash")), none, F.col("unit.command"))))
+    t = t.select("file_id", "line_no", "call_id", "nth", F.coalesce(absolute("unit.workdir", "cwd"), "cwd").alias("base"), F.posexplode(entries).alias("inner", "e"))
+    t = t.select("file_id", "line_no", "call_id", (F.col("nth").cast("long") * 2**20 + F.col("inner")).alias("pos"), "base", "e.name", "e.command", absolute("e.path", "base").alias("raw_path"), shell_read("e.command").alias("read"))
+    place = F.when(F.col("read.range").isNotNull(), F.concat("place", F.lit("#"), "read.range")).otherwise(F.col("place"))
+    c = t.withColumn("place", absolute("read.path", "base")).select("file_id", "line_no", "pos", "call_id", "name", "raw_path", "command", place.alias("read_path"))
     # the request of a call: the first one after its line, else the file's last
-    marks = requests.select("file_id", F.col("first_line").alias("line_no"), F.lit(-1).alias("pos"), "turn_idx")
+    marks = requests.select("file_id", F.col("first_line").alias("line_no"), F.lit(-1).cast("long").alias("pos"), "turn_idx")
     both = c.withColumn("turn_idx", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
     ahead = W.partitionBy("file_id").orderBy("line_no", "pos").rowsBetween(0, W.unboundedFollowing)
     both = both.withColumn("turn", F.coalesce(F.first("turn_idx", ignorenulls=True).over(ahead), F.max("turn_idx").over(W.partitionBy("file_id"))))
@@ -162,10 +165,11 @@ def calls_of(p: DataFrame, meta: DataFrame, requests: DataFrame) -> DataFrame:
     text = F.coalesce(text_at(v, "$.payload.output"), F.array_join(F.transform(blocks, lambda x: F.coalesce(text_at(x, "$.text"), F.lit(""))), ""), F.lit(""))
     outs = p.filter((F.col("type") == "response_item") & F.col("kind").isin("function_call_output", "custom_tool_call_output")).select("file_id", "line_no", text_at(v, "$.payload.call_id").alias("call_id"), text.alias("out"))
     outs = outs.filter("call_id is not null").groupBy("file_id", "call_id").agg(F.min_by("out", "line_no").alias("out"))
+    outs = outs.select("file_id", "call_id", utf16_length(F.col("out")).alias("chars"), failed("out").alias("failed"))
     c = c.join(outs, ["file_id", "call_id"], "left")
-    good = F.col("read_path").isNotNull() & ~F.coalesce(failed(F.col("out")), F.lit(False))
+    good = F.col("read_path").isNotNull() & ~F.coalesce("failed", F.lit(False))
     once = F.row_number().over(W.partitionBy("file_id", "turn_idx", "call_id").orderBy("line_no", "pos"))
-    chars = F.when(F.col("call_id").isNotNull() & (once == 1), utf16_length(F.coalesce("out", F.lit("")))).otherwise(0)
+    chars = F.when(F.col("call_id").isNotNull() & (once == 1), F.coalesce("chars", F.lit(0))).otherwise(0)
     path = F.when(good, F.col("read_path")).otherwise(F.col("raw_path"))
     c = c.withColumn("name", F.when(good, F.lit("Read")).otherwise(F.col("name"))).withColumn("raw_path", path).withColumn("path", F.col("raw_path")).withColumn("result_tokens", F.ceil(chars / 4))
     c = c.withColumn("call_idx", F.row_number().over(W.partitionBy("file_id").orderBy("turn_idx", "line_no", "pos")) - 1)

@@ -15,10 +15,19 @@ READS = "session_id string, seq long, path string, decision string, reason strin
 KEPT = 200
 
 
-def merged_requests(lines: DataFrame) -> DataFrame:
-    """Streamed lines of a request as one row with the highest of each usage field, in update mode; lines without key go."""
+def merged_requests(lines: DataFrame, late: str | None = None) -> DataFrame:
+    """Streamed lines of a request as one row with the highest of each usage field, in update mode.
+
+    Lines without a key are requests of their own, told apart by line_no. With ``late``, lines have a timestamp ``ts``
+    and a request is forgotten when the watermark passes the day of its lines, so that state stays bounded.
+    """
     best = [F.max(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")]
-    return lines.filter("request_key is not null").groupBy("file_id", "request_key").agg(*best, F.count(F.lit(1)).alias("n_lines"))
+    own = F.when(F.col("request_key").isNull(), F.col("line_no"))
+    keyed = lines.withColumn("own_line", own)
+    keys = ["file_id", "request_key", "own_line"]
+    if late:
+        keyed, keys = keyed.withWatermark("ts", late), [*keys, F.window("ts", "1 day").alias("w")]
+    return keyed.groupBy(*keys).agg(*best, F.count(F.lit(1)).alias("n_lines")).drop("w")
 
 
 def daily_usage(requests: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -73,7 +82,7 @@ def read_decisions(reads: DataFrame, least: int = LEAST_TOKENS, refusal: int = R
 
 
 def newest_signals(signals: DataFrame, keep: int = KEPT) -> DataFrame:
-    """session_id, held, dropped: how many of the session's newest ``keep`` signals (session_id, at, signal) are held after each batch."""
+    """session_id, at, signal, rank (1: the newest): the session's newest ``keep`` signals (session_id, at, signal) after each batch that brings any."""
 
     def hold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, what = map(list, state.get) if state.exists else ([], [])
@@ -81,6 +90,6 @@ def newest_signals(signals: DataFrame, keep: int = KEPT) -> DataFrame:
             at, what = at + f["at"].tolist(), what + f["signal"].tolist()
         newest = sorted(zip(at, what, strict=True))[-keep:]
         state.update(([a for a, _ in newest], [w for _, w in newest]))
-        yield pd.DataFrame([(key[0], len(newest), len(at) - len(newest))], columns=["session_id", "held", "dropped"])
+        yield pd.DataFrame([(key[0], a, w, k) for k, (a, w) in enumerate(reversed(newest), 1)], columns=["session_id", "at", "signal", "rank"])
 
-    return signals.groupBy("session_id").applyInPandasWithState(hold, "session_id string, held long, dropped long", "at array<long>, signals array<string>", "update", GroupStateTimeout.NoTimeout)
+    return signals.groupBy("session_id").applyInPandasWithState(hold, "session_id string, at long, signal string, rank long", "at array<long>, signals array<string>", "update", GroupStateTimeout.NoTimeout)

@@ -150,7 +150,7 @@ def test_lm_model_grows_with_the_tokens():
     assert (lm.dictionary_size(1000), lm.table_bits(1000)) == (65_536, 22)
     for n in (1 << 28, 1 << 30, 3_000_000_000):
         assert lm.dictionary_size(4 * n) >= 1.99 * lm.dictionary_size(n) > 2 * 65_536
-        assert lm.table_bits(4 * n) == lm.table_bits(n) + 1 and 64 * lm.dictionary_size(n) <= 1 << lm.table_bits(n) < 128 * lm.dictionary_size(n)
+        assert lm.table_bits(4 * n) == lm.table_bits(n) + 1 and 32 * lm.dictionary_size(n) <= 1 << lm.table_bits(n) < 64 * lm.dictionary_size(n)
     code = context_mixing.Code([(b"a", 9), (b"b", 5)], 1, 1, np.ones(256), 24)
     assert all(len(t) == 2 << 24 for t in context_mixing.Counts(code).own)
 

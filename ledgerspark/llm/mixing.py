@@ -160,8 +160,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     # rows with one id, source and size get their parts by a number of their own
     same = ("doc_id", "source", "size")
     taken = taken.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("bucket", "nth"))).select(*same, "k", "parts")
-    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), "text", F.struct(*cols).alias("row"))
-    own = own.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("text"))).drop("text")
+    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("of_text"), F.struct(*cols).alias("row"))
+    own = own.withColumn("k", F.row_number().over(W.partitionBy(*same).orderBy("of_text")))  # by a hash: the text itself would be shuffled twice
     on = [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*same, "k")]
     out = own.alias("o").join(taken.alias("t"), on).select("o.row", "o.size", F.explode("t.parts").alias("part"))
     n = partitions(spark)

@@ -75,4 +75,36 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM pieces p LEFT JOIN drawn x ON p.source IS NOT DISTINCT FROM x.source AND x.rank = p.start // block AND p.e1 > p.start
 """
 
-SQL: dict[str, str] = {"op2_exact_top_k": TOP_K, "op3_quality_rules": QUALITY, "op4_url_filters": URLS, "op9_mixing_sources": MIX}
+KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def lloyd_round(k: int, by: str = "") -> str:
+    """Assignment to c{k} and the centroids c{k+1} after it; by: what besides the number tells centroids apart."""
+    same = " AND x.part = c.part" if by else ""
+    return f"""
+d{k} AS (SELECT {"x.part, " if by else ""}row, number, list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v) AS d FROM x JOIN c{k} c ON true{same}),
+a{k} AS (SELECT {by}row, arg_min(number, struct_pack(d := d, n := number)) AS number, CAST(min(d) AS BIGINT) AS distance FROM d{k} GROUP BY ALL),
+s{k} AS (SELECT {by}number, k, floor(CAST(sum(y) AS DOUBLE) / count(*)) AS y FROM (SELECT {by}number, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM a{k} JOIN x USING ({by}row)) GROUP BY ALL),
+c{k + 1} AS (SELECT {by}number, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT {by}number, list(y ORDER BY k) AS v FROM s{k} GROUP BY ALL) m USING ({by}number))"""
+
+
+CODES = f"""
+WITH q AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {KEPT})),
+x AS (SELECT row, part, v[part * w + 1 : part * w + w] AS v FROM (SELECT row, v, len(v) // 16 AS w, unnest(range(16)) AS part FROM q)),
+c0 AS (SELECT part, row - 1 AS number, v FROM x WHERE row <= 64),{lloyd_round(0, "part, ")},{lloyd_round(1, "part, ")},{lloyd_round(2, "part, ")},
+o AS (SELECT row, string_agg(lower(lpad(to_hex(number), 2, '0')), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error FROM a2 GROUP BY row),
+b AS (SELECT sha256(string_agg(CAST(y AS BIGINT), ',' ORDER BY part, number, k)) AS codebooks_sha256 FROM (SELECT part, number, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM c2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM q JOIN o USING (row), b
+"""
+
+CLUSTERS = f"""
+WITH x AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {KEPT} AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY place NULLS LAST, v) - 1 AS number, v FROM (SELECT sha256('1:' || vec_id) AS place, v FROM x ORDER BY place NULLS LAST, v LIMIT 16)),{lloyd_round(0)},{lloyd_round(1)},{lloyd_round(2)},{lloyd_round(3)},
+names AS (SELECT number, sha256(string_agg(CAST(y AS BIGINT), ',' ORDER BY k)) AS centroid_sha256 FROM (SELECT number, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM c3) GROUP BY number)
+SELECT vec_id, CAST(number AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM x JOIN a3 USING (row) JOIN names USING (number)
+"""
+
+SQL: dict[str, str] = {"op2_exact_top_k": TOP_K, "op3_quality_rules": QUALITY, "op4_url_filters": URLS, "op9_mixing_sources": MIX, "op11_vector_codes": CODES, "op13_centroid_clustering": CLUSTERS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import heap_lloyd, knn, langid, lm, mixing, quality, secret_scan, simhash, spiece, toxicity, url_rules, weighted_lloyd
+from . import heap_lloyd, knn, langid, lm, mixing, quality, secret_scan, simhash, spiece, toxicity, url_rules, weighted_lloyd, winnowing
 from .shared import table
 from .twins import SQL
 
@@ -58,12 +58,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_lloyd.codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_lloyd.clusters(weighted_lloyd.quantised(table(spark, sf_dir, "embeddings")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op6_toxicity, op7_secret_scans, op8_language_id, op9_mixing_sources, op10_lm_scoring, op11_vector_codes, op13_centroid_clustering)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_top_k, op3_quality_rules, op4_url_filters, op5_simhash_near_dedup, op6_toxicity, op7_secret_scans, op8_language_id, op9_mixing_sources, op10_lm_scoring, op11_vector_codes, op12_decontamination, op13_centroid_clustering)
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -99,6 +99,19 @@ b AS (SELECT sha256(string_agg(CAST(y AS BIGINT), ',' ORDER BY part, number, k))
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM q JOIN o USING (row), b
 """
 
+LEAKS = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {{words}} AS w FROM documents), i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {{words}} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, t, array_to_string(w[s + 1 : s + t], ' ') AS words FROM (SELECT item, w, least(len(w), 10) AS t, unnest(range(len(w) - least(len(w), 10) + 1)) AS s FROM i WHERE len(w) > 0)),
+stretches AS (
+  SELECT row, t, s, array_to_string(w[s + 1 : s + t], ' ') AS words FROM (SELECT row, w, t, unnest(range(len(w) - t + 1)) AS s FROM d, (SELECT DISTINCT t FROM windows) WHERE len(w) >= t)),
+met AS (SELECT row, t, s, item FROM stretches JOIN windows USING (t, words)),
+hit AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(s, s + t)) AS k FROM met) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT row, item FROM met) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+""".format(words=rf"list_filter(string_split_regex({ASCII_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')")
+
 CLUSTERS = f"""
 WITH x AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {KEPT} AND len(embedding) = 64),
 c0 AS (SELECT row_number() OVER (ORDER BY place NULLS LAST, v) - 1 AS number, v FROM (SELECT sha256('1:' || vec_id) AS place, v FROM x ORDER BY place NULLS LAST, v LIMIT 16)),{lloyd_round(0)},{lloyd_round(1)},{lloyd_round(2)},{lloyd_round(3)},
@@ -107,4 +120,4 @@ SELECT vec_id, CAST(number AS INTEGER) AS cluster, distance, CAST(sum(distance)
 FROM x JOIN a3 USING (row) JOIN names USING (number)
 """
 
-SQL: dict[str, str] = {"op2_exact_top_k": TOP_K, "op3_quality_rules": QUALITY, "op4_url_filters": URLS, "op9_mixing_sources": MIX, "op11_vector_codes": CODES, "op13_centroid_clustering": CLUSTERS}
+SQL: dict[str, str] = {"op2_exact_top_k": TOP_K, "op3_quality_rules": QUALITY, "op4_url_filters": URLS, "op9_mixing_sources": MIX, "op11_vector_codes": CODES, "op12_decontamination": LEAKS, "op13_centroid_clustering": CLUSTERS}

@@ -3,8 +3,16 @@
 readings: at, session_id, limit_id, plan_type, window_minutes, used_percent, resets_at (times in ms).
 requests: at, session_id, cwd, model, tokens.
 
-Periods are an ordered fold, so each window's readings stream through one task in time order with constant
-state; all that follows is keyed by period. Requests meet periods through day buckets, not a range join.
+Whether a reading opens a period depends on the reset and the percent that its limit has reached, so periods are a fold in
+time order, and what a stretch of readings does to later ones is all in that state. So readings are cut into segments of
+``SEGMENT_MS``, and all segments are folded at once, each from the state it is believed to start in. What a segment does to
+a state is summed up in one row: its greatest reset (a state far beyond it passes through), its first reading (which tells
+whether it goes on with the period before), the reset it ends with and the greatest percent since it last opened a period.
+Composing these rows in order of time gives every segment's start; segments that had been folded from another start are
+folded again, until none is left. A reading that is accepted sets the reset whatever came before, so the second time is mostly
+the last. Only the rows that sum up segments are ordered by limit; period numbers follow from sums over them.
+
+All that follows is keyed by period. Requests meet periods through buckets of an hour, not a range join.
 """
 
 from __future__ import annotations
@@ -17,36 +25,96 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import last_segment, median_of, round_half_up
+from ..session import stored, written
 
-EARLY_MS, MINUTE_MS, DAY_MS = 15 * 60_000, 60_000, 86_400_000
+EARLY_MS, MINUTE_MS, HOUR_MS, SEGMENT_MS = 15 * 60_000, 60_000, 3_600_000, 86_400_000
 REVIEW_MODEL = "codex-auto-review"
 KEY = ["limit_id", "window_minutes"]
-POINTS = "limit_id string, window_minutes long, period int, at long, used_percent double, resets_at long, plan_type string"
+SEGMENT = [*KEY, "segment"]
+#: Accepted readings: nth within the segment, how many periods the segment has opened so far, the reading's own percent, and the state after it.
+FOLDED = "limit_id string, window_minutes long, segment long, nth long, opened long, at long, percent double, used_percent double, resets_at long, plan_type string"
+STARTS = "limit_id string, window_minutes long, segment long, start_reset long, start_used double, periods_before long"
+
+
+def opens(minutes: int, at: int, percent: float, resets: int, reset: int | None, used: float) -> bool | None:
+    """Whether a reading opens a period when the limit stands at (reset, used); null if it is passed over, as it tells of an earlier window."""
+    if reset is None:
+        return True
+    later = resets - reset
+    if later < -EARLY_MS:
+        return None
+    dropped = later > EARLY_MS and percent < used
+    return at > reset or dropped or abs(later) > max(EARLY_MS, minutes * MINUTE_MS // 100)
 
 
 def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Readings in order of window and time -> accepted readings with period number and running greatest percent."""
-    key, period, reset, used = None, 0, 0, 0.0
+    """Readings sorted by segment and time, each with its segment's first state (start_reset, start_used) -> FOLDED."""
+    names = ("limit_id", "window_minutes", "segment", "at", "used_percent", "resets_at", "plan_type", "start_reset", "start_used")
+    last, reset, used, nth, opened = None, None, 0.0, 0, 0
     for f in frames:
         out = []
-        for limit, minutes, at, percent, resets, plan in zip(f["limit_id"], f["window_minutes"], f["at"], f["used_percent"], f["resets_at"], f["plan_type"], strict=True):
-            if (limit, minutes) != key:
-                key, period, reset, used = (limit, minutes), -1, 0, 0.0
-            if period >= 0 and reset - resets > EARLY_MS:
+        for limit, minutes, segment, at, percent, resets, plan, start, start_used in zip(*[f[n] for n in names], strict=True):
+            if (limit, minutes, segment) != last:
+                last, nth, opened = (limit, minutes, segment), 0, 0
+                reset, used = (None, 0.0) if pd.isna(start) else (int(start), start_used)
+            new = opens(minutes, at, percent, resets, reset, used)
+            if new is None:
                 continue
-            shift = resets - reset
-            if period < 0 or abs(shift) > max(EARLY_MS, minutes * MINUTE_MS // 100) or at > reset or (shift > EARLY_MS and percent < used):
-                period, used = period + 1, percent
-            reset, used = resets, max(used, percent)
-            out.append((limit, minutes, period, at, used, resets, plan))
-        yield pd.DataFrame(out, columns=["limit_id", "window_minutes", "period", "at", "used_percent", "resets_at", "plan_type"])
-
-
-def points(readings: DataFrame) -> DataFrame:
-    """Accepted readings; those after their own reset are stale and go first."""
-    fresh = readings.filter("at <= resets_at").select("limit_id", F.col("window_minutes").cast("long"), "at", F.col("used_percent").cast("double"), "resets_at", "plan_type", "session_id")
-    fresh = fresh.repartition(*KEY).sortWithinPartitions(*KEY, "at", "resets_at", "used_percent", "session_id")
-    return fresh.mapInPandas(fold, POINTS)
+            reset, used = resets, percent if new else max(used, percent)
+            nth, opened = nth + 1, opened + new
+            out.append((limit, minutes, segment, nth, opened, at, percent, used, reset, plan))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in FOLDED.split(", ")])
+
+
+def folded(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """FOLDED of the segments in starts."""
+    some = rows.join(starts, SEGMENT)
+    return some.repartition(*SEGMENT).sortWithinPartitions(*SEGMENT, "at", "resets_at", "used_percent", "session_id").mapInPandas(fold, FOLDED)
+
+
+def composed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    """STARTS of a limit's segments, from the rows that sum them up. A segment that was folded from the start it gets here ends as it did; of others, the end is a forecast."""
+    reset, used, before, out = None, 0.0, 0, []
+    for x in f.sort_values("segment").itertuples(index=False):
+        out.append((*key, x.segment, reset, used, before))
+        none = pd.isna(x.end_reset)
+        if (None if pd.isna(x.start_reset) else int(x.start_reset), x.start_used) == (reset, used):
+            reset, used, before = (reset, used, before) if none else (int(x.end_reset), x.end_used, before + int(x.opened))
+        elif not none and (reset is None or reset - x.most_reset <= EARLY_MS):
+            goes_on = not x.later and opens(key[1], x.first_at, x.first_percent, x.first_reset, reset, used) is False
+            reset, used, before = int(x.end_reset), max(used, x.own) if goes_on else x.own, before + int(x.opened)
+    return pd.DataFrame(out, columns=[x.split()[0] for x in STARTS.split(", ")]).astype({"start_reset": "Int64"})
+
+
+def summed_up(segments: DataFrame, starts: DataFrame, done: DataFrame) -> DataFrame:
+    """A row for each segment: its first reading and greatest reset, the start from which it was last folded, and how it ended then."""
+    last = W.partitionBy(*SEGMENT)
+    own = done.withColumns({"all": F.max("opened").over(last), "first": F.min("opened").over(last)})
+    ends = own.groupBy(*SEGMENT).agg(
+        F.max_by("resets_at", "nth").alias("end_reset"), F.max_by("used_percent", "nth").alias("end_used"), F.max(F.when(F.col("opened") == F.col("all"), F.col("percent"))).alias("own"),
+        F.max("opened").alias("opened"), (F.max("all") > F.max("first")).alias("later"),
+    )
+    return segments.join(starts.select(*SEGMENT, "start_reset", "start_used"), SEGMENT).join(ends, SEGMENT, "left")
+
+
+def points(readings: DataFrame, segment_ms: int = SEGMENT_MS) -> DataFrame:
+    """Accepted readings with their period, counted from 0, and the running greatest percent; those after their own reset are stale and go first."""
+    rows = readings.filter("at <= resets_at").select("limit_id", F.col("window_minutes").cast("long"), F.floor(F.col("at") / segment_ms).alias("segment"), "at", F.col("used_percent").cast("double"), "resets_at", "plan_type", "session_id")
+    rows = written(rows)
+    first = F.min(F.struct("at", "resets_at", "used_percent"))
+    segments = written(rows.groupBy(*SEGMENT).agg(F.max("resets_at").alias("most_reset"), first["at"].alias("first_at"), first["resets_at"].alias("first_reset"), first["used_percent"].alias("first_percent")))
+    starts = segments.select(*SEGMENT, F.lit(None).cast("long").alias("start_reset"), F.lit(0.0).alias("start_used"))
+    done = stored(folded(rows, starts))
+    while True:
+        now = stored(summed_up(segments, starts, done).groupBy(*KEY).applyInPandas(composed, STARTS))
+        was = starts.select(*SEGMENT, F.struct("start_reset", "start_used").alias("was"))
+        wrong = stored(now.join(was, SEGMENT).filter(~F.struct("start_reset", "start_used").eqNullSafe(F.col("was"))).drop("was", "periods_before"))
+        if wrong.isEmpty():
+            break
+        done = stored(done.join(wrong.select(*SEGMENT), SEGMENT, "left_anti").unionByName(folded(rows, wrong)))
+        starts = now
+    period = (F.col("periods_before") + F.col("opened") - 1).cast("int").alias("period")
+    return done.join(now.select(*SEGMENT, "periods_before"), SEGMENT).select(*KEY, period, "at", "used_percent", "resets_at", "plan_type")
 
 
 def periods(pts: DataFrame) -> DataFrame:
@@ -61,11 +129,11 @@ def periods(pts: DataFrame) -> DataFrame:
 
 
 def in_periods(requests: DataFrame, pers: DataFrame) -> DataFrame:
-    """requests with tokens in (start, newest reading] of each period; joined by day, so no nested loops."""
-    days = pers.withColumn("day", F.explode(F.sequence(F.floor(F.col("started_at") / DAY_MS), F.floor(F.col("newest_at") / DAY_MS))))
-    r = requests.filter("tokens > 0").withColumn("day", F.floor(F.col("at") / DAY_MS))
-    met = r.join(days.select(*KEY, "period", "day", "started_at", "newest_at"), "day")
-    return met.filter((F.col("at") > F.col("started_at")) & (F.col("at") <= F.col("newest_at"))).drop("day", "started_at", "newest_at")
+    """requests with tokens in (start, newest reading] of each period; joined by the hour, so no nested loops and no key as large as a day."""
+    hours = pers.withColumn("hour", F.explode(F.sequence(F.floor(F.col("started_at") / HOUR_MS), F.floor(F.col("newest_at") / HOUR_MS))))
+    r = requests.filter("tokens > 0").withColumn("hour", F.floor(F.col("at") / HOUR_MS))
+    met = r.join(hours.select(*KEY, "period", "hour", "started_at", "newest_at"), "hour")
+    return met.filter((F.col("at") > F.col("started_at")) & (F.col("at") <= F.col("newest_at"))).drop("hour", "started_at", "newest_at")
 
 
 def rises(pts: DataFrame) -> DataFrame:

@@ -50,12 +50,28 @@ def prices_on(prices: DataFrame, day: Column, undated: tuple[str, ...] = ()) ->
     return calendar(prices, undated).filter((F.col("valid_from") <= day) & (day < F.col("valid_to"))).select(*prices.columns)
 
 
-def price_file(spark: SparkSession, path: str, provider: str) -> DataFrame:
-    """Price rows from dated JSON files: {"as_of": "...", "models": {name: {rate: dollars a million tokens, ...}}}."""
-    rates = ", ".join(f"{r} double" for r in (*RATES, "long_over", *(f"long_{r}" for r in RATES)))
-    t = spark.read.schema(f"as_of string, models map<string, struct<{rates.replace(' double', ': double')}>>").option("multiLine", True).json(path)
-    t = t.select(F.to_date("as_of").alias("as_of"), F.lit(provider).alias("provider"), F.explode("models").alias("model", "r"))
-    return t.select("as_of", "provider", "model", "r.*").withColumn("long_over", F.col("long_over").cast("long"))
+#: The names of the rates in price files. All but the last must be there.
+IN_FILES = {"input": "input_per_mtok", "output": "output_per_mtok", "cache_read": "cache_read_per_mtok", "cache_write": "cache_creation_per_mtok", "cache_write_1h": "cache_creation_1h_per_mtok"}
+NEEDED = RATES[:4]
+UNDATED = ("openai",)
+
+
+def price_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Price rows from dated JSON files: {"as_of": day, "models": {name: {rate: dollars a million tokens, "long_prompt": {"over_tokens": n, rate: ...}}}}.
+
+    A file whose name (or folder's name) is a date with ``openai-`` before it is that provider's, any other the agent's own.
+    A row, or a long_prompt, without one of the four needed rates is an error: its model would cost nothing.
+    """
+    rates = ", ".join(f"{x}: double" for x in IN_FILES.values())
+    t = spark.read.schema(f"as_of string, models map<string, struct<{rates}, long_prompt: struct<over_tokens: double, {rates}>>>").option("multiLine", True).json(paths)
+    provider = F.when(F.col("_metadata.file_path").rlike(r"[/=]openai-\d{4}-\d{2}-\d{2}[^/]*(/[^/]*)?$"), "openai").otherwise("anthropic")
+    t = t.select(F.to_date("as_of").alias("as_of"), provider.alias("provider"), F.explode("models").alias("model", "r"))
+    long = F.col("r.long_prompt")
+    lacks = lambda x: F.greatest(*[x[IN_FILES[k]].isNull() for k in NEEDED])
+    bad = lacks(F.col("r")) | (long.isNotNull() & (lacks(long) | long["over_tokens"].isNull()))
+    first = F.when(bad, F.raise_error(F.concat(F.lit("a price row lacks rates: "), F.col("model"))).cast("double")).otherwise(F.col(f"r.{IN_FILES['input']}"))
+    own = [first.alias("input"), *[F.col(f"r.{IN_FILES[k]}").alias(k) for k in RATES[1:]]]
+    return t.select("as_of", "provider", "model", *own, long["over_tokens"].cast("long").alias("long_over"), *[long[IN_FILES[k]].alias(f"long_{k}") for k in RATES])
 
 
 def cost(price: Column) -> Column:
@@ -75,7 +91,7 @@ def cost(price: Column) -> Column:
 def priced(requests: DataFrame, prices: DataFrame, aliases: DataFrame | None = None, day: Column | None = None) -> DataFrame:
     """requests with price and usd (0 without a price) and priced (whether there is one).
 
-    A model's row is the one of its name, else of what its alias names, else of its name without a date at the
+    A price is there if its four needed rates are. A model's row is the one of its name, else of what its alias names, else of its name without a date at the
     end. With ``day`` (of the session), prices is a calendar() and each request meets the table of its day. Price rows are
     the small side of each join; requests are neither counted nor shuffled.
     """
@@ -94,7 +110,10 @@ def priced(requests: DataFrame, prices: DataFrame, aliases: DataFrame | None = N
             on = on & (F.col("_day") >= F.col(f"_valid_from{k}")) & (F.col("_day") < F.col(f"_valid_to{k}"))
         out = out.join(p, on, "left")
     out = out.withColumn("price", F.coalesce(*[f"_r{k}" for k in range(len(names))])).select(*requests.columns, "price")
-    return out.withColumn("usd", F.coalesce(cost(F.col("price")), F.lit(0.0))).withColumn("priced", F.col("price").isNotNull())
+    has = F.col("price").isNotNull()
+    for k in NEEDED:
+        has = has & F.col(f"price.{k}").isNotNull()
+    return out.withColumn("usd", F.coalesce(cost(F.col("price")), F.lit(0.0))).withColumn("priced", has)
 
 
 def total_tokens() -> Column:

@@ -6,6 +6,8 @@ are rows too; medians and slopes follow the definitions of the reports, not thos
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,11 @@ def trend_days(text: str) -> int:
     return int(text[:-1]) * unit
 
 
+def trend_window(text: str, today: Column) -> tuple[Column, Column]:
+    """First and last day of a trend window."""
+    return F.date_sub(today, trend_days(text)), today
+
+
 def in_window(sessions: DataFrame, since: Column, until: Column) -> DataFrame:
     return sessions.filter((F.col("started_at") >= since) & (F.col("started_at") < until))
 
@@ -94,19 +101,37 @@ def savings(sessions: DataFrame, price: Column) -> DataFrame:
 # -- trend -----------------------------------------------------------------------------------------------
 
 
-def trend(sessions: DataFrame, numerator: Column, denominator: Column, better: str = "up") -> DataFrame:
-    """One row: points, median, slope and verdict of a daily ratio, over days that have sessions.
+#: Metrics of a trend, each the sum of one column over that of another (null: over sessions), and which way is better; statuses and bounds.
+METRICS = {"output-ratio": ("output", "total_tokens", "up"), "cost-per-session": ("usd", None, "down"), "recoverable-tokens-per-session": ("dup_tokens", None, "down")}
+TOO_FEW, STABLE, BETTER, WORSE = "insufficient-data", "stable", "improving", "regressing"
+LEAST_DAYS, FLAT = 5, 0.001
+
+
+def trend_series(sessions: DataFrame, metric: str, since: Column, until: Column) -> DataFrame:
+    """day, sessions, numerator, denominator, value for every day from since to until, both included; days without sessions have zeros."""
+    over, under, _ = METRICS[metric]
+    by = sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum(over).cast("double").alias("numerator"), (F.sum(under) if under else F.count(F.lit(1))).cast("double").alias("denominator"))
+    days = sessions.sparkSession.range(1).select(F.explode(F.sequence(since, until, F.expr(DAY))).alias("day"))
+    out = days.join(by, "day", "left").fillna(0, ["sessions", "numerator", "denominator"])
+    return out.withColumn("value", F.when(F.col("denominator") > 0, F.col("numerator") / F.col("denominator")).otherwise(F.lit(0.0)))
+
+
+def trend(series: DataFrame, metric: str) -> DataFrame:
+    """One row: metric, points (days with sessions), median, slope and verdict over these days of a trend_series().
 
-    The slope's x is the ordinal of the day among those days, not its date.
+    The slope's x is the ordinal of the day among the days with sessions, not its date.
     """
-    by = sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.sum(numerator).alias("num"), F.sum(denominator).alias("den"))
-    by = by.withColumn("value", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.lit(0.0)))
-    by = by.withColumn("x", F.row_number().over(W.orderBy("day")) - 1)  # one row per day
-    out = by.agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.median("value"), F.lit(0.0)).alias("median"), F.regr_slope("value", "x").alias("raw"))
-    out = out.withColumn("slope", F.when(F.col("points") < 5, F.lit(0.0)).otherwise(F.coalesce("raw", F.lit(0.0)))).drop("raw")
-    good = F.col("slope") > 0 if better == "up" else F.col("slope") < 0
-    verdict = F.when(F.col("points") < 5, "insufficient-data").when(F.abs("slope") < 0.001, "stable").when(good, "improving").otherwise("worsening")
-    return out.withColumn("verdict", verdict)
+    some = series.filter("sessions > 0").withColumn("x", F.row_number().over(W.orderBy("day")) - 1)  # one row per day
+    out = some.agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.median("value"), F.lit(0.0)).alias("median"), F.regr_slope("value", "x").alias("raw"))
+    out = out.withColumn("slope", F.when(F.col("points") < LEAST_DAYS, F.lit(0.0)).otherwise(F.coalesce("raw", F.lit(0.0))))
+    good = F.col("slope") > 0 if METRICS[metric][2] == "up" else F.col("slope") < 0
+    verdict = F.when(F.col("points") < LEAST_DAYS, TOO_FEW).when(F.abs("slope") < FLAT, STABLE).when(good, BETTER).otherwise(WORSE)
+    return out.select(F.lit(metric).alias("metric"), "points", "median", "slope", verdict.alias("verdict"))
+
+
+def trends(sessions: DataFrame, since: Column, until: Column, metrics: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
+    """trend() of each metric."""
+    return reduce(DataFrame.unionByName, [trend(trend_series(sessions, m, since, until), m) for m in metrics])
 
 
 def downsample(points: DataFrame, width: int) -> DataFrame:
@@ -131,6 +156,16 @@ def today_block(sessions: DataFrame, day: Column) -> DataFrame:
     return out.withColumn("output_ratio_pct", F.when(F.col("total_tokens") > 0, F.col("output") / F.col("total_tokens") * 100).otherwise(F.lit(0.0)))
 
 
+def today_top_leak(sessions: DataFrame, duplicates: DataFrame, day: Column) -> DataFrame:
+    """At most one row: the file whose repeated reads cost a session of the day most; path, re_reads (all its reads but the first) and usd.
+
+    duplicates: file_id, path, reads, wasted_tokens, usd (what the repeats cost): a session's dearest one stands for it. Of
+    equals the first session by start and file is taken, and in it the first path.
+    """
+    own = sessions.filter(F.to_date("started_at") == day).select("file_id", "started_at")
+    return duplicates.filter("reads > 1").join(own, "file_id").orderBy(F.desc("usd"), "started_at", "file_id", "path").limit(1).select("file_id", "path", (F.col("reads") - 1).alias("re_reads"), "usd")
+
+
 def today_baseline(sessions: DataFrame, first: Column) -> DataFrame:
     """Medians over the days that have sessions: dollars, tokens, and the mean of the sessions' output ratios."""
     ratio = F.when(F.col("total_tokens") > 0, F.col("output") / F.col("total_tokens")).otherwise(F.lit(0.0))

@@ -35,9 +35,14 @@ def report_json(rows: DataFrame, name: str = "json") -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
+#: Fixed values of a badge.
+LOGO, LABEL_COLOR = "github", "#0B0E0E"
+
+
 def badge(score: Column, tier: Column, color: Column, label: str) -> Column:
     """A badge as JSON: the score and its tier."""
-    return F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(label).alias("label"), F.concat(score.cast("string"), F.lit(" \u00b7 "), tier).alias("message"), color.alias("color")))
+    message = F.concat(score.cast("string"), F.lit(" \u00b7 "), tier).alias("message")
+    return F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(label).alias("label"), message, color.alias("color"), F.lit(LOGO).alias("namedLogo"), F.lit(LABEL_COLOR).alias("labelColor")))
 
 
 def rewrite_report(stats: DataFrame) -> DataFrame:

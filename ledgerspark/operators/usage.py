@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import project_name
 from ..session import written
-from ..sources.assistant_logs import Logs
+from ..sources.usage_cache import Logs
 from .pricing import calendar, priced
 from .requests import own_requests, prior_reads
 from .summary import session_summary

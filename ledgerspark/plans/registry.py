@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, reports, requests, stores, usage
-from ..sources import assistant_logs
+from ..session import checkpoint_folder
+from ..sources import assistant_logs, usage_cache
 from . import trace_views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,10 +128,15 @@ def context_pressure(spark, d):
     return reports.pressure(v.lines(spark, d)).select("file_id", "context", r("share", 6), "band")
 
 
-@query("""SELECT provider, model, as_of, p_input AS input FROM prices p WHERE as_of = (SELECT max(as_of) FROM prices q WHERE q.provider = p.provider AND q.as_of <= '1997-03-10')
- UNION ALL SELECT provider, model, as_of, p_input FROM prices WHERE as_of = '1996-06-01' AND model NOT IN (SELECT model FROM prices WHERE as_of = '1996-06-01')""", "prices")
+@query("""newest AS (SELECT provider, max(as_of) AS a FROM price_rows GROUP BY 1), held AS (SELECT coalesce(max(CASE WHEN as_of <= '1997-03-10' THEN as_of END), min(as_of)) AS a FROM price_rows WHERE provider = 'anthropic'),
+own AS (SELECT * FROM price_rows WHERE provider = 'anthropic' AND as_of = (SELECT a FROM held)),
+filled AS (SELECT * FROM own UNION ALL SELECT p.* FROM price_rows p JOIN newest n ON p.provider = n.provider AND as_of = a WHERE p.provider = 'anthropic' AND model NOT IN (SELECT model FROM own)),
+every AS (SELECT * FROM filled UNION ALL SELECT p.* FROM price_rows p JOIN newest n ON p.provider = n.provider AND as_of = a WHERE p.provider = 'openai' AND model NOT IN (SELECT model FROM filled))
+SELECT provider, model, as_of, s * 0.5 AS input, s * 2.5 AS output, s * 0.0625 AS cache_read, s * 0.625 AS cache_write, CASE WHEN s % 2 = 0 THEN s END AS cache_write_1h, CAST(CASE WHEN s > 45 THEN 60000 END AS DOUBLE) AS long_over, CASE WHEN s > 45 THEN s END AS long_input, CASE WHEN s > 45 AND s % 2 = 0 THEN s * 2 END AS long_cache_write_1h FROM every""", "price_rows")
 def prices_as_of(spark, d):
-    return pricing.prices_on(v.prices(spark), day()).select("provider", "model", F.col("as_of").cast("string").alias("as_of"), "input")
+    """Price files written from part, read again, and the rows that hold on a day."""
+    held = pricing.prices_on(pricing.price_files(spark, v.price_folder(spark, d) + "/*/*"), day(), pricing.UNDATED)
+    return held.select("provider", "model", F.col("as_of").cast("string").alias("as_of"), "input", "output", "cache_read", "cache_write", "cache_write_1h", F.col("long_over").cast("double").alias("long_over"), "long_input", "long_cache_write_1h")
 
 
 # -- from logs to sessions -----------------------------------------------------------------------------------
@@ -156,6 +164,19 @@ def log_session_facts(spark, d):
     return f.select("session_id", F.substring("started_at", 1, 10).alias("day"), "input", "output", (F.col("cache_read") + F.col("cache_write")).alias("cached"), r("usd", 8), "n_requests")
 
 
+@query(SQL["log_session_facts"])
+def cached_session_facts(spark, d):
+    """log_session_facts from the usage cache, filled by one run and read by a second, which opens no log."""
+    source = assistant_logs.cached(spark, v.log_folder(spark, d), ending="txt", key="project_hash")
+    cache = f"{checkpoint_folder(spark)}/usage-{uuid.uuid4().hex}"
+    usage_cache.load(spark, cache, source)
+    loaded = usage_cache.load(spark, cache, source)
+    if loaded.read:
+        raise RuntimeError(f"{loaded.read} unchanged logs were read again")
+    f = usage.session_facts(loaded.logs, v.prices(spark)).join(loaded.reported, "file_id", "left_semi")
+    return f.select("session_id", F.substring("started_at", 1, 10).alias("day"), "input", "output", (F.col("cache_read") + F.col("cache_write")).alias("cached"), r("usd", 8), "n_requests")
+
+
 # -- calls -------------------------------------------------------------------------------------------------
 
 
@@ -255,10 +276,28 @@ def stats_savings(spark, d):
     return reports.savings(_window(spark, d), price).select("dup_tokens", "idle_tokens", "cache_write", r("dup_usd", 6), r("idle_usd", 6), r("write_usd", 6), r("total_usd", 5))
 
 
-@query("""d AS (SELECT day, CASE WHEN den > 0 THEN num / den ELSE 0 END AS value, row_number() OVER (ORDER BY day) - 1 AS x FROM (SELECT CAST(started_at AS DATE) AS day, sum(output) * 1.0::DOUBLE AS num, sum(n_requests) AS den FROM sessions GROUP BY 1))
-SELECT count(*) AS points, round(median(value), 6) AS median, round(regr_slope(value, x), 6) AS slope, CASE WHEN count(*) < 5 THEN 'insufficient-data' WHEN abs(regr_slope(value, x)) < 0.001 THEN 'stable' WHEN regr_slope(value, x) > 0 THEN 'improving' ELSE 'worsening' END AS verdict FROM d""", "sessions")
+TREND = """days AS (SELECT CAST(unnest(generate_series(DATE '1996-03-15', DATE '1997-03-10', INTERVAL 1 DAY)) AS DATE) AS day),
+own AS (SELECT CAST(started_at AS DATE) AS day, count(*) AS n, CAST(sum(output) AS DOUBLE) AS o, CAST(sum(total_tokens) AS DOUBLE) AS t, sum(usd) AS u, CAST(sum(dup_tokens) AS DOUBLE) AS r FROM sessions GROUP BY 1),
+s AS (SELECT metric, days.day, coalesce(n, 0) AS sessions, coalesce([o, u, r][k], 0) AS numerator, coalesce([t, n, n][k], 0) AS denominator FROM days LEFT JOIN own USING (day), (VALUES ('output-ratio', 1), ('cost-per-session', 2), ('recoverable-tokens-per-session', 3)) m(metric, k)),
+series AS (SELECT *, CASE WHEN denominator > 0 THEN numerator / denominator ELSE 0 END AS value FROM s)"""
+
+
+def _year():
+    return reports.trend_window("360d", day())
+
+
+@query(f"{TREND}, d AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY day) - 1 AS x FROM series WHERE sessions > 0), f AS (SELECT metric, count(*) AS points, median(value) AS m, CASE WHEN count(*) < 5 THEN 0 ELSE regr_slope(value, x) END AS s FROM d GROUP BY 1) "
+ "SELECT metric, points, round(m, 6) AS median, round(s, 6) AS slope, CASE WHEN points < 5 THEN 'insufficient-data' WHEN abs(s) < 0.001 THEN 'stable' WHEN (s > 0) = (metric = 'output-ratio') THEN 'improving' ELSE 'regressing' END AS verdict FROM f", "sessions")
 def trend_report(spark, d):
-    return reports.trend(v.orders_sessions(spark, d), F.col("output"), F.col("n_requests")).select("points", r("median", 6), r("slope", 6), "verdict")
+    return reports.trends(v.orders_sessions(spark, d), *_year()).select("metric", "points", r("median", 6), r("slope", 6), "verdict")
+
+
+@query(f"{TREND} SELECT metric, CAST(day AS VARCHAR) AS day, sessions, round(numerator, 4) AS numerator, round(denominator, 4) AS denominator, round(value, 6) AS value FROM series", "sessions")
+def trend_series(spark, d):
+    """Every day of the window for each metric, days without sessions too."""
+    s = v.orders_sessions(spark, d)
+    every = [reports.trend_series(s, m, *_year()).withColumn("metric", F.lit(m)) for m in reports.METRICS]
+    return reduce(DataFrame.unionByName, every).select("metric", F.col("day").cast("string").alias("day"), "sessions", r("numerator"), r("denominator"), r("value", 6))
 
 
 @query("SELECT count(*) AS sessions, round(coalesce(sum(usd), 0), 2) AS usd, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, CAST(coalesce(sum(output), 0) AS BIGINT) AS output, round(CASE WHEN sum(total_tokens) > 0 THEN sum(output) / sum(total_tokens) * 100 ELSE 0 END, 6) AS output_ratio_pct FROM sessions WHERE CAST(started_at AS DATE) = DATE '1997-03-10'", "sessions")
@@ -377,6 +416,30 @@ def limit_tokens_per_percent(spark, d):
     return out.select("limit_id", F.col("period").cast("long").alias("period"), r("tokens_per_percent", 6))
 
 
+#: The fold over readings as SQL: a recursion by the place of a reading within its limit.
+WILD = """r AS (SELECT *, row_number() OVER (PARTITION BY limit_id, window_minutes ORDER BY at_ms, resets_at, used_percent, session_id) AS n FROM wild_readings WHERE at_ms <= resets_at),
+f AS (SELECT limit_id, window_minutes, n, at_ms, used_percent AS used, resets_at AS reset, 0 AS period, true AS kept FROM r WHERE n = 1
+ UNION ALL SELECT limit_id, window_minutes, n, at_ms, CASE WHEN skip THEN used WHEN opens THEN p ELSE greatest(used, p) END, CASE WHEN skip THEN reset ELSE z END, period + CASE WHEN opens AND NOT skip THEN 1 ELSE 0 END, NOT skip FROM
+ (SELECT r.limit_id, r.window_minutes, r.n, r.at_ms, f.used, f.reset, f.period, r.used_percent AS p, r.resets_at AS z, f.reset - r.resets_at > 900000 AS skip,
+  abs(r.resets_at - f.reset) > greatest(900000, r.window_minutes * 600) OR r.at_ms > f.reset OR (r.resets_at - f.reset > 900000 AND r.used_percent < f.used) AS opens FROM f JOIN r ON r.limit_id = f.limit_id AND r.window_minutes = f.window_minutes AND r.n = f.n + 1)),
+per0 AS (SELECT limit_id, window_minutes, period, min(at_ms) AS first_at, max(at_ms) AS newest_at, max(used) AS used_percent, arg_max(reset, n) AS resets_at FROM f WHERE kept GROUP BY 1, 2, 3),
+per AS (SELECT *, greatest(least(resets_at - window_minutes * 60000, first_at), lag(newest_at) OVER (PARTITION BY limit_id, window_minutes ORDER BY period)) AS started_at FROM per0)"""
+
+
+@query(f"{WILD} SELECT limit_id, window_minutes, period, started_at, resets_at, newest_at, used_percent FROM per", "wild_readings")
+def limit_periods_wild(spark, d):
+    """Periods of readings with early resets, drift, falls back to older windows and stale ones."""
+    return limits.periods(limits.points(v.wild_readings(spark, d))).select("limit_id", "window_minutes", "period", "started_at", "resets_at", "newest_at", "used_percent")
+
+
+@query(f"""{WILD}, l AS (SELECT *, greatest(newest_at, 1706630400000) AS latest FROM per QUALIFY row_number() OVER (PARTITION BY limit_id, window_minutes ORDER BY period DESC) = 1), y AS (SELECT *, latest + (100 - used_percent) * (latest - started_at) / nullif(used_percent, 0) AS x FROM l)
+SELECT limit_id, window_minutes, period, CASE WHEN resets_at <= 1706630400000 THEN 'reset-since' WHEN used_percent >= 100 THEN 'reached' WHEN latest - started_at < 3600000 THEN 'too-early' WHEN used_percent <= 0 OR x > resets_at THEN 'lasts' ELSE 'runs-out' END AS kind FROM y""", "wild_readings")
+def limit_pace_wild(spark, d):
+    """How each limit's newest period will end, seen from an evening on which some windows have been reset."""
+    out = limits.pace(limits.periods(limits.points(v.wild_readings(spark, d))), F.lit(1706630400000))
+    return out.select("limit_id", "window_minutes", "period", "kind")
+
+
 # -- version regressions -----------------------------------------------------------------------------------
 
 SEQ = """main AS (SELECT *, lag(ts) OVER w AS p_ts, lag(ctx) OVER w AS p_ctx, lead(ts) OVER w AS a_ts, lead(ctx) OVER w AS a_ctx, lead(cr) OVER w AS a_cr, lead(ts, 2) OVER w AS b_ts, lead(ctx, 2) OVER w AS b_ctx, lead(cr, 2) OVER w AS b_cr
@@ -389,9 +452,9 @@ def regress_warm_cache_miss(spark, d):
     return regress.warm_cache_miss(v.sample_rows(spark, d)).select("version", "n", r("rate", 6), r("baseline", 6), "baseline_n")
 
 
-@query(f"{SEQ}, s AS (SELECT version, a_cr < 0.3 * a_ctx AND b_cr < 0.3 * b_ctx AS value FROM main WHERE ts - p_ts >= 3600000 AND a_ts - ts <= 300000 AND b_ts - a_ts <= 300000 AND a_ctx >= 30000 AND b_ctx >= 30000), {RATES} SELECT * FROM t WHERE n >= 5", "sample_rows")
+@query(f"{SEQ.replace("FROM sample_rows", "FROM idle_rows")}, s AS (SELECT version, a_cr < 0.3 * a_ctx AND b_cr < 0.3 * b_ctx AS value FROM main WHERE ts - p_ts >= 3600000 AND a_ts - ts <= 300000 AND b_ts - a_ts <= 300000 AND a_ctx >= 30000 AND b_ctx >= 30000), {RATES} SELECT * FROM t WHERE n >= 5", "sample_rows", "idle_rows")
 def regress_post_idle_cold(spark, d):
-    return regress.post_idle_cold(v.sample_rows(spark, d)).select("version", "n", r("rate", 6), r("baseline", 6), "baseline_n")
+    return regress.post_idle_cold(v.idle_rows(spark, d)).select("version", "n", r("rate", 6), r("baseline", 6), "baseline_n")
 
 
 @query(f"{SEQ}, g AS (SELECT version, count(*) AS n, sum(c5) / sum(c5 + c1) AS share_5m FROM main WHERE c5 + c1 > 0 GROUP BY 1 HAVING count(*) >= 20) SELECT version, n, round(share_5m, 6) AS share_5m, round((sum(share_5m * n) OVER () - share_5m * n) / (sum(n) OVER () - n), 6) AS baseline FROM g", "sample_rows")
@@ -438,10 +501,10 @@ def estimate_anchors(spark, d):
     return estimate.anchors(estimate.shapes(turns, v.calls(spark, d)))
 
 
-def _tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Projects as tasks: every session is in one arm, before the pivot date or from it on."""
+def _tasks(spark: SparkSession, d: str, task=None) -> DataFrame:
+    """Projects (or another column) as tasks: every session is in one arm, before the pivot date or from it on."""
     s = v.orders_sessions(spark, d)
-    side = lambda p, when: s.filter(when).groupBy(F.col("project").alias("task")).agg(*[F.sum(x).alias(f"{p}_{y}") for x, y in (("total_tokens", "total"), ("cache_write", "cache_write"), ("output", "output"), ("dup_tokens", "dup_reads"), ("usd", "usd"))])
+    side = lambda p, when: s.filter(when).groupBy((F.col("project") if task is None else task).alias("task")).agg(*[F.sum(x).alias(f"{p}_{y}") for x, y in (("total_tokens", "total"), ("cache_write", "cache_write"), ("output", "output"), ("dup_tokens", "dup_reads"), ("usd", "usd"))])
     return side("base", "started_at < '1997-03-10'").join(side("opt", "started_at >= '1997-03-10'"), "task")
 
 
@@ -464,10 +527,16 @@ def benchmark_suite_pivot(spark, d):
     return benchmarks.suite(benchmarks.saved(_tasks(spark, d))).select("tasks", "median_saved_pct", "min_saved_pct", "max_saved_pct", "base_total", "opt_total", "manifest", "output", "reads")
 
 
-@query("SELECT task, count(*) FILTER (c = 'off') AS off_runs, count(*) FILTER (c = 'on') AS on_runs, median(total_tokens) FILTER (c = 'off') AS off_tokens, median(total_tokens) FILTER (c = 'on') AS on_tokens, CAST(coalesce(floor((median(total_tokens) FILTER (c = 'off') - median(total_tokens) FILTER (c = 'on')) / median(total_tokens) FILTER (c = 'off') * 100 + 0.5), 0) AS BIGINT) AS on_saved_pct FROM (SELECT project AS task, total_tokens, ['off', 'on', 'rtk'][1 + file_id % 3] AS c FROM sessions WHERE total_tokens > 0) GROUP BY 1", "sessions")
+CONDITIONS = ("off", "on", "rtk")
+LIVE = ", ".join(f"count(*) FILTER (c = '{c}') AS {c}_runs, median(total_tokens) FILTER (c = '{c}') AS {c}_tokens, round(median(usd) FILTER (c = '{c}'), 4) AS {c}_usd" for c in CONDITIONS)
+
+
+@query(f"m AS (SELECT task, {LIVE} FROM (SELECT project AS task, total_tokens, usd, {list(CONDITIONS)}[1 + file_id % 3] AS c FROM sessions WHERE total_tokens > 0) GROUP BY 1) SELECT *, "
+ + ", ".join(f"CAST(coalesce(floor((off_tokens - {c}_tokens) / off_tokens * 100 + 0.5), 0) AS BIGINT) AS {c}_saved_pct" for c in CONDITIONS[1:]) + " FROM m", "sessions")
 def benchmark_live(spark, d):
-    rows = v.orders_sessions(spark, d).select(F.col("project").alias("task"), F.element_at(F.array(*map(F.lit, ("off", "on", "rtk"))), (F.col("file_id") % 3 + 1).cast("int")).alias("condition"), "total_tokens", "usd")
-    return benchmarks.live(rows).select("task", "off_runs", "on_runs", "off_tokens", "on_tokens", "on_saved_pct")
+    rows = v.orders_sessions(spark, d).select(F.col("project").alias("task"), F.element_at(F.array(*map(F.lit, CONDITIONS)), (F.col("file_id") % 3 + 1).cast("int")).alias("condition"), "total_tokens", "usd")
+    cols = [x for c in CONDITIONS for x in (F.col(f"{c}_runs"), F.col(f"{c}_tokens"), r(f"{c}_usd"))]
+    return benchmarks.live(rows).select("task", *cols, *[f"{c}_saved_pct" for c in CONDITIONS[1:]])
 
 
 @query("SELECT path, count(*) AS changes FROM calls WHERE path IN (SELECT path FROM calls WHERE name = 'Edit') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "calls")
@@ -500,6 +569,42 @@ def read_cache_last_wins(spark, d):
     return stores.last_wins(v.calls(spark, d).select("path", (F.col("call_idx") * 100000 + F.col("file_id")).alias("seen")), "path", "seen")
 
 
-# the same queries under the names that they had before they took every order in
-for _old, _new in (("stats_daily", "stats_daily_all"), ("benchmark_compare", "benchmark_compare_pivot"), ("benchmark_tasks", "benchmark_tasks_pivot"), ("benchmark_suite", "benchmark_suite_pivot")):
-    QUERIES[_old], SQL[_old] = QUERIES[_new], SQL[_new]
+# -- the same operators asked otherwise ------------------------------------------------------------------------
+
+
+@query(f"""days AS (SELECT CAST(started_at AS DATE) AS day, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sum(usd) AS usd {WINDOW} GROUP BY 1)
+SELECT CAST(d.day AS VARCHAR) AS day, coalesce(sessions, 0) AS sessions, coalesce(total_tokens, 0) AS total_tokens, round(coalesce(usd, 0), 2) AS usd
+FROM (SELECT CAST(unnest(generate_series(DATE '1996-12-01', DATE '1997-04-01', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN days b ON b.day = d.day""", "sessions")
+def stats_daily(spark, d):
+    """By day between two given days, the last three weeks of which are empty."""
+    out = reports.daily(_window(spark, d), F.to_date(F.lit("1996-12-01")), F.to_date(F.lit("1997-04-01")))
+    return out.select(F.col("day").cast("string").alias("day"), "sessions", "total_tokens", r("usd", 2))
+
+
+@query("""a AS (SELECT primary_model, sum(usd) AS u FROM sessions WHERE started_at < DATE '1997-03-10' GROUP BY 1), b AS (SELECT primary_model, sum(usd) AS u FROM sessions WHERE started_at >= DATE '1997-03-10' GROUP BY 1)
+SELECT primary_model, round(coalesce(a.u, 0), 2) AS before, round(coalesce(b.u, 0), 2) AS after, round(coalesce(b.u, 0) - coalesce(a.u, 0), 2) AS delta, round(CASE WHEN coalesce(a.u, 0) = 0 THEN 0 ELSE (coalesce(b.u, 0) - a.u) / a.u * 100 END, 4) AS pct FROM a FULL JOIN b USING (primary_model)""", "sessions")
+def benchmark_compare(spark, d):
+    """Dollars by model before and after the pivot date."""
+    s = v.orders_sessions(spark, d)
+    by = lambda x: x.groupBy("primary_model").agg(F.sum("usd").alias("usd"))
+    out = reports.change_table(by(s.filter("started_at < '1997-03-10'")), by(s.filter("started_at >= '1997-03-10'")), "primary_model", "usd")
+    return out.select("primary_model", r("before", 2), r("after", 2), r("delta", 2), r("pct"))
+
+
+BY_MONTH = TASKS.replace("project AS task", "CAST(month(started_at) AS VARCHAR) AS task")
+
+
+def _months(spark: SparkSession, d: str) -> DataFrame:
+    return _tasks(spark, d, F.month("started_at").cast("string"))
+
+
+@query(f"{BY_MONTH} SELECT task, pct AS saved_pct, CAST(saved AS BIGINT) AS saved_tokens, manifest, output, reads FROM parts", "sessions")
+def benchmark_tasks(spark, d):
+    """Months of the year as tasks."""
+    return benchmarks.saved(_months(spark, d)).select("task", "saved_pct", "saved_tokens", "manifest", "output", "reads")
+
+
+@query(f"{BY_MONTH} SELECT count(*) AS tasks, floor(median(pct) * 10 + 0.5) / 10 AS median_saved_pct, min(pct) AS min_saved_pct, max(pct) AS max_saved_pct, CAST(sum(bt) AS BIGINT) AS base_total, CAST(sum(pt) AS BIGINT) AS opt_total, CAST(sum(manifest) AS BIGINT) AS manifest, CAST(sum(output) AS BIGINT) AS output, CAST(sum(reads) AS BIGINT) AS reads FROM parts", "sessions")
+def benchmark_suite(spark, d):
+    """Months of the year as one suite."""
+    return benchmarks.suite(benchmarks.saved(_months(spark, d))).select("tasks", "median_saved_pct", "min_saved_pct", "max_saved_pct", "base_total", "opt_total", "manifest", "output", "reads")

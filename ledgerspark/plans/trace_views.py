@@ -21,6 +21,8 @@ PRICES = (
     ("1996-06-01", "a", "model-af", 2.0, 10.0, 0.2, 2.5, 4.0, 60000, 4.0, 20.0, 0.4, 5.0, 8.0),
     ("1996-06-01", "a", "model-rf", 1.0, 5.0, 0.1, 1.25, 2.0, None, None, None, None, None, None),
 )
+#: Days of the price files that price_folder() writes.
+PRICE_DAYS = ("1994-01-01", "1996-06-01", "1997-09-01")
 RATE_COLS = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
 PRICE_SCHEMA = "as_of string, provider string, model string, " + ", ".join(f"{c} double" for c in RATE_COLS) + ", long_over long, " + ", ".join(f"long_{c} double" for c in RATE_COLS)
 
@@ -136,6 +138,42 @@ def log_folder(spark: SparkSession, sf_dir: str, session: Column | None = None)
     return path
 
 
+def price_folder(spark: SparkSession, sf_dir: str) -> str:
+    """part as price files in the checkpoint folder: a brand is a model, every fifth one the second provider's, with three tables each; the folder's path.
+
+    Each table is a folder whose name is that of a price file, as Spark names the files inside.
+    """
+    p = table(spark, sf_dir, "part")
+    day = F.element_at(F.array(*map(F.lit, PRICE_DAYS)), (F.col("p_size") % 3 + 1).cast("int"))
+    p = p.select(F.lower("p_brand").alias("model"), day.alias("as_of"), F.col("p_size").cast("double").alias("s")).groupBy("model", "as_of").agg(F.max("s").alias("s"))
+    named = lambda k: [(F.col("s") * k * x).alias(n) for n, x in zip(("input_per_mtok", "output_per_mtok", "cache_read_per_mtok", "cache_creation_per_mtok"), (0.5, 2.5, 0.0625, 0.625), strict=True)]
+    hour = lambda k: F.when(F.col("s") % 2 == 0, F.col("s") * k).alias("cache_creation_1h_per_mtok")
+    long = F.when(F.col("s") > 45, F.struct(F.lit(60000).alias("over_tokens"), *named(2), hour(2))).alias("long_prompt")
+    file = F.concat(F.when(F.regexp_extract("model", r"(\d+)$", 1).cast("int") % 5 == 0, "openai-").otherwise(""), "as_of")
+    p = p.groupBy(file.alias("file"), "as_of").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(*named(1), hour(1), long)))).alias("models"))
+    path = f"{checkpoint_folder(spark)}/prices-{uuid.uuid4().hex}"
+    p.select("file", F.to_json(F.struct("as_of", F.lit("part").alias("source_url"), "models")).alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+def wild_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limit readings of 53 limits whose resets drift, come early, fall back to an older window, jump ahead, or lie before the reading."""
+    e = table(spark, sf_dir, "events")
+    at, k = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")
+    window = F.when(F.col("user_id") % 2 == 0, F.lit(300)).otherwise(F.lit(10080)).cast("long")
+    length = window * 60_000
+    shift = F.when(k % 11 == 0, -length).when(k % 13 == 0, length).when(k % 17 == 0, F.lit(-20 * 60_000)).when(k % 19 == 0, F.lit(20 * 60_000)).otherwise(k % 7 * 60_000)
+    return e.select(
+        at.alias("at"), k.cast("string").alias("session_id"), F.concat(F.lit("w"), (F.col("user_id") % 53).cast("string")).alias("limit_id"), window.alias("window_minutes"),
+        F.least(F.lit(100.0), F.floor("value")).alias("used_percent"), ((F.floor(at / length) + 1) * length + shift).cast("long").alias("resets_at"), F.lit("plan").alias("plan_type"),
+    )
+
+
+def idle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_rows() with an idle hour before every fourth request."""
+    return sample_rows(spark, sf_dir).withColumn("ts", F.col("ts") + F.floor(F.col("turn_idx") / 4) * 3_700_000)
+
+
 SQL_VIEWS = {
     "prices": "prices AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x) for x in r) + ")" for r in PRICES)
     + ") t(as_of, provider, model, p_input, p_output, p_cache_read, p_cache_write, p_cache_write_1h, long_over, l_input, l_output, l_cache_read, l_cache_write, l_cache_write_1h))",
@@ -163,6 +201,10 @@ SQL_VIEWS = {
  (SELECT (epoch_us(ts) // 1000) AS at_ms, CAST(user_id AS VARCHAR) AS session_id, 'l' || (user_id % 3) AS limit_id, least(100.0, floor(value)) AS used_percent FROM events))""",
     "limit_requests": """limit_requests AS (SELECT (epoch_us(ts) // 1000) + 1000 AS at_ms, CAST(user_id AS VARCHAR) AS session_id, '/w/' || (user_id % 7) AS cwd,
  CASE WHEN event_type = 'error' AND user_id % 5 = 0 THEN 'codex-auto-review' WHEN event_type = 'click' AND user_id % 5 = 1 THEN NULL ELSE 'model-x' END AS model, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events)""",
+    "wild_readings": """wild_readings AS (SELECT at_ms, session_id, limit_id, window_minutes, used_percent, (at_ms // length + 1) * length + CASE WHEN k % 11 = 0 THEN -length WHEN k % 13 = 0 THEN length WHEN k % 17 = 0 THEN -1200000 WHEN k % 19 = 0 THEN 1200000 ELSE k % 7 * 60000 END AS resets_at FROM
+ (SELECT epoch_us(ts) // 1000 AS at_ms, event_id AS k, CAST(event_id AS VARCHAR) AS session_id, 'w' || (user_id % 53) AS limit_id, CASE WHEN user_id % 2 = 0 THEN 300 ELSE 10080 END AS window_minutes, CASE WHEN user_id % 2 = 0 THEN 300 ELSE 10080 END * 60000 AS length, least(100.0, floor(value)) AS used_percent FROM events))""",
+    "price_rows": f"""price_rows AS (SELECT lower(p_brand) AS model, {list(PRICE_DAYS)}[1 + p_size % 3] AS as_of, CASE WHEN CAST(regexp_extract(p_brand, '[0-9]+$') AS INT) % 5 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, CAST(max(p_size) AS DOUBLE) AS s FROM part GROUP BY ALL)""",
+    "idle_rows": "idle_rows AS (SELECT * EXCLUDE (ts), ts + turn_idx // 4 * 3700000 AS ts FROM sample_rows)",
     "sample_rows": """sample_rows AS (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS turn_idx, '2.1.' || (user_id % 14 + 80) AS version,
  CASE WHEN event_type = 'view' THEN 'm-a' ELSE 'm-b' END AS model, CASE WHEN event_type = 'signup' THEN 'sdk-ts' ELSE 'cli' END AS entry, event_id % 17 = 0 AS side, (epoch_us(ts) // 1000) // 3600 AS ts,
  v * 17 % 900 AS inp, v * 701 % 60000 AS cr, v * 31 % 9000 AS cw, v * 13 % 5000 AS c5, v * 11 % 3000 AS c1, v AS out, 30000 + v * 977 % 70000 AS ctx, event_id % 2 = 0 AS after_tool

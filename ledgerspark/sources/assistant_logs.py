@@ -6,41 +6,36 @@ session id is no string, is skipped and counted. All steps are keyed by file, so
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import normal_path, read_path, utf16_length
 from ..operators.requests import merge_lines, primary_model, request_key
-from .text_lines import count_at, filled, numbered_lines, present, text_at
+from .text_lines import LINES, count_at, file_listing, filled, numbered_lines, present, text_at
+from .usage_cache import Logs, Source
 
 AGENT = "claude-code"
 OBSERVERS = r"(-observer-sessions$|claude-mem-observer)"
 
 
-@dataclass
-class Logs:
-    lines: DataFrame
-    requests: DataFrame
-    calls: DataFrame
-    sessions: DataFrame
-
-
 def projects_dir(env: dict[str, str], home: str) -> str:
     """Root of the logs; CLAUDE_CONFIG_DIR moves it."""
     return f"{env.get('CLAUDE_CONFIG_DIR') or f'{home}/.claude'}/projects"
 
 
-def scan(spark: SparkSession, root: str, ending: str = "jsonl") -> DataFrame:
-    """<root>/<project>/*.jsonl, one level deep, without observer folders."""
-    t = numbered_lines(spark, f"{root}/*/", glob=f"*.{ending}")
+def placed(files: DataFrame, ending: str = "jsonl") -> DataFrame:
+    """files (with path) with project_hash and file_id, without those of observer folders."""
     parts = F.split("path", "/")
-    t = t.withColumn("project_hash", F.element_at(parts, -2)).withColumn("file_id", F.regexp_replace(F.element_at(parts, -1), rf"\.{ending}$", ""))
+    t = files.withColumn("project_hash", F.element_at(parts, -2)).withColumn("file_id", F.regexp_replace(F.element_at(parts, -1), rf"\.{ending}$", ""))
     return t.filter(~F.col("project_hash").rlike(OBSERVERS))
 
 
+def scan(spark: SparkSession, root: str, ending: str = "jsonl") -> DataFrame:
+    """<root>/<project>/*.jsonl, one level deep, without observer folders."""
+    return placed(numbered_lines(spark, f"{root}/*/", glob=f"*.{ending}"), ending)
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """lines with v (the variant), ok, type, ts and content (an array of variants)."""
     v = lines.withColumn("v", F.try_parse_json("raw"))
@@ -117,6 +112,20 @@ def from_lines(lines: DataFrame) -> Logs:
     return Logs(p, requests, tool_calls(r, p, requests), session_rows(p, requests))
 
 
+def cached(spark: SparkSession, root: str, ending: str = "jsonl", key: str = "file_id") -> Source:
+    """The logs under root for usage_cache.load(); key: the column that tells files apart."""
+
+    def files() -> DataFrame:
+        t = placed(file_listing(spark, f"{root}/*/", glob=f"*.{ending}", recursive=False), ending)
+        return t.select("path", "open", "mtime", "size", F.col(key).alias("file_id"), F.col("project_hash").alias("family"))
+
+    def parse(paths: list[str]) -> Logs:
+        t = numbered_lines(spark, paths, glob="*") if paths else spark.createDataFrame([], LINES)
+        return from_lines(placed(t, ending).withColumn("file_id", F.col(key)))
+
+    return Source(files, parse)
+
+
 def has_logs(spark: SparkSession, root: str) -> bool:
     return not scan(spark, root).limit(1).isEmpty()
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.shell import absolute, failed, patched_files, shell_read, unwrapped, wrapped_commands
 from ..functions.core import utf16_length
 from ..operators.requests import primary_model
-from .assistant_logs import Logs
 from .text_lines import count_at, file_listing, filled, numbered_lines, present, text_at, unreadable
+from .usage_cache import Logs
 
 AGENT = "codex"
 TOTALS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")

@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: What numbered_lines gives.
+LINES = "path string, mtime timestamp, size long, line_no long, raw string"
+
 #: Splits start this many bits of bytes apart at least (4 KB), and a partition reads under 2 ** ROW_BITS lines; files are under 4 TB.
 START_BITS, ROW_BITS = 12, 33
 
@@ -28,9 +31,10 @@ def numbered_lines(spark: SparkSession, paths: list[str] | str, glob: str = "*.j
 
 
 def file_listing(spark: SparkSession, paths: list[str] | str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """path, mtime, size of every file, by listing alone (no content column is read)."""
+    """path (as in numbered_lines), open (what to pass to a reader), mtime, size of every file, by listing alone (no content column is read)."""
     b = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(paths)
-    return b.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    name = F.regexp_replace("path", r"([\\*?{}\[\]])", r"\\$1")  # readers take paths as patterns
+    return b.select(F.col("_metadata.file_path").alias("path"), name.alias("open"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
 
 
 def unreadable(listing: DataFrame, lines: DataFrame) -> DataFrame:

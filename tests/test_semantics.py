@@ -103,10 +103,98 @@ def test_requests_are_priced_by_their_own_day(spark):
     assert [(x.usd, x.priced) for x in got] == [(1.0, True), (2.0, True), (5.0, True), (0.0, False), (0.0, False), (8.0, True)]
 
 
+def price_table(day, **models):
+    return json.dumps({"as_of": day, "source_url": "x", "models": models}, indent=1)
+
+
+ROW = {"input_per_mtok": 3, "output_per_mtok": 15, "cache_read_per_mtok": 0.3, "cache_creation_per_mtok": 3.75}
+
+
 def test_price_files(spark, tmp_path):
-    (tmp_path / "2026-01-01.json").write_text(json.dumps({"as_of": "2026-01-01", "models": {"m": {"input": 3, "output": 15, "cache_read": 0.3, "cache_write": 3.75, "long_over": 200000, "long_input": 6}}}, indent=1))
-    got = pricing.price_file(spark, str(tmp_path), "a").first()
-    assert (got.as_of, got.provider, got.model, got.input, got.cache_read, got.long_over, got.long_input, got.long_output) == (date(2026, 1, 1), "a", "m", 3.0, 0.3, 200_000, 6.0, None)
+    long = {"over_tokens": 200000, "input_per_mtok": 6, "output_per_mtok": 30, "cache_read_per_mtok": 0.6, "cache_creation_per_mtok": 7.5, "cache_creation_1h_per_mtok": 13}
+    (tmp_path / "2026-01-01.json").write_text(price_table("2026-01-01", m=ROW | {"cache_creation_1h_per_mtok": 6, "long_prompt": long}, n=ROW))
+    (tmp_path / "openai-2026-02-01.json").write_text(price_table("2026-02-01", g=ROW))
+    p = pricing.price_files(spark, str(tmp_path))
+    m, n, g = p.orderBy(F.desc("provider"), F.desc("model")).collect()[::-1]
+    assert (m.provider, n.provider, g.provider, g.as_of) == ("anthropic", "anthropic", "openai", date(2026, 2, 1))
+    assert (m.input, m.output, m.cache_read, m.cache_write, m.cache_write_1h, m.long_over, m.long_input, m.long_cache_write_1h) == (3.0, 15.0, 0.3, 3.75, 6.0, 200_000, 6.0, 13.0)
+    assert (n.cache_write_1h, n.long_over, n.long_input) == (None, None, None)
+    # a long prompt with one-hour writes; a short one of a model without an hourly rate; the undated provider before its table
+    r = spark.createDataFrame([(0, "m", 200_001, 1000, 0, 1000, 400), (1, "n", 1000, 0, 0, 1000, 400), (2, "g", 1000, 0, 0, 0, 0)], "k int, model string, input long, output long, cache_read long, cache_write long, cache_write_1h long")
+    got = pricing.priced(r, pricing.prices_on(p, F.to_date(F.lit("2026-01-05")), pricing.UNDATED)).orderBy("k").collect()
+    want = [(200_001 * 6 + 1000 * 30 + 600 * 7.5 + 400 * 13) / 1e6, (1000 * 3 + 600 * 3.75 + 400 * 6) / 1e6, 0.003]
+    assert [x.priced for x in got] == [True] * 3 and [x.usd for x in got] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("row", [{k: x for k, x in ROW.items() if k != "output_per_mtok"}, ROW | {"long_prompt": {"over_tokens": 5} | ROW | {"input_per_mtok": None}}, ROW | {"long_prompt": dict(ROW)}])
+def test_a_price_row_without_its_rates_is_an_error(spark, tmp_path, row):
+    (tmp_path / "2026-01-01.json").write_text(price_table("2026-01-01", m=row))
+    with pytest.raises(Exception, match="lacks rates: m"):
+        pricing.price_files(spark, str(tmp_path)).collect()
+
+
+def test_a_row_without_rates_prices_nothing(spark):
+    r = spark.createDataFrame([("m", 10, 0, 0, 0, 0)], "model string, input long, output long, cache_read long, cache_write long, cache_write_1h long")
+    names = ("cache_write_1h", "long_over", *(f"long_{x}" for x in pricing.RATES))
+    p = spark.createDataFrame([("p", "m")], "provider string, model string").withColumns({x: F.lit(None).cast("double") for x in (*pricing.NEEDED, *names)})
+    got = pricing.priced(r, p).first()
+    assert (got.usd, got.priced) == (0.0, False)
+
+
+def plain_points(rows):
+    """The fold as one loop."""
+    out, state = [], {}
+    for limit, minutes, at, percent, resets in sorted(rows):
+        if at > resets:
+            continue
+        period, reset, used = state.get((limit, minutes), (-1, None, 0.0))
+        if reset is not None and reset - resets > 900_000:
+            continue
+        new = reset is None or abs(resets - reset) > max(900_000, minutes * 600) or at > reset or (resets - reset > 900_000 and percent < used)
+        state[limit, minutes] = period, reset, used = period + new, resets, percent if new else max(used, percent)
+        out.append((limit, minutes, period, at, used, reset))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("segment_ms", [7_200_000, 86_400_000, 10**12])
+def test_limit_points_do_not_depend_on_how_readings_are_cut(spark, segment_ms):
+    import random
+
+    r, hour = random.Random(segment_ms), 3_600_000
+    rows = []
+    for limit, minutes in (("a", 300), ("b", 10080), ("a", 10080)):
+        for _ in range(200):
+            at = r.randrange(20 * 24 * hour)
+            shift = r.choice([0, 0, 0, 60_000, -60_000, 1_200_000, -1_200_000, minutes * 60_000, -minutes * 60_000, 40 * 24 * hour if r.random() < 0.05 else 0])
+            rows.append((limit, minutes, at, float(r.randrange(101)), (at // (minutes * 60_000) + 1) * minutes * 60_000 + shift))
+    df = spark.createDataFrame(rows, "limit_id string, window_minutes long, at long, used_percent double, resets_at long").withColumns({"session_id": F.lit("s"), "plan_type": F.lit("p")})
+    got = limits.points(df, segment_ms).select("limit_id", "window_minutes", "period", "at", "used_percent", "resets_at")
+    assert sorted(map(tuple, got.collect())) == plain_points(rows)
+    assert limits.points(df.limit(0)).count() == 0
+
+
+def test_trend(spark):
+    day0 = datetime(2026, 1, 1)
+    rows = [(day0.replace(day=1 + k), 10 + 2 * k, 100, 5.0 - k / 2, 7) for k in (0, 1, 3, 4, 6, 9)] + [(datetime(2025, 12, 31), 99, 100, 9.0, 9)]
+    s = spark.createDataFrame(rows, "started_at timestamp, output long, total_tokens long, usd double, dup_tokens long")
+    window = F.to_date(F.lit("2026-01-01")), F.to_date(F.lit("2026-01-10"))
+    series = reports.trend_series(s, "output-ratio", *window).orderBy("day").collect()
+    assert len(series) == 10 and [x.sessions for x in series] == [1, 1, 0, 1, 1, 0, 1, 0, 0, 1] and series[2].value == series[2].denominator == 0 and series[9].value == 0.28
+    got = {x.metric: x for x in reports.trends(s, *window).collect()}
+    assert {m: (x.points, x.verdict) for m, x in got.items()} == {"output-ratio": (6, "improving"), "cost-per-session": (6, "improving"), "recoverable-tokens-per-session": (6, "stable")}
+    assert got["output-ratio"].median == pytest.approx((0.16 + 0.18) / 2) and got["cost-per-session"].slope == pytest.approx(-sum((x - 2.5) * k / 2 for x, k in enumerate((0, 1, 3, 4, 6, 9))) / 17.5)
+    worse = s.withColumn("output", -F.col("output"))
+    assert reports.trends(worse, *window, ("output-ratio",)).first().verdict == "regressing"
+    few = reports.trends(s.filter("started_at < '2026-01-05'"), *window, ("cost-per-session",)).first()
+    assert (few.points, few.slope, few.verdict) == (3, 0.0, "insufficient-data")
+
+
+def test_todays_top_leak(spark):
+    s = spark.createDataFrame([("a", datetime(2026, 1, 2, 9)), ("b", datetime(2026, 1, 2, 8)), ("c", datetime(2026, 1, 1, 8))], "file_id string, started_at timestamp")
+    dup = spark.createDataFrame([("a", "/x", 3, 10, 2.0), ("b", "/y", 2, 10, 2.0), ("b", "/z", 1, 0, 9.0), ("c", "/w", 9, 9, 99.0)], "file_id string, path string, reads long, wasted_tokens long, usd double")
+    day = F.to_date(F.lit("2026-01-02"))
+    assert [tuple(x) for x in reports.today_top_leak(s, dup, day).collect()] == [("b", "/y", 1, 2.0)]
+    assert reports.today_top_leak(s, dup, F.to_date(F.lit("2026-01-03"))).count() == 0
 
 
 def test_a_long_chain_is_one_family(spark):
@@ -169,7 +257,7 @@ def test_cold_after_an_idle_hour(spark):
 
 def test_badge_and_snapshots(spark):
     df = spark.createDataFrame([(87, "Good", "green")], "score int, tier string, color string")
-    assert json.loads(df.select(stores.badge(F.col("score"), F.col("tier"), F.col("color"), "quality")).first()[0]) == {"schemaVersion": 1, "label": "quality", "message": "87 · Good", "color": "green"}
+    assert json.loads(df.select(stores.badge(F.col("score"), F.col("tier"), F.col("color"), "quality")).first()[0]) == {"schemaVersion": 1, "label": "quality", "message": "87 · Good", "color": "green", "namedLogo": "github", "labelColor": "#0B0E0E"}
 
 
 def test_streams_keep_requests_without_a_key_and_the_newest_signals(spark):

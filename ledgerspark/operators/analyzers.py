@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import round_half_up
 from .pricing import total_tokens
+from .rewriters import rewritten
 
 # Tools that read, that touch and that rewrite files; a call of the last kind could have sent a diff.
 READS = ("Read", "read_file")
@@ -113,16 +114,17 @@ TRIMMED, SEARCHES, REFUSED_SAVES, TRIM_SAVES = r"(?i)\.(?:[cm]?[jt]s|[jt]sx|pyi?
 
 
 def replay(calls: DataFrame) -> DataFrame:
-    """Per call what a cache and a trimmer would have saved: a read of a path read before, else the first read of a source file after any search.
+    """Per call what a cache, a trimmer and the rewriters of commands would have saved: a read of a path read before, else the first read of a source file after any search; of other calls what their rewriter saves.
 
-    calls also has pattern (of searches) and command (of shell calls). What rewriters of commands save is not counted.
+    calls also has pattern (of searches) and command (of shell calls).
     """
     search = ((F.col("name") == "Grep") & (F.length("pattern") > 0)) | ((F.col("name") == "Bash") & F.col("command").rlike(SEARCHES))
     seen = F.max(F.coalesce(search, F.lit(False)).cast("int")).over(W.partitionBy("file_id").orderBy("call_idx").rowsBetween(W.unboundedPreceding, 0))
     nth = F.row_number().over(W.partitionBy("file_id", "name", "path").orderBy("call_idx"))
     first = F.when((F.col("searched") == 1) & F.col("raw_path").rlike(TRIMMED), TRIM_SAVES).otherwise(0)
-    saved = F.when((F.col("name") == "Read") & (F.length("path") > 0), F.when(F.col("nth") > 1, REFUSED_SAVES).otherwise(first)).otherwise(0)
-    return calls.withColumn("searched", seen).withColumn("nth", nth).withColumn("saved", saved)
+    reads = F.when(F.col("nth") > 1, REFUSED_SAVES).otherwise(first)
+    saved = F.when((F.col("name") == "Read") & (F.length("path") > 0), reads).otherwise(F.coalesce("rewrite.saved_tokens", F.lit(0)))
+    return rewritten(calls.withColumn("searched", seen).withColumn("nth", nth)).withColumn("saved", saved.cast("long"))
 
 
 def top_files(files: DataFrame, cost: str, most: int = 10) -> DataFrame:

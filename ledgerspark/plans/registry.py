@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, reports, requests, stores, usage
+from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, reports, requests, rewriters, stores, usage
 from ..session import checkpoint_folder
 from ..sources import assistant_logs, usage_cache
+from . import rewriter_twin
 from . import trace_views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,12 +225,20 @@ def top_leaks(spark, d):
     return analyzers.leaks(v.orders_sessions(spark, d)).select("file_id", "title", "tokens", "rank")
 
 
-@query("""SELECT file_id, call_idx, CASE WHEN name <> 'Read' THEN 0 WHEN nth > 1 THEN 2000 WHEN seen AND NOT ends_with(path, '.md') THEN 3000 ELSE 0 END AS saved FROM (SELECT file_id, call_idx, name, path,
+@query("""SELECT file_id, call_idx, CASE WHEN name = 'Grep' THEN CASE WHEN event_id % 3 > 0 THEN 2000 ELSE 0 END WHEN name = 'Bash' THEN 1500 WHEN name <> 'Read' THEN 0 WHEN nth > 1 THEN 2000 WHEN seen AND NOT ends_with(path, '.md') THEN 3000 ELSE 0 END AS saved FROM (SELECT file_id, call_idx, name, path, event_id,
  row_number() OVER (PARTITION BY file_id, name, path ORDER BY call_idx) AS nth, bool_or(name = 'Grep' AND event_id % 3 > 0 OR name = 'Bash' AND event_id % 7 = 0) OVER (PARTITION BY file_id ORDER BY call_idx) AS seen FROM calls)""", "calls")
 def replay_savings(spark, d):
     return analyzers.replay(v.calls(spark, d)).select("file_id", "call_idx", "saved")
 
 
+@query(rewriter_twin.REWRITTEN)
+def rewritten_commands(spark, d):
+    """Every shell call and search with the first rewriter that takes it."""
+    out = rewriters.rewritten(v.commands(spark, d))
+    shown = F.when(F.col("rewrite.rewriter") == "cat", F.substring("rewrite.command", 1, 3)).otherwise(F.col("rewrite.command"))
+    return out.select("call_id", "rewrite.rewriter", F.col("rewrite.saved_tokens").cast("double").alias("saved_tokens"), "rewrite.integrity", shown.alias("command"))
+
+
 # -- period reports ----------------------------------------------------------------------------------------
 
 WINDOW = "FROM sessions WHERE started_at >= DATE '1996-03-01' AND started_at < DATE '1997-03-11'"

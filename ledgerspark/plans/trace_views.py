@@ -138,6 +138,24 @@ def log_folder(spark: SparkSession, sf_dir: str, session: Column | None = None)
     return path
 
 
+#: Commands that commands() deals to the shell calls.
+COMMANDS = (
+    "git status", " git status -s", "git status --short=x", "git statusx", "git log", "git log -n 5", "git log --max-count=3", "git log --pretty=%h", "git diff", "git diff --stat", "git show HEAD | head -5", "git show a && ls", "npm ls", "npm list --depth 1",
+    "npm install", "npm i x --no-audit --no-fund --silent", "npm add x --fund", "npm view x", "npm view x version", "npm info x --json", "npm info -g x", "cargo build", "cargo test -vv", "cargo check --release", "tsc", "npx tsc --noEmit", "tsc > log", "tsc -v",
+    "ls -la", "ls | wc", "dir", "find . -name x", "fd x; ls", "fd x", "grep -rn x .", "grep -r x .", "grep -rl x .", "grep -Rc x", "rg x", "rg x | tail", "grep x | sort", "rg --recursive x", "rg --recursive --context=2 x | sort", "cat a.py", "cat -n a.py ", "cat a b", "cat a; ls", "cat", "echo hi",
+)
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of shells and searches."""
+    k = F.col("event_id")
+    name = F.when(k % 5 == 0, "Grep").when(k % 7 == 0, "Glob").when(k % 11 == 0, "Read").otherwise("Bash")
+    return table(spark, sf_dir, "events").select(
+        k.alias("call_id"), name.alias("name"), F.when(name == "Bash", F.element_at(F.array(*map(F.lit, COMMANDS)), (k % len(COMMANDS) + 1).cast("int"))).alias("command"),
+        F.when(name != "Bash", F.when(k % 3 > 0, "x").otherwise("")).alias("pattern"), F.when(k % 4 == 0, F.lit(9)).cast("long").alias("head_limit"), F.when(k % 6 == 0, "count").alias("output_mode"),
+    )
+
+
 def price_folder(spark: SparkSession, sf_dir: str) -> str:
     """part as price files in the checkpoint folder: a brand is a model, every fifth one the second provider's, with three tables each; the folder's path.
 
@@ -201,6 +219,8 @@ SQL_VIEWS = {
  (SELECT (epoch_us(ts) // 1000) AS at_ms, CAST(user_id AS VARCHAR) AS session_id, 'l' || (user_id % 3) AS limit_id, least(100.0, floor(value)) AS used_percent FROM events))""",
     "limit_requests": """limit_requests AS (SELECT (epoch_us(ts) // 1000) + 1000 AS at_ms, CAST(user_id AS VARCHAR) AS session_id, '/w/' || (user_id % 7) AS cwd,
  CASE WHEN event_type = 'error' AND user_id % 5 = 0 THEN 'codex-auto-review' WHEN event_type = 'click' AND user_id % 5 = 1 THEN NULL ELSE 'model-x' END AS model, CAST(floor(value * 10) AS BIGINT) AS tokens FROM events)""",
+    "commands": f"""commands AS (SELECT *, CASE WHEN name = 'Bash' THEN {list(COMMANDS)}[1 + call_id % {len(COMMANDS)}] END AS command, CASE WHEN name <> 'Bash' THEN CASE WHEN call_id % 3 > 0 THEN 'x' ELSE '' END END AS pattern FROM
+ (SELECT event_id AS call_id, CASE WHEN event_id % 5 = 0 THEN 'Grep' WHEN event_id % 7 = 0 THEN 'Glob' WHEN event_id % 11 = 0 THEN 'Read' ELSE 'Bash' END AS name, event_id % 4 = 0 AS limited, event_id % 6 = 0 AS counts FROM events))""",
     "wild_readings": """wild_readings AS (SELECT at_ms, session_id, limit_id, window_minutes, used_percent, (at_ms // length + 1) * length + CASE WHEN k % 11 = 0 THEN -length WHEN k % 13 = 0 THEN length WHEN k % 17 = 0 THEN -1200000 WHEN k % 19 = 0 THEN 1200000 ELSE k % 7 * 60000 END AS resets_at FROM
  (SELECT epoch_us(ts) // 1000 AS at_ms, event_id AS k, CAST(event_id AS VARCHAR) AS session_id, 'w' || (user_id % 53) AS limit_id, CASE WHEN user_id % 2 = 0 THEN 300 ELSE 10080 END AS window_minutes, CASE WHEN user_id % 2 = 0 THEN 300 ELSE 10080 END * 60000 AS length, least(100.0, floor(value)) AS used_percent FROM events))""",
     "price_rows": f"""price_rows AS (SELECT lower(p_brand) AS model, {list(PRICE_DAYS)}[1 + p_size % 3] AS as_of, CASE WHEN CAST(regexp_extract(p_brand, '[0-9]+$') AS INT) % 5 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, CAST(max(p_size) AS DOUBLE) AS s FROM part GROUP BY ALL)""",

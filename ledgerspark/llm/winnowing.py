@@ -7,8 +7,8 @@ depends on those words alone, so two texts that share t words share a kept hash
 
 Documents' kept hashes (about 2 of t - k + 2) meet those of the windows in a semi-join of three narrow columns. Only texts
 with a hash in common are read again: around each hit, every stretch of t words that holds it is compared with the
-windows, word by word. Texts are told apart by their MD5, so that copies meet in map-side parts of the aggregations,
-and the items of a set of windows are looked up once for all documents that have this set.
+windows, word by word. Texts are told apart by their MD5, and copies are dealt to ``SALT`` tasks, so that they meet in
+map-side parts of the aggregations; the items of a set of windows are looked up once for all documents that have it.
 
 Nothing is sent to all tasks unless Spark finds it below its own broadcast limit. One value for each window length
 (``span`` at most) reaches the driver.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-SPAN = 10
-#: What ends a word, and a word, once A-Z are lower-cased.
-BETWEEN, WITHIN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPAN, SALT = 10, 16
+#: What ends a word once A-Z are lower-cased, and a word before that.
+BETWEEN, WITHIN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,7 +93,9 @@ def met_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     own = fingerprints(docs.select("key", words_of(F.col("text")).alias("words")), spans)
     hits = cut(own.join(wanted, ["span", "hash"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("span", "place")).alias("hits")))
     # hits are extended: to each stretch of span words around the gram, wherever the text has so many
-    again = docs.join(hits, "key").select("key", "hits", words_of(F.col("text")).alias("words"))
+    dealt = docs.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    again = dealt.join(hits, ["key", "salt"]).select("key", "hits", words_of(F.col("text")).alias("words"))
     half = lambda x: F.greatest(F.lit(1), F.floor(x["span"] / 2).cast("int"))  # noqa: E731  as gram()
     around = lambda x: F.sequence(F.greatest(F.lit(0), x["place"] - (x["span"] - half(x))), F.least(x["place"], F.size("words") - x["span"]))
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(around(x), lambda s: F.struct(s.alias("start"), x["span"].alias("span"))))))
@@ -127,7 +129,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     items = sets.join(with_items.select("window_id", "item"), "window_id").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
     items = items.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     per = cut(per.join(items, "set").select("key", "n_hit", "n_items", "items_sha256"))
-    n_words = F.regexp_count(F.translate(text, UPPER, LOWER), F.lit(WITHIN)).cast("long")
+    n_words = F.regexp_count(text, F.lit(WITHIN)).cast("long")
     none = F.lit(0).cast("long")
     out = docs.select("doc_id", "key", n_words.alias("n_words")).join(per, "key", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"))

@@ -1,9 +1,10 @@
 import tempfile
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import files, stores
+from ledgerspark.operators import files, rewriters, stores
 from ledgerspark.streaming import live
 
 
@@ -38,6 +39,83 @@ def test_reads_are_refused_when_nothing_changed(spark):
     assert got["t", 3][1] == "missing-current-fingerprint"
 
 
+READS = "session_id string, seq long, path string, partial boolean, sha256 string, mtime_ms long, size_bytes long"
+
+
+def test_a_warm_start_changes_the_first_decision_and_a_restart_keeps_it(spark):
+    rows = [("s", 0, "/a", False, "h1", 1, 4000), ("s", 1, "/b", False, "h2", 1, 4000), ("s", 2, "/c", False, "h3", 1, 4000), ("t", 3, "/a", False, "h1", 1, 4000)]
+    df = spark.createDataFrame(rows, READS)
+    text = "one\ntwo\n"
+    read = [("s", 1, "/a", "old", None, None, None), ("s", 4, "/a", "\ufeffone\r\ntwo\r", None, None, None), ("s", 2, "/b", "drifted", None, None, None), ("s", 3, "/c", text, 1, 2, 9), ("s", 3, "/gone", text, 1, 2, 2), ("u", 3, "/c", text, 1, 2, 2)]
+    reads = spark.createDataFrame(read, "session_id string, turn long, path string, content string, start_line long, lines long, total_lines long")
+    disk = spark.createDataFrame([(p, text, h, 1, 4000) for p, h in (("/a", "h1"), ("/b", "h2"), ("/c", "h3"))], "path string, content string, sha256 string, mtime_ms long, size_bytes long")
+    warm = live.warm_entries(reads, disk)
+    assert sorted(map(tuple, warm.collect())) == [("s", "/a", "h1", 1, 1000), ("u", "/c", "h3", 1, 1000)]
+    assert [r.path for r in live.warm_entries(reads.withColumn("path", F.concat("path", F.lit("x"))), disk.withColumn("path", F.concat("path", F.lit("x"))), keep=1).filter("session_id = 's'").collect()] == ["/ax"]
+    folder = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+
+    def go(part, name):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = live.read_decisions(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), warm)
+        q = out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{folder}/ck-{name}").start()
+        q.processAllAvailable()
+        q.stop()
+        return {(r.session_id, r.path): r.reason for r in spark.table(name).collect()}
+
+    assert go(df, "warm") == {("s", "/a"): "unchanged", ("s", "/b"): "no-cache-entry", ("s", "/c"): "no-cache-entry", ("t", "/a"): "no-cache-entry"}
+
+    def sink(batch, _):
+        batch.write.mode("append").parquet(f"{folder}/out")
+
+    def restarted():
+        out = live.read_decisions(spark.readStream.schema(df.schema).parquet(f"{folder}/in2"), warm)
+        q = out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/ck2").start()
+        q.processAllAvailable()
+        q.stop()
+
+    df.filter("seq < 2").coalesce(1).write.mode("append").parquet(f"{folder}/in2")
+    restarted()
+    df.withColumn("seq", F.col("seq") + 10).coalesce(1).write.mode("append").parquet(f"{folder}/in2")
+    restarted()
+    later = {(r.session_id, r.path): r.reason for r in spark.read.parquet(f"{folder}/out").filter("seq >= 10").collect()}
+    assert later == {("s", "/a"): "unchanged", ("s", "/b"): "unchanged", ("s", "/c"): "no-cache-entry", ("t", "/a"): "no-cache-entry"}
+
+
+def test_entries_are_forgotten_in_time(spark):
+    df = spark.createDataFrame([("s", 0, "/a", False, "h1", 1, 4000)], READS)
+    folder = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    df.coalesce(1).write.parquet(f"{folder}/in")
+    out = live.read_decisions(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), ttl_ms=1)
+    q = out.writeStream.outputMode("append").format("memory").queryName("forgotten").option("checkpointLocation", f"{folder}/ck").trigger(processingTime="1 second").start()
+
+    def shown(n):  # a query with timers has always another batch to do
+        for _ in range(240):
+            if spark.table("forgotten").count() >= n:
+                return [r.reason for r in spark.table("forgotten").collect()]
+            time.sleep(0.25)
+        raise AssertionError("no rows")
+
+    try:
+        assert shown(1) == ["no-cache-entry"]
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        assert shown(2) == ["no-cache-entry"] * 2
+    finally:
+        q.stop()
+
+
+def test_rewriters_run_on_a_stream(spark):
+    cases = [("git status", "git-status", "git status -s"), ("git log -n 3", None, None), ("npm i x --no-fund", "npm-install", "npm i --no-audit --loglevel=error x --no-fund"), (" ls -l ", "ls", "set -o pipefail; ls -l | awk 'NR<=50'"),
+             ("grep -rn x", "grep", "set -o pipefail; grep -rn x | awk 'NR<=50'"), ("grep -r x", "grep", "grep -c -r x"), ("grep -rl x", None, None), ("tsc", "tsc", "set -o pipefail; tsc 2>&1 | awk 'NR<=100'"), ("cat a b", None, None), (None, None, None)]
+    rows = [(k, "Bash", c, None) for k, (c, _, _) in enumerate(cases)] + [(50, "Grep", None, "x"), (51, "Glob", None, "x"), (52, "Glob", None, ""), (53, "Read", None, "x")]
+    df = spark.createDataFrame(rows, "seq long, name string, command string, pattern string")
+    got = {r.seq: r.rewrite for r in run(spark, df, rewriters.rewritten, "rewritten", "append")}
+    assert [(got[k].rewriter, got[k].command) if got[k] else (None, None) for k in range(len(cases))] == [(n, c) for _, n, c in cases]
+    assert [(got[k].rewriter, got[k].head_limit) if got[k] else None for k in (50, 51, 52, 53)] == [("native-grep", 100), ("native-glob", 100), None, None]
+    assert {k: x.rewrite for k, x in ((r.seq, r) for r in rewriters.rewritten(df).collect())} == got
+    long = spark.createDataFrame([("Bash", "cat notes.txt", None)], "name string, command string, pattern string")
+    assert rewriters.rewritten(long).first().rewrite.command.startswith("awk '{a[NR]=$0} END{n=NR; if(n>300)") and rewriters.rewritten(long).first().rewrite.command.endswith(" notes.txt")
+
+
 def test_streamed_requests_merge(spark):
     rows = [(i, "f", f"k{i % 3}" if i % 4 else None, i, 2 * i, 3, 4) for i in range(24)]
     df = spark.createDataFrame(rows, "seq long, file_id string, request_key string, input long, output long, cache_read long, cache_write long").withColumn("line_no", F.col("seq"))

@@ -30,6 +30,7 @@ HIDDEN, WINDOW, LANES = 8, 64, 4096
 SAMPLE, LEAST, STEPS, BATCH, RATE = 1200, 10, 260, 256, 0.02
 #: Characters of a text that fitting reads at most; labelling always reads whole texts.
 FIT_CHARS = 1 << 18
+BUCKET_BITS = 12
 
 
 def has_letter(text: str | None) -> bool:
@@ -196,20 +197,32 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+def smallest(ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, lang, k): the k ids of each language with the smallest hashes, in that order; ids: (doc_id, lang), each once.
+
+    Ids are counted by language and the first BUCKET_BITS bits of their hash, and only those in the buckets that hold a
+    language's first k go on to be ranked: k and a bucket's share, whatever the language has.
+    """
+    hashed = ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.shiftright("hash", 64 - BUCKET_BITS))
+    counts = hashed.groupBy("lang", "bucket").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = counts.withColumn("before", before).filter(F.col("before") < k).select("lang", "bucket")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash", "doc_id"))
+    return hashed.join(first, ["lang", "bucket"], "left_semi").select("doc_id", "lang", rank.alias("k")).filter(F.col("k") <= k)
+
+
 def sample(docs: DataFrame, most: int) -> list[tuple[str, str]]:
     """At most ``most`` (text, lang) pairs, or ``LEAST`` a language, shared out evenly among all languages.
 
-    Ids are ranked first, in one pass that reads no text; then the chosen texts are read, ``FIT_CHARS`` of each.
+    Ids are ranked first, in a pass that reads no text; then the chosen texts are read, ``FIT_CHARS`` of each.
     """
     some = docs.filter("lang is not null and text is not null and doc_id is not null")
-    # each task keeps its own smallest hashes of a language before the window ranks what is left
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ranked = cut(some.select("doc_id", "lang", rank.alias("k")).filter(F.col("k") <= max(LEAST, most)))
+    ranked = cut(smallest(some.select("doc_id", "lang").distinct(), max(LEAST, most)))
     n = ranked.filter("k = 1").count()
     if not n:
         return []
     chosen = ranked.filter(F.col("k") <= max(LEAST, most // n)).drop("k")
-    got = some.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", "doc_id")
+    got = some.join(F.broadcast(chosen), ["doc_id", "lang"]).select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", "doc_id")
     got = got.withColumn("k", F.row_number().over(W.partitionBy("lang", "doc_id").orderBy("text"))).filter("k = 1")
     return [(r.text, r.lang) for r in got.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()]
 

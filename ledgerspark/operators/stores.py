@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +32,27 @@ def pruned(rows: DataFrame, order: str, keep: int = DRIFT_KEEP, above: int = 2 *
     return rows if n <= above else newest(rows, order, keep)
 
 
+def event_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch goes to a folder of its number, in place of what is there, so that a batch that is replayed after a failure adds nothing. A root belongs to one query."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number:019d}")
+
+    return put
+
+
+def events(spark: SparkSession, root: str, order: str, keep: int | None = None) -> DataFrame:
+    """What an event_sink() has put down, or the ``keep`` rows put down last (by batch, then by ``order``), for which only the last batches that hold so many are read."""
+    rows = spark.read.parquet(root)
+    if keep is None:
+        return rows.drop("batch")
+    counts = rows.groupBy("batch").count()
+    later = F.coalesce(F.sum("count").over(W.orderBy(F.desc("batch")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a batch
+    some = counts.withColumn("later", later).filter(F.col("later") < keep).select("batch")
+    last = rows.join(F.broadcast(some.limit(keep)), "batch", "left_semi").withColumn("_at", F.struct("batch", order))
+    return newest(last.drop("batch"), "_at", keep).drop("_at")
+
+
 def report_json(rows: DataFrame, name: str = "json") -> DataFrame:
     """Each row as a JSON object; nulls stay as nulls."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias(name))

@@ -54,8 +54,8 @@ def test_savings_of_edits_count_each_call(spark):
 
 def test_replay(spark):
     rows = [
-        (0, "Read", "/x.py", 1, None, None, 0), (1, "Glob", None, 1, "*.py", None, 0), (2, "Read", "/y.py", 1, None, None, 0), (3, "Grep", None, 1, "", None, 0), (4, "Read", "/z.py", 1, None, None, 0),
-        (5, "Bash", None, 1, None, "  rg needle", 0), (6, "Read", "/n.md", 1, None, None, 0), (7, "Read", "/v.TSX", 1, None, None, 3000), (8, "Read", "/v.TSX", 1, None, None, 2000), (9, "Read", "/x.py", 1, None, None, 2000), (10, "Bash", None, 1, None, "ls | grep x", 0),
+        (0, "Read", "/x.py", 1, None, None, 0), (1, "Glob", None, 1, "*.py", None, 1500), (2, "Read", "/y.py", 1, None, None, 0), (3, "Grep", None, 1, "", None, 0), (4, "Read", "/z.py", 1, None, None, 0),
+        (5, "Bash", None, 1, None, "  rg needle", 1500), (6, "Read", "/n.md", 1, None, None, 0), (7, "Read", "/v.TSX", 1, None, None, 3000), (8, "Read", "/v.TSX", 1, None, None, 2000), (9, "Read", "/x.py", 1, None, None, 2000), (10, "Bash", None, 1, None, "ls | grep x", 0),
     ]
     got = [r.saved for r in analyzers.replay(calls(spark, *[r[:6] for r in rows])).orderBy("call_idx").collect()]
     assert got == [r[6] for r in rows]
@@ -156,15 +156,15 @@ def plain_points(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("segment_ms", [7_200_000, 86_400_000, 10**12])
+@pytest.mark.parametrize("segment_ms", [21_600_000, 10**12])
 def test_limit_points_do_not_depend_on_how_readings_are_cut(spark, segment_ms):
     import random
 
     r, hour = random.Random(segment_ms), 3_600_000
     rows = []
     for limit, minutes in (("a", 300), ("b", 10080), ("a", 10080)):
-        for _ in range(200):
-            at = r.randrange(20 * 24 * hour)
+        for _ in range(90):
+            at = r.randrange(12 * 24 * hour)
             shift = r.choice([0, 0, 0, 60_000, -60_000, 1_200_000, -1_200_000, minutes * 60_000, -minutes * 60_000, 40 * 24 * hour if r.random() < 0.05 else 0])
             rows.append((limit, minutes, at, float(r.randrange(101)), (at // (minutes * 60_000) + 1) * minutes * 60_000 + shift))
     df = spark.createDataFrame(rows, "limit_id string, window_minutes long, at long, used_percent double, resets_at long").withColumns({"session_id": F.lit("s"), "plan_type": F.lit("p")})

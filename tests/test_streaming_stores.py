@@ -116,6 +116,24 @@ def test_rewriters_run_on_a_stream(spark):
     assert rewriters.rewritten(long).first().rewrite.command.startswith("awk '{a[NR]=$0} END{n=NR; if(n>300)") and rewriters.rewritten(long).first().rewrite.command.endswith(" notes.txt")
 
 
+def test_replayed_batches_add_nothing(spark):
+    folder = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(9)], "seq long, event string")
+    put = stores.event_sink(f"{folder}/out")
+    for k in range(3):
+        df.filter(F.floor(F.col("seq") / 3) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    q.stop()
+    every = [(k, f"v{k}") for k in range(9)]
+    assert sorted(map(tuple, stores.events(spark, f"{folder}/out", "seq").collect())) == every
+    last = spark.read.parquet(f"{folder}/out").filter("batch = 2").drop("batch").collect()
+    put(spark.createDataFrame(last, df.schema), 2)  # the batch that a restart would replay
+    assert sorted(map(tuple, stores.events(spark, f"{folder}/out", "seq").collect())) == every
+    assert sorted(map(tuple, stores.events(spark, f"{folder}/out", "seq", keep=4).collect())) == every[-4:]
+
+
 def test_streamed_requests_merge(spark):
     rows = [(i, "f", f"k{i % 3}" if i % 4 else None, i, 2 * i, 3, 4) for i in range(24)]
     df = spark.createDataFrame(rows, "seq long, file_id string, request_key string, input long, output long, cache_read long, cache_write long").withColumn("line_no", F.col("seq"))

@@ -54,8 +54,7 @@ def own_requests(requests: DataFrame, sessions: DataFrame | None = None) -> Data
 
     Sessions go by start, end (unknown ones last), number of requests and file; without ``sessions`` these follow from the
     requests, in windows over the partitioning in which turns were numbered. The request kept has the
-    greatest of each usage field over all copies. A key that a third of all rows share is no problem for the
-    first step (map-side aggregation by key); the owner then comes back by a join that AQE can split.
+    greatest of each usage field over all copies. A key that a third of all rows share is combined within each task first.
     Rows without a key all stay: each has a key of its own. Turns are numbered anew.
     """
     if sessions is None:
@@ -68,10 +67,9 @@ def own_requests(requests: DataFrame, sessions: DataFrame | None = None) -> Data
     )
     alone = F.struct(F.col("file_id").cast("string").alias("f"), F.col("turn_idx").cast("long").alias("t"))
     placed = placed.withColumn("_key", F.struct(F.col("request_key").alias("k"), F.when(F.col("request_key").isNull(), alone).alias("alone")))
-    best = placed.groupBy("_key").agg(F.min(rank).alias("r"), *[F.max(c).alias(f"top_{c}") for c in USAGE])
-    best = best.select("_key", F.col("r.file_id").alias("_file"), F.col("r.turn_idx").alias("_turn"), *[f"top_{c}" for c in USAGE])
-    same = placed["_key"].eqNullSafe(best["_key"]) & (F.col("file_id") == F.col("_file")) & (F.col("turn_idx") == F.col("_turn"))
-    kept = placed.join(best, same).select(*[F.col(f"top_{c}").alias(c) if c in USAGE else c for c in requests.columns])
+    # the kept row goes through the aggregation whole, so nothing is joined back; equal keys are combined before the shuffle
+    best = placed.groupBy("_key").agg(F.min_by(F.struct(*requests.columns), rank).alias("r"), *[F.max(c).alias(f"top_{c}") for c in USAGE])
+    kept = best.select(*[F.col(f"top_{c}" if c in USAGE else f"r.{c}").alias(c) for c in requests.columns])
     some = sum((F.col(c) for c in USAGE[:4]), F.lit(0)) > 0
     kept = kept.withColumn("missing_usage", F.col("missing_usage") & ~some)
     return kept.withColumn("turn_idx", F.row_number().over(W.partitionBy("file_id").orderBy("turn_idx")) - 1)

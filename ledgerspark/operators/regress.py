@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from ..functions.core import round_half_up, upper_median, version_in_range, version_parts
 
 MIN_N = 20
-#: Known regressions (id, checks, first and last affected version, fixed in, what).
+#: Known regressions (id, checks, first and last affected version, fixed in).
 KNOWN = (
-    ("R1", ("uncached-input",), "2.1.257", "2.1.259", "2.1.260", "context after tool results sent again as uncached input"),
-    ("R2", ("warm-cache-miss",), "2.1.69", "2.1.89", "2.1.90", "resumed sessions missed the prompt cache"),
-    ("R3", ("post-idle-cold", "warm-cache-miss"), "2.1.85", "2.1.100", "2.1.101", "thinking history cleared on every turn after an hour idle"),
-    ("R4", ("ttl-5m",), "2.1.0", "2.1.128", "2.1.129", "one-hour cache lifetime lowered to five minutes"),
-    ("R5", ("hourly-rebuild",), "2.1.0", "2.1.247", "2.1.248", "token refresh rebuilt the whole cache about hourly"),
+    ("R1", ("uncached-input",), "2.1.257", "2.1.259", "2.1.260"),
+    ("R2", ("warm-cache-miss",), "2.1.69", "2.1.89", "2.1.90"),
+    ("R3", ("post-idle-cold", "warm-cache-miss"), "2.1.85", "2.1.100", "2.1.101"),
+    ("R4", ("ttl-5m",), "2.1.0", "2.1.128", "2.1.129"),
+    ("R5", ("hourly-rebuild",), "2.1.0", "2.1.247", "2.1.248"),
 )
 
 
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, list(c), a, b, f, w) for i, c, a, b, f, w in KNOWN], "id string, checks array<string>, first string, last string, fixed string, what string")
+    return spark.createDataFrame([(i, list(c), a, b, f) for i, c, a, b, f in KNOWN], "id string, checks array<string>, first string, last string, fixed string")
 
 
 def sample_rows(requests: DataFrame) -> DataFrame:

@@ -175,6 +175,8 @@ def today_baseline(sessions: DataFrame, first: Column) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("days"), zero("usd").alias("median_usd"), zero("tokens").alias("median_tokens"), zero("ratio").alias("median_output_ratio_pct"))
 
 
+# The statuses of forecast and impact, their bounds in days and the factors of drift below are fixed values.
+
 # -- forecast --------------------------------------------------------------------------------------------
 
 

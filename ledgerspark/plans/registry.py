@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, reports, requests, rewriters, stores, usage
@@ -617,3 +618,31 @@ def benchmark_tasks(spark, d):
 def benchmark_suite(spark, d):
     """Months of the year as one suite."""
     return benchmarks.suite(benchmarks.saved(_months(spark, d))).select("tasks", "median_saved_pct", "min_saved_pct", "max_saved_pct", "base_total", "opt_total", "manifest", "output", "reads")
+
+
+@query("""SELECT agent, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(usd), 2) AS usd FROM (SELECT CASE WHEN file_id % 3 = 0 THEN 'b' ELSE 'a' END AS agent, total_tokens, usd FROM sessions) GROUP BY ROLLUP (agent)""", "sessions")
+def agent_totals(spark, d):
+    """Each agent's sessions and those of all."""
+    s = v.orders_sessions(spark, d).select(F.when(F.col("file_id") % 3 == 0, "b").otherwise("a").alias("agent"), F.lit(1).cast("long").alias("sessions"), "total_tokens", "usd")
+    return reports.combined(s).select("agent", "sessions", "total_tokens", r("usd", 2))
+
+
+@query("SELECT id FROM (VALUES ('R1', 257, 259), ('R2', 69, 89), ('R3', 85, 100), ('R4', 0, 128), ('R5', 0, 247)) k(id, a, b) WHERE EXISTS (SELECT 1 FROM sample_rows WHERE CAST(split_part(version, '.', 3) AS INT) BETWEEN a AND b)", "sample_rows")
+def known_in_logs(spark, d):
+    """Known regressions whose versions the logs hold."""
+    return regress.covered(v.sample_rows(spark, d), regress.known(spark))
+
+
+@query("SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS family FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+def session_families(spark, d):
+    """Orders that go on from the customer's order before, as families."""
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), before.alias("other")).filter("other is not null")
+    return requests.families(edges)
+
+
+@query("SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-30 12:00:00') AS active FROM events")
+def active_sessions(spark, d):
+    """Files written to in the twelve hours before a moment; an event is a file."""
+    files_ = v.table(spark, d, "events").select(F.col("event_id").alias("path"), F.col("ts").cast("timestamp").alias("mtime"))
+    return usage.active_sessions(files_, F.to_timestamp(F.lit("2024-01-31 00:00:00")), minutes=720)

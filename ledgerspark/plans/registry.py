@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, reports, requests, rewriters, stores, usage
+from ..functions import code
+from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, repo_audit, reports, requests, rewriters, stores, usage
 from ..session import checkpoint_folder
 from ..sources import assistant_logs, usage_cache
-from . import rewriter_twin
+from . import repo_views, rewriter_twin
 from . import trace_views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -646,3 +647,34 @@ def active_sessions(spark, d):
     """Files written to in the twelve hours before a moment; an event is a file."""
     files_ = v.table(spark, d, "events").select(F.col("event_id").alias("path"), F.col("ts").cast("timestamp").alias("mtime"))
     return usage.active_sessions(files_, F.to_timestamp(F.lit("2024-01-31 00:00:00")), minutes=720)
+
+
+# -- repositories: documents as their files -------------------------------------------------------------------
+
+
+@query(repo_views.IMPORTS)
+def repo_imports(spark, d):
+    """Imports that are files of the same repository, and how many files import each."""
+    rows = repo_views.files(spark, d)
+    edges = repo_audit.edges(repo_audit.imports(rows), rows)
+    used = edges.groupBy("repo", "imported").agg(F.count(F.lit(1)).alias("used_by"))
+    return edges.join(used, ["repo", "imported"]).select("repo", "importer", "imported", "used_by")
+
+
+@query(repo_views.PURPOSES)
+def repo_purposes(spark, d):
+    """What each source file is for."""
+    rows = repo_views.files(spark, d).filter("listed and language <> 'other'")
+    return rows.select("repo", "path", code.purpose(F.col("path"), F.col("content"), F.col("language")).alias("purpose"))
+
+
+@query(repo_views.SCORES)
+def repo_scores(spark, d):
+    """Each repository's score by 24 checks."""
+    return repo_audit.score(repo_audit.verdicts(repo_views.files(spark, d))).drop("to_mend")
+
+
+@query(repo_views.BUILT)
+def repo_built_with(spark, d):
+    """What each repository is built and tested with, and how its files are named."""
+    return repo_audit.built_with(repo_views.files(spark, d)).drop("languages", "build_tool", "monorepo")

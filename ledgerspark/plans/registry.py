@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import code
-from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, repo_audit, reports, requests, rewriters, stores, usage
+from ..operators import analyzers, benchmarks, estimate, files, limits, pricing, regress, repo_audit, reports, requests, rewriters, signals, stores, usage
 from ..session import checkpoint_folder
 from ..sources import assistant_logs, usage_cache
 from . import repo_views, rewriter_twin
@@ -678,3 +678,58 @@ def repo_scores(spark, d):
 def repo_built_with(spark, d):
     """What each repository is built and tested with, and how its files are named."""
     return repo_audit.built_with(repo_views.files(spark, d)).drop("languages", "build_tool", "monorepo")
+
+
+# -- tasks and searches ---------------------------------------------------------------------------------------
+
+ASKED = """SELECT conv_id, turn, concat(CASE (conv_id + turn) % 9 WHEN 0 THEN 'Refactor everywhere:' WHEN 1 THEN 'just fix src/a.py and SRC/A.py' WHEN 2 THEN 'add 7 files' WHEN 3 THEN 'Rename the foo module' WHEN 4 THEN 'explain 12 services globally'
+ WHEN 5 THEN 'cover the auth service, lib/b.ts' WHEN 6 THEN 'debugging is on' WHEN 7 THEN 'only document' ELSE '' END, ' ', text) AS text FROM conversations WHERE role = 'user'"""
+SAID = f"""said AS ({ASKED}), low AS (SELECT *, lower(text) AS l FROM said),
+counted AS (SELECT *, CASE WHEN regexp_matches(l, '\\b(refactor|rewrite|migrate|redesign|restructure|overhaul|port)\\b') THEN 'refactor' WHEN regexp_matches(l, '\\b(implement|add|build|create|introduce|ship)\\b') THEN 'implement'
+ WHEN regexp_matches(l, '\\b(fix|debug|investigate|diagnose|troubleshoot|repair|resolve)\\b') THEN 'debug' WHEN regexp_matches(l, '\\b(rename|move|delete|remove|comment|uncomment|format)\\b') THEN 'rename'
+ WHEN regexp_matches(l, '\\b(explain|review|audit|describe|summarize|document)\\b') THEN 'review' WHEN regexp_matches(l, '\\b(test|spec|cover)\\b') THEN 'test' ELSE 'other' END AS verb,
+ greatest(len(list_distinct(regexp_extract_all(l, '[a-z/]+\\.(?:py|ts)\\b'))) + len(list_distinct(regexp_extract_all(l, '\\bthe ([a-z]+) (?:module|service)\\b', 1))), coalesce(TRY_CAST(regexp_extract(l, '\\b([0-9]+)\\s+(?:files?|services?)\\b', 1) AS BIGINT), 0)) AS files,
+ regexp_matches(l, '\\b(everywhere|globally|project-wide|every|all (files|modules|packages|tests)|across the (codebase|repo|project))\\b') AS wide, regexp_matches(l, '\\b(just|only|single|one[- ]line|one[- ]liner|quick|tiny|trivial)\\b') AS narrow,
+ len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words FROM low),
+s0 AS (SELECT *, CASE verb WHEN 'refactor' THEN 2 WHEN 'debug' THEN 2 WHEN 'implement' THEN 1 WHEN 'other' THEN 1 ELSE 0 END AS v FROM counted),
+s1 AS (SELECT *, least(2, v + CASE WHEN files >= 12 THEN 2 WHEN files >= 6 THEN 1 ELSE 0 END + CASE WHEN wide THEN 1 ELSE 0 END) AS v1 FROM s0),
+s2 AS (SELECT *, least(2, greatest(0, v1 - CASE WHEN narrow THEN 1 ELSE 0 END) + CASE WHEN words >= 60 THEN 1 ELSE 0 END) AS v2 FROM s1)"""
+
+
+def _tasks_asked(spark: SparkSession, d: str) -> DataFrame:
+    return estimate.classified(spark.sql(ASKED.replace("FROM conversations", "FROM {conversations}"), conversations=v.table(spark, d, "conversations")))
+
+
+@query(f"WITH {SAID} SELECT conv_id, turn, verb, ['low', 'medium', 'high'][v2 + 1] AS tier, CAST(files AS BIGINT) AS files, CAST(words AS INT) AS words FROM s2")
+def task_complexity(spark, d):
+    """What each user's turn asks for."""
+    return _tasks_asked(spark, d).select("conv_id", "turn", "verb", "tier", "files", "words")
+
+
+@query(f"""WITH {SAID}, t AS (SELECT *, CASE verb WHEN 'debug' THEN [50250, 104000, 186750][v2 + 1] ELSE [26500, 85000, 167750][v2 + 1] END + 5100 AS base FROM s2),
+p AS (SELECT *, CAST(CASE v2 WHEN 0 THEN floor(base * (1 - 0.8) + 40000 * 0.8 + 0.5) WHEN 1 THEN floor(base * (1 - 0.6) + 90000 * 0.6 + 0.5) ELSE base END AS BIGINT) AS tokens FROM t)
+SELECT conv_id, turn, tokens, CAST(floor(tokens * 0.7::DOUBLE + 0.5) AS BIGINT) AS tokens_low, CAST(floor(tokens * 1.4::DOUBLE + 0.5) AS BIGINT) AS tokens_high, CASE WHEN v2 = 0 THEN 'haiku' WHEN v2 = 2 AND verb <> 'debug' THEN 'opus' ELSE 'sonnet' END AS model,
+ floor(tokens * 3.0::DOUBLE / 1000000 * 10000 + 0.5) / 10000 AS usd_sonnet FROM p""")
+def task_predictions(spark, d):
+    """Tokens and dollars of each user's turn, blended with two tiers of past sessions."""
+    past = spark.createDataFrame([("low", 4, 40000, "high"), ("medium", 2, 90000, "medium")], "tier string, matched long, median_tokens long, confidence string")
+    out = estimate.costs(estimate.predicted(_tasks_asked(spark, d), past, repo_files=100, manifest_tokens=100), {"sonnet": 3.0})
+    return out.select("conv_id", "turn", "tokens", "tokens_low", "tokens_high", estimate.family().alias("model"), "usd_sonnet")
+
+
+SEARCHES = """SELECT user_id AS session, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, event_id AS line, CASE event_type WHEN 'signup' THEN 'Grep' WHEN 'purchase' THEN 'Bash' WHEN 'error' THEN 'Glob' ELSE 'Read' END AS name,
+ CASE event_type WHEN 'signup' THEN CASE event_id % 5 WHEN 0 THEN 'Load' WHEN 1 THEN 'load_all' WHEN 2 THEN 'All$' WHEN 3 THEN '(' ELSE '' END WHEN 'error' THEN '*.py' END AS pattern, CASE WHEN event_type = 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'rg -n read' ELSE 'ls' END END AS command FROM events"""
+
+
+@query(f"""WITH calls AS ({SEARCHES}), sig AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ms, line DESC) AS n FROM (SELECT session, ms, line, name, CASE WHEN name = 'Bash' THEN CASE WHEN command LIKE 'rg%' THEN 'read' END ELSE nullif(pattern, '') END AS pattern FROM calls WHERE name <> 'Read') WHERE pattern IS NOT NULL),
+near AS (SELECT r.line AS read_id, s.n, s.pattern, s.name FROM calls r JOIN sig s ON s.session = r.session AND s.ms <= r.ms WHERE r.name = 'Read' QUALIFY row_number() OVER (PARTITION BY r.line ORDER BY s.n DESC) <= 200),
+rates AS (SELECT * FROM (VALUES ('loadAll', 'Load', 0.7 + 0.1 * 4 / 7), ('loadAll', 'All$', 0.7), ('READ', 'read', 0.95), ('load', 'Load', 0.95), ('load', 'load_all', 0.75)) v(symbol, pattern, c)),
+best AS (SELECT read_id, symbol, max(c) AS c, arg_max(pattern, (c, n)) AS pattern FROM near JOIN rates USING (pattern) WHERE name <> 'Glob' GROUP BY ALL)
+SELECT r.line AS read_id, x.symbol, round(coalesce(c, 0), 6) AS confidence, b.pattern FROM calls r CROSS JOIN (VALUES ('loadAll'), ('READ'), ('load')) x(symbol) LEFT JOIN best b ON b.read_id = r.line AND b.symbol = x.symbol WHERE r.name = 'Read'""")
+def symbol_scores(spark, d):
+    """How well three symbols of each file read fit what the session searched for up to then."""
+    calls = spark.sql(SEARCHES.replace("FROM events", "FROM {events}").replace("epoch_us(ts)", "unix_micros(CAST(ts AS TIMESTAMP))"), events=v.table(spark, d, "events")).withColumnRenamed("ms", "at")
+    reads = calls.filter("name = 'Read'").select("session", "at", F.col("line").alias("read_id"))
+    known = signals.as_of(signals.derived(calls), reads)
+    symbols = reads.select("read_id", F.explode(F.array(*map(F.lit, ("loadAll", "READ", "load")))).alias("symbol"))
+    return signals.scored(symbols, known).select("read_id", "symbol", r("confidence", 6), "pattern")

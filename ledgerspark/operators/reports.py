@@ -80,11 +80,13 @@ def dearest_sessions(sessions: DataFrame, n: int = 5) -> DataFrame:
     return sessions.orderBy(F.desc("total_tokens"), F.desc("usd"), F.desc("started_at"), "file_id").limit(n)
 
 
-def daily(sessions: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
-    """Sessions, tokens and dollars by UTC day, empty days included; only the newest ``MOST_DAYS`` days."""
+def daily(sessions: DataFrame, first: Column | None = None, last: Column | None = None, most: int | None = MOST_DAYS) -> DataFrame:
+    """Sessions, tokens and dollars by UTC day, empty days included; only the newest ``most`` days (None: all)."""
     by = sessions.groupBy(F.to_date("started_at").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("total_tokens").alias("total_tokens"), F.sum("usd").alias("usd"))
     span = by.agg((first if first is not None else F.min("day")).alias("a"), (last if last is not None else F.max("day")).alias("b"))
-    span = span.withColumn("a", F.greatest(F.col("a"), F.date_sub("b", MOST_DAYS - 1))).filter("b >= a")
+    if most is not None:
+        span = span.withColumn("a", F.greatest(F.col("a"), F.date_sub("b", most - 1)))
+    span = span.filter("b >= a")
     days = span.select(F.explode(F.sequence("a", "b", F.expr(DAY))).alias("day"))
     return days.join(by, "day", "left").fillna(0, ["sessions", "total_tokens", "usd"])
 

@@ -585,10 +585,10 @@ def read_cache_last_wins(spark, d):
 
 @query(f"""days AS (SELECT CAST(started_at AS DATE) AS day, count(*) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sum(usd) AS usd {WINDOW} GROUP BY 1)
 SELECT CAST(d.day AS VARCHAR) AS day, coalesce(sessions, 0) AS sessions, coalesce(total_tokens, 0) AS total_tokens, round(coalesce(usd, 0), 2) AS usd
-FROM (SELECT CAST(unnest(generate_series(DATE '1996-12-01', DATE '1997-04-01', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN days b ON b.day = d.day""", "sessions")
+FROM (SELECT CAST(unnest(generate_series(DATE '1996-03-01', DATE '1997-04-01', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN days b ON b.day = d.day""", "sessions")
 def stats_daily(spark, d):
-    """By day between two given days, the last three weeks of which are empty."""
-    out = reports.daily(_window(spark, d), F.to_date(F.lit("1996-12-01")), F.to_date(F.lit("1997-04-01")))
+    """By day between two given days: every day of the window, and three weeks after it, which are empty."""
+    out = reports.daily(_window(spark, d), F.to_date(F.lit("1996-03-01")), F.to_date(F.lit("1997-04-01")), most=None)
     return out.select(F.col("day").cast("string").alias("day"), "sessions", "total_tokens", r("usd", 2))
 
 

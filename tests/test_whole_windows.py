@@ -26,6 +26,13 @@ def test_daily_counts_every_session_of_its_days(spark):
     assert max(days) == str(newest) and len(days) == 366
 
 
+def test_daily_between_given_days_counts_every_session_of_the_window(spark):
+    got = {str(r.day): r.sessions for r in registry.QUERIES["stats_daily"](spark, TABLES).collect()}
+    s = v.orders_sessions(spark, TABLES).filter("started_at >= '1996-03-01' and started_at < '1997-03-11'")
+    assert {d: n for d, n in got.items() if n} == {str(r.day): r["count"] for r in s.groupBy(F.to_date("started_at").alias("day")).count().collect()}
+    assert (min(got), max(got), len(got)) == ("1996-03-01", "1997-04-01", 397) and not any(n for d, n in got.items() if d > "1997-03-10")
+
+
 def test_daily_fills_empty_days(spark):
     at = [(datetime.datetime(2024, 2, 27, 23), 5, 1.0), (datetime.datetime(2024, 3, 1), 7, 2.0), (datetime.datetime(2024, 3, 1, 9), 1, 0.5)]
     got = reports.daily(spark.createDataFrame(at, "started_at timestamp, total_tokens long, usd double")).orderBy("day").collect()

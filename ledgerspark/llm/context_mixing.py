@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BITS, CONTEXTS = 22, 4  # of the smallest tables
+GATES = 2 * 4 ** (CONTEXTS - 1)
 BLOCK = 1 << 13
 COMMON = 256
 PRIOR, UNIT, MOST = 0.4, 512, 15.9
@@ -92,6 +93,12 @@ class Code:
         depth = np.arange(len(self.node)) - np.repeat(self.first, self.length)
         self.kind = np.minimum(depth, DEPTHS // 2 - 1) + np.where(self.node >= self.byte0, DEPTHS // 2, 0)
         self.kind = self.kind.astype(np.int16)
+        # the first context's log odds of words, known before anything is counted in a table
+        counts, ways = np.array([*(n for _, n in words), escapes, ends], float), np.zeros((2, self.byte0))
+        own = int(a.length.sum())
+        np.add.at(ways, (a.bit, a.node), np.repeat(counts, a.length))
+        self.odds = np.zeros(len(self.node), np.float32)
+        self.odds[:own] = np.clip(np.log((ways[1] + PRIOR) / (ways[0] + PRIOR)), -MOST, MOST)[a.node]
         # runs of four decisions share a place: the first one's node, and where in the little tree below it each stands
         inside, at, b = depth & 3, np.arange(len(self.node)), self.bit.astype(np.int64)
         back = lambda k: np.where(inside >= k, b[np.maximum(at - k, 0)], 0)
@@ -222,25 +229,76 @@ class Spelling:
         self.seeds = [pair + U(1 << 20), prefix, (three | back[3] << U(24)) * K2 + U(5), three * K3]
 
 
+class Lessons:
+    """Weights by gate and sums for the refinement table, learned from all that a task counts, each part before it is counted.
+
+    Steps follow Adam; what stands for a gate in the end is the mean of its weights after each step, by decisions.
+    """
+
+    def __init__(self):
+        self.weights, self.step = first_weights().astype(np.float64), 0
+        self.m, self.v = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        self.n, self.sums = np.zeros(GATES), np.zeros_like(self.weights)
+        self.cells = np.zeros((3, DEPTHS * BUCKETS))  # how many decisions, how many yes, sum of odds
+
+    def learn(self, gate: np.ndarray, x: np.ndarray, kind: np.ndarray, bit: np.ndarray) -> None:
+        seen, n = np.bincount(gate, minlength=GATES), DEPTHS * BUCKETS
+        for turn in range(max(1, 4 - self.step // 20)):  # more than one while little has been seen
+            z = mix(self.weights.astype(np.float32), gate, x)
+            if not turn:
+                cell = kind.astype(np.int64) * BUCKETS + Model.bucket(z)
+                both = np.bincount(cell * 2 + bit, minlength=2 * n)
+                self.cells += both[0::2] + both[1::2], both[1::2], np.bincount(cell, z, n)
+            err = bit - 1 / (1 + np.exp(-z))
+            g = np.stack([np.bincount(gate, err * a, GATES) for a in x] + [np.bincount(gate, err, GATES)], 1) / (seen[:, None] + 50)
+            self.step += 1
+            self.m, self.v = 0.8 * self.m + 0.2 * g, 0.97 * self.v + 0.03 * g * g
+            pace = 0.05 * min(1.0, (40 / self.step) ** 0.5)
+            self.weights += pace * (self.m / (1 - 0.8**self.step)) / (np.sqrt(self.v / (1 - 0.97**self.step)) + 1e-6)
+        self.n += seen
+        self.sums += seen[:, None] * self.weights
+
+    def sent(self) -> np.ndarray:
+        """All in one array; those of several tasks add up."""
+        return np.concatenate([self.n, self.sums.ravel(), self.cells.ravel()])
+
+
 class Counts:
-    """How often each slot's decision was no and yes."""
+    """How often each slot's decision was no and yes, and the lessons from it."""
 
     def __init__(self, code: Code):
         self.code, self.own = code, [np.zeros(2 << code.bits, np.uint32) for _ in range(CONTEXTS)]
         self.symbols = np.zeros(code.byte0, np.int64)
+        self.lessons, self.added = [Lessons(), Lessons()], [0, 0]  # of texts, of spellings
 
-    def add(self, b: Batch | Spelling, at: int = 1 << 15) -> None:
+    def add(self, b: Batch | Spelling, most: int = 1 << 14) -> None:
+        """Each part is predicted by what was counted before it, then counted; parts grow with what there is."""
         plain = isinstance(b, Batch)  # whose first context is the same everywhere, so it is counted by symbol
         if plain:
             self.symbols += np.bincount(b.symbols, minlength=len(self.symbols))
-        for lo in range(0, len(b.symbols), at):
-            paths = self.code.paths(b.symbols[lo : lo + at])
-            bit = np.take(self.code.bit, paths.at).astype(np.int64)
+        lo = 0
+        while lo < len(b.symbols):
+            hi = lo + min(most, max(1 << 9, self.added[plain] // 4))
+            paths = self.code.paths(b.symbols[lo:hi])
+            bit = np.take(self.code.bit, paths.at, mode="clip")
+            x, gate = np.empty((CONTEXTS, len(bit)), np.float32), np.full(len(bit), 0 if plain else 1, np.int8)
+            if plain:
+                np.take(self.code.odds, paths.at, out=x[0], mode="clip")
+            slots = []
             for k in range(plain, CONTEXTS):
-                s = paths.slots(b.seeds[k][lo : lo + at])
+                s = paths.slots(b.seeds[k][lo:hi])
+                x[k], level = odds_and_level(np.take(self.own[k].view(np.uint64), s, mode="clip"))
+                if k:
+                    gate *= np.int8(4)  # below 128 in the end
+                    gate += level
                 s <<= 1
                 s |= bit
-                np.add.at(self.own[k], s, U(1))
+                slots.append(s)
+            self.lessons[plain].learn(gate.astype(np.int64), x, np.take(self.code.kind, paths.at, mode="clip"), bit)
+            for own, s in zip(self.own[plain:], slots, strict=True):
+                np.add.at(own, s, U(1))
+            self.added[plain] += len(b.symbols[lo:hi])
+            lo = hi
 
     def tables(self) -> list[np.ndarray]:
         met = np.flatnonzero(self.symbols)
@@ -251,16 +309,14 @@ class Counts:
         return self.own
 
 
-def sparse(batches: list[Batch | Spelling], code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
-    """What Counts would hold, as (places, counts) of each table: for few texts and words."""
-    out = []
-    for k in range(CONTEXTS):
-        met = []
-        for b in batches:
-            paths = code.paths(b.symbols)
-            met.append(paths.slots(b.seeds[k]) << 1 | code.bit[paths.at])
-        out.append(np.unique(np.concatenate(met), return_counts=True))
-    return out
+def odds_and_level(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds, and how well filled it is (0 to 3), of slots as (no, yes) in 64 bits each."""
+    n = pairs.view(np.uint32).astype(np.float32)
+    no, yes = n[0::2], n[1::2]
+    total = no + yes
+    level = (total >= LEVELS[1]).view(np.int8) + (total >= LEVELS[2]).view(np.int8) + (total >= LEVELS[3]).view(np.int8)
+    odds = np.log((yes + np.float32(PRIOR)) / (no + np.float32(PRIOR)))
+    return np.clip(odds, -MOST, MOST, out=odds), level
 
 
 def packed(tables: list[np.ndarray]) -> list[np.ndarray]:
@@ -274,6 +330,23 @@ def packed(tables: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def first_weights() -> np.ndarray:
+    w = np.full((GATES, CONTEXTS + 1), 0.3, np.float32)
+    w[:, -1] = 0
+    return w
+
+
+def mix(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log odds by the weights of each decision's gate."""
+    w = np.ascontiguousarray(weights.T)
+    z = np.take(w[CONTEXTS], gate, mode="clip")  # no index is out of range; clip is the quicker check
+    for k in range(CONTEXTS):
+        a = np.take(w[k], gate, mode="clip")
+        a *= x[k]
+        z += a
+    return z
+
+
 def stride(at: int) -> int:
     """Symbols from place ``at`` of a text up to its next refinement."""
     return min(EVERY, 1 + at // EVERY)
@@ -282,8 +355,7 @@ def stride(at: int) -> int:
 class Model:
     def __init__(self, code: Code, tables: list[np.ndarray]):
         self.code, self.tables = code, tables
-        self.weights = np.full((2 * 4 ** (CONTEXTS - 1), CONTEXTS + 1), 0.3, np.float32)
-        self.weights[:, -1] = 0
+        self.weights, self.learned = first_weights(), np.zeros(GATES)
         self.refine = np.zeros((DEPTHS, BUCKETS), np.float32)
         self.plain: np.ndarray | None = None
 
@@ -318,45 +390,22 @@ class Model:
 
     def mixed(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Log odds by the fitted weights."""
-        w = np.ascontiguousarray(self.weights.T)
-        gate = gate.astype(np.int64)
-        z = np.take(w[CONTEXTS], gate, mode="clip")  # no index is out of range; clip is the quicker check
-        for k in range(CONTEXTS):
-            a = np.take(w[k], gate, mode="clip")
-            a *= x[k]
-            z += a
-        return z
+        return mix(self.weights, gate.astype(np.int64), x)
 
     @staticmethod
     def bucket(z: np.ndarray) -> np.ndarray:
         b = (z * np.float32(1.5) + np.float32(BUCKETS // 2)).astype(np.int16)
         return np.clip(b, 0, BUCKETS - 1, out=b)
 
-    def fit(self, batches: list[Batch | Spelling], rounds: int = 40) -> None:
-        """Weights and refinement from texts and words whose counts are not in the tables."""
-        self.plain = None
-        found = [self.inputs(b.seeds, b.symbols, isinstance(b, Spelling))[1:] for b in batches if len(b.symbols)]
-        self.plain = None
-        if not found:
-            return
-        gate, x, kind, bit = (np.concatenate(a, axis=-1) for a in zip(*found, strict=True))
-        del found
-        n_gates = len(self.weights)
-        m = np.zeros((n_gates, CONTEXTS + 1))
-        v = np.zeros_like(m)
-        seen = np.bincount(gate, minlength=n_gates)[:, None] + 50
-        for step in range(1, rounds + 1):
-            err = bit - 1 / (1 + np.exp(-self.mixed(gate, x)))
-            g = np.stack([np.bincount(gate, err * x[k], n_gates) for k in range(CONTEXTS)] + [np.bincount(gate, err, n_gates)], 1) / seen
-            m, v = 0.8 * m + 0.2 * g, 0.97 * v + 0.03 * g * g
-            self.weights += (0.05 * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.97**step)) + 1e-6)).astype(np.float32)
-        z = self.mixed(gate, x)
-        cell = kind.astype(np.int64) * BUCKETS + self.bucket(z)
-        all_, yes, odds = (np.bincount(cell, a, DEPTHS * BUCKETS) for a in (np.ones(len(z)), bit, z))
-        mean = odds / np.maximum(all_, 1)
+    def fit(self, lessons: np.ndarray) -> None:
+        """Weights and refinement from the sums of all tasks' lessons; learned: how many decisions each gate's weights come from."""
+        self.learned, sums, (every, yes, odds) = lessons[:GATES], lessons[GATES : GATES * (CONTEXTS + 2)].reshape(GATES, CONTEXTS + 1), lessons[GATES * (CONTEXTS + 2) :].reshape(3, -1)
+        met = self.learned > 0
+        self.weights[met] = (sums[met] / self.learned[met, None]).astype(np.float32)
+        mean = odds / np.maximum(every, 1)
         p0 = 1 / (1 + np.exp(-mean))
-        real = np.log((yes + 2 * p0) / (all_ - yes + 2 * (1 - p0)))
-        self.refine = ((real - mean) * all_ / (all_ + 30)).reshape(DEPTHS, BUCKETS).astype(np.float32)
+        real = np.log((yes + 2 * p0) / (every - yes + 2 * (1 - p0)))
+        self.refine = ((real - mean) * every / (every + 30)).reshape(DEPTHS, BUCKETS).astype(np.float32)
 
     def logs(self, z: np.ndarray, kind: np.ndarray, bit: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of each symbol's probability; first: where its decisions begin."""

@@ -6,8 +6,8 @@ hashed tables, and the tables are added up range by range; every text is then sc
 model grows with the N training tokens: its dictionary has ``dictionary_size(N)`` words, 8 sqrt(N) and ``WORDS``
 at least (distinct words grow about so), and each of its CONTEXTS tables 2 ** ``table_bits(N)`` slots, 32 for each
 word of the dictionary and 2 ** BITS at least. So memory of a task grows as sqrt(N); both are filled from all training
-texts. Weights are first fitted on at most ``SAMPLE`` texts and ``SPELLED`` words (smallest hashes first), with
-their own counts taken out; each text then refines them for itself. Words outside the dictionary meet the full word counts in a join, where each
+texts. Weights are learned from all training texts and all their words' spellings while these are counted, each part
+from what its task had counted before it, and are the tasks' mean by decisions; each text then refines them for itself. Words outside the dictionary meet the full word counts in a join, where each
 distinct one has been spelled once: such a word's probability is the mean of its share of all such words
 (weighted by what is not taken by words seen once) and its spelling.
 
@@ -29,17 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .context_mixing import BITS, CONTEXTS, Batch, Code, Counts, Model, Spelling, Texts, filled, packed, sparse, split_texts, squeezed
+from .context_mixing import BITS, CONTEXTS, Batch, Code, Counts, Model, Spelling, Texts, filled, packed, split_texts, squeezed
 from .shared import partitions, small_batches, stored
 
-WORDS, SAMPLE, SPELLED = 65_536, 300, 8000
+WORDS = 65_536
 END = b"\n"
 RANGE = 1 << 16  # slots that one row of a table holds
 AT_ONCE = 1 << 22  # characters of text that are counted or scored together
 WORDS_AT_ONCE, MERGED = 1 << 14, 1 << 20  # words in a batch, and counts that a task holds before it merges them
 COUNTED = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-#: Characters of a text that fitting of weights reads at most; counting and scoring always read whole texts.
-FIT_CHARS = 1 << 18
+DEALT = 16  # parts below zero hold lessons, dealt by task
+BYTES, TOTAL, DISTINCT, ENDS, SINGLE = 256, 256, 257, 258, 259  # keys of the totals, after those of bytes
 
 
 def dictionary_size(tokens: int) -> int:
@@ -91,6 +91,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return small_batches(texts).select("text", "held_out").mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def totals(counts: DataFrame) -> np.ndarray:
+    """By key: each byte in the spellings of known words, with a stop after each word; TOTAL, DISTINCT, ENDS, SINGLE."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SINGLE + 1, np.int64)
+        for b in batches:
+            b = b.filter(pc.greater(b["n"], 0))
+            word = pc.not_equal(b["word"], END)
+            own, n = b.filter(word), b["n"].to_numpy()
+            out[:BYTES] += np.bincount(np.frombuffer(b"".join(own["word"].to_pylist()), np.uint8), minlength=BYTES)
+            out[ord(" ")] += own.num_rows
+            single = int(np.count_nonzero(own["n"].to_numpy() == 1))
+            out[[TOTAL, DISTINCT, ENDS, SINGLE]] += n.sum(), len(n), n.sum() - own["n"].to_numpy().sum(), single
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["key", "n"])
+
+    out = np.zeros(SINGLE + 1, np.int64)
+    for r in counts.mapInArrow(each, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        out[r.key] = r.n
+    return out
+
+
 def table_rows(tables: list[np.ndarray]) -> Iterator[tuple]:
     """(part, low, at, rest), squeezed: a range's counters as bytes, and what is above a byte by place; few counters go by place only."""
     for k, t in enumerate(tables):
@@ -134,7 +155,7 @@ def parts_of(words, size: int = WORDS_AT_ONCE) -> Iterator[list[bytes]]:
 
 
 def table_counts(rows: DataFrame, code, spelled: bool) -> DataFrame:
-    """Each task's tables of rows (text; or word, if spelled), a row for each range that has counts; code: a broadcast Code."""
+    """Each task's tables of rows (text; or word, if spelled), a row for each range that has counts, and its lessons; code: a broadcast Code."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = None
@@ -151,92 +172,69 @@ def table_counts(rows: DataFrame, code, spelled: bool) -> DataFrame:
         if c:
             for row in table_rows(c.tables()):
                 yield pd.DataFrame([row], columns=["part", "low", "at", "rest"])
+            lessons = squeezed(c.lessons[not spelled].sent())
+            yield pd.DataFrame([(-1 - TaskContext.get().partitionId() % DEALT, lessons, b"", b"")], columns=["part", "low", "at", "rest"])
 
     return rows.mapInPandas(each, "part int, low binary, at binary, rest binary")
 
 
-def table_sums(rows: DataFrame, own) -> DataFrame:
-    """(part, full, less): each range added up and packed; less has the slots that the sample meets, without the sample's counts.
-
-    own: broadcast, part -> steps between places and counts of the sample, squeezed.
-    """
+def table_sums(rows: DataFrame) -> DataFrame:
+    """(part, full): each range added up and packed; lessons added up."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for f in frames:
             for part, low, at, rest in zip(f["part"], f["low"], f["at"], f["rest"], strict=True):
+                if part < 0:
+                    sums[part] = sums.get(part, 0.0) + filled(low, np.float64)
+                    continue
                 t = sums.setdefault(part, np.zeros(2 * RANGE, np.int64))
                 if len(low := filled(low, np.uint8)):
                     t += low
                 t[np.cumsum(filled(at, "<u4"))] += filled(rest, "<u4")
         for part, t in sums.items():
-            full = squeezed(packed([t])[0])
-            at = np.zeros(0, np.int64)
-            if part in own.value:
-                steps, n = own.value[part]
-                at = np.cumsum(filled(steps, "<u4"))
-                t[at] -= filled(n, "<u4")
-            met = np.unique(at >> 1).astype(np.int64)
-            pairs = np.stack([2 * met, 2 * met + 1], 1).ravel()
-            yield pd.DataFrame([(part, full, squeezed(packed([t[pairs]])[0]))], columns=["part", "full", "less"])
+            yield pd.DataFrame([(part, squeezed(t if part < 0 else packed([t])[0]))], columns=["part", "full"])
 
     # CONTEXTS * 2 ** bits / RANGE ranges in all
-    return rows.repartition(2 * partitions(rows.sparkSession), "part").mapInPandas(each, "part int, full binary, less binary")
+    return rows.repartition(2 * partitions(rows.sparkSession), "part").mapInPandas(each, "part int, full binary")
 
 
-def fitted(texts: DataFrame, counts: DataFrame, sample: int = SAMPLE, words: int | None = None) -> tuple[Model, dict]:
-    """The model and the corpus totals; texts: doc_id, text to learn from; counts: their words and n, stored."""
+def fitted(texts: DataFrame, counts: DataFrame, words: int | None = None) -> tuple[Model, dict]:
+    """The model and the corpus totals; texts: text to learn from; counts: their words and n, stored."""
     sc = texts.sparkSession.sparkContext
     known = counts.filter((F.col("n") > 0) & (F.col("word") != F.lit(END)))
-    one = F.count_if((F.col("n") == 1) & (F.col("word") != F.lit(END)))
-    total, distinct, ends, single = counts.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), one).first()
-    total, ends = total or 0, ends or 0
+    every = totals(counts)
+    total, distinct, ends, single = (int(n) for n in every[BYTES:])
     words, bits = dictionary_size(total) if words is None else words, table_bits(total)
     size = 1 << bits
     top = known.orderBy(F.desc("n"), "word").limit(words).toLocalIterator()  # so that executors merge the tasks' shares
     top = [(bytes(r.word), r.n) for r in top]
     rare = total - ends - sum(n for _, n in top)
     unseen = (single - sum(n == 1 for _, n in top)) / rare if rare else 1.0
-    ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = texts.join(F.broadcast(ids.distinct()), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(sample)
-    chosen = split_texts([r.text for r in chosen.select(F.substring("text", 1, FIT_CHARS).alias("text")).collect()])
-    types = [bytes(r.word) for r in known.select("word").orderBy(F.xxhash64("word"), "word").limit(SPELLED).collect()]
-    code = Code(top, rare, ends, np.bincount(np.frombuffer(b"".join(w + b" " for w in types), np.uint8), minlength=256), bits)
-    types = unknown(pd.Series(types, dtype=object), code)[0]
-    batches = [Batch(chosen, code), Spelling(types, code)] if types else [Batch(chosen, code)]
-    own, met = {}, []
-    for k, (at, n) in enumerate(sparse(batches, code)):
-        cuts = np.searchsorted(at, np.arange(0, 2 * size + 1, 2 * RANGE))
-        for r, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if y > x:
-                own[k * (size // RANGE) + r] = squeezed(np.diff(at[x:y].astype(np.int64), prepend=2 * r * RANGE).astype("<u4")), squeezed(n[x:y].astype("<u4"))
-        met.append(np.unique(at >> 1).astype(np.uint32))
-    full = [np.zeros(size, np.int16) for _ in range(CONTEXTS)]
-    less = [np.zeros(len(m), np.int16) for m in met]
+    code = Code(top, rare, ends, every[:BYTES], bits)
+    full, lessons = [np.zeros(size, np.int16) for _ in range(CONTEXTS)], 0.0
     coded = sc.broadcast(code)
     counted = table_counts(small_batches(texts).select("text"), coded, False).unionByName(table_counts(known.select("word"), coded, True))
-    for r in stored(table_sums(counted, sc.broadcast(own))).toLocalIterator():  # a part at a time: the tables are large
+    for r in stored(table_sums(counted)).toLocalIterator():  # a part at a time: the tables are large
+        if r.part < 0:
+            lessons = lessons + filled(r.full, np.float64)
+            continue
         k, at = divmod(r.part, size // RANGE)
         full[k][at * RANGE : (at + 1) * RANGE] = filled(r.full, np.int16)
-        less[k][slice(*np.searchsorted(met[k], (at * RANGE, (at + 1) * RANGE)))] = filled(r.less, np.int16)
     model = Model(code, full)
-    kept = [t[m] for t, m in zip(full, met, strict=True)]
-    for t, m, x in zip(full, met, less, strict=True):
-        t[m] = x  # weights are fitted without the sample's own counts
-    model.fit(batches)
-    for t, m, x in zip(full, met, kept, strict=True):
-        t[m] = x
+    if np.ndim(lessons):
+        model.fit(lessons)
     seen = {"train_tokens": total, "distinct": distinct, "ends": ends, "rare": rare, "top": [n for _, n in top], "seen_share": min(max(1 - unseen, 0.0), 0.98)}
     return model, seen
 
 
-def scores(docs: DataFrame, held: Column, sample: int = SAMPLE, words: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, held: Column, words: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs."""
     sc = docs.sparkSession.sparkContext
     marked = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held, F.lit(False)).alias("held_out"))
     learned = marked.filter(~F.col("held_out")).select("doc_id", "text")
     counts = stored(word_counts(marked))
-    model, seen = fitted(learned, counts, sample, words)
+    model, seen = fitted(learned, counts, words)
     n_all, n_distinct, rare, share = seen["train_tokens"], seen["distinct"], seen["rare"], seen["seen_share"]
     base = n_all + 0.1 * (n_distinct + 1)
     # by symbol: dictionary words, escape (its words are added later), end, and the start, which comes last

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import context_mixing, langid, lm, toxicity
+from ledgerspark.llm.shared import stored
 
 from .fixture_rows import DOCS, docs, none, prose
 
@@ -293,3 +294,50 @@ def test_pooled_probabilities_are_means_over_positions():
 
 def test_letters_are_those_of_isalpha(spark):
     assert not any(map(langid.has_letter, (None, "", "½ ² Ⅷ 12 _", "\U0001f600"))) and langid.has_letter("½é")
+
+
+def test_lm_weights_come_from_every_training_text_and_word(spark):
+    """More texts and words than a sample would hold, one text longer than any prefix, in several tasks."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(40)) for _ in range(700)] + ["ab cd " * 100_000, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counts = stored(lm.word_counts(df.withColumn("held_out", F.lit(False))))
+    model, _ = lm.fitted(df, counts, words=50)
+    code = model.code
+    b = context_mixing.Batch(context_mixing.split_texts(texts), code)
+    words = {w.encode() for t in texts for w in (t or "").split()} - {w.as_py() for w in code.words}
+    spelled = context_mixing.Spelling(sorted(words), code)
+    assert len(words) > 8000 and len(b.symbols) > 200_000
+    half = context_mixing.GATES // 2
+    assert [model.learned[:half].sum(), model.learned[half:].sum()] == [code.length[x.symbols].sum() for x in (b, spelled)]
+
+
+def test_lessons_of_tasks_add_up_by_decisions():
+    r = np.random.default_rng(4)
+    model, _ = small_model()
+    learnt = []
+    for n in (300, 5000):
+        t = context_mixing.Lessons()
+        gate, x, bit = r.integers(0, 3, n), r.normal(0, 2, (context_mixing.CONTEXTS, n)).astype(np.float32), r.integers(0, 2, n).astype(np.uint8)
+        t.learn(gate, x, np.zeros(n, np.int16), bit)
+        learnt.append((np.bincount(gate, minlength=context_mixing.GATES), t))
+    model.fit(sum(t.sent() for _, t in learnt))
+    (a, s), (b, t) = learnt
+    met = (a + b) > 0
+    assert (model.learned == a + b).all() and met.sum() == 3
+    assert np.allclose(model.weights[met], ((a[:, None] * s.weights + b[:, None] * t.weights)[met] / (a + b)[met, None]), atol=1e-5)
+    assert np.array_equal(model.weights[~met], context_mixing.first_weights()[~met])
+
+
+def test_a_part_is_predicted_before_it_is_counted():
+    _, docs = small_model()
+    code = context_mixing.Code([(w.encode(), 9 - k) for k, w in enumerate("abcdefgh")], 3, 2, np.ones(256), 12)
+    b = context_mixing.Batch(given(docs), code)
+    c = context_mixing.Counts(code)
+    levels = []
+    c.lessons[1].learn = lambda gate, x, kind, bit: levels.append((len(gate), int(gate.max()), float(np.abs(x[1:]).max())))
+    c.add(b, 200)
+    assert levels[0][1:] == (0, 0.0) and all(top > 0 and odds > 0 for _, top, odds in levels[1:]) and len(levels) == -(-len(b.symbols) // 200)
+    decisions = code.length[b.symbols].sum()
+    assert sum(n for n, _, _ in levels) == decisions
+    assert [int(t.sum()) for t in c.tables()] == [decisions] * context_mixing.CONTEXTS

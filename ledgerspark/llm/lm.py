@@ -214,7 +214,9 @@ def fitted(texts: DataFrame, counts: DataFrame, words: int | None = None) -> tup
     code = Code(top, rare, ends, every[:BYTES], bits)
     full, lessons = [np.zeros(size, np.int16) for _ in range(CONTEXTS)], 0.0
     coded = sc.broadcast(code)
-    counted = table_counts(small_batches(texts).select("text"), coded, False).unionByName(table_counts(known.select("word"), coded, True))
+    # lessons depend on the order of words, which is the same in each run
+    shuffled = known.select("word").repartition(partitions(texts.sparkSession), "word").sortWithinPartitions(F.xxhash64("word"), "word")
+    counted = table_counts(small_batches(texts).select("text"), coded, False).unionByName(table_counts(shuffled, coded, True))
     for r in stored(table_sums(counted)).toLocalIterator():  # a part at a time: the tables are large
         if r.part < 0:
             lessons = lessons + filled(r.full, np.float64)

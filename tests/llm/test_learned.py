@@ -341,3 +341,10 @@ def test_a_part_is_predicted_before_it_is_counted():
     decisions = code.length[b.symbols].sum()
     assert sum(n for n, _, _ in levels) == decisions
     assert [int(t.sum()) for t in c.tables()] == [decisions] * context_mixing.CONTEXTS
+
+
+def test_lm_weights_do_not_depend_on_the_order_of_counted_words(spark):
+    df = docs(spark).select("text").coalesce(1)
+    counts = lm.word_counts(df.withColumn("held_out", F.lit(False)))
+    one, other = (lm.fitted(df, stored(counts.repartition(n, "word").sortWithinPartitions(by)), words=20)[0] for n, by in ((3, F.col("word").asc()), (7, F.col("n").desc())))
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.refine, other.refine)

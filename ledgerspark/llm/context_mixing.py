@@ -33,7 +33,7 @@ GATES = 2 * 4 ** (CONTEXTS - 1)
 BLOCK = 1 << 13
 COMMON = 256
 PRIOR, UNIT, MOST = 0.4, 512, 15.9
-LEVELS = np.array([0, 1, 2, 8])
+LEVELS = np.array([0, 1, 2, 8], np.float32)
 RATE, WARM, REFINE, BUCKETS, DEPTHS, EVERY = 2.0, 1280, 0.02, 24, 32, 64
 U = np.uint32
 K1, K2, K3 = U(2654435761), U(0x9E3779B1), U(0x85EBCA6B)
@@ -50,6 +50,11 @@ def filled(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), dtype)
 
 
+def native(state: dict) -> dict:
+    """state with its arrays as NumPy makes them: unpickled ones have types of their own, for which ufunc.at, for one, takes a slow path."""
+    return {k: v.astype(v.dtype.type) if isinstance(v, np.ndarray) else v for k, v in state.items()}
+
+
 class Tree:
     """A Huffman tree: first[s] : first[s] + length[s] are symbol s's decisions in node and bit."""
 
@@ -93,6 +98,7 @@ class Code:
         depth = np.arange(len(self.node)) - np.repeat(self.first, self.length)
         self.kind = np.minimum(depth, DEPTHS // 2 - 1) + np.where(self.node >= self.byte0, DEPTHS // 2, 0)
         self.kind = self.kind.astype(np.int16)
+        self.both = self.kind << np.int16(1) | self.bit
         # the first context's log odds of words, known before anything is counted in a table
         counts, ways = np.array([*(n for _, n in words), escapes, ends], float), np.zeros((2, self.byte0))
         own = int(a.length.sum())
@@ -103,11 +109,14 @@ class Code:
         inside, at, b = depth & 3, np.arange(len(self.node)), self.bit.astype(np.int64)
         back = lambda k: np.where(inside >= k, b[np.maximum(at - k, 0)], 0)
         self.offset = np.choose(inside, [np.ones_like(at), 2 + back(1), 4 + 2 * back(2) + back(1), 8 + 4 * back(3) + 2 * back(2) + back(1)]).astype(np.uint8)
-        heads = np.flatnonzero(inside == 0)
-        self.run_node, self.run_size = self.node[heads] * K2, np.diff(np.append(heads, len(at)))
+        self.run_head = np.flatnonzero(inside == 0).astype(np.int32)
+        self.run_node, self.run_size = self.node[self.run_head] * K2, np.diff(np.append(self.run_head, len(at))).astype(np.int8)
         self.runs = -(-self.length // 4)
         self.run_first = np.cumsum(self.runs) - self.runs
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = native(state)
+
     def ids(self, words: pa.Array) -> np.ndarray:
         """Ranks of words, -1 for those that aren't in the dictionary."""
         return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -115,22 +124,21 @@ class Code:
     def paths(self, symbols: np.ndarray) -> "Paths":
         return Paths(self, symbols)
 
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of decisions of each symbol; place of each decision in node and bit."""
-        n = self.length[symbols]
-        ends = np.cumsum(n)
-        return n, np.repeat(self.first[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-
 
 class Paths:
     """The decisions of some symbols: how many each has (n), their places in the code (at), and their slots under a context."""
 
     def __init__(self, code: Code, symbols: np.ndarray):
-        self.n, self.at = code.decisions(symbols)
-        self.runs = code.runs[symbols]
+        self.n, self.runs, self.bits = np.take(code.length, symbols), np.take(code.runs, symbols), code.bits
         ends = np.cumsum(self.runs)
-        run = np.repeat(code.run_first[symbols] - (ends - self.runs), self.runs) + np.arange(ends[-1] if len(ends) else 0)
-        self.node, self.size, self.offset, self.bits = np.take(code.run_node, run, mode="clip"), np.take(code.run_size, run, mode="clip"), np.take(code.offset, self.at, mode="clip"), code.bits
+        run = np.repeat(np.take(code.run_first, symbols) - (ends - self.runs), self.runs)
+        run += np.arange(len(run))
+        self.node, size, head = (np.take(a, run, mode="clip") for a in (code.run_node, code.run_size, code.run_head))
+        head = head - (np.cumsum(size) - size)
+        self.run = np.repeat(np.arange(len(run)), size)  # of each decision; looking a run up is quicker than repeating it
+        self.at = np.take(head, self.run, mode="clip")
+        self.at += np.arange(len(self.at))
+        self.offset = np.take(code.offset, self.at, mode="clip").astype(np.int64)
 
     def slots(self, seed: np.ndarray) -> np.ndarray:
         s = np.repeat(seed, self.runs)
@@ -139,8 +147,8 @@ class Paths:
         s ^= s >> U(15)
         s *= K3
         s >>= U(32 - self.bits)
-        out = np.repeat(s.astype(np.int64), self.size)
-        np.bitwise_xor(out, self.offset, out=out)
+        out = np.take(s.astype(np.int64), self.run, mode="clip")
+        out ^= self.offset
         return out
 
 
@@ -186,11 +194,11 @@ class Batch:
         tok[place], tok[self.token_start], tok[stops - 1] = found, -2, code.end
         self.tokens = tok
         unknown = np.flatnonzero(found < 0)
-        self.unknown, self.unknown_text = words.take(pa.array(unknown)).to_pylist(), text[unknown]
+        self.unknown, self.unknown_text = words.take(pa.array(unknown)), text[unknown]
         esc = place[unknown]
         seed = tok.astype(np.uint32)
         seed[tok == -2] = START
-        seed[esc] = np.fromiter(map(zlib.crc32, self.unknown), np.uint32, len(esc)) | U(UNKNOWN)
+        seed[esc] = np.fromiter(map(zlib.crc32, self.unknown.to_pylist()), np.uint32, len(esc)) | U(UNKNOWN)
         seed *= K2
         coded = tok != -2
         self.symbols = np.where(tok == -1, code.escape, tok)[coded]
@@ -242,15 +250,31 @@ class Lessons:
         self.cells = np.zeros((3, DEPTHS * BUCKETS))  # how many decisions, how many yes, sum of odds
 
     def learn(self, gate: np.ndarray, x: np.ndarray, kind: np.ndarray, bit: np.ndarray) -> None:
+        """Decisions are sorted by gate, so that a gate's are mixed and summed in one go."""
+        order = np.argsort(gate.astype(np.int8, copy=False), kind="stable")
         seen, n = np.bincount(gate, minlength=GATES), DEPTHS * BUCKETS
+        met, ends = np.flatnonzero(seen), np.cumsum(seen)
+        own = [(g, slice(ends[g] - seen[g], ends[g])) for g in met.tolist()]
+        near = np.empty_like(x)
+        for k in range(CONTEXTS):
+            np.take(x[k], order, out=near[k], mode="clip")
+        x = near
+        cell, bit = np.take(kind * np.int16(2 * BUCKETS) + bit * np.int16(BUCKETS), order, mode="clip"), np.take(bit, order, mode="clip").astype(np.float32)
         for turn in range(max(1, 4 - self.step // 20)):  # more than one while little has been seen
-            z = mix(self.weights.astype(np.float32), gate, x)
+            w, z = self.weights.astype(np.float32), np.empty(len(bit), np.float32)
+            for g, part in own:
+                np.dot(w[g, :CONTEXTS], x[:, part], out=z[part])
+                z[part] += w[g, CONTEXTS]
             if not turn:
-                cell = kind.astype(np.int64) * BUCKETS + Model.bucket(z)
-                both = np.bincount(cell * 2 + bit, minlength=2 * n)
-                self.cells += both[0::2] + both[1::2], both[1::2], np.bincount(cell, z, n)
+                at = (cell + Model.bucket(z)).astype(np.int64)
+                both = np.bincount(at, minlength=2 * n).reshape(DEPTHS, 2, BUCKETS)
+                odds = np.bincount(at, z, 2 * n).reshape(DEPTHS, 2, BUCKETS)
+                self.cells += both.sum(1).ravel(), both[:, 1].ravel(), odds.sum(1).ravel()
             err = bit - 1 / (1 + np.exp(-z))
-            g = np.stack([np.bincount(gate, err * a, GATES) for a in x] + [np.bincount(gate, err, GATES)], 1) / (seen[:, None] + 50)
+            g = np.zeros_like(self.weights)
+            for k, part in own:
+                g[k, :CONTEXTS], g[k, CONTEXTS] = np.dot(x[:, part], err[part]), err[part].sum()
+            g /= seen[:, None] + 50
             self.step += 1
             self.m, self.v = 0.8 * self.m + 0.2 * g, 0.97 * self.v + 0.03 * g * g
             pace = 0.05 * min(1.0, (40 / self.step) ** 0.5)
@@ -280,23 +304,23 @@ class Counts:
         while lo < len(b.symbols):
             hi = lo + min(most, max(1 << 9, self.added[plain] // 4))
             paths = self.code.paths(b.symbols[lo:hi])
-            bit = np.take(self.code.bit, paths.at, mode="clip")
+            kind = np.take(self.code.both, paths.at, mode="clip")
+            bit = kind & np.int16(1)
+            way = bit.astype(np.int64)
+            kind >>= np.int16(1)
             x, gate = np.empty((CONTEXTS, len(bit)), np.float32), np.full(len(bit), 0 if plain else 1, np.int8)
             if plain:
                 np.take(self.code.odds, paths.at, out=x[0], mode="clip")
-            slots = []
             for k in range(plain, CONTEXTS):
                 s = paths.slots(b.seeds[k][lo:hi])
-                x[k], level = odds_and_level(np.take(self.own[k].view(np.uint64), s, mode="clip"))
+                level = odds_and_level(np.take(self.own[k].view(np.uint64), s, mode="clip"), x[k])
                 if k:
                     gate *= np.int8(4)  # below 128 in the end
                     gate += level
                 s <<= 1
-                s |= bit
-                slots.append(s)
-            self.lessons[plain].learn(gate.astype(np.int64), x, np.take(self.code.kind, paths.at, mode="clip"), bit)
-            for own, s in zip(self.own[plain:], slots, strict=True):
-                np.add.at(own, s, U(1))
+                s |= way
+                np.add.at(self.own[k], s, U(1))  # at once, while what was read is still near
+            self.lessons[plain].learn(gate, x, kind, bit)
             self.added[plain] += len(b.symbols[lo:hi])
             lo = hi
 
@@ -309,14 +333,18 @@ class Counts:
         return self.own
 
 
-def odds_and_level(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds, and how well filled it is (0 to 3), of slots as (no, yes) in 64 bits each."""
+def odds_and_level(pairs: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """How well filled slots are (0 to 3), given as (no, yes) in 64 bits each; their log odds go into odds."""
     n = pairs.view(np.uint32).astype(np.float32)
     no, yes = n[0::2], n[1::2]
     total = no + yes
-    level = (total >= LEVELS[1]).view(np.int8) + (total >= LEVELS[2]).view(np.int8) + (total >= LEVELS[3]).view(np.int8)
-    odds = np.log((yes + np.float32(PRIOR)) / (no + np.float32(PRIOR)))
-    return np.clip(odds, -MOST, MOST, out=odds), level
+    level = (total >= LEVELS[1]).view(np.int8) + (total >= LEVELS[2]).view(np.int8)
+    level += (total >= LEVELS[3]).view(np.int8)
+    n += np.float32(PRIOR)
+    np.divide(yes, no, out=odds)
+    np.log(odds, out=odds)
+    np.clip(odds, -MOST, MOST, out=odds)
+    return level
 
 
 def packed(tables: list[np.ndarray]) -> list[np.ndarray]:
@@ -372,21 +400,28 @@ class Model:
         return self.__dict__ | {"plain": None, "tables": [squeezed(t) for t in self.tables]}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"tables": [filled(t, np.int16) for t in state["tables"]]}
+        self.__dict__ = native(state) | {"tables": [filled(t, np.int16) for t in state["tables"]]}
 
     def inputs(self, seeds: list[np.ndarray], symbols: np.ndarray, spelled: bool):
         """Decisions of each symbol, gate, log odds (CONTEXTS x decisions), kind, bit."""
         paths = self.code.paths(symbols)
+        return paths.n, *self.met(paths, seeds, spelled)
+
+    def met(self, paths: Paths, seeds: list[np.ndarray], spelled: bool):
+        """Gate, log odds, kind and bit of each decision of paths."""
         same = np.take(self.plain_values(), paths.at, mode="clip")
-        bit, kind = (same & np.int32(1)).astype(np.uint8), (same >> np.int32(1)).astype(np.int16) & np.int16(DEPTHS - 1)
-        x, gate = np.empty((CONTEXTS, len(bit)), np.float32), (kind >= DEPTHS // 2).astype(np.int16)
+        both = same.astype(np.int16)  # its lower half: kind and bit; all below 64
+        bit, kind = (both & np.int16(1)).view(np.uint16), both >> np.int16(1)
+        x, gate = np.empty((CONTEXTS, len(bit)), np.float32), (kind >= DEPTHS // 2).view(np.int8)
         for k, seed in enumerate(seeds):
-            v = np.take(self.tables[k], paths.slots(seed), mode="clip") if k or spelled else (same >> np.int32(16)).astype(np.int16)
+            v = np.take(self.tables[k], paths.slots(seed), mode="clip") if k or spelled else same >> np.int32(16)
             if k:
-                gate *= np.int16(4)
-                gate += v & np.int16(3)
-            np.multiply(v >> np.int16(2), np.float32(1 / UNIT), out=x[k])
-        return paths.n, gate, x, kind, bit
+                gate <<= np.int8(2)  # below 128 in the end
+                gate |= (v & np.int16(3)).astype(np.int8)
+            v >>= v.dtype.type(2)
+            x[k] = v
+        x *= np.float32(1 / UNIT)
+        return gate, x, kind, bit
 
     def mixed(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Log odds by the fitted weights."""
@@ -434,7 +469,7 @@ class Model:
         order = np.argsort(-b.size, kind="stable")
         start, size = b.start[order], b.size[order]
         own, seen = np.zeros((CONTEXTS, n), np.float32), np.full(n, WARM, np.float32)
-        table, fixed = np.zeros(n * cells, np.float32), self.refine.ravel()
+        table = np.tile(self.refine.ravel(), n)  # each text's own
         per_symbol, one = np.zeros(len(b.symbols)), np.float32(1)
         lo, most = 0, int(size[0]) if n else 0
         while lo < most:
@@ -449,10 +484,15 @@ class Model:
                 place.append(np.arange(len(text[-1])) + np.repeat(start[:m] + lo - steps[-1][2], c))
                 total, lo = total + len(text[-1]), hi
             i = np.concatenate(place)
-            d, gate, x, kind, bit = self.inputs([s[i] for s in b.seeds], b.symbols[i], False)
-            first = np.append(np.cumsum(d) - d, len(bit))
-            z, row = self.mixed(gate, x), kind.astype(np.int64) * BUCKETS
-            sign, base, p = np.where(bit, one, -one), np.repeat(np.concatenate(text) * cells, d) + row, np.empty(len(bit))
+            paths = self.code.paths(b.symbols[i])
+            gate, x, kind, bit = self.met(paths, [s[i] for s in b.seeds], False)
+            first = np.append(np.cumsum(paths.n) - paths.n, len(bit))
+            z, p = self.mixed(gate, x), np.empty(len(bit), np.float32)
+            sign = bit.astype(np.float32)
+            sign *= np.float32(2)
+            sign -= one
+            base = np.take(np.repeat(np.concatenate(text) * cells, paths.runs), paths.run, mode="clip")  # a text's table begins here
+            base += kind * np.int16(BUCKETS)
             ends = [at for _, at, _ in steps[1:]] + [total]
             for (m, at, texts_at), end in zip(steps, ends, strict=True):
                 u, v = first[at], first[end]
@@ -460,15 +500,15 @@ class Model:
                 heads = first[at + texts_at] - u
                 met = np.diff(np.append(heads, v - u))
                 zs += np.einsum("kd,kd->d", np.repeat(own[:, :m], met, axis=1), xs)
-                bucket = self.bucket(zs)
+                cell = base[u:v]
+                cell += self.bucket(zs)
                 err = up / (one + np.exp(up * zs))  # bit less its probability
                 own[:, :m] += np.float32(RATE / WARM**0.5) / np.sqrt(seen[:m]) * np.add.reduceat(err * xs, heads, axis=1)
                 seen[:m] += met
-                cell = base[u:v] + bucket
-                zs += np.take(fixed, row[u:v] + bucket, mode="clip") + np.take(table, cell, mode="clip")
-                against = one / (one + np.exp(up * zs))
-                p[u:v] = against
+                zs += np.take(table, cell, mode="clip")
+                zs *= up
+                against = np.divide(one, one + np.exp(zs), out=p[u:v])
                 np.add.at(table, cell, np.float32(REFINE) * up * against)
             # what was not to be expected of a decision; a symbol's probability is the product of the rest
-            per_symbol[i] = np.log(np.maximum(np.multiply.reduceat(1 - p, first[:-1]), 1e-300))
+            per_symbol[i] = np.log(np.maximum(np.multiply.reduceat(np.subtract(1, p, dtype=float), first[:-1]), 1e-300))
         return (np.add.reduceat(per_symbol, b.start) if n else np.zeros(0)) / np.log(10), b

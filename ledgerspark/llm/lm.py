@@ -38,6 +38,7 @@ RANGE = 1 << 16  # slots that one row of a table holds
 AT_ONCE = 1 << 22  # characters of text that are counted or scored together
 WORDS_AT_ONCE, MERGED = 1 << 14, 1 << 20  # words in a batch, and counts that a task holds before it merges them
 COUNTED = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+SPELT = 1 << 18  # words, about, whose spellings a task counts: each task has tables of its own
 DEALT = 16  # parts below zero hold lessons, dealt by task
 BYTES, TOTAL, DISTINCT, ENDS, SINGLE = 256, 256, 257, 258, 259  # keys of the totals, after those of bytes
 
@@ -51,9 +52,9 @@ def table_bits(tokens: int) -> int:
     return min(31, max(BITS, (32 * dictionary_size(tokens) - 1).bit_length()))
 
 
-def some(texts, most: int = AT_ONCE) -> Iterator[tuple[int, Texts]]:
-    """Runs of texts (an Arrow array or a series) of about ``most`` bytes: how many there are, and their words."""
-    every = pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True) if isinstance(texts, pd.Series) else texts.cast(pa.large_string()), "")
+def some(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, Texts]]:
+    """Runs of texts of about ``most`` bytes: how many there are, and their words."""
+    every = pc.fill_null(texts.cast(pa.large_string()), "")
     cuts = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(every).to_numpy(zero_copy_only=False) + 1) // most)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(every)], strict=True):
         if hi > lo:
@@ -128,28 +129,27 @@ def table_rows(tables: list[np.ndarray]) -> Iterator[tuple]:
             yield k * (len(t) // (2 * RANGE)) + r, squeezed(low), squeezed(np.diff(at, prepend=0).astype("<u4")), squeezed(rest.astype("<u4"))
 
 
-def unknown(words: pd.Series, code: Code) -> tuple[list[bytes], np.ndarray]:
+def unknown(words: pa.Array, code: Code) -> tuple[list[bytes], np.ndarray]:
     """Those of words (binary) that are not in the dictionary, and where they stand."""
-    every = pa.array(words, pa.large_binary())
+    every = words.cast(pa.large_binary())
     at = np.flatnonzero(code.ids(every) < 0)
     return every.take(pa.array(at)).to_pylist(), at
 
 
-def gathered(frames: Iterator[pd.DataFrame], rows: int = 8 * WORDS_AT_ONCE) -> Iterator[pd.DataFrame]:
-    """Small frames put together to about ``rows`` rows: a dictionary look-up hashes the whole dictionary first."""
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8 * WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about ``rows`` rows: a dictionary look-up hashes the whole dictionary first."""
     held, n = [], 0
-    for f in frames:
-        held.append(f)
-        n += len(f)
+    for b in batches:
+        held.append(b)
+        n += len(b)
         if n >= rows:
-            yield pd.concat(held, ignore_index=True)
+            yield pa.concat_batches(held)
             held, n = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.concat_batches(held)
 
 
-def parts_of(words, size: int = WORDS_AT_ONCE) -> Iterator[list[bytes]]:
-    words = list(map(bytes, words))
+def parts_of(words: list[bytes], size: int = WORDS_AT_ONCE) -> Iterator[list[bytes]]:
     for at in range(0, len(words), size):
         yield words[at : at + size]
 
@@ -157,25 +157,24 @@ def parts_of(words, size: int = WORDS_AT_ONCE) -> Iterator[list[bytes]]:
 def table_counts(rows: DataFrame, code, spelled: bool) -> DataFrame:
     """Each task's tables of rows (text; or word, if spelled), a row for each range that has counts, and its lessons; code: a broadcast Code."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = None
-        for f in gathered(frames) if spelled else frames:
-            if not len(f):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, schema = None, pa.schema([("part", pa.int32()), ("low", pa.binary()), ("at", pa.binary()), ("rest", pa.binary())])
+        for b in gathered(batches) if spelled else batches:
+            if not len(b):
                 continue
             c = c or Counts(code.value)
             if spelled:
-                for words in parts_of(unknown(f["word"], c.code)[0]):
+                for words in parts_of(unknown(b["word"], c.code)[0]):
                     c.add(Spelling(words, c.code))
             else:
-                for _, words in some(f["text"]):
+                for _, words in some(b["text"]):
                     c.add(Batch(words, c.code))
         if c:
-            for row in table_rows(c.tables()):
-                yield pd.DataFrame([row], columns=["part", "low", "at", "rest"])
-            lessons = squeezed(c.lessons[not spelled].sent())
-            yield pd.DataFrame([(-1 - TaskContext.get().partitionId() % DEALT, lessons, b"", b"")], columns=["part", "low", "at", "rest"])
+            lessons = (-1 - TaskContext.get().partitionId() % DEALT, squeezed(c.lessons[not spelled].sent()), b"", b"")
+            for row in (*table_rows(c.tables()), lessons):
+                yield pa.RecordBatch.from_arrays([pa.array([a], f.type) for a, f in zip(row, schema, strict=True)], schema=schema)
 
-    return rows.mapInPandas(each, "part int, low binary, at binary, rest binary")
+    return rows.mapInArrow(each, "part int, low binary, at binary, rest binary")
 
 
 def table_sums(rows: DataFrame) -> DataFrame:
@@ -215,7 +214,8 @@ def fitted(texts: DataFrame, counts: DataFrame, words: int | None = None) -> tup
     full, lessons = [np.zeros(size, np.int16) for _ in range(CONTEXTS)], 0.0
     coded = sc.broadcast(code)
     # lessons depend on the order of words, which is the same in each run
-    shuffled = known.select("word").repartition(partitions(texts.sparkSession), "word").sortWithinPartitions(F.xxhash64("word"), "word")
+    tasks = min(partitions(texts.sparkSession), 1 + distinct // SPELT)
+    shuffled = known.select("word").repartition(tasks, "word").sortWithinPartitions(F.xxhash64("word"), "word")
     counted = table_counts(small_batches(texts).select("text"), coded, False).unionByName(table_counts(shuffled, coded, True))
     for r in stored(table_sums(counted)).toLocalIterator():  # a part at a time: the tables are large
         if r.part < 0:
@@ -244,10 +244,10 @@ def scores(docs: DataFrame, held: Column, words: int | None = None) -> DataFrame
     logs[len(seen["top"])] = 0.0
     shared = sc.broadcast((model, logs, bool(seen["ends"])))
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs, ends = shared.value
         row = TaskContext.get().partitionId() << 40
-        for f in frames:
+        for f in batches:
             done = 0
             for n, words in some(f["text"]):
                 total, b = model.score(words)
@@ -256,28 +256,30 @@ def scores(docs: DataFrame, held: Column, words: int | None = None) -> DataFrame
                 known = ((tok >= 0) & (tok < model.code.escape)) | ((tok == model.code.end) & ends)
                 base = np.add.reduceat(logs[tok], b.token_start)
                 n_known = np.add.reduceat(known.astype(np.int64), b.token_start)
-                edges = np.searchsorted(b.unknown_text, np.arange(n + 1)).tolist()
+                edges = np.searchsorted(b.unknown_text, np.arange(n + 1))
                 letters = np.append(0, np.cumsum(pc.binary_length(words[0]).to_numpy(zero_copy_only=False)))
                 upto = np.append(0, np.cumsum(words[1]))
-                own = f.iloc[done : done + n]
+                own = f.slice(done, n)
                 done += n
-                yield pd.DataFrame({
-                    "row": row + np.arange(n), "doc_id": own["doc_id"].to_numpy(), "held_out": own["held_out"].to_numpy(),
+                out = {
+                    "row": row + np.arange(n), "doc_id": own["doc_id"], "held_out": own["held_out"],
                     "n_tokens": words[1] + 1, "n_bytes": letters[upto[1:]] - letters[upto[:-1]] + words[1] + 1,
-                    "n_known": n_known, "base": base, "total": total, "rest": [b.unknown[x:y] for x, y in zip(edges, edges[1:], strict=False)],
-                })
+                    "n_known": n_known, "base": base, "total": total, "rest": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), b.unknown.cast(pa.binary())),
+                }
+                yield pa.RecordBatch.from_pydict(out)
                 row += n
 
-    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value[0]
-        for f in gathered(frames):
-            own, at = unknown(f["word"], model.code)
+        for b in gathered(batches):
+            own, at = unknown(b["word"], model.code)
             logs = [model.spell(part) for part in parts_of(own)]
-            yield pd.DataFrame({"word": own, "n": f["n"].to_numpy()[at], "spelled": np.concatenate(logs) if logs else []})
+            out = {"word": pa.array(own, pa.binary()), "n": b["n"].take(pa.array(at)), "spelled": np.concatenate([np.zeros(0), *logs])}
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, total double, rest array<binary>"
-    first = stored(small_batches(marked).mapInPandas(each, schema))
-    spelled = counts.filter(F.col("word") != F.lit(END)).mapInPandas(spell, "word binary, n long, spelled double")
+    first = stored(small_batches(marked).mapInArrow(each, schema))
+    spelled = counts.filter(F.col("word") != F.lit(END)).mapInArrow(spell, "word binary, n long, spelled double")
     met = first.select("row", F.explode("rest").alias("word")).join(spelled, "word")
     c, alone = F.col("n"), F.lit(math.log10(1 - share)) + F.col("spelled")
     mixed = F.when(c > 0, F.log10(F.lit(share / max(rare, 1)) * c + F.pow(F.lit(10.0), F.greatest(alone, F.lit(-300.0))))).otherwise(alone)

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 import zlib
@@ -348,3 +349,46 @@ def test_lm_weights_do_not_depend_on_the_order_of_counted_words(spark):
     counts = lm.word_counts(df.withColumn("held_out", F.lit(False)))
     one, other = (lm.fitted(df, stored(counts.repartition(n, "word").sortWithinPartitions(by)), words=20)[0] for n, by in ((3, F.col("word").asc()), (7, F.col("n").desc())))
     assert np.array_equal(one.weights, other.weights) and np.array_equal(one.refine, other.refine)
+
+
+def test_unpickled_arrays_are_as_quick_as_new_ones():
+    """Unpickled arrays have types of their own, for which ufunc.at takes some twenty times as long; these went on into what tasks made of them."""
+    model, _ = small_model()
+    for x in (model, model.code):
+        arrays = [a for a in vars(pickle.loads(pickle.dumps(x))).values() if isinstance(a, np.ndarray)]
+        assert arrays and all(a.dtype is np.dtype(a.dtype.type) for a in arrays)
+
+
+def test_lessons_in_order_of_gates_are_those_of_plain_sums():
+    r = np.random.default_rng(9)
+    n, cells = 4000, context_mixing.DEPTHS * context_mixing.BUCKETS
+    gate, kind, bit = r.integers(0, 128, n).astype(np.int8), r.integers(0, context_mixing.DEPTHS, n).astype(np.int16), r.integers(0, 2, n).astype(np.int16)
+    x = r.normal(0, 2, (context_mixing.CONTEXTS, n)).astype(np.float32)
+    t, first = context_mixing.Lessons(), context_mixing.first_weights()
+    t.step = 79  # one turn
+    t.learn(gate, x, kind, bit)
+    z = (first[gate, :-1] * x.T).sum(1) + first[gate, -1]
+    err = bit - 1 / (1 + np.exp(-z))
+    want = np.stack([np.bincount(gate, err * a, context_mixing.GATES) for a in (*x, np.ones(n))], 1) / (np.bincount(gate, minlength=context_mixing.GATES)[:, None] + 50)
+    assert np.allclose(t.m, 0.2 * want, atol=1e-6)
+    cell = kind.astype(int) * context_mixing.BUCKETS + context_mixing.Model.bucket(z.astype(np.float32))
+    assert np.abs(t.cells[0] - np.bincount(cell, minlength=cells)).sum() <= 4 and t.cells[0].sum() == n and t.cells[1].sum() == bit.sum()
+    assert np.allclose(t.cells[2].sum(), z.sum(), rtol=1e-4)
+
+
+def test_few_spellings_are_counted_by_few_tasks(spark):
+    """A task that counts spellings has tables of its own, so a small corpus gets one, however many partitions a shuffle has."""
+    df = docs(spark).select("text").coalesce(1)
+    counts = stored(lm.word_counts(df.withColumn("held_out", F.lit(False))))
+    dealt, keep = [], lm.table_counts
+
+    def noted(rows, code, spelled):
+        dealt.append(rows.rdd.getNumPartitions())
+        return keep(rows, code, spelled)
+
+    lm.table_counts = noted
+    try:
+        lm.fitted(df, counts, words=20)
+    finally:
+        lm.table_counts = keep
+    assert dealt[1] == 1

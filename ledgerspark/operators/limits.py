@@ -153,9 +153,10 @@ def attribute(requests: DataFrame, pts: DataFrame) -> DataFrame:
     line = inside.select(*KEY, "period", "at", *names, F.lit(None).cast("double").alias("rise"), F.lit(0).alias("order")).unionByName(
         steps.select(*KEY, "period", "at", *[F.lit(None).cast(inside.schema[c].dataType).alias(c) for c in names], "rise", F.lit(1).alias("order"))
     )
-    ahead = W.partitionBy(*KEY, "period").orderBy("at", "order").rowsBetween(0, W.unboundedFollowing)
-    line = line.withColumn("to_at", F.first(F.when(F.col("order") == 1, F.col("at")), ignorenulls=True).over(ahead))
-    line = line.withColumn("to_rise", F.first("rise", ignorenulls=True).over(ahead))
+    # from the newest back, the last rise seen is the next one in time; a frame that ends at the period's end would be read anew for each request
+    ahead = W.partitionBy(*KEY, "period").orderBy(F.desc("at"), F.desc("order")).rowsBetween(W.unboundedPreceding, 0)
+    line = line.withColumn("to_at", F.last(F.when(F.col("order") == 1, F.col("at")), ignorenulls=True).over(ahead))
+    line = line.withColumn("to_rise", F.last("rise", ignorenulls=True).over(ahead))
     whole = F.sum(F.when(F.col("order") == 0, F.col("tokens"))).over(W.partitionBy(*KEY, "period", "to_at"))
     share = F.when(F.col("to_at").isNotNull(), F.col("to_rise") * F.col("tokens") / whole).otherwise(F.lit(0.0))
     return line.withColumn("whole", whole).withColumn("percent", share).filter(F.col("order") == 0).drop("rise", "order", "to_at", "to_rise", "whole")

@@ -173,6 +173,26 @@ def test_limit_points_do_not_depend_on_how_readings_are_cut(spark, segment_ms):
     assert limits.points(df.limit(0)).count() == 0
 
 
+PTS = "limit_id string, window_minutes long, period int, at long, used_percent double, resets_at long, plan_type string"
+LIMIT_REQUESTS = "at long, session_id string, cwd string, model string, tokens long"
+
+
+def one_period(spark):
+    """A period whose percent rises at 10, 20 and 30, and requests at, between and after the rises."""
+    pts = spark.createDataFrame([("l", 300, 0, at, used, 10**7, "p") for at, used in ((0, 0.0), (10, 4.0), (10, 3.0), (15, 4.0), (20, 9.0), (30, 10.0), (40, 10.0))], PTS)
+    return pts, spark.createDataFrame([(at, s, f"/w/{s}", m, n) for at, s, m, n in ((5, "a", "m", 30), (10, "b", "m", 10), (11, "a", "m", 5), (20, "a", "codex-auto-review", 15), (25, "c", "m", 0), (35, "b", "m", 8), (41, "b", "m", 9))], LIMIT_REQUESTS)
+
+
+def test_shares_of_a_limit_come_from_frames_that_grow(spark):
+    pts, req = one_period(spark)
+    shares = limits.attribute(req, pts)
+    got = sorted((r.at, r.session_id, r.tokens, r.percent) for r in shares.collect())
+    assert got == [(5, "a", 30, 3.0), (10, "b", 10, 1.0), (11, "a", 5, 1.25), (20, "a", 15, 3.75), (35, "b", 8, 0.0)]
+    # a frame from a request to the end of its period is read anew for each of them
+    plan = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
 def test_trend(spark):
     day0 = datetime(2026, 1, 1)
     rows = [(day0.replace(day=1 + k), 10 + 2 * k, 100, 5.0 - k / 2, 7) for k in (0, 1, 3, 4, 6, 9)] + [(datetime(2025, 12, 31), 99, 100, 9.0, 9)]

@@ -193,6 +193,13 @@ def test_shares_of_a_limit_come_from_frames_that_grow(spark):
     assert "unboundedpreceding$(), currentrow$()" in plan and "currentrow$(), unboundedfollowing$()" not in plan
 
 
+def test_what_no_request_accounts_for_comes_from_frames_that_grow(spark):
+    pts, req = one_period(spark)
+    left = limits.unattributed(req, pts)
+    assert [(r.period, r.unattributed_percent) for r in left.collect()] == [(0, 1.0)]
+    assert "currentrow$(), unboundedfollowing$()" not in left._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_trend(spark):
     day0 = datetime(2026, 1, 1)
     rows = [(day0.replace(day=1 + k), 10 + 2 * k, 100, 5.0 - k / 2, 7) for k in (0, 1, 3, 4, 6, 9)] + [(datetime(2025, 12, 31), 99, 100, 9.0, 9)]

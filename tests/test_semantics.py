@@ -200,6 +200,14 @@ def test_what_no_request_accounts_for_comes_from_frames_that_grow(spark):
     assert "currentrow$(), unboundedfollowing$()" not in left._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_usage_by_session_comes_from_frames_that_grow(spark):
+    pts, req = one_period(spark)
+    used = limits.usage_by_session(limits.attribute(req, pts))
+    got = sorted((r.line, r.project, r.percent, r.tokens, r.requests) for r in used.collect())
+    assert got == [("(automatic reviews)", "a", 3.75, 15, 1), ("a", "a", 4.25, 35, 2), ("b", "b", 1.0, 18, 2)]
+    assert "currentrow$(), unboundedfollowing$()" not in used._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_trend(spark):
     day0 = datetime(2026, 1, 1)
     rows = [(day0.replace(day=1 + k), 10 + 2 * k, 100, 5.0 - k / 2, 7) for k in (0, 1, 3, 4, 6, 9)] + [(datetime(2025, 12, 31), 99, 100, 9.0, 9)]

@@ -132,9 +132,9 @@ def log_folder(spark: SparkSession, sf_dir: str, session: Column | None = None)
         F.lit("assistant").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'00:00:00.000'Z'").alias("timestamp"), F.col("session").alias("sessionId"), F.concat(F.lit("/w/"), "session").alias("cwd"),
         key[1].alias("requestId"), "version", "entrypoint", F.col("sidechain").alias("isSidechain"), message.alias("message"),
     )
-    out = x.select("session", "file_id", "line_no", F.to_json(line).alias("value")).repartition("session").sortWithinPartitions("session", "file_id", "line_no")
+    x = x.repartition("session").sortWithinPartitions("session", "file_id", "line_no")  # columns are shuffled and sorted; they become text, which is longer, where they are written
     path = f"{checkpoint_folder(spark)}/logs-{uuid.uuid4().hex}"
-    out.select("session", "value").write.partitionBy("session").text(path)
+    x.select("session", F.to_json(line).alias("value")).write.partitionBy("session").text(path)
     return path
 
 

@@ -1,18 +1,20 @@
 """Assistant session logs (JSON Lines, one folder per project) as requests, tool calls and sessions.
 
-Lines are parsed once into VARIANT. A line that is no JSON object with a string type, or whose timestamp or
-session id is no string, is skipped and counted. All steps are keyed by file, so they share one shuffle.
+Lines are parsed once into VARIANT, and what the tables need of each is written to the checkpoint folder, from which requests,
+calls and sessions are made. A line that is no JSON object with a string type, or whose timestamp or session id is no string,
+is skipped and counted. Requests are written too, as calls and sessions need them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import normal_path, read_path, utf16_length
 from ..operators.requests import merge_lines, primary_model, request_key
-from .text_lines import LINES, count_at, file_listing, filled, numbered_lines, present, text_at
+from ..session import stored
+from .text_lines import LINES, count_at, file_listing, kind_at, numbered_lines, text_at
 from .usage_cache import Logs, Source
 
 AGENT = "claude-code"
@@ -36,64 +38,79 @@ def scan(spark: SparkSession, root: str, ending: str = "jsonl") -> DataFrame:
     return placed(numbered_lines(spark, f"{root}/*/", glob=f"*.{ending}"), ending)
 
 
+#: What is taken out of a line, all at once; a field that is no object, or no array, where one is named here is null.
+FIELDS = """struct<type: variant, timestamp: variant, sessionId: variant, cwd: variant, requestId: variant, version: variant, entrypoint: variant, isSidechain: variant,
+ message: struct<id: variant, model: variant, content: array<variant>, usage: struct<input_tokens: variant, output_tokens: variant, cache_read_input_tokens: variant, cache_creation_input_tokens: variant,
+ cache_creation: struct<ephemeral_5m_input_tokens: variant, ephemeral_1h_input_tokens: variant>>>>"""
+
+
 def parsed(lines: DataFrame) -> DataFrame:
-    """lines with v (the variant), ok, type, ts and content (an array of variants)."""
-    v = lines.withColumn("v", F.try_parse_json("raw"))
-    has = lambda p: F.try_variant_get("v", p, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get("v", p, "variant"))
-    good = present(F.col("v"), "$", "OBJECT") & text_at(F.col("v"), "$.type").isNotNull()
-    for p in ("$.timestamp", "$.sessionId"):
-        good = good & (~F.coalesce(has(p), F.lit(False)) | text_at(F.col("v"), p).isNotNull())
-    v = v.withColumn("ok", F.coalesce(good, F.lit(False)))
-    return v.withColumn("type", F.when(F.col("ok"), text_at(F.col("v"), "$.type"))).withColumn("ts_raw", filled(F.col("v"), "$.timestamp")).withColumn("content", F.try_variant_get("v", "$.message.content", "array<variant>"))
+    """lines without their text, with ok, type, ts_raw and what requests, calls and sessions need; written, as a filter on a parsed column would parse each line again for it."""
+    own = [c for c in lines.columns if c != "raw"]
+    p = lines.withColumn("v", F.try_parse_json("raw")).select(*own, F.try_variant_get("v", "$", FIELDS).alias("x"))
+    text, count = lambda c: text_at(F.col(f"x.{c}"), "$"), lambda c: count_at(F.col(f"x.message.usage.{c}"), "$")
+    no_text = lambda c: ~F.coalesce(kind_at(F.col(f"x.{c}"), "$").isin("STRING", "VOID"), F.lit(True))
+    is_a = lambda c, kind: F.coalesce(F.try_variant_get(c, "$.type", "string") == kind, F.lit(False))
+    content = F.col("x.message.content")
+    blocks = F.transform(content, lambda c, pos: F.struct(pos.alias("pos"), c.alias("c")))
+    p = p.select(
+        *own, text("type").alias("type"), (no_text("timestamp") | no_text("sessionId")).alias("odd"), text("timestamp").alias("ts_raw"), text("sessionId").alias("sid"), text("cwd").alias("cwd"),
+        text("message.id").alias("message_id"), text("requestId").alias("request_id"), text("message.model").alias("model"),
+        count("input_tokens").alias("input"), count("output_tokens").alias("output"), count("cache_read_input_tokens").alias("cache_read"), count("cache_creation_input_tokens").alias("cache_write"),
+        count("cache_creation.ephemeral_5m_input_tokens").alias("five"), count("cache_creation.ephemeral_1h_input_tokens").alias("cache_write_1h"), F.col("x.message.usage").isNull().alias("missing_usage"),
+        text("version").alias("version"), text("entrypoint").alias("entrypoint"), F.coalesce(F.try_variant_get("x.isSidechain", "$", "boolean"), F.lit(False)).alias("sidechain"), F.col("x.message.usage.cache_creation").isNotNull().alias("cache_split"),
+        F.coalesce(F.exists(content, lambda c: is_a(c, "tool_result")), F.lit(False)).alias("has_result"), (content.isNotNull() & F.forall(content, lambda c: is_a(c, "tool_result"))).alias("all_results"),
+        F.filter(blocks, lambda x: is_a(x["c"], "tool_use")).alias("uses"), F.transform(F.filter(blocks, lambda x: is_a(x["c"], "tool_result")), result_size).alias("results"),
+    )
+    filled_ = lambda c: F.when(F.length(c) > 0, F.col(c))
+    p = p.withColumn("ok", F.col("type").isNotNull() & ~F.col("odd")).withColumn("type", F.when(F.col("ok"), F.col("type")))
+    is_user, is_assistant = F.col("type") == "user", F.col("type") == "assistant"
+    p = p.withColumns({"ts_raw": filled_("ts_raw"), "sid": F.when(F.col("ok"), filled_("sid")), "cwd": F.when(F.col("ok"), filled_("cwd")), "request_key": request_key(F.col("message_id"), F.col("request_id")), "cache_write": F.greatest("cache_write", F.col("five") + F.col("cache_write_1h"))})
+    p = p.withColumns({"has_result": F.when(is_user, F.col("has_result")), "all_results": F.when(is_user, F.col("all_results")), "uses": F.when(is_assistant, F.col("uses")), "results": F.when(is_user, F.col("results"))})
+    return stored(p.drop("odd", "five", "message_id", "request_id"))
+
+
+def result_size(x: Column) -> Column:
+    """Of a tool result (pos, c): its place, the call it answers, and the length of its text."""
+    c = x["c"]
+    body, blocks = F.try_variant_get(c, "$.content", "variant"), F.try_variant_get(c, "$.content", "array<variant>")
+    text = F.when(F.schema_of_variant(body) == "STRING", utf16_length(F.try_variant_get(c, "$.content", "string")))
+    summed = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, y: a + F.coalesce(utf16_length(F.try_variant_get(y, "$.text", "string")), F.lit(0)))
+    return F.struct(x["pos"].alias("pos"), F.try_variant_get(c, "$.tool_use_id", "string").alias("call_id"), F.coalesce(text, summed, F.lit(0)).alias("chars"))
 
 
 def request_lines(p: DataFrame) -> DataFrame:
     """Lines of assistant messages with usage, in the columns of merge_lines."""
-    v, u = F.col("v"), "$.message.usage"
-    five, hour = count_at(v, f"{u}.cache_creation.ephemeral_5m_input_tokens"), count_at(v, f"{u}.cache_creation.ephemeral_1h_input_tokens")
-    is_result = lambda c: F.try_variant_get(c, "$.type", "string") == "tool_result"
-    results = F.when(F.col("type") == "user", F.coalesce(F.exists("content", is_result), F.lit(False)))
     before = W.partitionBy("file_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    marked = p.filter("ok").withColumn("after_tool_result", F.coalesce(F.last(results, ignorenulls=True).over(before), F.lit(False)))
+    marked = p.filter("ok").withColumn("after_tool_result", F.coalesce(F.last("has_result", ignorenulls=True).over(before), F.lit(False)))
     return marked.filter(F.col("type") == "assistant").select(
-        "file_id", "line_no", "project_hash", request_key(text_at(v, "$.message.id"), text_at(v, "$.requestId")).alias("request_key"), text_at(v, "$.message.model").alias("model"),
-        F.try_to_timestamp("ts_raw").alias("ts"), count_at(v, f"{u}.input_tokens").alias("input"), count_at(v, f"{u}.output_tokens").alias("output"),
-        count_at(v, f"{u}.cache_read_input_tokens").alias("cache_read"), F.greatest(count_at(v, f"{u}.cache_creation_input_tokens"), five + hour).alias("cache_write"), hour.alias("cache_write_1h"),
-        (~present(v, u, "OBJECT")).alias("missing_usage"), text_at(v, "$.version").alias("version"), text_at(v, "$.entrypoint").alias("entrypoint"),
-        F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("sidechain"), "after_tool_result", present(v, f"{u}.cache_creation", "OBJECT").alias("cache_split"), "content",
+        "file_id", "line_no", "project_hash", "request_key", "model", F.try_to_timestamp("ts_raw").alias("ts"), "input", "output", "cache_read", "cache_write", "cache_write_1h", "missing_usage", "version", "entrypoint", "sidechain", "after_tool_result", "cache_split",
     )
 
 
-def tool_calls(lines: DataFrame, p: DataFrame, requests: DataFrame) -> DataFrame:
+def tool_calls(p: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per tool call in log order, with its request's turn and the size of its result (the last one of its id)."""
-    uses = lines.select("file_id", "line_no", "request_key", F.posexplode_outer("content").alias("pos", "c")).filter(F.try_variant_get("c", "$.type", "string") == "tool_use")
-    uses = uses.withColumn("unit", F.coalesce(F.concat(F.lit("k"), F.col("request_key")), F.concat(F.lit("n"), F.col("line_no").cast("string"))))
-    turn = requests.select("file_id", F.coalesce(F.concat(F.lit("k"), F.col("request_key")), F.concat(F.lit("n"), F.col("first_line").cast("string"))).alias("unit"), "turn_idx")
-    uses = uses.join(turn, ["file_id", "unit"])
+    unit = lambda line: F.coalesce(F.concat(F.lit("k"), F.col("request_key")), F.concat(F.lit("n"), F.col(line).cast("string"))).alias("unit")
+    uses = p.filter(F.size("uses") > 0).select("file_id", "line_no", "request_key", unit("line_no"), F.explode("uses").alias("use")).select("*", "use.*").drop("use")
+    uses = uses.join(requests.select("file_id", unit("first_line"), "turn_idx"), ["file_id", "unit"])
     inp = F.try_variant_get("c", "$.input", "variant")
     uses = uses.select("file_id", "turn_idx", "request_key", "line_no", "pos", F.try_variant_get("c", "$.id", "string").alias("call_id"), F.try_variant_get("c", "$.name", "string").alias("name"), inp.alias("input_json"))
     raw = read_path(F.col("name"), F.col("input_json"))
     uses = uses.withColumn("raw_path", raw).withColumn("path", normal_path(F.col("raw_path")))
     uses = uses.withColumn("call_idx", F.row_number().over(W.partitionBy("file_id").orderBy("line_no", "pos")) - 1)
-    r = p.filter(F.col("ok") & (F.col("type") == "user")).select("file_id", "line_no", F.posexplode_outer("content").alias("pos", "c")).filter(F.try_variant_get("c", "$.type", "string") == "tool_result")
-    body, blocks = F.try_variant_get("c", "$.content", "variant"), F.try_variant_get("c", "$.content", "array<variant>")
-    text = F.when(F.schema_of_variant(body) == "STRING", utf16_length(F.try_variant_get("c", "$.content", "string")))
-    summed = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(utf16_length(F.try_variant_get(x, "$.text", "string")), F.lit(0)))
-    r = r.select("file_id", F.try_variant_get("c", "$.tool_use_id", "string").alias("call_id"), F.struct("line_no", "pos").alias("at"), F.coalesce(text, summed, F.lit(0)).alias("chars"))
+    r = p.filter(F.size("results") > 0).select("file_id", "line_no", F.explode("results").alias("r")).select("file_id", "r.call_id", F.struct("line_no", "r.pos").alias("at"), "r.chars")
     r = r.groupBy("file_id", "call_id").agg(F.max_by("chars", "at").alias("chars"))
     return uses.join(r, ["file_id", "call_id"], "left").withColumn("result_tokens", F.ceil(F.coalesce("chars", F.lit(0)) / 4)).drop("line_no", "pos", "chars")
 
 
 def session_rows(p: DataFrame, requests: DataFrame) -> DataFrame:
     """Per file: ids, folder, first and last timestamp (as text), duration, user turns, lines read and skipped, models."""
-    ok, v = F.col("ok"), F.col("v")
+    ok, sid, cwd = F.col("ok"), F.col("sid"), F.col("cwd")
     said = ok & F.col("type").isin("assistant", "user")
-    all_results = F.col("content").isNotNull() & F.forall("content", lambda c: F.coalesce(F.try_variant_get(c, "$.type", "string") == "tool_result", F.lit(False)))
-    sid, cwd = F.when(ok, filled(v, "$.sessionId")), F.when(ok, filled(v, "$.cwd"))
     s = p.groupBy("file_id", "path", "project_hash", "mtime", "size").agg(
         F.min_by(sid, F.when(sid.isNotNull(), F.col("line_no"))).alias("session_id"), F.min_by(cwd, F.when(cwd.isNotNull(), F.col("line_no"))).alias("cwd"),
         F.min(F.when(said, F.col("ts_raw"))).alias("started_at"), F.max(F.when(said, F.col("ts_raw"))).alias("ended_at"),
-        F.count_if(ok & (F.col("type") == "user") & ~F.coalesce(all_results, F.lit(False))).alias("user_turns"), F.count_if(ok).alias("lines_parsed"), F.count_if(~ok).alias("lines_skipped"),
+        F.count_if(ok & (F.col("type") == "user") & ~F.coalesce("all_results", F.lit(False))).alias("user_turns"), F.count_if(ok).alias("lines_parsed"), F.count_if(~ok).alias("lines_skipped"),
     )
     span = F.unix_millis(F.try_to_timestamp("ended_at")) - F.unix_millis(F.try_to_timestamp("started_at"))
     s = s.withColumn("duration_sec", F.greatest(F.coalesce(F.floor(span / 1000), F.lit(0)), F.lit(0)))
@@ -107,9 +124,8 @@ def read(spark: SparkSession, root: str, ending: str = "jsonl") -> Logs:
 
 def from_lines(lines: DataFrame) -> Logs:
     p = parsed(lines)
-    r = request_lines(p)
-    requests = merge_lines(r)
-    return Logs(p, requests, tool_calls(r, p, requests), session_rows(p, requests))
+    requests = stored(merge_lines(request_lines(p)))
+    return Logs(p, requests, tool_calls(p, requests), session_rows(p, requests))
 
 
 def cached(spark: SparkSession, root: str, ending: str = "jsonl", key: str = "file_id") -> Source:
@@ -131,5 +147,5 @@ def has_logs(spark: SparkSession, root: str) -> bool:
 
 
 def keys_of(logs: Logs) -> DataFrame:
-    """Keys alone, for ownership: Catalyst reads nothing else of the lines."""
+    """Keys alone, for ownership: nothing else is read of the requests."""
     return logs.requests.select("file_id", "turn_idx", "request_key")

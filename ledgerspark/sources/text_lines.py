@@ -42,10 +42,14 @@ def unreadable(listing: DataFrame, lines: DataFrame) -> DataFrame:
     return listing.filter("size > 0").join(lines.select("path").distinct(), "path", "left_anti")
 
 
+def kind_at(v: Column, path: str) -> Column:
+    """The type of a variant's value: STRING, VOID for a JSON null, null if there is none."""
+    return F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))  # what is looked up is copied
+
+
 def text_at(v: Column, path: str) -> Column:
     """A string of a variant; null if the value there is no string."""
-    x = F.try_variant_get(v, path, "variant")
-    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.when(kind_at(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def filled(v: Column, path: str) -> Column:
@@ -56,12 +60,10 @@ def filled(v: Column, path: str) -> Column:
 
 def count_at(v: Column, path: str) -> Column:
     """A number of a variant, 0 if missing, not a number or negative."""
-    x = F.try_variant_get(v, path, "variant")
-    number = F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT|SMALLINT|TINYINT)")
+    number = kind_at(v, path).rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT|SMALLINT|TINYINT)")
     return F.coalesce(F.when(number, F.greatest(F.try_variant_get(v, path, "double"), F.lit(0.0))), F.lit(0.0)).cast("long")
 
 
 def present(v: Column, path: str, kind: str) -> Column:
     """Whether a variant has an OBJECT, ARRAY or other kind of value at path."""
-    x = F.try_variant_get(v, path, "variant")
-    return F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+    return F.coalesce(kind_at(v, path).startswith(kind), F.lit(False))

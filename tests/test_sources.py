@@ -49,6 +49,32 @@ def test_assistant_logs(spark, tmp_path):
     assert len(s) == 1 and (s[0].session_id, s[0].cwd, s[0].user_turns, s[0].lines_parsed, s[0].lines_skipped, s[0].duration_sec) == ("s1", "/w/app", 1, 6, 1, 46)
 
 
+def test_tables_of_logs_are_made_from_lines_parsed_once(spark, tmp_path):
+    write(tmp_path / "p" / "s1.jsonl", LINES)
+    logs = assistant_logs.read(spark, str(tmp_path))
+    (tmp_path / "p" / "s1.jsonl").unlink()  # whoever would read the lines again finds none
+    assert (logs.requests.count(), logs.calls.count(), logs.sessions.count()) == (3, 2, 1)
+    for t in (logs.lines, logs.requests, logs.calls, logs.sessions):
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" not in plan and "parse_json" not in plan.lower() and "parsejson" not in plan.lower()
+
+
+def test_odd_log_lines(spark, tmp_path):
+    odd = [
+        "[1, 2]", "7", '"type"', json.dumps({"type": 5}), json.dumps({"type": "assistant", "timestamp": 5}), json.dumps({"type": "assistant", "sessionId": {}}),
+        json.dumps({"type": "assistant", "timestamp": None, "sessionId": None, "message": "text", "isSidechain": "no"}), json.dumps({"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "x", "content": None}, 3, {}]}}),
+        json.dumps({"type": "assistant", "cwd": "", "version": 3, "message": {"id": 4, "model": "m", "content": {}, "usage": {"input_tokens": "9", "output_tokens": 2.7, "cache_read_input_tokens": -4, "cache_creation": []}}}),
+        json.dumps({"type": "assistant", "cwd": "/w", "message": {"id": "", "usage": [], "content": [{"type": "tool_use", "name": "Bash", "id": "x"}, {"type": "text"}]}}),
+    ]
+    write(tmp_path / "p" / "s1.jsonl", odd)
+    logs = assistant_logs.read(spark, str(tmp_path))
+    got = [(r.request_key, r.model, r.input, r.output, r.cache_read, r.cache_write, r.missing_usage, r.version, r.sidechain, r.after_tool_result, r.cache_split) for r in logs.requests.orderBy("turn_idx").collect()]
+    assert got == [(None, None, 0, 0, 0, 0, True, None, False, False, False), (None, "m", 0, 2, 0, 0, False, None, False, True, False), (None, None, 0, 0, 0, 0, True, None, False, True, False)]
+    assert [(c.name, c.turn_idx, c.call_id, c.result_tokens) for c in logs.calls.collect()] == [("Bash", 2, "x", 0)]
+    s = logs.sessions.first()
+    assert (s.session_id, s.cwd, s.user_turns, s.lines_parsed, s.lines_skipped) == (None, "/w", 1, 4, 6)
+
+
 def test_a_resumed_session_owns_only_what_is_new(spark, tmp_path):
     write(tmp_path / "p" / "a.jsonl", LINES)
     write(tmp_path / "p" / "b.jsonl", [*LINES, assistant(9, "m9", "r9", {"input_tokens": 7, "output_tokens": 8}, [], 55)])

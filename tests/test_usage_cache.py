@@ -33,6 +33,15 @@ def same(a, b):
     return all(table(getattr(a, t)) == table(getattr(b, t)) for t in usage_cache.TABLES)
 
 
+def test_a_segment_is_written_from_lines_parsed_once(spark, tmp_path):
+    write(tmp_path / "logs" / "p" / "a.jsonl", LINES)
+    source = assistant_logs.cached(spark, str(tmp_path / "logs"))
+    logs = source.parse([r["open"] for r in source.files().collect()])
+    (tmp_path / "logs" / "p" / "a.jsonl").unlink()  # whoever would read the lines again finds none
+    segment = usage_cache.segment_of(str(tmp_path / "cache"), logs)
+    assert {t: spark.read.parquet(f"{tmp_path}/cache/{t}/segment={segment}").count() for t in usage_cache.TABLES} == {"requests": 3, "calls": 2, "sessions": 1}
+
+
 def test_unchanged_logs_are_not_read_again(spark, tmp_path):
     logs, cache = tmp_path / "logs", str(tmp_path / "cache")
     write(logs / "p" / "a.jsonl", LINES)
